@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenframe.llm import simhash
+from lumenframe.llm import simhash, substring
 
 QUERIES: dict[str, Callable] = {
     "op7_simhash_near_dedup": simhash.op7,
+    "op8_substring_dedup": substring.op8,
 }
 ORACLE_SQL: dict[str, str] = {}
