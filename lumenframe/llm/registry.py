@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenframe.llm import simhash, substring
+from lumenframe.llm import lexicon, packing, simhash, substring
 
 QUERIES: dict[str, Callable] = {
+    "op5_bpe_lexicon": lexicon.op5,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_substring_dedup": substring.op8,
+    "op9_packing": packing.op9,
 }
 ORACLE_SQL: dict[str, str] = {}
