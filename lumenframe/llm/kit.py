@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a Python task works on at a time; a longer text is taken whole, alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _own_dirs: dict[str, str] = {}
 
 
@@ -82,11 +82,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column, and the offsets of its rows in them. Null is empty."""
+    """The bytes of a string or binary column, and the offsets of its rows in them. Null is empty."""
     if column.null_count:
         column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        column = column.cast(pa.large_string() if pa.types.is_string(column.type) else pa.large_binary())
     n, buffers = len(column), column.buffers()
     off = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)

@@ -183,7 +183,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, size: int = SIZE) ->
 def _decoded(vocabulary: str, names: list[str]):
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = wordbpe.loaded(vocabulary)
-        for b in batches:
+        for b in kit.slices(batches, "ids"):
             text = [bpe.decoded(np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)).decode(errors="replace") for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(text, pa.string())], names=[*names, "decoded"])
 
