@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenframe.llm import lexicon, packing, quality, simhash, substring, toxicity
+from lumenframe.llm import language, lexicon, media, packing, quality, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op3_quality_crf": quality.op3,
+    "op4_language_gru": language.op4,
     "op5_bpe_lexicon": lexicon.op5,
     "op6_toxicity_fm": toxicity.op6,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_substring_dedup": substring.op8,
     "op9_packing": packing.op9,
+    "op10_lossless_webp": media.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
