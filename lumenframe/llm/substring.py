@@ -1,15 +1,16 @@
 """Removal of passages that repeat: level-wise doubling of windows of words.
 
 Level one looks at runs of half the window (10 of 20 words). Of each window only the run with the least hash stands
-for it (a minimizer), so equal windows have equal runs and about one run in six is sent at all; and it goes out
-aggregated, a row for each hash and slice of text. Only runs that stand for more than one window are candidates.
-Level two extends those candidates alone to twice the length: a window's identity is the pair of its halves' hashes
-(128 bits). Windows that repeat inside one slice of text are settled there; the others are ranked by
-(doc_id, start). Each window but the first of its kind covers words to remove. `level_lengths` gives the levels for
-any window of an even number of words.
+for it (a minimizer), so equal windows have equal runs at equal places. The neighbouring windows that one run stands
+for are one stretch of at most 30 words, sent as one row: the run's hash, the hash of the whole stretch, where it
+starts. A stretch that occurs earlier is settled whole: all its windows occur earlier too. Of first stretches, only
+those whose run other stretches share are candidates, and these alone are extended to twice the run's length: a
+window's identity is the pair of its halves' hashes (128 bits), and windows are ranked by (doc_id, start). Each window
+but the first of its kind covers words to remove.
 
-Nothing is sampled: minimizers choose which run *represents* a window, and every window has one. A run or window that
-a third of all documents share costs one row for each slice, not one for each document or pair.
+Nothing is sampled: minimizers choose which run *represents* a window, and every window has one. What repeats inside a
+slice of text is settled there, so a passage that a third of all documents share costs a row for each slice, not one
+for each document or pair.
 
 Defined results: null text has no words. Texts shorter than a window lose nothing. Equal windows at overlapping places
 of one document count: the later start is removed. Rows that repeat a doc_id are one document: copies under one id
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,132 +42,153 @@ def level_lengths(window: int) -> list[int]:
 
 
 class Words:
-    """Words of a slice of texts, the hashes of runs of half a window, and each window's minimizer."""
+    """Words of a slice of texts, and the hashes of runs of half a window (by the index of their first word)."""
 
     def __init__(self, part: pa.RecordBatch, window: int):
-        self.data, off = kit.utf8(part.column("text"))
+        data, off = kit.utf8(part.column("text"))
         self.half, self.window = window // 2, window
-        self.starts, self.ends, self.first = kit.spans(~kit.SPACE[self.data], off)
-        h = kit.range_hashes(self.data, self.starts, self.ends)
+        starts, ends, self.first = kit.spans(~kit.SPACE[data], off)
+        h = kit.range_hashes(data, starts, ends)
         n = max(0, len(h) - self.half + 1)
         self.run = np.zeros(n, np.uint64)
         for k in range(self.half):
             self.run *= _STEP
             self.run += h[k : k + n]
         self.run = kit.mixed(self.run)
-        counts = np.diff(self.first)
-        row, at = kit.ragged(np.maximum(0, counts - window + 1))
-        self.row, self.at = row, self.first[row] + at  # windows: row, index of the first word
-        least, place = self.run[self.at], self.at.copy()
+
+    def stretches(self) -> tuple[np.ndarray, ...]:
+        """Row, index of the first word, windows, minimizer's hash and identity of each stretch of windows with one minimizer."""
+        row, at = kit.ragged(np.maximum(0, np.diff(self.first) - self.window + 1))
+        at += self.first[row]
+        least, place = self.run[at], at.copy()
         for k in range(1, self.half + 1):
-            other = self.run[self.at + k]
+            other = self.run[at + k]
             less = other < least
-            least[less], place[less] = other[less], self.at[less] + k
-        self.least, self.place = least, place
-
-
-def _candidates(window: int, counted: bool):
+            least[less], place[less] = other[less], at[less] + k
+        head = np.ones(len(at), bool)
+        head[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+        i = np.flatnonzero(head)
+        n = np.diff(np.append(i, len(at)))
+        s, shape = at[i], kit.mixed(n.astype(np.uint64) << np.uint64(32) | (place[i] - at[i]).astype(np.uint64))
+        # Three runs cover all words of the stretch: it is at most half a window longer than a window.
+        whole = kit.mixed(kit.mixed(kit.mixed(self.run[s] + shape) ^ self.run[s + self.half]) + self.run[s + n - 1 + self.half])
+        return row[i], s, n, least[i], whole
+
+
+def _first_in_slice(ids: pa.Array, keys: list[np.ndarray], rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by keys and (doc_id, start), and which in this order come after an equal key at another place."""
+    code = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="min")
+    key = code.to_numpy(zero_copy_only=False)[rows]
+    order = np.lexsort((start, key, *keys[::-1]))
+    key, start = key[order], start[order]
+    head = np.ones(len(order), bool)
+    head[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    return order, (key != key[lead]) | (start != start[lead])
+
+
+def _rows(ids: pa.Array, a: np.ndarray, b: np.ndarray, rows: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+    """Of stretches (or windows: n = 1) with identity (a, b): the first of its kind in the slice as a row each; the others settled, as ranges of words, a row for each text."""
+    if not len(a):
+        return
+    order, later = _first_in_slice(ids, [a, b], rows, start)
+    a, b, rows, start, n = (x[order] for x in (a, b, rows, start, n))
+    keep = ~later
+    yield kit.batch(
+        a=a[keep].view(np.int64), b=b[keep].view(np.int64), doc_id=ids.take(pa.array(rows[keep])), start=start[keep].astype(np.int32), n=n[keep].astype(np.int32),
+        settled=pa.nulls(int(keep.sum()), pa.list_(pa.int32())),
+    )
+    if later.any():
+        r, s, e = rows[later], start[later], start[later] + n[later] - 1 + window
+        order = np.lexsort((s, r))
+        r, s, e = r[order], s[order], e[order]
+        reach = np.maximum.accumulate(r * (1 << 40) + e)  # ranges of one text that touch are one
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] << 40) + s[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        r, s, e = r[at], s[at], reach[np.append(at[1:], len(reach)) - 1] & ((1 << 40) - 1)
+        flat = np.stack([s, e], 1).ravel().astype(np.int32)
+        head = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
+        own = kit.mixed(a[later][order][at][head] + r[head].astype(np.uint64))  # only spreads these rows
+        settled = pa.ListArray.from_arrays(pa.array((np.append(head, len(r)) * 2).astype(np.int32)), pa.array(flat))
+        k = len(head)
+        yield kit.batch(a=pa.nulls(k, pa.int64()), b=own.view(np.int64), doc_id=ids.take(pa.array(r[head])), start=s[head].astype(np.int32), n=np.zeros(k, np.int32), settled=settled)
+
+
+def _stretches(window: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in kit.slices(batches):
             w = Words(part, window)
-            if counted:  # windows for each hash
-                h, n = np.unique(w.least, return_counts=True)
-                yield kit.batch(h=h.view(np.int64), n=np.minimum(n, 2).astype(np.int8))
-            else:
-                place, one = np.unique(w.place, return_index=True)
-                row = w.row[one]
-                yield kit.batch(h=w.run[place].view(np.int64), doc_id=part.column("doc_id").take(pa.array(row)), place=(place - w.first[row]).astype(np.int32))
+            row, at, n, run, whole = w.stretches()
+            yield from _rows(part.column("doc_id"), run, whole, row, at - w.first[row], n, window)
 
     return found
 
 
 def _extended(window: int):
-    """Of documents with candidate runs: their candidate windows, once for each window and slice, and what repeats inside the slice."""
+    """The windows of candidate stretches (column at: their starts and numbers of windows)."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in kit.slices(batches):
-            w = Words(part, window)
-            places = part.column("places")
-            row = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(places).fill_null(0).to_numpy(zero_copy_only=False))
-            candidate = np.zeros(len(w.starts) + 1, bool)
-            candidate[w.first[row] + places.flatten().to_numpy(zero_copy_only=False)] = True
-            pick = np.flatnonzero(candidate[w.place])
-            if not len(pick):
-                continue
-            rows, at = w.row[pick], w.at[pick]
-            a, b = w.run[at], w.run[at + w.half]
-            start = at - w.first[rows]
-            ids = part.column("doc_id")
-            key = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)[rows]
-            order = np.lexsort((start, key, b, a))
-            a, b, start, key, rows = a[order], b[order], start[order], key[order], rows[order]
-            head = np.ones(len(a), bool)
-            head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            lead = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
-            later = (key != key[lead]) | (start != start[lead])
-            keep = ~later
-            yield kit.batch(
-                a=pa.array(a[keep].view(np.int64)), b=pa.array(b[keep].view(np.int64)), doc_id=ids.take(pa.array(rows[keep])), start=pa.array(start[keep].astype(np.int32)),
-                settled=pa.nulls(int(keep.sum()), pa.list_(pa.int32())),
-            )
-            if later.any():
-                r, s = rows[later], start[later].astype(np.int32)
-                order = np.lexsort((s, r))
-                r, s = r[order], s[order]
-                at = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
-                settled = pa.ListArray.from_arrays(pa.array(np.append(at, len(r)).astype(np.int32)), pa.array(s))
-                own = kit.mixed(r[at].astype(np.uint64) + w.run[w.first[r[at]]])
-                yield kit.batch(a=pa.nulls(len(at), pa.int64()), b=pa.array(own.view(np.int64)), doc_id=ids.take(pa.array(r[at])), start=pa.array(s[at]), settled=settled)
+            w, at = Words(part, window), part.column("at")
+            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+            flat = at.flatten()
+            again, k = kit.ragged(flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64))
+            row, start = row[again], flat.field("start").to_numpy(zero_copy_only=False)[again] + k
+            inside = start + window <= np.diff(w.first)[row]  # rows that repeat a doc_id may be shorter
+            row, start = row[inside], start[inside]
+            i = w.first[row] + start
+            yield from _rows(part.column("doc_id"), w.run[i], w.run[i + w.half], row, start, np.ones(len(row), np.int64), window)
 
     return windows
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, starts: an array of arrays of word positions at which a window starts whose words also start earlier. Only documents that have some."""
+def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, ranges: arrays of from, to, from, to ... of words that windows cover whose words also start earlier. Only documents that have some."""
     level_lengths(window)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = docs.mapInArrow(_candidates(window, True), "h bigint, n tinyint")
-    repeated = kit.written(counts.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated-runs")
-    runs = docs.mapInArrow(_candidates(window, False), f"h bigint, doc_id {kind}, place int")
-    places = runs.join(repeated, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    # An inner join: documents without a candidate are not extended.
-    extended = docs.join(places.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("doc_id", "text", "places")
-    rows = extended.mapInArrow(_extended(window), f"a bigint, b bigint, doc_id {kind}, start int, settled array<int>")
-    rank = "rank() over (partition by a, b order by doc_id nulls first, start)"
-    later = rows.withColumn("rank", F.expr(rank)).where("settled is not null or rank > 1")
-    starts = later.groupBy("doc_id").agg(F.collect_list(F.coalesce("settled", F.array("start"))).alias("starts"))
-    return kit.written(starts, "repeated-windows")
-
-
-def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """For each of n words: is it in a window with one of these starts?"""
-    depth = np.zeros(n + 1, np.int64)
-    starts = starts[starts + window <= n]
-    np.add.at(depth, starts, 1)
-    np.add.at(depth, starts + window, -1)
-    return np.cumsum(depth)[:-1] > 0
+    schema = f"a bigint, b bigint, doc_id {kind}, start int, n int, settled array<int>"
+    rank = F.expr("rank() over (partition by a, b order by doc_id nulls first, start)")
+    covers = F.coalesce("settled", F.array(F.col("start"), F.col("start") + F.col("n") + F.lit(window - 1)))
+
+    stretches = docs.mapInArrow(_stretches(window), schema).withColumn("later", (rank > 1) | F.col("settled").isNotNull())
+    once = kit.written(stretches.select(F.when(~F.col("later"), F.col("a")).alias("a"), "doc_id", "start", "n", "settled"), "stretches")
+    first = once.where("a is not null").select("a", "doc_id", "start", "n")
+    shared = first.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
+    candidates = kit.written(first.join(shared, "a", "left_semi").select("doc_id", "start", "n"), "candidates")
+    at = candidates.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    extended = docs.join(at, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("doc_id", "text", "at")
+    windows = extended.mapInArrow(_extended(window), schema).withColumn("later", (rank > 1) | F.col("settled").isNotNull())
+    more = windows.where("later").select("doc_id", covers.alias("ranges"))
+    all_ranges = once.where("a is null").select("doc_id", covers.alias("ranges")).unionByName(more)
+    found = kit.written(all_ranges.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "repeated-ranges")
+    kit.removed(once)
+    kit.removed(candidates)
+    return found
 
 
-def _cut(window: int):
-    def rows(part: pa.RecordBatch):
-        texts, starts = part.column("text"), part.column("starts")
-        for i in range(part.num_rows):
-            words = (texts[i].as_py() or "").encode().split()
-            s = starts.slice(i, 1)
-            gone = covered(len(words), s.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.int64), window) if s[0].is_valid else None
-            yield words, gone
+def covered(n: int, ranges: np.ndarray) -> np.ndarray:
+    """For each of n words: is it in one of the ranges (from, to, from, to ...)?"""
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, np.minimum(ranges[::2], n), 1)
+    np.add.at(depth, np.minimum(ranges[1::2], n), -1)
+    return np.cumsum(depth)[:-1] > 0
 
-    return rows
 
+def _cut(part: pa.RecordBatch):
+    """Of each text: its words, and which of them go (None: none)."""
+    texts, ranges = part.column("text"), part.column("__ranges")
+    for i in range(part.num_rows):
+        words = (texts[i].as_py() or "").encode().split()
+        yield words, covered(len(words), ranges.slice(i, 1).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.int64)) if ranges[i].is_valid else None
 
-def _result(window: int):
-    cut = _cut(window)
 
+def _result():
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in kit.slices(batches):
             n, removed, text = [], [], []
-            for words, gone in cut(part):
+            for words, gone in _cut(part):
                 n.append(len(words))
                 removed.append(int(gone.sum()) if gone is not None else 0)
                 text.append(b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
@@ -177,8 +200,8 @@ def _result(window: int):
     return result
 
 
-def _digest(window: int):
-    result = _result(window)
+def _digest():
+    result = _result()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in result(batches):
@@ -187,9 +210,9 @@ def _digest(window: int):
     return digest
 
 
-def _with_starts(docs: DataFrame, window: int) -> DataFrame:
-    starts = repeated_windows(docs, window).withColumnRenamed("doc_id", "__own_id")
-    return docs.join(starts.withColumnRenamed("starts", "__starts"), F.col("doc_id").eqNullSafe(F.col("__own_id")), "left").drop("__own_id")
+def _with_ranges(docs: DataFrame, window: int) -> DataFrame:
+    ranges = repeated_ranges(docs, window).select(F.col("doc_id").alias("__own_id"), F.col("ranges").alias("__ranges"))
+    return docs.join(ranges, F.col("doc_id").eqNullSafe(F.col("__own_id")), "left").drop("__own_id")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
@@ -197,21 +220,19 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFram
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string"
-    joined = _with_starts(docs, window).withColumnRenamed("__starts", "starts")
-    return joined.mapInArrow(_result(window), schema + ", kept string") if texts else joined.mapInArrow(_digest(window), schema)
+    joined = _with_ranges(docs, window)
+    return joined.mapInArrow(_result(), schema + ", kept string") if texts else joined.mapInArrow(_digest(), schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(kit.documents(spark, sf_dir), texts=False)
 
 
-def _shortened(window: int, names: list[str]):
-    cut = _cut(window)
-
+def _shortened(names: list[str]):
     def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in kit.slices(batches):
             old, text = part.column("text"), []
-            for i, (words, gone) in enumerate(cut(part.select(["text", "__starts"]).rename_columns(["text", "starts"]))):
+            for i, (words, gone) in enumerate(_cut(part)):
                 whole = gone is None or not gone.any()
                 text.append(old[i].as_py() if whole else b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode())
             new = {"text": pa.array(text, pa.string())}
@@ -224,5 +245,5 @@ def _shortened(window: int, names: list[str]):
 
 def shortened(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their repeated passages. A text that loses nothing stays as it was; n_chars follows the text; a text left empty goes."""
-    new = _with_starts(docs, WINDOW).mapInArrow(_shortened(WINDOW, docs.columns), docs.schema)
+    new = _with_ranges(docs, WINDOW).mapInArrow(_shortened(docs.columns), docs.schema)
     return new.where("text is null or text <> ''") if "text" in docs.columns else new
