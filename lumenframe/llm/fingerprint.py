@@ -1,14 +1,15 @@
 """Document fingerprints by invertible Bloom lookup sketches, in SQL functions alone.
 
-A text's paragraphs (pieces between line breaks and sentence ends) have 64-bit digests; repeated ones count once. A
-sketch has `3 * WIDTH` cells in three tables; a digest goes into one cell of each, as a count, an XOR of digests and
-an XOR of the digests' own hashes. Two sketches subtract cell by cell, which leaves the digests of only one of them.
-Peeling then finds cells that hold a single digest (count +-1 and a matching hash), takes this digest out of its other
-cells, and goes on until all cells are empty: the differing digests are recovered, with their sides. Where cells stay
-full, both versions are sketched again four times as large. A larger sketch is a row of stripes of `3 * WIDTH` cells,
-chosen by further bits of the hash, so its cost grows with the number of paragraphs rather than with its square; the
-first stripe that doesn't peel ends an attempt. With D differing digests of n and m, likeness is
-(n + m - D) / (n + m + D), the Jaccard index of the sets.
+A text's paragraphs have 64-bit digests; repeated ones count once. They end at line breaks and, in long lines, at
+those sentence ends that a capital from A to H follows, a rule that looks only at the text around it. A sketch has `3
+* WIDTH` cells in three tables; a digest goes into one cell of each, as a count, an XOR of digests and an XOR of the
+digests' own hashes. Two sketches subtract cell by cell, which leaves the digests of only one of them. Peeling then
+finds cells that hold a single digest (count +-1 and a matching hash), takes this digest out of its other cells, and
+goes on until all cells are empty: the differing digests are recovered, with their sides. A sketch of many digests is
+a row of stripes of `3 * WIDTH` cells, chosen by further bits of the hash, as many as the share of digests that is
+expected to differ asks for; so its cost grows with the number of paragraphs rather than with its square. A stripe
+whose cells stay full is sketched again four times as large, and so on. With D differing digests of n and m, likeness
+is (n + m - D) / (n + m + D), the Jaccard index of the sets.
 
 `with_next` gives each document the next one in descending doc_id without a global sort: ids are cut into ranges, a
 range's first document is copied to the end of the range before, and one window runs inside each range.
@@ -21,116 +22,92 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import kit
 
-WIDTH, LEVELS, ROUNDS = 8, 10, 24
+WIDTH, LOAD, LEVELS, ROUNDS = 8, 8, 8, 24
 RANGE_ROWS, MOST_RANGES = 500, 100_000
-BREAKS = r"[\n.!?]+"
+BREAKS = r"\n|[.!?] (?=[A-H])"
 
 
-def digests(text: Column) -> Column:
-    """The different paragraphs' digests (d) and their hashes (h)."""
-    parts = F.filter(F.split(text, BREAKS), lambda p: F.trim(p) != "")
-    return F.transform(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.trim(p)))), lambda d: F.struct(d.alias("d"), F.xxhash64(d).alias("h")))
+NONE = "cast(array() as array<struct<n: int, k: bigint, h: bigint>>)"
 
+# Expressions are SQL text: each function below takes and gives the text of one.
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
 
+def digests(text: str) -> str:
+    """The different paragraphs' digests (d), their hashes (h), places in the three tables (p0, p1, p2) and bits that choose stripes (g, and u inside a stripe)."""
+    breaks = BREAKS.replace("\\", "\\\\")
+    parts = f"filter(transform(split({text}, '{breaks}'), p -> trim(p)), p -> p <> '')"
+    places = ", ".join(f"cast({_place('h', j)} as int) as p{j}" for j in range(3))
+    bits = "cast(shiftrightunsigned(h, 16) & 16777215L as int) as g, cast(shiftrightunsigned(h, 40) & 16777215L as int) as u"
+    hashed = _let("h", "xxhash64(d)", f"struct(d as d, h as h, {places}, {bits})")
+    return f"transform(array_distinct(transform({parts}, p -> xxhash64(p))), d -> {hashed})"
 
-def _place(h: Column, table: int) -> Column:
-    return F.shiftrightunsigned(h, 3 * table).bitwiseAND(F.lit(WIDTH - 1).cast("bigint"))
 
+def _let(name: str, value: str, then: str) -> str:
+    """then, in which `name` stands for value, evaluated once."""
+    return f"get(transform(array({value}), {name} -> {then}), 0)"
 
-def _cell(members: Column) -> Column:
-    """n, k, h: count, XOR of digests, XOR of hashes."""
-    zero = F.lit(0).cast("bigint")
-    return F.struct(
-        F.size(members).cast("bigint").alias("n"),
-        F.aggregate(members, zero, lambda a, x: a.bitwiseXOR(x["d"])).alias("k"),
-        F.aggregate(members, zero, lambda a, x: a.bitwiseXOR(x["h"])).alias("h"),
-    )
 
+def _place(h: str, table: int) -> str:
+    return f"(shiftrightunsigned({h}, {3 * table}) & {WIDTH - 1}L)"
 
-def sketch(members: Column) -> Column:
-    """The cells of one stripe: table by table."""
-    slots = F.array(*[F.lit(k).cast("bigint") for k in range(WIDTH)])
 
-    def table(j: int) -> Column:
-        return F.transform(slots, lambda s: _cell(F.filter(members, lambda x: _place(x["h"], j) == s)))
+def sketch(members: str) -> str:
+    """The cells of one stripe, table by table: n, k, h: count, XOR of digests, XOR of hashes."""
+    cell = "struct(size(m) as n, aggregate(m, 0L, (s, x) -> s ^ x.d) as k, aggregate(m, 0L, (s, x) -> s ^ x.h) as h)"
+    slots = "array(" + ", ".join(f"{k}" for k in range(WIDTH)) + ")"
+    tables = [f"transform({slots}, c -> {_let('m', f'filter({members}, x -> x.p{j} = c)', cell)})" for j in range(3)]
+    return f"concat({', '.join(tables)})"
 
-    return F.concat(*map(table, range(3)))
 
+def subtracted(a: str, b: str) -> str:
+    return f"zip_with({a}, {b}, (x, y) -> struct(x.n - y.n as n, x.k ^ y.k as k, x.h ^ y.h as h))"
 
-def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
 
-
-def peeled(cells: Column) -> Column:
+def peeled(cells: str) -> str:
     """cells, found: what stays in the cells, and the recovered digests (n is +1 or -1: their side)."""
-    none = F.expr("cast(array() as array<struct<n: bigint, k: bigint, h: bigint>>)")
-
-    def step(acc: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"]) == c["h"])))
-
-        def taken(p: Column) -> Column:
-            def cell(c: Column, i: Column) -> Column:
-                table = F.expr("0") + i
-                own = F.filter(p, lambda x: F.when(table < WIDTH, _place(x["h"], 0) == table).when(table < 2 * WIDTH, _place(x["h"], 1) + WIDTH == table).otherwise(_place(x["h"], 2) + 2 * WIDTH == table))
-                return F.aggregate(own, c, lambda a, x: F.struct((a["n"] - x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h")))
-
-            return F.when(F.size(p) == 0, acc).otherwise(F.struct(F.transform(acc["cells"], cell).alias("cells"), F.concat(acc["found"], p).alias("found")))
-
-        return _let(pure, taken)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), none.alias("found")), step)
+    pure = "array_distinct(filter(p.cells, c -> (c.n = 1 or c.n = -1) and xxhash64(c.k) = c.h))"
+    mine = f"case when i < {WIDTH} then {_place('x.h', 0)} = i when i < {2 * WIDTH} then {_place('x.h', 1)} = i - {WIDTH} else {_place('x.h', 2)} = i - {2 * WIDTH} end"
+    less = f"aggregate(filter(q, x -> {mine}), c, (s, x) -> struct(s.n - x.n as n, s.k ^ x.k as k, s.h ^ x.h as h))"
+    # An empty cell stays empty: no digest that is left lies in it.
+    step = f"if(size(q) = 0, struct(p.cells as cells, p.found as found, false as more), struct(transform(p.cells, (c, i) -> if(c.n = 0 and c.k = 0, c, {less})) as cells, concat(p.found, q) as found, true as more))"
+    return f"aggregate(sequence(1, {ROUNDS}), struct({cells} as cells, {NONE} as found, true as more), (p, r) -> if(p.more, {_let('q', pure, step)}, p))"
 
 
-def difference(a: Column, b: Column) -> Column:
-    """done, found: the digests (k) of only one side (n: +1 or -1), from the smallest sketch that peels. a, b: digests()."""
-    none = F.expr("cast(array() as array<struct<n: bigint, k: bigint, h: bigint>>)")
-    fresh = F.struct(F.lit(False).alias("done"), none.alias("found"))
+def difference(a: str, b: str, expected: float = 0.4) -> str:
+    """done, found: the digests (k) of only one side (n: +1 or -1), from the smallest sketch that peels. a, b: columns of digests(). expected: the share of them that may differ."""
+    # Stripes: about LOAD expected differing digests in each, and no fewer than the numbers' difference asks for.
+    guess = f"greatest((size({a}) + size({b})) * {expected / LOAD}D, abs(size({a}) - size({b})) / {2 * LOAD}D, 1D)"
+    mask = f"shiftleft(1, least(cast(ceil(log(2D, {guess})) as int), 20)) - 1"
 
-    def attempt(acc: Column, level: Column) -> Column:
-        mask = F.expr("0L") + F.pow(F.lit(4.0), level).cast("bigint") - 1  # stripes - 1
+    def own(sides: tuple[str, str], test: str) -> str:
+        return f"struct(filter({sides[0]}, x -> {test}) as a, filter({sides[1]}, x -> {test}) as b)"
 
-        def stripe(s: Column, t: Column) -> Column:
-            own = lambda side: F.filter(side, lambda x: F.shiftrightunsigned(x["h"], 16).bitwiseAND(mask) == t)
+    settled = "struct(forall(v.cells, c -> c.n = 0 and c.k = 0 and c.h = 0) as done, concat(y.found, v.found) as found)"
+    sub = _let("w", f"if(more = 0, o, {own(('o.a', 'o.b'), '(x.u & more) = e')})", _let("v", peeled(subtracted(sketch("w.a"), sketch("w.b"))), settled))
+    part = f"aggregate(sequence(0, more), struct(true as done, {NONE} as found), (y, e) -> if(y.done, {sub}, y))"
+    stripe = f"aggregate(sequence(0, {LEVELS - 1}), struct(false as done, {NONE} as found), (z, level) -> if(z.done, z, {_let('more', 'shiftleft(1, 2 * level) - 1', part)}))"
+    joined = _let("n", stripe, "struct(s.done and n.done as done, concat(s.found, n.found) as found)")
+    work = _let("o", own((a, b), "(x.g & mask) = t"), f"if(size(o.a) + size(o.b) = 0, s, {joined})")
+    return _let("mask", mask, f"aggregate(sequence(0, mask), struct(true as done, {NONE} as found), (s, t) -> {work})")
 
-            def settled(p: Column) -> Column:
-                empty = F.forall(p["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0))
-                return F.struct(empty.alias("done"), F.concat(s["found"], p["found"]).alias("found"))
 
-            # Cells can't hold more differing digests than they are: a difference in numbers alone may tell.
-            work = _let(F.struct(own(a).alias("a"), own(b).alias("b")), lambda w: F.when(F.abs(F.size(w["a"]) - F.size(w["b"])) > 3 * WIDTH, fresh).otherwise(_let(peeled(subtracted(sketch(w["a"]), sketch(w["b"]))), settled)))
-            return F.when(s["done"], work).otherwise(s)
-
-        hopeless = F.abs(F.size(a) - F.size(b)) > (mask + 1) * (3 * WIDTH)
-        start = F.struct(F.lit(True).alias("done"), none.alias("found"))
-        return F.when(acc["done"] | hopeless, acc).otherwise(F.aggregate(F.sequence(F.lit(0).cast("bigint"), mask), start, stripe))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), fresh, attempt)
-
-
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: str, b: str, expected: float = 0.4) -> str:
     """The Jaccard index of two sets of digests, from what their sketches' difference peels to."""
-    total = (F.size(a) + F.size(b)).cast("double")
-
-    def of(found: Column) -> Column:
-        d = F.when(found["done"], F.size(found["found"])).otherwise(F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
-        return F.when(total == 0, F.lit(1.0)).otherwise((total - d) / (total + d))
-
-    return _let(difference(a, b), of)
+    exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"  # never yet needed: all LEVELS sizes failed
+    of = f"if(f.done, size(f.found), {exact})"
+    total = f"(size({a}) + size({b}))"
+    ratio = _let("e", of, f"if({total} = 0, 1D, ({total} - e) / cast({total} + e as double))")
+    return _let("f", difference(a, b, expected), ratio)
 
 
-def as_text(cells: Column) -> Column:
-    """A stripe's cells as hexadecimal digits: count (2 digits and more), digests (16), hashes (16) of each."""
-    wide = lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))
-    return F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["n"]), F.lit(":"), wide(c["k"]), wide(c["h"]))), " ")
+def as_text(cells: str) -> str:
+    """A stripe's cells as hexadecimal digits: count, digests (16), hashes (16) of each."""
+    return f"array_join(transform({cells}, c -> concat(hex(c.n), ':', lower(lpad(hex(c.k), 16, '0')), lower(lpad(hex(c.h), 16, '0')))), ' ')"
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -162,12 +139,11 @@ def edited(docs: DataFrame) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = edited(kit.documents(spark, sf_dir))
-    rows = rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed"), digests(F.col("next_text")).alias("other"),
+    rows = rows.selectExpr(
+        "doc_id", "n_chars", "sha2(cast(edited as binary), 256) as edited_sha256",
+        digests("text") + " as own", digests("edited") + " as changed", digests("next_text") + " as other",
     )
-    own, changed, other = F.col("own"), F.col("changed"), F.col("other")
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(sketch(own)).alias("fingerprint"), as_text(sketch(changed)).alias("edited_fingerprint"),
-        likeness(own, changed).alias("near_edited"), likeness(own, other).alias("near_next"),
+    return rows.selectExpr(
+        "doc_id", "n_chars", "edited_sha256", as_text(sketch("own")) + " as fingerprint", as_text(sketch("changed")) + " as edited_fingerprint",
+        likeness("own", "changed") + " as near_edited", likeness("own", "other", 1.0) + " as near_next",
     )
