@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenframe.llm import fingerprint, language, lexicon, media, packing, quality, simhash, substring, toxicity
+from lumenframe.llm import fingerprint, language, lexicon, licences, media, packing, quality, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_document_fingerprints": fingerprint.op1,
+    "op2_license_scans": licences.op2,
     "op3_quality_crf": quality.op3,
     "op4_language_gru": language.op4,
     "op5_bpe_lexicon": lexicon.op5,
