@@ -81,6 +81,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
+def column_slices(column: pa.Array, most: int = 1 << 20) -> list[pa.Array]:
+    """A text column in parts of at most `most` bytes or one row."""
+    return [b.column("text") for b in slices(iter([batch(text=column)]), most=most)]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, and the offsets of its rows in them. Null is empty."""
     if column.null_count:

@@ -161,11 +161,13 @@ def fitted(rows: list[tuple[str, int]], steps: int = 120) -> Field:
     y = np.array([float(c) for _, c in rows])
     if not len(y) or y.min() == y.max():
         return Field(np.zeros((FEATURES, BINS - 1)), np.zeros((3, FEATURES, BINS)), np.zeros(3), np.zeros((2, 2)), (1.0, 0.0), float(y.mean()) if len(y) else 0.0)
-    column = pa.array([t or "" for t, _ in rows])
-    x, length, first = line_features(column)
+    parts = kit.column_slices(pa.array([t or "" for t, _ in rows]))
+    found = [line_features(c) for c in parts]
+    x, n = np.concatenate([f[0] for f in found]), np.concatenate([np.diff(f[2]) for f in found])
+    first = np.concatenate([[0], np.cumsum(n)])
     edges = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     f = Field(edges, np.zeros((3, FEATURES, BINS)), np.zeros(3), np.zeros((2, 2)), (1.0, 0.0))
-    cells, n = f.cells(x), np.diff(first)
+    cells = f.cells(x)
     label = np.repeat(y, n)
     head, tail = np.zeros(len(label), bool), np.zeros(len(label), bool)
     head[first[:-1]], tail[first[1:] - 1] = True, True
@@ -181,7 +183,7 @@ def fitted(rows: list[tuple[str, int]], steps: int = 120) -> Field:
         # The line before line i is cell row i - 1: its weight's gradient is that of line i.
         dw = np.stack([np.bincount(cells.ravel(), np.repeat(k, FEATURES), size) for k in (nxt, g, prev)]).reshape(f.w.shape)
         adam.step([dw + 1e-5 * f.w, np.array([g.sum(), g[head].sum(), g[tail].sum()]), (expected - inner) / len(label) + 1e-3 * f.trans])
-    f.scale = training.logistic(f.raw(column), y)
+    f.scale = training.logistic(np.concatenate([f.raw(c) for c in parts]), y)
     return f
 
 

@@ -69,7 +69,8 @@ def fitted(rows: list[tuple[str, int]], steps: int = 150, seed: int = 5) -> Mach
         share = y.mean() if len(y) else 0.0
         none.w0 = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         return none
-    ids, off = terms(pa.array([t or "" for t, _ in rows]))
+    found = [terms(c) for c in kit.column_slices(pa.array([t or "" for t, _ in rows]))]
+    ids, off = np.concatenate([i for i, _ in found]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in found]))])
     of = np.repeat(np.arange(len(y)), np.diff(off))
     # Terms whose presence tells the classes apart: a signed, smoothed likelihood-ratio statistic.
     n1, n0 = (y == 1).sum(), (y == 0).sum()
