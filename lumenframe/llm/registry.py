@@ -18,4 +18,4 @@ QUERIES: dict[str, Callable] = {
     "op9_packing": packing.op9,
     "op10_lossless_webp": media.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": substring.ORACLE_SQL}

@@ -247,3 +247,15 @@ def shortened(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their repeated passages. A text that loses nothing stays as it was; n_chars follows the text; a text left empty goes."""
     new = _with_ranges(docs, WINDOW).mapInArrow(_shortened(docs.columns), docs.schema)
     return new.where("text is null or text <> ''") if "text" in docs.columns else new
+
+
+#: op8 in DuckDB's SQL.
+ORACLE_SQL = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as ws from documents),
+words as (select doc_id, generate_subscripts(ws, 1) - 1 as pos, unnest(ws) as word from w),
+k as (select doc_id, pos, string_agg(word, ' ') over win as key, count(*) over win as n from words window win as (partition by doc_id order by pos rows between current row and 19 following)),
+r as (select doc_id, pos, row_number() over (partition by key order by doc_id, pos) as rn from k where n = 20),
+gone as (select distinct doc_id, pos + j as pos from r, range(0, 20) t(j) where rn > 1),
+kept as (select words.doc_id, count(*) as n, string_agg(word, ' ' order by words.pos) as t from words anti join gone using (doc_id, pos) group by words.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)
+"""

@@ -58,3 +58,13 @@ def test_small_slices_and_stage(spark, tmp_path, monkeypatch):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert substring.op8(spark, str(tmp_path)).collect() == []
+
+
+def test_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = c.execute(substring.ORACLE_SQL).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in substring.op8(spark, sf).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
