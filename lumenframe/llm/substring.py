@@ -251,7 +251,7 @@ def shortened(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: op8 in DuckDB's SQL.
 ORACLE_SQL = r"""
-with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as ws from documents),
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
 words as (select doc_id, generate_subscripts(ws, 1) - 1 as pos, unnest(ws) as word from w),
 k as (select doc_id, pos, string_agg(word, ' ') over win as key, count(*) over win as n from words window win as (partition by doc_id order by pos rows between current row and 19 following)),
 r as (select doc_id, pos, row_number() over (partition by key order by doc_id, pos) as rn from k where n = 20),
