@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import blocks as B
 from lumenframe.operators import colour as C
+from lumenframe.operators import entropy as E
 from lumenframe.operators import layers as L
 from lumenframe.operators import predict as P
 from lumenframe.operators import raster as R
@@ -16,6 +17,8 @@ from lumenframe.operators import segments as G
 from lumenframe.operators import stats as S
 from lumenframe.operators import tone as T
 from lumenframe.sources import fixtures as X
+from lumenframe.sources import pnm as N
+from lumenframe.streaming import incremental as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -228,3 +231,17 @@ _add("io23_box_split", lambda s, d: G.split(X.text_bytes(s, d), "doc_id", 1000).
      "select doc_id, seq, least(1000, octet_length(encode(coalesce(text, ''))) - seq * 1000) as n, md5(encode(coalesce(text, ''))[seq * 1000 + 1 : seq * 1000 + 1000]) as md5 from documents, range(0, greatest(octet_length(encode(coalesce(text, ''))) - 1, 0) // 1000 + 1) t(seq)")
 _add("io22_box_reassembly", lambda s, d: G.reassembled(G.split(X.text_bytes(s, d), "doc_id", 1000).repartition("seq"), "doc_id").select("doc_id", "n", F.md5("data").alias("md5")),
      "select doc_id, greatest(octet_length(encode(coalesce(text, ''))) - 1, 0) // 1000 + 1 as n, md5(coalesce(text, '')) as md5 from documents")
+
+# ---- files and entropy coding (images of 64 blocks, 8 in a row, a restart segment for each row)
+_coded = lambda s, d: E.encode(_quant(X.blocks(s, d)).selectExpr("block div 64 as image", "block % 64 div 8 as seg", "block % 64 as mcu", "q"))
+_files = lambda s, d: E.files(_coded(s, d), _D, 8, 8)
+_found = lambda s, d: E.decode(E.markers(_files(s, d))).selectExpr("image * 64 + mcu as block", "q")
+_add("e1_huffman_round_trip", lambda s, d: B.exploded(_found(s, d), "q").join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block"), f"with {', '.join(_SEG[:-1])} select block, k, v from q")
+_add("e2_file_to_samples", lambda s, d: B.exploded(B.idct(B.dequantized(_found(s, d), _D)), "v").join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block"), f"with {', '.join([X.BLOCK_SQL, _M, _u, _t, _d, _q, _deq, _i1, _i2])} select block, k, v from i2")
+_add("io13_marker_segments", lambda s, d: E.markers(_files(s, d)).groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "marker"))), lambda x: F.hex(x["marker"])), " ").alias("markers")),
+     "select vec_id // 64 as image, 'D8 DB C0 C4 C4 DD DA 0' || coalesce(string_agg(' D' || ((vec_id % 64 // 8 - 1) % 8), '' order by vec_id) filter (where vec_id % 8 = 0 and vec_id % 64 > 0), '') || ' D9' as markers from embeddings group by 1")
+_add("io14_frame_information", lambda s, d: E.information(E.markers(_files(s, d))), "select vec_id // 64 as image, least(8, count(*)) * 8 as width, (count(*) + 7) // 8 * 8 as height, 8 as precision, 1 as components from embeddings group by 1")
+_add("e1_coded_size", lambda s, d: _coded(s, d).groupBy("image").agg(F.sum(F.octet_length("data")).alias("bytes")))
+_add("io1_pnm_round_trip", lambda s, d: N.read(N.written(X.raster(s, d).join(X.raster(s, d).groupBy("y").agg(F.count(F.lit(1)).alias("n")).where("n = 64"), "y"))),
+     f"with {X.RASTER_SQL} select y, x, r, g, b from raster where y in (select y from raster group by y having count(*) = 64)")
+_add("st1_incremental_segments", lambda s, d: I.run_available(s, f"{d}/embeddings.parquet*", 8), "select vec_id // 8 as seg, count(*) as n, count(*) = 8 as complete from embeddings group by 1")

@@ -4,9 +4,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from lumenframe.operators import blocks, predict, raster, segments, stats, tone
+from lumenframe.operators import blocks, entropy, predict, raster, segments, stats, tone
 from lumenframe.plans import registry
-from lumenframe.sources import fixtures
+from lumenframe.sources import fixtures, pnm
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +72,35 @@ def test_entry(spark):
 def test_pushdown(spark):
     plan = raster.region(fixtures.raster(spark, SF), 10, 5, 40, 30, "r")._jdf.queryExecution().toString()
     assert "user_id" not in plan.split("ReadSchema")[1]
+
+
+def test_entropy_coding():
+    rng = np.random.default_rng(1)
+    q = [[int(v) for v in np.where(rng.random(64) < p, rng.integers(-900, 900, 64), 0)] for p in (0, 0.02, 0.1, 0.5, 1)]
+    data = entropy.encoded_segment(q)
+    assert entropy.decoded_segment(data, 5) == q and b"\xff" not in data.replace(b"\xff\x00", b"")
+    assert entropy.decoded_segment(data[:9], 5)[-1] == [0] * 64  # broken data: zero blocks
+    assert len(entropy.ac_symbols()) == 162 == sum(entropy.AC_BITS)
+
+
+def test_marker_parsing():
+    file = entropy.header(16, 8, [1] * 64, 1) + b"ab\xff\x00c" + b"\xff\xd0" + b"de" + b"\xff\xd9"
+    got = entropy.parsed(file)
+    assert [m for m, _ in got] == [0xD8, 0xDB, 0xC0, 0xC4, 0xC4, 0xDD, 0xDA, 0, 0xD0, 0xD9]
+    assert got[7][1] == b"ab\xff\x00c" and got[8][1] == b"de"
+    with pytest.raises(ValueError):
+        entropy.parsed(b"nonsense")
+
+
+def test_broken_files_are_rows(spark):
+    df = spark.createDataFrame([(1, b"nonsense"), (2, None)], "image long, file binary")
+    assert {(r.image, r.marker) for r in entropy.markers(df).collect()} == {(1, -1), (2, -1)}
+
+
+@pytest.mark.parametrize("kind", ["u1", "u2", "f4"])
+@pytest.mark.parametrize("n", [1, 3])
+def test_pnm(kind, n):
+    v = (np.random.default_rng(2).random((5, 7, n)) * 60_000).astype(kind)
+    w, h, got = pnm.parse(pnm.build(v, 65535 if kind == "u2" else 255))
+    assert (w, h) == (7, 5) and (got == v).all()
+    assert pnm.parse(b"P5 # note\n2 1\n# more\n255\n\x01\x02")[2].ravel().tolist() == [1, 2]
