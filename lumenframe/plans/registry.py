@@ -11,6 +11,7 @@ from lumenframe.operators import blocks as B
 from lumenframe.operators import colour as C
 from lumenframe.operators import entropy as E
 from lumenframe.operators import layers as L
+from lumenframe.operators import nearlossless as NL
 from lumenframe.operators import predict as P
 from lumenframe.operators import raster as R
 from lumenframe.operators import segments as G
@@ -245,3 +246,10 @@ _add("e1_coded_size", lambda s, d: _coded(s, d).groupBy("image").agg(F.sum(F.oct
 _add("io1_pnm_round_trip", lambda s, d: N.read(N.written(X.raster(s, d).join(X.raster(s, d).groupBy("y").agg(F.count(F.lit(1)).alias("n")).where("n = 64"), "y"))),
      f"with {X.RASTER_SQL} select y, x, r, g, b from raster where y in (select y from raster group by y having count(*) = 64)")
 _add("st1_incremental_segments", lambda s, d: I.run_available(s, f"{d}/embeddings.parquet*", 8), "select vec_id // 8 as seg, count(*) as n, count(*) = 8 as complete from embeddings group by 1")
+_full = lambda s, d: X.raster(s, d).join(X.raster(s, d).groupBy("y").agg(F.count(F.lit(1)).alias("n")).where("n = 64"), "y")
+_FULL_SQL = f"with {X.RASTER_SQL}, fl as (select * from raster where y in (select y from raster group by y having count(*) = 64))"
+_add("e11_ls_lossless_round_trip", lambda s, d: NL.round_trip(_full(s, d)).select("y", "x", "v"), f"{_FULL_SQL} select y, x, r as v from fl")
+_add("e11_ls_near_lossless_error", lambda s, d: NL.round_trip(_full(s, d), near=3).join(X.raster(s, d), ["y", "x"]).agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("v") - F.col("r"))) <= 3).alias("bounded")),
+     f"{_FULL_SQL} select count(*) as n, true as bounded from fl")
+_add("w13_default_thresholds", lambda s, d: s.createDataFrame([(b, n, *P.thresholds(b, n)) for b in range(8, 13) for n in (0, 2)], "bits bigint, near bigint, t1 bigint, t2 bigint, t3 bigint"),
+     "with f as (select b as bits, n as near, (least((1 << b) - 1, 4095) + 128) >> 8 as f from range(8, 13) t(b), (values (0), (2)) u(n)) select bits, near, f + 2 + 3 * near as t1, 4 * f + 3 + 5 * near as t2, 17 * f + 4 + 7 * near as t3 from f")

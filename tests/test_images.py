@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lumenframe.operators import blocks, entropy, predict, raster, segments, stats, tone
+from lumenframe.operators import blocks, entropy, nearlossless, predict, raster, segments, stats, tone
 from lumenframe.plans import registry
 from lumenframe.sources import fixtures, pnm
 
@@ -104,3 +104,13 @@ def test_pnm(kind, n):
     w, h, got = pnm.parse(pnm.build(v, 65535 if kind == "u2" else 255))
     assert (w, h) == (7, 5) and (got == v).all()
     assert pnm.parse(b"P5 # note\n2 1\n# more\n255\n\x01\x02")[2].ravel().tolist() == [1, 2]
+
+
+@pytest.mark.parametrize("near", [0, 1, 3])
+def test_near_lossless(near):
+    r = np.random.default_rng(1)
+    for v in (r.integers(0, 256, (20, 33)), np.cumsum(r.integers(-2, 3, (20, 33)), 1) % 256, np.repeat(r.integers(0, 3, (20, 11)), 3, 1), np.zeros((9, 70), int), np.array([[7]])):
+        data = nearlossless.encoded(v.tolist(), near=near)
+        got = np.array(nearlossless.decoded(data, v.shape[1], v.shape[0], near=near))
+        assert np.abs(got - v).max() <= near
+    assert len(nearlossless.encoded([[0] * 70] * 9)) < 10  # runs
