@@ -16,12 +16,12 @@ FORWARD = [
 INVERSE = [[to_fix(1.0), 0, to_fix(1.402)], [to_fix(1.0), -to_fix(0.3441362861), -to_fix(0.7141362859)], [to_fix(1.0), to_fix(1.772), 0]]
 
 
-def rgb_to_ycbcr(px: DataFrame, bits: int = 8) -> DataFrame:
+def rgb_to_ycbcr(px: DataFrame, bits: int = 8, more: tuple[str, ...] = ()) -> DataFrame:
     """r, g, b to y, cb, cr with COLOUR_BITS fractional bits; chroma is offset to the middle, all are clipped."""
     high, shift = ((1 << bits) << COLOUR_BITS) - 1, FIX_BITS - COLOUR_BITS
     offset = [0, 1 << (bits - 1) << FIX_BITS, 1 << (bits - 1) << FIX_BITS]
     out = [clamp(rounded_shift(f"{dot(['r', 'g', 'b'], row)} + {o}L", shift), high) for row, o in zip(FORWARD, offset, strict=True)]
-    return px.selectExpr("y as py", "x as px", *[f"{e} as {n}" for e, n in zip(out, ("y", "cb", "cr"), strict=True)])
+    return px.selectExpr("y as py", "x as px", *[f"{e} as {n}" for e, n in zip(out, ("y", "cb", "cr"), strict=True)], *more)
 
 
 def ycbcr_to_rgb(px: DataFrame, bits: int = 8) -> DataFrame:
@@ -78,3 +78,8 @@ def half_to_double(pattern: str) -> str:
 def sign_magnitude(x: str) -> str:
     """A half's bit pattern as a number that grows with its value: negative patterns are complemented."""
     return f"case when ({x} & 32768) <> 0 then -({x} & 32767) - 1 else {x} end"
+
+
+def four_components(px: DataFrame) -> DataFrame:
+    """Three components through rgb_to_ycbcr, the fourth untransformed with COLOUR_BITS fractional bits."""
+    return rgb_to_ycbcr(px, more=(f"k * {1 << COLOUR_BITS}L as k",))

@@ -79,3 +79,13 @@ def upsampled_columns(px: DataFrame, factor: int, column: str = "r") -> DataFram
     left, right = "shiftright(l + 3 * c + 2, 2)", "shiftright(r + 3 * c + 1, 2)"
     rules = {2: [left, right], 3: [left, "c", right], 4: ["shiftright(3 * l + 5 * c + 2, 3)", "shiftright(l + 7 * c + 1, 3)", "shiftright(r + 7 * c + 2, 3)", "shiftright(3 * r + 5 * c + 1, 3)"]}[factor]
     return near.selectExpr("x", "y", f"posexplode(array({', '.join(rules)})) as (k, v)").selectExpr("y", f"x * {factor} + k as x", "v")
+
+
+def smoothed_half(px: DataFrame, column: str = "r") -> DataFrame:
+    """y, x, v: half size by the kernel (1, 3, 3, 1) in both directions, edges replicated, divided toward zero."""
+    row = Window.partitionBy("y").orderBy("x")
+    pair = px.select("y", "x", F.col(column).alias("c0"), F.lead(column).over(row).alias("c1"), F.lag(column).over(row).alias("l"), F.lead(column, 2).over(row).alias("r")).where("x % 2 = 0")
+    across = pair.selectExpr("y", "x div 2 as x", "shiftright(coalesce(l, c0) + 3 * c0 + 3 * coalesce(c1, c0) + coalesce(r, c1, c0) + 2, 2) as h")
+    col = Window.partitionBy("x").orderBy("y")
+    lines = across.select("y", "x", "h", F.lag("h").over(col).alias("above"), F.lead("h").over(col).alias("next"), F.lead("h", 2).over(col).alias("below")).where("y % 2 = 0")
+    return lines.selectExpr("y div 2 as y", "x", "(coalesce(above, h) + 3 * h + 3 * coalesce(next, h) + coalesce(below, next, h)) div 16 as v")

@@ -57,3 +57,14 @@ def default_script(components: int = 3) -> list[tuple[tuple[int, ...], int, int,
     every, colour = tuple(range(components)), range(1, components)
     first = [(every, 0, 0, 0, 1), ((0,), 1, 5, 0, 2), *[((c,), 1, 63, 0, 1) for c in colour], ((0,), 6, 63, 0, 2), ((0,), 1, 63, 2, 1)]
     return first + [(every, 0, 0, 1, 0), *[((c,), 1, 63, 1, 0) for c in (*colour, 0)]]
+
+
+def brands(boxes: DataFrame, wanted: str) -> DataFrame:
+    """doc_id, brand, compatible: the major brand of a file type box (4 bytes, then compatible brands of 4 bytes each), and whether it or the list has `wanted`."""
+    each = "transform(sequence(0, greatest(octet_length(data) div 4 - 1, 0)), k -> decode(substring(data, 4 * k + 1, 4), 'ISO-8859-1'))"
+    return boxes.selectExpr("doc_id", f"{each} as b").selectExpr("doc_id", "get(b, 0) as brand", f"array_contains(b, '{wanted}') as compatible")
+
+
+def sequential_script(components: int) -> list[tuple[int, ...]]:
+    """Scans of at most four components each."""
+    return [tuple(range(k, min(k + 4, components))) for k in range(0, components, 4)]

@@ -253,3 +253,15 @@ _add("e11_ls_near_lossless_error", lambda s, d: NL.round_trip(_full(s, d), near=
      f"{_FULL_SQL} select count(*) as n, true as bounded from fl")
 _add("w13_default_thresholds", lambda s, d: s.createDataFrame([(b, n, *P.thresholds(b, n)) for b in range(8, 13) for n in (0, 2)], "bits bigint, near bigint, t1 bigint, t2 bigint, t3 bigint"),
      "with f as (select b as bits, n as near, (least((1 << b) - 1, 4095) + 128) >> 8 as f from range(8, 13) t(b), (values (0), (2)) u(n)) select bits, near, f + 2 + 3 * near as t1, 4 * f + 3 + 5 * near as t2, 17 * f + 4 + 7 * near as t3 from f")
+_hh = "hh as (select y, x // 2 as x, (coalesce(l, c0) + 3 * c0 + 3 * coalesce(c1, c0) + coalesce(r2, c1, c0) + 2) >> 2 as h from (select y, x, r as c0, lead(r) over w as c1, lag(r) over w as l, lead(r, 2) over w as r2 from raster window w as (partition by y order by x)) where x % 2 = 0)"
+_vv = "vv as (select y, x, h, lag(h) over w as a, lead(h) over w as n, lead(h, 2) over w as b from hh window w as (partition by x order by y))"
+_raster("r2_smoothed_half", R.smoothed_half, "select y // 2 as y, x, (2 * (h + coalesce(n, h)) + (coalesce(a, h) + h) + (coalesce(n, h) + coalesce(b, n, h))) // 16 as v from vv where y % 2 = 0", _hh, _vv)
+_raster("c11_four_components", lambda px: C.four_components(px.withColumn("k", F.expr("(r + b) % 256"))), f"select y as py, x as px, {_y[0]} as y, {_y[1]} as cb, {_y[2]} as cr, (r + b) % 256 * 16 as k from raster")
+_raster("c8_inverse_matrix", lambda px: C.freeform(px, [[round(c, 4) for c in row] for row in C.inverted([[2, 0, 0], [0, 4, 0], [1, 0, 1]])]),
+        "select y as py, x as px, (r * 4096 + 4096) >> 13 as c0, (g * 2048 + 4096) >> 13 as c1, (r * -4096 + b * 8192 + 4096) >> 13 as c2 from raster")
+_add("io25_brands", lambda s, d: G.brands(X.table(s, d, "documents").selectExpr("doc_id", "cast(concat('jpx ', lang, '  ', 'abcd') as binary) as data"), "en  "),
+     "select doc_id, 'jpx ' as brand, coalesce(lang = 'en', false) as compatible from documents")
+_add("q3_residual_scale", lambda s, d: s.createDataFrame([(q, k, x) for q in (1, 50, 75, 100) for k, x in enumerate(B.scaled(B.LUMINANCE, q, residual_double=True))], "quality bigint, k bigint, delta bigint"),
+     f"with {_values('l', 'k, t', enumerate(B.LUMINANCE))} select q as quality, k, 2 * least(255, greatest(1, (t * (case when q < 50 then 5000 // q else 200 - 2 * q end) + 50) // 100)) as delta from l, (values (1), (50), (75), (100)) u(q)")
+_script5 = [(k, c) for k, cs in enumerate(G.sequential_script(10)) for c in cs]
+_add("o5_sequential_script", lambda s, d: s.createDataFrame(_script5, "scan bigint, comp bigint"), "select c // 4 as scan, c as comp from range(0, 10) t(c)")
