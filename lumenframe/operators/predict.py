@@ -34,6 +34,25 @@ def restored_left(e: DataFrame, bits: int = 8) -> DataFrame:
     return e.join(first, "y").selectExpr("y", "x", "(start + sum(if(x = 0, 0L, e)) over (partition by y order by x)) & 65535L as v")
 
 
+def restored_top(e: DataFrame, bits: int = 8) -> DataFrame:
+    """The samples of mode 2 errors: sums along the first row, then down each column, modulo 2**16."""
+    first = e.where("y = 0").selectExpr("x", f"sum(e) over (order by x) + {1 << (bits - 1)}L as start")
+    return e.join(first, "x").selectExpr("y", "x", "(start + sum(if(y = 0, 0L, e)) over (partition by x order by y)) & 65535L as v")
+
+
+def restored_corner(e: DataFrame, bits: int = 8) -> DataFrame:
+    """The samples of mode 3 errors: the first row and column by sums, then sums along each diagonal from there."""
+    row = e.where("y = 0").selectExpr("x - y as down", f"sum(e) over (order by x) + {1 << (bits - 1)}L as start")
+    column = e.where("x = 0").selectExpr("y", "x - y as down", f"sum(e) over (order by y) + {1 << (bits - 1)}L as start").where("y > 0").select("down", "start")
+    return e.selectExpr("*", "x - y as down").join(row.unionByName(column), "down").selectExpr("y", "x", "(start + sum(if(x = 0 or y = 0, 0L, e)) over (partition by down order by y)) & 65535L as v")
+
+
+def restored_linear(e: DataFrame, bits: int = 8) -> DataFrame:
+    """The samples of mode 4 errors: sums along rows, then down columns, modulo 2**16."""
+    rows = e.selectExpr("y", "x", "sum(e) over (partition by y order by x) as s")
+    return rows.selectExpr("y", "x", f"({1 << (bits - 1)}L + sum(s) over (partition by x order by y)) & 65535L as v")
+
+
 def dpcm(segments: DataFrame) -> DataFrame:
     """seg, mcu, diff: DC differences; prediction starts anew in each restart segment."""
     w = Window.partitionBy("seg").orderBy("mcu")

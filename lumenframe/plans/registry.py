@@ -150,6 +150,8 @@ _rule = {1: "a", 2: "b", 3: "c", 4: "a + b - c", 5: "a + ((b - c) >> 1)", 6: "b
 for _mode, _p in _rule.items():
     _raster(f"w2_predictor_{_mode}", lambda px, k=_mode: P.residuals(px, k), f"select y, x, v - (case when x = 0 and y = 0 then 128 when y = 0 then a when x = 0 then b else {_p} end) as e from nb", _NB)
 _raster("w2_predictor_1_inverse", lambda px: P.restored_left(P.residuals(px, 1)), "select y, x, r as v from raster")
+for _mode, _back in ((2, P.restored_top), (3, P.restored_corner), (4, P.restored_linear)):
+    _raster(f"w2_predictor_{_mode}_inverse", lambda px, k=_mode, f=_back: f(P.residuals(px, k)), "select y, x, r as v from raster")
 _raster("w5_point_shift", lambda px: P.residuals(px, 2, shift=2), "select y, x, v - (case when x = 0 and y = 0 then 32 when y = 0 then a when x = 0 then b else b end) as e from nb",
         "nb as (select y, x, r >> 2 as v, lag(r >> 2) over (partition by y order by x) as a, lag(r >> 2) over (partition by x order by y) as b from raster)")
 _raster("w4_wrap", lambda px: px.selectExpr("y", "x", f"{C.rounded_shift('0L', 0)} as z", f"{P.signed16('r * 700 - g * 500')} as w"), "select y, x, 0 as z, ((r * 700 - g * 500 + 32768) & 65535) - 32768 as w from raster")
