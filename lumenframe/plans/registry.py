@@ -11,6 +11,7 @@ from lumenframe.operators import blocks as B
 from lumenframe.operators import colour as C
 from lumenframe.operators import entropy as E
 from lumenframe.operators import layers as L
+from lumenframe.operators import lifting as LI
 from lumenframe.operators import nearlossless as NL
 from lumenframe.operators import predict as P
 from lumenframe.operators import raster as R
@@ -267,3 +268,5 @@ _add("q3_residual_scale", lambda s, d: s.createDataFrame([(q, k, x) for q in (1,
      f"with {_values('l', 'k, t', enumerate(B.LUMINANCE))} select q as quality, k, 2 * least(255, greatest(1, (t * (case when q < 50 then 5000 // q else 200 - 2 * q end) + 50) // 100)) as delta from l, (values (1), (50), (75), (100)) u(q)")
 _script5 = [(k, c) for k, cs in enumerate(G.sequential_script(10)) for c in cs]
 _add("o5_sequential_script", lambda s, d: s.createDataFrame(_script5, "scan bigint, comp bigint"), "select c // 4 as scan, c as comp from range(0, 10) t(c)")
+_add("d3_lifting_transform", lambda s, d: B.exploded(LI.transformed(X.blocks(s, d)), "c"))
+_blocks("d4_lifting_round_trip", lambda b: B.exploded(LI.restored(LI.transformed(b)), "v"), "select block, k, v from block64")

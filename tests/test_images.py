@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lumenframe.operators import blocks, entropy, nearlossless, predict, raster, segments, stats, tone
+from lumenframe.operators import blocks, entropy, lifting, nearlossless, predict, raster, segments, stats, tone
 from lumenframe.plans import registry
 from lumenframe.sources import fixtures, pnm
 
@@ -114,3 +114,13 @@ def test_near_lossless(near):
         got = np.array(nearlossless.decoded(data, v.shape[1], v.shape[0], near=near))
         assert np.abs(got - v).max() <= near
     assert len(nearlossless.encoded([[0] * 70] * 9)) < 10  # runs
+
+
+def test_lifting():
+    r = np.random.default_rng(3)
+    v = r.integers(-5000, 5000, (200, 8, 8))
+    assert (lifting.inverse_block(lifting.forward_block(v)) == v).all()
+    exact = np.array([[np.cos((2 * i + 1) * k * np.pi / 16) * (np.sqrt(0.5) if k == 0 else 1) / 2 for i in range(8)] for k in range(8)])
+    v = r.integers(0, 256, (200, 8, 8))
+    c = lifting.forward_block(v, level=0)
+    assert np.abs(c - exact @ v @ exact.T).max() < 6  # near the real transform
