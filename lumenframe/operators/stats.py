@@ -19,9 +19,10 @@ def dc_histogram(diffs: DataFrame) -> DataFrame:
 
 def ac_symbols(q: DataFrame, order: list[int]) -> DataFrame:
     """block, symbol: run/size symbols of each block's AC coefficients in scan order: runs of 16 zeros (0xF0) and the end of block (0x00) included. q: block, q (array)."""
-    scan = "transform(array(" + ", ".join(f"{k}" for k in order[1:]) + "), k -> get(q, k))"
+    # Arrays that a lambda looks into are bound first: an inlined one would be computed for each element.
+    scan = "get(transform(array(q), w -> transform(array(" + ", ".join(f"{k}" for k in order[1:]) + "), k -> get(w, k))), 0)"
     s = q.selectExpr("block", f"{scan} as s").selectExpr("block", "filter(transform(s, (v, i) -> struct(i as i, v as v)), x -> x.v <> 0) as nz")
-    runs = "transform(nz, (x, k) -> struct(x.i - if(k = 0, 0, get(nz, k - 1).i + 1) as run, x.v as v))"
+    runs = "get(transform(array(nz), z -> transform(z, (x, k) -> struct(x.i - if(k = 0, 0, get(z, k - 1).i + 1) as run, x.v as v))), 0)"
     s = s.selectExpr("block", f"{runs} as r", "if(size(nz) = 0 or element_at(nz, -1).i < 62, array(0L), cast(array() as array<bigint>)) as eob")
     symbols = f"flatten(transform(r, x -> concat(array_repeat(240L, cast(x.run div 16 as int)), array(cast(x.run % 16 * 16 + {category('x.v')} as bigint)))))"
     return s.selectExpr("block", f"explode(concat({symbols}, eob)) as symbol")
