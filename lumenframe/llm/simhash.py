@@ -11,7 +11,8 @@ count of differing bits where the halves differ, and drops the pair once the cou
 whose leaves are all of one component already is dropped too, so a dense cloud of near copies costs no pair for each
 pair of its members. A group sends out at most one link for each of its members. A group of over `group_rows`
 fingerprints is split again in the same way: on the bits outside its mask, two linked members agree in one of five
-further blocks. Nothing is capped.
+further blocks. After `SPLITS` levels a group is solved whole, whatever its size: a level more would copy each of its
+rows five times, and the trie takes a dense cloud as it is. Nothing is capped.
 
 The links of all groups meet in a large-star/small-star connected-components loop over DataFrames, cut by written
 tables.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import kit
 
-WORDS, SEED, BUDGET, GROUP_ROWS = 4, 42, 4, 4096
+WORDS, SEED, BUDGET, GROUP_ROWS, SPLITS = 4, 42, 4, 4096, 4
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FULL = 2**64 - 1
 
@@ -191,7 +192,7 @@ def links(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) ->
     """Links (u, v) of distinct fingerprints (column fp) that together have the components of all links."""
     level, masks, out = fps.select("fp"), [0], None
     grouped = level.select(F.lit(0).cast("bigint").alias("mask"), F.lit(0).cast("bigint").alias("value"), "fp")
-    for _ in range(4):
+    for depth in range(1, SPLITS + 1):
         children = {m: [m | x for x in _blocks(m, budget + 1) if x] for m in masks}
         options = F.create_map(*[x for m, c in children.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in c]))])
         grouped = kit.written(
@@ -201,14 +202,13 @@ def links(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) ->
         sizes = grouped.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
         hot = kit.written(sizes.where(F.col("n") > group_rows).select("mask", "value"), "simhash-hot")
         masks = sorted({y for c in children.values() for y in c})
-        more = not hot.isEmpty() and all(len(_blocks(m, 1)[0:1]) and bin(FULL ^ m).count("1") > 2 * (budget + 1) for m in masks)
+        more = depth < SPLITS and not hot.isEmpty() and all(len(_blocks(m, 1)[0:1]) and bin(FULL ^ m).count("1") > 2 * (budget + 1) for m in masks)
         ready = grouped.join(hot, ["mask", "value"], "left_anti") if more else grouped
         found = ready.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(_grouped(budget), "u bigint, v bigint")
         out = found if out is None else out.unionByName(found)
         if not more:
             return out
         grouped = grouped.join(hot, ["mask", "value"], "left_semi")
-    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -66,3 +66,14 @@ def test_trie(n, flips):
             break
         label = new
     assert (simhash.trie_components(a) == label).all()
+
+
+def test_groups_hot_at_the_last_level(spark):
+    """A dense cloud that is still over group_rows after the last split is linked like any other."""
+    rng = np.random.default_rng(5)
+    flips = np.array([np.uint64(1 << i | 1 << j) for i in range(64) for j in range(i + 1)], np.uint64)
+    fps = np.unique(np.uint64(0x0123456789ABCDEF) ^ rng.choice(flips, 300, replace=False))
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), group_rows=3).collect()
+    at = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    label = simhash.united(np.arange(len(fps)), np.array([at[r.u] for r in found]), np.array([at[r.v] for r in found]))
+    assert (label == simhash.trie_components(fps)).all() and (label == 0).all()
