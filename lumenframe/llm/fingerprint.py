@@ -1,14 +1,15 @@
 """Document fingerprints by invertible Bloom lookup sketches, in SQL functions alone.
 
-A text's paragraphs have 64-bit digests; repeated ones count once. They end at line breaks and, in long lines, at
-those sentence ends that a capital from A to H follows, a rule that looks only at the text around it. A sketch has `3
-* WIDTH` cells in three tables; a digest goes into one cell of each, as a count, an XOR of digests and an XOR of the
-digests' own hashes. Two sketches subtract cell by cell, which leaves the digests of only one of them. Peeling then
-finds cells that hold a single digest (count +-1 and a matching hash), takes this digest out of its other cells, and
-goes on until all cells are empty: the differing digests are recovered, with their sides. A sketch of many digests is
-a row of stripes of `3 * WIDTH` cells, chosen by further bits of the hash, as many as the share of digests that is
-expected to differ asks for; so its cost grows with the number of paragraphs rather than with its square. A stripe
-whose cells stay full is sketched again four times as large, and so on. With D differing digests of n and m, likeness
+A text's paragraphs have 64-bit digests; repeated ones count once. They end at line breaks and at sentence ends of any
+script, a rule that looks only at the text around it; a full stop that a lower-case letter follows, as after an
+abbreviation, ends none. A sketch has `3 * WIDTH` cells in three tables; a digest goes into one cell of each, as a
+count, an XOR of digests and an XOR of the digests' own hashes. Two sketches subtract cell by cell, which leaves the
+digests of only one of them. Peeling then finds cells that hold a single digest (count +-1 and a matching hash), takes
+this digest out of its other cells, and goes on until all cells are empty: the differing digests are recovered, with
+their sides. A sketch of many digests is a row of stripes of `3 * WIDTH` cells, chosen by further bits of the hash, as
+many as the share of digests that is expected to differ asks for; so its cost grows with the number of paragraphs
+rather than with its square. A stripe whose cells stay full is sketched again four times as large, and so on. With D
+differing digests of n and m, likeness
 is (n + m - D) / (n + m + D), the Jaccard index of the sets.
 
 `with_next` gives each document the next one in descending doc_id without a global sort: ids are cut into ranges, a
@@ -29,7 +30,8 @@ from lumenframe.llm import kit
 
 WIDTH, LOAD, LEVELS, ROUNDS = 8, 8, 8, 24
 RANGE_ROWS, MOST_RANGES = 500, 100_000
-BREAKS = r"\n|[.!?] (?=[A-H])"
+# Mark, closing quotes, spaces, then a capital, an uncased letter, a digit or an opening mark; or a full-width or danda mark.
+BREAKS = r"\n|[.!?…][\x22\x27\p{Pe}\p{Pf}]* +(?=[\p{Lu}\p{Lt}\p{Lo}\p{N}\p{Ps}\p{Pi}\x22\x27¿¡])|[。！？।؟۔] *"
 
 
 NONE = "cast(array() as array<struct<n: int, k: bigint, h: bigint>>)"

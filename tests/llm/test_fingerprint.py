@@ -60,3 +60,17 @@ def test_peeling_recovers_sides(spark):
     want = {p: spark.range(1).select(F.xxhash64(F.lit(p))).first()[0] for p in ("left one", "left two", "right")}
     r = df.selectExpr(fingerprint.difference("a", "b") + " as d").first().d
     assert r.done and {(x.k, x.n) for x in r.found} == {(want["left one"], 1), (want["left two"], 1), (want["right"], -1)}
+
+
+@pytest.mark.parametrize("ends,n", [("It is so. Then it was. You know", 3), ("Так было. Это всё. Ещё раз", 3), ("Ça va! Été. Où?  Ôtez", 4), ("这是。那是！好", 3), ("यह है। वह है", 2), ('He said "no." Then 5 left. (Who?) 7', 4), ("e.g. this, i.e. that", 1)])
+def test_sentence_ends(spark, ends, n):
+    df = spark.createDataFrame([(ends,)], "t string")
+    assert len(df.selectExpr(fingerprint.digests("t") + " as d").first().d) == n
+
+
+def test_long_line_beyond_h(spark, tmp_path):
+    """Two thirds of a line whose sentences begin with I to Z stay the same: near_edited is not 0."""
+    line = " ".join(f"The {i} is one." for i in range(60))
+    spark.createDataFrame([(1, line), (2, "x" * 900)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.near_edited for r in fingerprint.op1(spark, str(tmp_path)).collect()}
+    assert got[1] > 0.5
