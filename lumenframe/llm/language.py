@@ -6,8 +6,9 @@ rational functions x / (1 + |x|) and its shift to (0, 1) stand for tanh and the
 
 To run as arrays, a text is cut into windows of CORE bytes that are read together with CONTEXT bytes on either side,
 from which only states are taken; every position of the whole text is labelled once. Trained on the driver in numpy by
-backpropagation through time (Adam) on windows of a bounded sample of documents with a language
-(training.ROWS_PER_CLASS for each). The model is a few KB. Texts are scored where they are read: no shuffle.
+backpropagation through time (Adam) on windows of a bounded sample of documents with a language (800 at most for each
+of the MOST_LANGUAGES most frequent languages; a rarer one is never predicted). The model is a few KB. Texts are
+scored where they are read: no shuffle.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Repeated rows keep a row each. Extra
 columns are ignored. Without a learned language every text is `und`. An empty table gives an empty result.
