@@ -2,34 +2,43 @@
 
 A text's paragraphs have 64-bit digests; repeated ones count once. They end at line breaks and at sentence ends of any
 script, a rule that looks only at the text around it; a full stop that a lower-case letter follows, as after an
-abbreviation, ends none. A sketch has `3 * WIDTH` cells in three tables; a digest goes into one cell of each, as a
-count, an XOR of digests and an XOR of the digests' own hashes. Two sketches subtract cell by cell, which leaves the
-digests of only one of them. Peeling then finds cells that hold a single digest (count +-1 and a matching hash), takes
-this digest out of its other cells, and goes on until all cells are empty: the differing digests are recovered, with
-their sides. A sketch of many digests is a row of stripes of `3 * WIDTH` cells, chosen by further bits of the hash, as
-many as the share of digests that is expected to differ asks for; so its cost grows with the number of paragraphs
-rather than with its square. A stripe whose cells stay full is sketched again four times as large, and so on. With D
-differing digests of n and m, likeness
-is (n + m - D) / (n + m + D), the Jaccard index of the sets.
-
-`with_next` gives each document the next one in descending doc_id without a global sort: ids are cut into ranges, a
-range's first document is copied to the end of the range before, and one window runs inside each range.
+abbreviation, ends none. A sketch has three tables of cells; a digest goes into one cell of each, as a count, an XOR of
+digests and an XOR of the digests' own hashes. Two sketches of one size subtract cell by cell, which leaves the digests
+of only one of them. Peeling then finds cells that hold a single digest (count +-1 and a matching hash), takes this
+digest out of its other cells, and goes on until all cells are empty: the differing digests are recovered, with their
+sides.
+
+A fingerprint is the number of its digests and a row of stripes, one sketch each, chosen by bits of the digest; there
+is about one stripe for LOAD digests, so cost grows with the number of paragraphs rather than with its square. A stripe
+has 3 * WIDTH cells; where these do not peel to its own digests, it is sketched four times as large, and so on. So a
+fingerprint always lists its digests. `likeness` takes two fingerprints and nothing else (`parsed` reads a stored one):
+stripes of one size subtract and peel; where peeling fails, or sizes differ, both stripes are listed and laid out four
+times as large, until the difference peels. A fingerprint of fewer stripes than the other is laid out anew with as
+many. With D differing digests of n and m, likeness is (n + m - D) / (n + m + D), the Jaccard index of the sets.
+
+`with_next` gives each document the next one in descending doc_id without a global sort: ids are cut into ranges of
+about equal numbers of rows by two levels of quantiles (`ranged`), a range's first document is copied to the end of the
+range before, and one window runs inside each range. Rows that share one id over several ranges, and null ids, are
+dealt out by a hash of their text, which is also the order in which they follow each other.
 
 Defined results: null is the empty text, which has no paragraphs; two texts without paragraphs are alike (1), one
 alone is unlike (0). Documents that repeat a doc_id follow each other in order of a hash of their text; null ids come
-last. The next document after the last is the first, and a lone document is its own next. Extra columns are ignored.
-An empty table gives an empty result.
+last. The next document after the last is the first, and a lone document is its own next. Copies of one text under one
+id share a range. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import kit
 
-WIDTH, LOAD, LEVELS, ROUNDS = 8, 8, 8, 24
-RANGE_ROWS, MOST_RANGES = 500, 100_000
+WIDTH, LOAD, LEVELS, ROUNDS = 8, 8, 7, 16
+#: Rows of a range, as aimed at, and ranges of each of the two levels at most: a million ranges in all.
+RANGE_ROWS, FANOUT = 2000, 1000
 # Mark, closing quotes, spaces, then a capital, an uncased letter, a digit or an opening mark; or a full-width or danda mark.
 BREAKS = r"\n|[.!?…][\x22\x27\p{Pe}\p{Pf}]* +(?=[\p{Lu}\p{Lt}\p{Lo}\p{N}\p{Ps}\p{Pi}\x22\x27¿¡])|[。！？।؟۔] *"
 
@@ -40,13 +49,10 @@ NONE = "cast(array() as array<struct<n: int, k: bigint, h: bigint>>)"
 
 
 def digests(text: str) -> str:
-    """The different paragraphs' digests (d), their hashes (h), places in the three tables (p0, p1, p2) and bits that choose stripes (g, and u inside a stripe)."""
+    """The different paragraphs' digests, 64-bit numbers."""
     breaks = BREAKS.replace("\\", "\\\\")
     parts = f"filter(transform(split({text}, '{breaks}'), p -> trim(p)), p -> p <> '')"
-    places = ", ".join(f"cast({_place('h', j)} as int) as p{j}" for j in range(3))
-    bits = "cast(shiftrightunsigned(h, 16) & 16777215L as int) as g, cast(shiftrightunsigned(h, 40) & 16777215L as int) as u"
-    hashed = _let("h", "xxhash64(d)", f"struct(d as d, h as h, {places}, {bits})")
-    return f"transform(array_distinct(transform({parts}, p -> xxhash64(p))), d -> {hashed})"
+    return f"array_distinct(transform({parts}, p -> xxhash64(p)))"
 
 
 def _let(name: str, value: str, then: str) -> str:
@@ -54,16 +60,27 @@ def _let(name: str, value: str, then: str) -> str:
     return f"get(transform(array({value}), {name} -> {then}), 0)"
 
 
-def _place(h: str, table: int) -> str:
-    return f"(shiftrightunsigned({h}, {3 * table}) & {WIDTH - 1}L)"
+def _place(h: str, table: int, width: str) -> str:
+    return f"cast(shiftrightunsigned({h}, {21 * table}) & ({width} - 1) as int)"
+
+
+def placed(members: str, width: str) -> str:
+    """The digests with their cells in the three tables of `width` (a power of two) cells each."""
+    return f"transform({members}, x -> struct(x.k as k, x.h as h, {', '.join(f'{_place("x.h", j, width)} as p{j}' for j in range(3))}))"
 
 
-def sketch(members: str) -> str:
-    """The cells of one stripe, table by table: n, k, h: count, XOR of digests, XOR of hashes."""
-    cell = "struct(size(m) as n, aggregate(m, 0L, (s, x) -> s ^ x.d) as k, aggregate(m, 0L, (s, x) -> s ^ x.h) as h)"
-    slots = "array(" + ", ".join(f"{k}" for k in range(WIDTH)) + ")"
-    tables = [f"transform({slots}, c -> {_let('m', f'filter({members}, x -> x.p{j} = c)', cell)})" for j in range(3)]
-    return f"concat({', '.join(tables)})"
+def sketch(placed: str, width: str) -> str:
+    """The cells of one sketch, table by table: n, k, h: count, XOR of digests, XOR of hashes. placed: a name."""
+    empty = "struct(0 as n, 0L as k, 0L as h)"
+    cell = "if(size(m) = 1, struct(1 as n, m[0].k as k, m[0].h as h), struct(size(m) as n, aggregate(m, 0L, (s, x) -> s ^ x.k) as k, aggregate(m, 0L, (s, x) -> s ^ x.h) as h))"
+    table = lambda j: f"transform(sequence(0, {width} - 1), c -> if(array_position({placed}.p{j}, c) = 0, {empty}, {_let('m', f'filter({placed}, x -> x.p{j} = c)', cell)}))"
+    return f"concat({table(0)}, {table(1)}, {table(2)})"
+
+
+def lists(placed: str) -> str:
+    """Will a sketch of these digests peel? In each round those go that are alone in one of their cells."""
+    shared = " and ".join(f"exists(r, y -> y.p{j} = x.p{j} and y.k <> x.k)" for j in range(3))
+    return f"size(aggregate(sequence(1, {ROUNDS}), {placed}, (r, i) -> if(size(r) = 0, r, filter(r, x -> {shared})))) = 0"
 
 
 def subtracted(a: str, b: str) -> str:
@@ -71,69 +88,139 @@ def subtracted(a: str, b: str) -> str:
 
 
 def peeled(cells: str) -> str:
-    """cells, found: what stays in the cells, and the recovered digests (n is +1 or -1: their side)."""
-    pure = "array_distinct(filter(p.cells, c -> (c.n = 1 or c.n = -1) and xxhash64(c.k) = c.h))"
-    mine = f"case when i < {WIDTH} then {_place('x.h', 0)} = i when i < {2 * WIDTH} then {_place('x.h', 1)} = i - {WIDTH} else {_place('x.h', 2)} = i - {2 * WIDTH} end"
-    less = f"aggregate(filter(q, x -> {mine}), c, (s, x) -> struct(s.n - x.n as n, s.k ^ x.k as k, s.h ^ x.h as h))"
-    # An empty cell stays empty: no digest that is left lies in it.
-    step = f"if(size(q) = 0, struct(p.cells as cells, p.found as found, false as more), struct(transform(p.cells, (c, i) -> if(c.n = 0 and c.k = 0, c, {less})) as cells, concat(p.found, q) as found, true as more))"
-    return f"aggregate(sequence(1, {ROUNDS}), struct({cells} as cells, {NONE} as found, true as more), (p, r) -> if(p.more, {_let('q', pure, step)}, p))"
+    """done, found: do the cells end up empty, and the recovered digests (n is +1 or -1: their side)."""
+    full = "filter(transform(o, (c, i) -> struct(i as i, c.n as n, c.k as k, c.h as h)), c -> not (c.n = 0 and c.k = 0 and c.h = 0))"
+    pure = "array_distinct(transform(filter(p.cells, c -> (c.n = 1 or c.n = -1) and xxhash64(c.k) = c.h), c -> struct(c.n as n, c.k as k, c.h as h)))"
+    at = ", ".join(f"{_place('x.h', j, 'w')} + {j} * w as i{j}" for j in range(3))
+    less = "aggregate(a, c, (s, x) -> if(x.i0 = s.i or x.i1 = s.i or x.i2 = s.i, struct(s.i as i, s.n - x.n as n, s.k ^ x.k as k, s.h ^ x.h as h), s))"
+    left = _let("a", f"transform(q, x -> struct(x.n as n, x.k as k, x.h as h, {at}))", f"filter(transform(p.cells, c -> {less}), c -> not (c.n = 0 and c.k = 0 and c.h = 0))")
+    step = f"if(size(q) = 0, struct(p.cells as cells, p.found as found, false as more), struct({left} as cells, concat(p.found, q) as found, true as more))"
+    rounds = f"aggregate(sequence(1, {ROUNDS}), struct({full} as cells, {NONE} as found, true as more), (p, r) -> if(p.more and size(p.cells) > 0, {_let('q', pure, step)}, p))"
+    return _let("o", cells, _let("w", "size(o) div 3", _let("v", rounds, "struct(size(v.cells) = 0 as done, v.found as found)")))
+
+
+def _larger(first: str, then: str) -> str:
+    """`then` (done, ...) of z and level, tried for level after level from `first` on until it is done."""
+    return f"aggregate(sequence(1, {LEVELS - 1}), {first}, (z, level) -> if(z.done, z, {then}))"
+
+
+def listed(stripe: str) -> str:
+    """The digests of a stripe: those alone in a cell, if these are all, or else what peels."""
+    alone = "array_distinct(transform(filter(o, c -> c.n = 1), c -> struct(c.n as n, c.k as k, c.h as h)))"
+    number = "aggregate(slice(o, 1, size(o) div 3), 0, (s, c) -> s + c.n)"
+    return _let("o", stripe, _let("q", alone, f"if(size(q) = {number}, q, {_let('f', peeled('o'), 'f.found')})"))
+
+
+def laid(members: str, stripes: str) -> str:
+    """The row of `stripes` (a power of two) stripes of digests; each has the least size at which it lists its own digests."""
+    tried = lambda width: _let("at", placed("own", width), f"if(size(at) < 2 or {lists('at')}, struct(true as done, {sketch('at', width)} as cells), struct(false as done, {NONE} as cells))")
+    stripe = f"get(transform(array({_larger(tried(str(WIDTH)), tried(f'shiftleft({WIDTH}, 2 * level)'))}), y -> y.cells), 0)"
+    return f"transform(sequence(0, {stripes} - 1), t -> {_let('own', f'filter({members}, x -> (x.k & ({stripes} - 1)) = t)', stripe)})"
+
 
+def fingerprint(digests: str) -> str:
+    """n, stripes: of an array of digests."""
+    number = f"shiftleft(1, least(cast(ceil(log(2D, greatest(size(ds) / {LOAD}D, 1D))) as int), 22))"
+    return _let("ds", f"transform({digests}, d -> struct(d as k, xxhash64(d) as h))", _let("many", number, f"struct(size(ds) as n, {laid('ds', 'many')} as stripes)"))
 
-def difference(a: str, b: str, expected: float = 0.4) -> str:
-    """done, found: the digests (k) of only one side (n: +1 or -1), from the smallest sketch that peels. a, b: columns of digests(). expected: the share of them that may differ."""
-    # Stripes: about LOAD expected differing digests in each, and no fewer than the numbers' difference asks for.
-    guess = f"greatest((size({a}) + size({b})) * {expected / LOAD}D, abs(size({a}) - size({b})) / {2 * LOAD}D, 1D)"
-    mask = f"shiftleft(1, least(cast(ceil(log(2D, {guess})) as int), 20)) - 1"
 
-    def own(sides: tuple[str, str], test: str) -> str:
-        return f"struct(filter({sides[0]}, x -> {test}) as a, filter({sides[1]}, x -> {test}) as b)"
+def differing(rows: DataFrame, a: str, b: str, to: str) -> DataFrame:
+    """The rows with column `to` (done, found): the digests (k) of only one of two fingerprints (n: +1 or -1), from the smallest sketches that peel.
 
-    settled = "struct(forall(v.cells, c -> c.n = 0 and c.k = 0 and c.h = 0) as done, concat(y.found, v.found) as found)"
-    sub = _let("w", f"if(more = 0, o, {own(('o.a', 'o.b'), '(x.u & more) = e')})", _let("v", peeled(subtracted(sketch("w.a"), sketch("w.b"))), settled))
-    part = f"aggregate(sequence(0, more), struct(true as done, {NONE} as found), (y, e) -> if(y.done, {sub}, y))"
-    stripe = f"aggregate(sequence(0, {LEVELS - 1}), struct(false as done, {NONE} as found), (z, level) -> if(z.done, z, {_let('more', 'shiftleft(1, 2 * level) - 1', part)}))"
-    joined = _let("n", stripe, "struct(s.done and n.done as done, concat(s.found, n.found) as found)")
-    work = _let("o", own((a, b), "(x.g & mask) = t"), f"if(size(o.a) + size(o.b) = 0, s, {joined})")
-    return _let("mask", mask, f"aggregate(sequence(0, mask), struct(true as done, {NONE} as found), (s, t) -> {work})")
+    One projection a step: expressions nested any deeper would be too much for Spark's analyzer.
+    """
+    names = rows.columns
+    many = f"greatest(size({a}.stripes), size({b}.stripes))"
+    more = [f"if(size({x}.stripes) = {many}, null, flatten(transform({x}.stripes, s -> {listed('s')}))) as {to}_{k}" for k, x in (("la", a), ("lb", b))]
+    rows = rows.selectExpr("*", f"{many} as {to}_many", *more)
+    as_many = [f"if({to}_l{k} is null, {x}.stripes, {laid(f'{to}_l{k}', f'{to}_many')})" for k, x in (("a", a), ("b", b))]
+    first = f"if(size(a) = size(b), {peeled(subtracted('a', 'b'))}, struct(false as done, {NONE} as found))"
+    rows = rows.selectExpr(*names, *[f"{x} as {to}_x{k}" for k, x in zip("ab", as_many, strict=True)])
+    rows = rows.selectExpr(*names, f"zip_with({to}_xa, {to}_xb, (a, b) -> struct(a as a, b as b, {first} as first)) as {to}_s")
+    rows = rows.selectExpr(*names, f"transform({to}_s, s -> struct(s.first as first, if(s.first.done, null, {listed('s.a')}) as a, if(s.first.done, null, {listed('s.b')}) as b)) as {to}_s")
+    wider = f"shiftleft({WIDTH}, 2 * level)"
+    again = _let("pa", placed("s.a", wider), _let("pb", placed("s.b", wider), peeled(subtracted(sketch("pa", wider), sketch("pb", wider)))))
+    stripe = f"if(s.first.done, s.first, {_larger('s.first', again)})"
+    rows = rows.selectExpr(*names, f"transform({to}_s, s -> {stripe}) as {to}_s")
+    return rows.selectExpr(*names, f"struct(forall({to}_s, s -> s.done) as done, flatten({to}_s.found) as found) as {to}")
 
 
-def likeness(a: str, b: str, expected: float = 0.4) -> str:
-    """The Jaccard index of two sets of digests, from what their sketches' difference peels to."""
-    exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"  # never yet needed: all LEVELS sizes failed
-    of = f"if(f.done, size(f.found), {exact})"
-    total = f"(size({a}) + size({b}))"
-    ratio = _let("e", of, f"if({total} = 0, 1D, ({total} - e) / cast({total} + e as double))")
-    return _let("f", difference(a, b, expected), ratio)
+def likeness(rows: DataFrame, a: str, b: str, to: str) -> DataFrame:
+    """The rows with column `to`: the Jaccard index of the sets of digests of the fingerprints a and b."""
+    total, e = f"({a}.n + {b}.n)", f"size({to}.found)"
+    return differing(rows, a, b, to).withColumn(to, F.expr(f"if({total} = 0, 1D, ({total} - {e}) / cast({total} + {e} as double))"))
 
 
-def as_text(cells: str) -> str:
-    """A stripe's cells as hexadecimal digits: count, digests (16), hashes (16) of each."""
-    return f"array_join(transform({cells}, c -> concat(hex(c.n), ':', lower(lpad(hex(c.k), 16, '0')), lower(lpad(hex(c.h), 16, '0')))), ' ')"
+def as_text(fp: str) -> str:
+    """A fingerprint as text: n, then its stripes after '|', cells apart by spaces: count:digests:hashes, in decimal."""
+    cell = "concat(c.n, ':', c.k, ':', c.h)"
+    return f"concat({fp}.n, '|', array_join(transform({fp}.stripes, s -> array_join(transform(s, c -> {cell}), ' ')), '|'))"
+
+
+def parsed(text: str) -> str:
+    """The fingerprint that as_text wrote."""
+    cell = _let("y", "split(x, ':')", "struct(cast(y[0] as int) as n, cast(y[1] as bigint) as k, cast(y[2] as bigint) as h)")
+    return _let("t", f"split({text}, '[|]')", f"struct(cast(t[0] as int) as n, transform(slice(t, 2, size(t) - 1), s -> transform(split(s, ' '), x -> {cell})) as stripes)")
+
+
+def _found(bounds: str, key: str, strictly: bool) -> str:
+    """How many of the ascending bounds (2^20 at most) are below the key (strictly) or not above it."""
+    test = f"element_at(b, lo + step) {'<' if strictly else '<='} {key}"
+    steps = "array(" + ", ".join(str(1 << k) for k in range(20, -1, -1)) + ")"
+    return _let("b", bounds, f"aggregate({steps}, 0, (lo, step) -> if(lo + step <= size(b), if({test}, lo + step, lo), lo))")
+
+
+def _dealt(bounds: str, u: str) -> str:
+    """The range (r) of a row among bounds of k. A k that is itself a bound, so has many rows, is dealt out by u over all ranges it spans; u: what is left of u inside the range."""
+    at = _let("v", f"{u} * (hi - lo + 1)", _let("w", "least(cast(floor(v) as int), hi - lo)", "struct(lo + w as r, v - w as u)"))
+    return _let("lo", _found(bounds, "k", True), _let("hi", _found(bounds, "k", False), at))
+
+
+def _quantiles(k: str, n: int) -> Column:
+    """n - 1 bounds between n ranges of about equal numbers of rows."""
+    return F.percentile_approx(k, [i / n for i in range(1, n)], 10 * n) if n > 1 else F.array().cast("array<bigint>")
+
+
+def ranged(rows: DataFrame) -> DataFrame:
+    """The rows (with k, a bigint or null, and u, from 0 to below 1) with `range`: about RANGE_ROWS rows each, in ascending order of (k, u), null last."""
+    s = rows.agg(F.count("k").alias("n"), F.count(F.lit(1)).alias("all")).first()
+    parts = max(1, min(FANOUT**2, s.n // RANGE_ROWS))
+    outer = math.ceil(math.sqrt(parts))
+    inner = math.ceil(parts / outer)
+    nulls = max(1, min(FANOUT**2, (s["all"] - s.n) // RANGE_ROWS))
+    null_range = F.lit(outer * inner) + F.floor(F.col("u") * nulls).cast("int")
+    bounds = rows.agg(_quantiles("k", outer).alias("b")).first().b or []
+    text = ",".join(map(str, bounds))  # at most FANOUT numbers
+    coarse = _dealt(f"cast(split('{text}', ',') as array<bigint>)" if bounds else "cast(array() as array<bigint>)", "u")
+    rows = rows.withColumn("coarse", F.expr(f"if(k is null, null, {coarse})"))
+    rows = rows.withColumn("outer", F.col("coarse.r"))
+    fine = rows.where("k is not null").groupBy("outer").agg(_quantiles("k", inner).alias("inner_bounds"))  # at most FANOUT rows of FANOUT numbers
+    at = F.col("outer") * inner + F.expr(f"get(transform(array({_dealt('inner_bounds', 'coarse.u')}), y -> y.r), 0)")
+    return rows.join(F.broadcast(fine), "outer", "left").withColumn("range", F.when(F.col("k").isNull(), null_range).otherwise(at)).drop("outer", "coarse", "inner_bounds")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), next_text: the text of the next document in descending doc_id, the first one's after the last."""
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    ids = docs.select("doc_id")
-    s = ids.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    high, low = (float(s.high), float(s.low)) if s.high is not None else (0.0, 0.0)
-    ranges = max(1, min(MOST_RANGES, s.n // RANGE_ROWS))
-    width = max((high - low) / ranges, 1.0)
-    number = F.when(F.col("doc_id").isNull(), F.lit(ranges + 2)).otherwise(F.floor((F.lit(high) - F.col("doc_id").cast("double")) / F.lit(width))).cast("bigint")
-    tops = ids.groupBy(number.alias("range")).agg(F.max(key).alias("top"))
-    # At most MOST_RANGES rows: where each range's first document is also needed.
+    """doc_id, text (null: empty), own (its digests), next_text, next_own: those of the next document in descending doc_id, the first one after the last."""
+    text = F.coalesce("text", F.lit(""))
+    tie = F.xxhash64(text)
+    rows = docs.select("doc_id", text.alias("text"), F.bitwise_not(F.col("doc_id").cast("bigint")).alias("k"), tie.alias("tie"))
+    rows = ranged(rows.withColumn("u", F.expr("shiftrightunsigned(tie, 11) / 9007199254740992D")))
+    rows = rows.withColumn("order", F.expr("struct(k is null as none, k as k, shiftrightunsigned(tie, 1) as t, tie as tie)"))
+    tops = rows.groupBy("range").agg(F.min("order").alias("top"))
+    # At most 2 * FANOUT ** 2 rows: where each range's first document is also needed.
     tops = tops.selectExpr("top", "coalesce(lag(range) over (order by range), max(range) over ()) as before")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"), number.alias("range")).join(F.broadcast(tops), F.col("key") == F.col("top"), "left")
+    rows = rows.join(F.broadcast(tops), F.col("order").eqNullSafe(F.col("top")), "left")
     own, copy = F.struct(F.col("range"), F.lit(False).alias("copy")), F.struct(F.col("before").alias("range"), F.lit(True).alias("copy"))
-    rows = rows.select("doc_id", "text", "key", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("at"))
-    rows = rows.select("doc_id", "text", "key", F.col("at.range").alias("range"), F.col("at.copy").alias("copy"), F.xxhash64("text").alias("tie"))
-    rows = rows.withColumn("next_text", F.expr("lead(text) over (partition by range order by copy, key desc, tie)"))
-    return rows.where("not copy").select("doc_id", "text", "next_text")
+    rows = rows.selectExpr("doc_id", "text", digests("text") + " as own", "order", "range", "before")
+    rows = rows.select("doc_id", "text", "own", "order", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("at"))
+    rows = rows.select("doc_id", "text", "own", "order", F.col("at.range").alias("range"), F.col("at.copy").alias("copy"))
+    after = "over (partition by range order by copy, order)"
+    rows = rows.selectExpr("doc_id", "text", "own", "copy", f"lead(text) {after} as next_text", f"lead(own) {after} as next_own")
+    return rows.where("not copy").drop("copy")
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text, n_chars, edited: the last third of the code points replaced by the next document's first ones."""
+    """The columns of with_next, n_chars, edited: the last third of the code points replaced by the next document's first ones."""
     third = F.floor(F.col("n_chars") / 3).cast("int")
     both = with_next(docs).withColumn("n_chars", F.length("text").cast("bigint"))
     return both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next_text"), F.lit(1), third)))
@@ -143,9 +230,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = edited(kit.documents(spark, sf_dir))
     rows = rows.selectExpr(
         "doc_id", "n_chars", "sha2(cast(edited as binary), 256) as edited_sha256",
-        digests("text") + " as own", digests("edited") + " as changed", digests("next_text") + " as other",
-    )
-    return rows.selectExpr(
-        "doc_id", "n_chars", "edited_sha256", as_text(sketch("own")) + " as fingerprint", as_text(sketch("changed")) + " as edited_fingerprint",
-        likeness("own", "changed") + " as near_edited", likeness("own", "other", 1.0) + " as near_next",
+        fingerprint("own") + " as own", fingerprint(digests("edited")) + " as changed", fingerprint("next_own") + " as other",
     )
+    rows = likeness(likeness(rows, "own", "changed", "near_edited"), "own", "other", "near_next")
+    return rows.selectExpr("doc_id", "n_chars", "edited_sha256", as_text("own") + " as fingerprint", as_text("changed") + " as edited_fingerprint", "near_edited", "near_next")
