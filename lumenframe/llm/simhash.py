@@ -1,26 +1,35 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
-A document's fingerprint has bit i set if bit i is set in over half of the XXH64 values (seed 42) of its
-four-word shingles. Two fingerprints link if at most `budget` of their 64 bits differ; a component is what links
-reach.
-
-The join. Fingerprints that differ in at most four bits agree in one of five disjoint blocks of bits, so each distinct
-fingerprint goes to five groups (mask, masked value), and each group is a binary trie of the fingerprints in it.
-Pairs of trie nodes are traversed together from the root: each step splits both nodes at the next bit, adds one to the
-count of differing bits where the halves differ, and drops the pair once the count is over budget. A pair of nodes
-whose leaves are all of one component already is dropped too, so a dense cloud of near copies costs no pair for each
-pair of its members. A group sends out at most one link for each of its members. A group of over `group_rows`
-fingerprints is split again in the same way: on the bits outside its mask, two linked members agree in one of five
+A document's fingerprint has bit i set if bit i is set in over half of the XXH64 values (seed 42) of its word
+shingles. It has one or more lanes of 64 bits; a further lane's hashes are mixed from the first lane's. Two
+fingerprints link if at most `budget` of their bits differ; a component is what links reach.
+
+The join. Fingerprints that differ in at most `budget` bits differ in at most b = budget div lanes in one of the lanes,
+and there agree in one of b + 1 disjoint blocks of bits. So each distinct fingerprint goes to b + 1 groups (lane, mask,
+masked value) a lane, and each group is a binary trie of the fingerprints in it, that lane's bits first. Pairs of trie
+nodes are traversed together from the root: each step splits both nodes at the next bit, adds one to the count of
+differing bits where the halves differ, and drops the pair once the count is over b in the lane or over budget. A pair
+of nodes whose leaves are all of one component already is dropped too, so a dense cloud of near copies costs no pair
+for each pair of its members. A group sends out at most one link for each of its members. A group of over `group_rows`
+fingerprints is split again in the same way: on the bits outside its mask, two linked members agree in one of b + 1
 further blocks. After `SPLITS` levels a group is solved whole, whatever its size: a level more would copy each of its
-rows five times, and the trie takes a dense cloud as it is. Nothing is capped.
+rows b + 1 times, and the trie takes a dense cloud as it is. Nothing is capped. With one lane and a budget of 4, about
+26 bits are free on the last level, so a cloud whose members are up to 5 bits from its centre has at most 84,000
+fingerprints in a group there.
 
 The links of all groups meet in a large-star/small-star connected-components loop over DataFrames, cut by written
-tables.
+tables. A join on a star's centre is salted, so that a centre's neighbours are several tasks' work.
+
+`op7` has one lane, four-word shingles and a budget of 4. The pipeline's stage `kept` takes five-word shingles and a
+similarity of 0.8 or more: two lanes, of whose 128 bits at most SIMILAR_BITS differ. The angle between two texts'
+counts of shingles is that share of 180 degrees; a Jaccard index of 0.8 has a cosine of 2 * 0.8 / 1.8 and 15.2 % of the
+bits. No link within the budget is missed; how far fingerprints tell a text's similarity is measured in README.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint 0 and link to each other. A text of
-one to three words is one shingle. Exact copies share a fingerprint and are expanded only when ids are joined back.
-Rows that repeat a doc_id keep a row each. A null doc_id is never the smallest of a component unless the component
-has no other; it then has a null component_id. Extra columns are ignored. An empty table gives an empty result.
+fewer words than a shingle is one shingle. Exact copies share a fingerprint and are expanded only when ids are joined
+back. Rows that repeat a doc_id keep a row each. A null doc_id is never the smallest of a component unless the
+component has no other; it then has a null component_id. Extra columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -35,7 +44,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import kit
 
-WORDS, SEED, BUDGET, GROUP_ROWS, SPLITS = 4, 42, 4, 4096, 4
+WORDS, SEED, BUDGET, GROUP_ROWS, SPLITS, SALTS = 4, 42, 4, 4096, 4, 16
+#: The pipeline's stage: words of a shingle, lanes of a fingerprint, and how many of its bits may differ.
+SIMILAR_WORDS, SIMILAR_LANES, SIMILAR_BITS = 5, 2, 19
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FULL = 2**64 - 1
 
@@ -59,18 +70,29 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in kit.slices(batches):
-        data, off = kit.utf8(part.column("text"))
-        raw, off = data.tobytes(), off.tolist()
-        fp = np.array([simhash(shingle_hashes(raw[a:b])) for a, b in zip(off, off[1:], strict=False)], np.uint64)
-        yield kit.batch(doc_id=part.column("doc_id"), fp=fp.view(np.int64))
+def lane_names(lanes: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, lanes))]
+
+
+def _fingerprints(words: int, lanes: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in kit.slices(batches):
+            data, off = kit.utf8(part.column("text"))
+            raw, off = data.tobytes(), off.tolist()
+            fp = np.zeros((len(off) - 1, lanes), np.uint64)
+            for i, (a, b) in enumerate(zip(off, off[1:], strict=False)):
+                h = shingle_hashes(raw[a:b], words)
+                for k in range(lanes):
+                    fp[i, k] = simhash(h if k == 0 else kit.mixed(h + np.uint64(k)))
+            yield kit.batch(doc_id=part.column("doc_id"), **{n: fp[:, k].copy().view(np.int64) for k, n in enumerate(lane_names(lanes))})
+
+    return made
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit integer)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed 64-bit integer) and further lanes fp1, fp2 ..."""
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.mapInArrow(_fingerprints(words, lanes), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in lane_names(lanes)))
 
 
 def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -88,13 +110,15 @@ def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def trie_components(a: np.ndarray, budget: int = BUDGET, chunk: int = 1 << 17, leaf: int = 16) -> np.ndarray:
+def trie_components(a: np.ndarray, budget: int = BUDGET, more: tuple[np.ndarray, ...] = (), all_bits: int | None = None, chunk: int = 1 << 17, leaf: int = 16) -> np.ndarray:
     """Component labels of sorted distinct fingerprints (uint64) under links of at most `budget` differing bits.
 
-    A trie node at depth d is a range of the sorted array whose members share d leading bits. Node pairs are kept as
-    arrays and expanded in chunks, deepest first, so memory is bounded by depth times chunk.
+    more: further lanes; fingerprints are then sorted by all lanes, `budget` holds for the first lane and `all_bits` for
+    all. A trie node at depth d is a range of the sorted arrays whose members share d leading bits. Node pairs are kept
+    as arrays and expanded in chunks, deepest first, so memory is bounded by depth times chunk.
     """
-    n = len(a)
+    n, lanes = len(a), (a, *more)
+    all_bits = budget if all_bits is None else all_bits
     label, sums = np.arange(n), {}
     if n < 2:
         return label
@@ -109,26 +133,26 @@ def trie_components(a: np.ndarray, budget: int = BUDGET, chunk: int = 1 << 17, l
         if not len(l1):
             continue
         small = (h1 - l1) * (h2 - l2) <= leaf
-        if depth == 64:
+        if depth == 64 * len(lanes):
             small[:] = True
         if small.any():  # the remaining bits of few leaves, at once
             p, q, w = l1[small], l2[small], (h2 - l2)[small]
             row, at = kit.ragged((h1 - l1)[small] * w)
             i, j = p[row] + at // w[row], q[row] + at % w[row]
-            link = (i < j) & (np.bitwise_count(a[i] ^ a[j]) <= budget)
+            link = (i < j) & (sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in lanes) <= all_bits)
             label = united(label, i[link], j[link])
             l1, h1, l2, h2, err = (x[~small] for x in (l1, h1, l2, h2, err))
             if not len(l1):
                 continue
         if depth not in sums:
-            sums[depth] = np.concatenate([[0], np.cumsum((a >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
+            sums[depth] = np.concatenate([[0], np.cumsum((lanes[depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1), dtype=np.int64)])
         s = sums[depth]
         m1, m2 = h1 - (s[h1] - s[l1]), h2 - (s[h2] - s[l2])
         own = (l1 == l2) & (h1 == h2)  # a node with itself: its halves' cross pair counts once
         parts = [(l1, m1, l2, m2, err), (m1, h1, m2, h2, err), (l1, m1, m2, h2, err + 1)]
         other = tuple(x[~own] for x in (m1, h1, l2, m2, err + 1))
         new = tuple(np.concatenate([*(p[k] for p in parts), other[k]]) for k in range(5))
-        keep = (new[0] < new[1]) & (new[2] < new[3]) & (new[4] <= budget)
+        keep = (new[0] < new[1]) & (new[2] < new[3]) & (new[4] <= (budget if depth < 64 else all_bits))
         new = tuple(x[keep] for x in new)
         for at in range(0, len(new[0]), chunk):
             stack.append((depth + 1, tuple(x[at : at + chunk] for x in new)))
@@ -145,24 +169,28 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _grouped(budget: int):
+def _grouped(budget: int, all_bits: int, lanes: int):
+    names = lane_names(lanes)
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; a group may span batches. One link for each linked member that isn't its component's first."""
         held: list[np.ndarray] = []
 
         def solved(rows: np.ndarray) -> np.ndarray:
-            group = rows[:, :2]
+            group = rows[:, :3]
             cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
             out = []
             for part in np.split(rows, cut):
                 if len(part) < 2:
                     continue
-                mask, fp = int(part[0, 0]) & FULL, part[:, 2].view(np.uint64)
-                a = np.sort(fp & np.uint64(~mask & FULL))  # bits of the mask are equal: nothing to split on
-                label = trie_components(a, budget)
-                moved = np.flatnonzero(label != np.arange(len(a)))
-                base = fp[0] & np.uint64(mask)
-                out.append(np.stack([a[moved] | base, a[label[moved]] | base], axis=1).view(np.int64))
+                lane, mask = int(part[0, 0]), int(part[0, 1]) & FULL
+                columns = np.ascontiguousarray(part[:, 4:].T).view(np.uint64)
+                columns = [columns[lane] & np.uint64(~mask & FULL), *(columns[k] for k in range(lanes) if k != lane)]  # bits of the mask are equal: nothing to split on
+                order = np.lexsort(columns[::-1])
+                a, *more = (x[order] for x in columns)
+                label = trie_components(a, budget, tuple(more), all_bits)
+                moved, node = np.flatnonzero(label != np.arange(len(a))), part[order, 3]
+                out.append(np.stack([node[moved], node[label[moved]]], axis=1))
             return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
         def sent(rows: np.ndarray):
@@ -170,15 +198,15 @@ def _grouped(budget: int):
             return kit.batch(u=e[:, 0].copy(), v=e[:, 1].copy())
 
         for b in batches:
-            rows = np.stack([np.asarray(b.column(k)) for k in ("mask", "value", "fp")], axis=1)
+            rows = np.stack([np.asarray(b.column(k)).astype(np.int64) for k in ("lane", "mask", "value", "node", *names)], axis=1)
             if not len(rows):
                 continue
-            last = (rows[:, :2] != rows[-1, :2]).any(axis=1)
+            last = (rows[:, :3] != rows[-1, :3]).any(axis=1)
             cut = int(last.nonzero()[0][-1]) + 1 if last.any() else 0
             if cut:
                 yield sent(np.concatenate([*held, rows[:cut]]))
                 held = []
-            elif held and (held[-1][-1, :2] != rows[0, :2]).any():
+            elif held and (held[-1][-1, :3] != rows[0, :3]).any():
                 yield sent(np.concatenate(held))
                 held = []
             held.append(rows[cut:])
@@ -188,27 +216,34 @@ def _grouped(budget: int):
     return links
 
 
-def links(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (u, v) of distinct fingerprints (column fp) that together have the components of all links."""
-    level, masks, out = fps.select("fp"), [0], None
-    grouped = level.select(F.lit(0).cast("bigint").alias("mask"), F.lit(0).cast("bigint").alias("value"), "fp")
+def links(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS, lanes: int = 1) -> DataFrame:
+    """Links (u, v) of distinct fingerprints (columns node and the lanes' names) that together have the components of all links."""
+    names, own, masks, out = lane_names(lanes), budget // lanes, [0], None
+    key = ["lane", "mask", "value"]
+    zero = F.lit(0).cast("bigint")
+    grouped = fps.select(F.explode(F.array(*map(F.lit, range(lanes)))).alias("lane"), zero.alias("mask"), zero.alias("value"), "node", *names)
+    lane_bits = F.get(F.array(*names), F.col("lane"))
     for depth in range(1, SPLITS + 1):
-        children = {m: [m | x for x in _blocks(m, budget + 1) if x] for m in masks}
+        children = {m: [m | x for x in _blocks(m, own + 1) if x] for m in masks}
         options = F.create_map(*[x for m, c in children.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in c]))])
-        grouped = kit.written(
-            grouped.select("fp", F.explode(options[F.col("mask")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp"),
-            "simhash-groups",
-        )
-        sizes = grouped.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
-        hot = kit.written(sizes.where(F.col("n") > group_rows).select("mask", "value"), "simhash-hot")
+        grouped = grouped.select("lane", F.explode(options[F.col("mask")]).alias("mask"), "node", *names)
+        grouped = kit.written(grouped.select("lane", "mask", lane_bits.bitwiseAND(F.col("mask")).alias("value"), "node", *names), "simhash-groups")
+        hot = kit.written(grouped.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).select(*key), "simhash-hot")
         masks = sorted({y for c in children.values() for y in c})
-        more = depth < SPLITS and not hot.isEmpty() and all(len(_blocks(m, 1)[0:1]) and bin(FULL ^ m).count("1") > 2 * (budget + 1) for m in masks)
-        ready = grouped.join(hot, ["mask", "value"], "left_anti") if more else grouped
-        found = ready.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(_grouped(budget), "u bigint, v bigint")
+        more = depth < SPLITS and not hot.isEmpty() and all(bin(FULL ^ m).count("1") > 2 * (own + 1) for m in masks)
+        ready = grouped.join(hot, key, "left_anti") if more else grouped
+        found = ready.repartition(*key).sortWithinPartitions(*key).mapInArrow(_grouped(own, budget, lanes), "u bigint, v bigint")
         out = found if out is None else out.unionByName(found)
         if not more:
             return out
-        grouped = grouped.join(hot, ["mask", "value"], "left_semi")
+        grouped = grouped.join(hot, key, "left_semi")
+
+
+def met(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of values (one row a key). The rows of a key are dealt to SALTS tasks: a hot key is several tasks' work."""
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(SALTS)).cast("int"))
+    return salted.join(values.select("*", salts), [key, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,7 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
     def stars(e: DataFrame, small: bool) -> DataFrame:
         both = e if small else e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        near = both.join(least, "u")
+        near = met(both, least, "u")
         if small:
             return near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -241,16 +276,18 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select("u", F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links reach."""
-    fps = kit.written(fingerprints(docs), "fingerprints")
-    own = kit.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(own, budget, group_rows))
-    known = own.join(roots, own.fp == roots.u, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS, words: int = WORDS, lanes: int = 1) -> DataFrame:
+    """doc_id, fp and further lanes, component_id: the smallest doc_id that links reach."""
+    names = lane_names(lanes)
+    node = F.col("fp") if lanes == 1 else F.xxhash64(*names)
+    fps = kit.written(fingerprints(docs, words, lanes).withColumn("node", node), "fingerprints")
+    own = kit.written(fps.groupBy("node", *names).agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    roots = components(links(own, budget, group_rows, lanes))
+    known = own.join(roots, own.node == roots.u, "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     known = kit.written(known, "roots")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = met(known, least, "root").select("node", "component_id")
+    return fps.join(named, "node", "left").select("doc_id", *names, "component_id")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +296,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with its smallest doc_id stays (rows without an id stay)."""
-    ids = near_duplicates(docs)
-    gone = ids.where("component_id is not null and doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: of each component the row with its smallest doc_id stays, of rows that repeat this id the one whose text has the least hash (rows without an id stay)."""
+    ids = near_duplicates(docs, SIMILAR_BITS, words=SIMILAR_WORDS, lanes=SIMILAR_LANES)
+    ids = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    ids = kit.written(ids.where("doc_id <> least or rows > 1"), "near-duplicates")
+    gone, again = ids.where("doc_id <> least").select("doc_id"), ids.where("doc_id = least").select("doc_id")
+    names = docs.columns
+    rest = docs.join(gone, "doc_id", "left_anti").select(names)
+    if again.isEmpty():
+        return rest
+    # Of rows that repeat an id, one by one: the least hash of all columns, then any of the equal rows.
+    one = rest.join(again, "doc_id", "left_semi").select(names)
+    one = one.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.struct(F.xxhash64("text"), F.xxhash64(*names))).alias("row")).select("row.*")
+    return rest.join(again, "doc_id", "left_anti").select(names).unionByName(one)

@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
@@ -8,14 +9,18 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute_near(rows):
-    fps = [simhash.simhash(simhash.shingle_hashes((r.text or "").encode())) for r in rows]
+    """The stage's rule on all pairs: at most SIMILAR_BITS of the lanes' bits of five-word shingles differ."""
+    fps = []
+    for r in rows:
+        h = simhash.shingle_hashes((r.text or "").encode(), 5)
+        fps.append(simhash.simhash(h) << 64 | simhash.simhash(kit.mixed(h + np.uint64(1))))
     comp = list(range(len(rows)))
     changed = True
     while changed:
         changed = False
         for i in range(len(rows)):
             for j in range(i):
-                if comp[i] != comp[j] and (fps[i] ^ fps[j]).bit_count() <= 4:
+                if comp[i] != comp[j] and (fps[i] ^ fps[j]).bit_count() <= simhash.SIMILAR_BITS:
                     comp[i] = comp[j] = min(comp[i], comp[j])
                     changed = True
     return [r for i, r in enumerate(rows) if comp[i] == i]
