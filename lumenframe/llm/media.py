@@ -2,7 +2,8 @@
 
 A text's UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, are the samples of a grey image 64 pixels wide
 (wider above 1 MB, several images above 256 MB). Stored with subtract-green, so that one prefix code carries the
-samples, and with back-references; texts of at most 16 different bytes are stored by a palette with bundled pixels.
+samples, and with back-references; texts of at most 16 different bytes are stored by a palette with bundled pixels. A
+predictor transform (left or top neighbour, for the whole image) comes first where it lowers the samples' entropy.
 The stored file is then decoded again and everything else is computed from what was read back. `stored` and `read`
 are general: `read` takes any lossless WebP file.
 
@@ -39,10 +40,27 @@ def stored(payload: np.ndarray) -> bytes:
         v = np.concatenate([v, np.zeros(-len(v) % width, np.int64)])
         grey = 255 << 24 | v << 16 | v << 8 | v
         few = len(np.flatnonzero(np.bincount(v, minlength=256))) <= 16
-        out.append(webp.encode(grey, width, palette=few, grey=not few, lz=True))
+        mode = 0 if few else predictor(v, width)
+        modes = (9, np.full((-(-len(v) // width >> 9) + 1, -(-width >> 9) + 1), mode)) if mode else None
+        out.append(webp.encode(grey, width, palette=few, grey=not few, lz=True, predictor=modes))
     return b"".join(out)
 
 
+def entropy(v: np.ndarray) -> float:
+    """Bits a sample of a code by frequency alone."""
+    share = np.bincount(v, minlength=256)
+    share = share[share > 0] / len(v)
+    return float(-(share * np.log2(share)).sum())
+
+
+def predictor(v: np.ndarray, width: int) -> int:
+    """The predictor mode after which samples have the least entropy: 0 (no transform), 1 (left) or 2 (top)."""
+    costs = [entropy(v), entropy(np.diff(v, prepend=0) & 255)]
+    if len(v) > width:
+        costs.append(entropy((v - np.concatenate([np.zeros(width, np.int64), v[:-width]])) & 255))
+    return int(np.argmin(costs))
+
+
 def read(files: bytes, n: int) -> np.ndarray:
     """The first n green samples of the images."""
     parts, at = [], 0

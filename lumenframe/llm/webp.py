@@ -60,6 +60,12 @@ def reversed_bits(x: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     return x >> (16 - n)
 
 
+@lru_cache(maxsize=16)
+def flipped(n: int) -> np.ndarray:
+    """All numbers of n bits, each with its bits in reverse order."""
+    return reversed_bits(np.arange(1 << n), n)
+
+
 # ---- prefix codes
 
 
@@ -117,8 +123,7 @@ class Code:
         space = np.int64(1) << (self.bits - n)
         if not len(n) or int(space.sum()) != 1 << self.bits:
             raise ValueError("not a complete prefix code")
-        flip = reversed_bits(np.arange(1 << self.bits), self.bits)
-        row = np.repeat(np.arange(len(order)), space)[flip]
+        row = np.repeat(np.arange(len(order)), space)[flipped(self.bits)]
         self.symbols, self.lengths = order[row].astype(np.int32), n[row].astype(np.int32)
 
 
@@ -201,21 +206,17 @@ def put_code(w: Writer, lengths: np.ndarray) -> None:
         return
     w.put(0, 1)
     tokens: list[tuple[int, int, int]] = []  # symbol, extra, its bits
-    seq, k = lengths[: used[-1] + 1].tolist(), 0
-    while k < len(seq):
-        run = 1
-        while k + run < len(seq) and seq[k + run] == seq[k]:
-            run += 1
-        if seq[k] == 0 and run >= 3:
-            run = min(run, 138)
-            tokens.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
-        elif seq[k] and run >= 4:
-            run = min(run, 7)
-            tokens += [(seq[k], 0, 0), (16, run - 4, 2)]
-        else:
-            run = 1
-            tokens.append((seq[k], 0, 0))
-        k += run
+    seq = lengths[: used[-1] + 1]
+    heads = np.concatenate([[0], np.flatnonzero(seq[1:] != seq[:-1]) + 1, [len(seq)]])
+    for value, run in zip(seq[heads[:-1]].tolist(), np.diff(heads).tolist(), strict=True):
+        if value:
+            tokens.append((value, 0, 0))
+            run -= 1
+        while run >= 3:
+            m = min(run, 6 if value else 138)
+            tokens.append((16, m - 3, 2) if value else (17, m - 3, 3) if m <= 10 else (18, m - 11, 7))
+            run -= m
+        tokens += [(value, 0, 0)] * run
     own = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     if (own > 0).sum() == 1:  # a table of one code needs a second symbol to be complete
         own[0 if not own[0] else 1] = 1
@@ -412,7 +413,7 @@ def _put_green_only(w: Writer, argb: np.ndarray, single: np.ndarray, found: list
     counts = np.bincount(green, minlength=LITERALS + LENGTHS)
     for p, _, _ in lp:
         counts[LITERALS + p] += 1
-    green_n = code_lengths(counts)
+    green_n = code_lengths(counts, 12)  # a small table to read by
     put_code(w, green_n)
     for shift in (16, 0, 24):
         w.put(5, 3)  # a simple code of one symbol of eight bits
@@ -598,16 +599,17 @@ def _neighbour_modes(modes: np.ndarray, bits: int, y: int, x: int) -> int:
 
 
 def predictor_forward(c: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
-    out = c.copy()
+    """What is left after each pixel's prediction, for all pixels of a mode at once."""
     _, height, width = c.shape
-    flat = c.reshape(4, -1)
-    for y in range(height):
-        for x in range(width):
-            m, k = _neighbour_modes(modes, bits, y, x), y * width + x
-            z = np.zeros(4, np.int64)
-            left, top, corner, right = (flat[:, j] if j >= 0 else z for j in (k - 1, k - width, k - width - 1, k - width + 1))
-            out[:, y, x] = (c[:, y, x] - _predicted(m, left, top, corner, right)) & 255
-    return out
+    mode = np.repeat(np.repeat(modes, 1 << bits, 0), 1 << bits, 1)[:height, :width].astype(np.int64)
+    mode[:, 0], mode[0], mode[0, 0] = 2, 1, 0
+    flat = np.concatenate([np.zeros((4, width + 1), np.int64), c.reshape(4, -1)], axis=1)
+    n, out, mode = height * width, np.empty((4, height * width), np.int64), mode.ravel()
+    for m in np.unique(mode).tolist():
+        k = np.flatnonzero(mode == m) + width + 1
+        left, top, corner, right = (flat[:, j] for j in (k - 1, k - width, k - width - 1, np.minimum(k - width + 1, n + width)))
+        out[:, k - width - 1] = (flat[:, k] - _predicted(m, left, top, corner, right)) & 255
+    return out.reshape(c.shape)
 
 
 def predictor_inverse(c: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
