@@ -7,7 +7,8 @@ little about are left out, so a very long text doesn't sum up noise. The pairwis
 half of (sum of v)^2 - sum of v^2.
 
 Fitted on the driver on a bounded sample of labelled rows (training.ROWS_PER_CLASS of each class); the model is a few
-hundred KB, whatever the input. Every text is scored whole, in arrays, where it is read: no shuffle.
+hundred KB, whatever the input: of the training rows' terms those TERMS with the largest gain have a weight (a bound of
+the model; the terms of every text are looked up among them). Every text is scored whole, in arrays, where it is read: no shuffle.
 
 Defined results: null is the empty text; a text without a known term has the score of the bias. Repeated rows keep a
 row each. Extra columns are ignored. Without labelled rows of both classes every score is the share of label 1 (0 if

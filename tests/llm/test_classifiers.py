@@ -92,6 +92,61 @@ def test_language(spark, odd):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+def test_forward_against_brute_force():
+    """Probabilities of short texts from the network's equations, byte by byte; windows against one pass on long texts."""
+    rng = np.random.default_rng(8)
+    words = {"a": ["alpha", "beta", "gamma"], "b": ["uno", "dos", "tres"], "c": ["één", "twee", "drie"]}
+    net = language.fitted([(" ".join(rng.choice(w, 40)), c) for c, w in words.items() for _ in range(20)], steps=60, batch=64)
+    soft = lambda v: v / (1 + np.abs(v))
+
+    def pooled(text):
+        x = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+        logits = np.zeros((len(x), len(net.classes))) + net.bias.ravel()
+        for d in (0, 1):
+            state = np.zeros(net.h)
+            for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
+                e, r = net.emb[d][:, x[t]].astype(float), net.rec[d].astype(float) @ state
+                h = net.h
+                z, q = (0.5 * (1 + soft(e[:h] + r[:h])), 0.5 * (1 + soft(e[h : 2 * h] + r[h : 2 * h])))
+                n = soft(e[2 * h :] + q * (r[2 * h :] + net.rb[d].ravel()))
+                state = state + z * (n - state)
+                logits[t] += net.out[d] @ state
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        keep = np.array([97 <= b <= 122 or b >= 0xC3 for b in x])
+        return p[keep].mean(0)
+
+    texts = ["Alpha beta", "één drie 12", "x"] + [" ".join(rng.choice([*words["a"], *words["b"]], 700)), " ".join(rng.choice(words["c"], 900))]
+    got, has = net.documents(pa.array(texts))
+    assert has.all()
+    for t, p in zip(texts, got, strict=True):
+        want = pooled(t)
+        assert np.abs(p - want).max() < (0.02 if len(t) > 200 else 1e-4) and p.argmax() == want.argmax()
+
+
+def test_many_languages_and_ordinal_signs(spark, tmp_path):
+    """More than 256 values of lang are all learned; a text without a letter's first byte has a language and a score."""
+    rows = [(k, "ab" * 20, f"l{k % 300:03d}") for k in range(900)] + [(5000, "ªº", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    net = language.model(spark, str(tmp_path))
+    assert len(net.classes) == len({lang for d, _, lang in rows[:-1] if zlib.crc32(str(d).encode()) % 4 != 2}) > 256
+    r = language.identified(spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id = 5000"), net).first()
+    assert r.lang_pred in net.classes and 0 < r.score <= 1
+
+
+def test_pair_terms_against_the_double_sum():
+    """The machine's logits equal bias + linear weights + the sum over all pairs of terms."""
+    rng = np.random.default_rng(3)
+    n, rank = 9, toxicity.RANK
+    m = toxicity.Machine(np.arange(n), 0.3, rng.normal(size=n), rng.normal(size=(n, rank)))
+    rows = [sorted(rng.choice(n, k, replace=False).tolist()) for k in (0, 1, 2, 5, 9)]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    got = m.logits(np.array([s for r in rows for s in r], np.int64), off)
+    for r, logit in zip(rows, got, strict=True):
+        want = m.w0 + sum(m.w[i] for i in r) + sum(m.v[i] @ m.v[j] for i in r for j in r if i < j)
+        assert np.isclose(logit, want)
+
+
 def test_gradients():
     net = language.Network(["a", "b", "c"], hidden=3)
     for k in ("emb", "rec", "rb", "out"):
