@@ -2,10 +2,14 @@
 
 A text's paragraphs (lines, and the sentences of a line) are scored by multinomial logistic regression over hashed
 word uni- and bigrams; its classes are licence families and "unknown". It is trained on phrasings made from the
-families' notices and on paragraphs of a bounded, hash-chosen sample of the documents that no template resembles. The
-probability from which a family counts is calibrated on held-out rows: the one that at most UNKNOWN_RATE of unknown
-paragraphs reach. A prediction is confirmed if the paragraph contains most word trigrams of one of the family's
-templates, or they contain most of its own.
+families' notices, whole and with words left out or swapped, and on the paragraphs of about SAMPLE_DOCS documents,
+chosen by hash, that hold no template: paragraphs that share some words with one are among them. A prediction is
+confirmed if the paragraph contains most word trigrams of one of the family's templates, or they contain most of its
+own.
+
+The probability from which a family counts is calibrated over all documents: paragraphs of probability FLOOR or more
+are written, the others only counted, and the threshold is the least from which at most UNKNOWN_RATE of the paragraphs
+that no template confirms count. So the rate holds at every size.
 
 DataFrame and SQL functions and pyspark.ml (all JVM) only. Scoring is a projection where the text is read; only
 paragraphs that name a licence are shuffled.
@@ -20,12 +24,12 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import kit
 
-UNKNOWN, FEATURES, SAMPLE_DOCS, UNKNOWN_RATE, CONFIRM = "unknown", 1 << 14, 400, 0.002, 0.6
+UNKNOWN, FEATURES, SAMPLE_DOCS, UNKNOWN_RATE, FLOOR, CONFIRM = "unknown", 1 << 14, 400, 0.002, 0.5, 0.6
 
 # How each family is named, and sentences of its published notice.
 NAMES = {
@@ -115,8 +119,8 @@ def confirmed(rows: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 class Scanner:
-    def __init__(self, model: LogisticRegressionModel, classes: list[str], threshold: float):
-        self.model, self.classes, self.threshold = model, classes, threshold
+    def __init__(self, model: LogisticRegressionModel, classes: list[str]):
+        self.model, self.classes = model, classes
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """Rows with family (the likeliest that isn't unknown) and score (its probability)."""
@@ -127,33 +131,69 @@ class Scanner:
         return out.withColumn("family", F.element_at(F.array(*map(F.lit, self.classes)), F.array_position("known", F.col("score")).cast("int"))).drop("known")
 
 
+def variants(text: str) -> list[str]:
+    """The text, and what noise makes of it: every fifth word left out from either of two places on, neighbours swapped, words before and after."""
+    w = text.split(" ")
+    swapped = [w[k + 1 if k % 4 == 1 and k + 1 < len(w) else k - 1 if k % 4 == 2 else k] for k in range(len(w))]
+    noisy = [" ".join(x for k, x in enumerate(w) if k % 5 != r) for r in (0, 3)] if len(w) > 4 else []
+    return list(dict.fromkeys([text, *noisy, " ".join(swapped), f"Note: {text} All rights reserved."]))
+
+
+def notices() -> list[tuple[str, str]]:
+    rows = [(f, p.format(n)) for f, names in NAMES.items() for n in names for p in PHRASES] + [(f, t) for f, texts in NOTICES.items() for t in texts]
+    return [(f, v) for f, t in rows for v in variants(t)]
+
+
 def trained(spark: SparkSession, docs: DataFrame) -> Scanner:
     classes = [*NAMES, UNKNOWN]
-    rows = [(f, p.format(n)) for f, names in NAMES.items() for n in names for p in PHRASES] + [(f, t) for f, texts in NOTICES.items() for t in texts for _ in range(3)]
-    known = _sql_table(spark, rows + [(UNKNOWN, t) for t in OTHER])
+    known = _sql_table(spark, notices() + [(UNKNOWN, t) for t in OTHER])
     n = docs.count()
     bound = int(min(1.0, SAMPLE_DOCS / max(n, 1)) * 2**64) - 2**63
-    few = paragraphs(docs.where(F.xxhash64("doc_id") <= F.lit(min(bound, 2**63 - 1))))
-    marks = [r.mark for r in templates(spark).select(F.explode(trigrams(F.col("paragraph"))).alias("mark")).distinct().collect()]  # fixed: of the templates
-    few = few.where(~F.arrays_overlap(trigrams(F.col("paragraph")), F.expr("array(" + ", ".join(f"{m}L" for m in marks if m > -(2**63)) + ")"))).select(F.lit(UNKNOWN).alias("family"), "paragraph").distinct()
-    held = F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 0
-    few = kit.written(few.withColumn("held", held), "licence-sample")
+    few = paragraphs(docs.where(F.xxhash64("doc_id") <= F.lit(min(bound, 2**63 - 1)))).select("paragraph").distinct()
+    few = kit.written(few.where(~resembling(few.sparkSession, F.col("paragraph"))).select(F.lit(UNKNOWN).alias("family"), "paragraph"), "licence-sample")
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
-    learn = featured(known.unionByName(few.where("not held").select("family", "paragraph"))).withColumn("label", label.cast("double")).coalesce(2).cache()
+    learn = featured(known.unionByName(few)).withColumn("label", label.cast("double")).coalesce(2).cache()
     model = LogisticRegression(maxIter=30, regParam=1e-3, family="multinomial").fit(learn)
     learn.unpersist()
-    scanner = Scanner(model, classes, 0.5)
-    top = scanner.probabilities(few.where("held").select("paragraph")).agg(F.percentile_approx("score", 1 - UNKNOWN_RATE, 10_000).alias("q")).first().q
-    scanner.threshold = max(0.5, min(0.9, top or 0.0))
-    return scanner
+    return Scanner(model, classes)
+
+
+def resembling(spark: SparkSession, paragraph: Column) -> Column:
+    """Does the paragraph hold CONFIRM or more of the word trigrams of a template of any family, or one of these that many of its own?"""
+    known = [r.own for r in templates(spark).select(trigrams(F.col("paragraph")).alias("own")).distinct().collect()]  # fixed: the templates
+    mark = lambda m: f"{m}L" if m > -(2**63) else "(-9223372036854775807L - 1)"
+    table = F.expr("array(" + ", ".join("array(" + ", ".join(map(mark, k)) + ")" for k in known) + ")")
+    own = F.array(trigrams(paragraph))
+    contained = lambda o: F.exists(table, lambda k: F.size(F.array_intersect(k, o)) >= F.lit(CONFIRM) * F.least(F.size(k), F.size(o)))
+    return F.exists(own, contained)  # the paragraph's trigrams are made once
+
+
+def likely(docs: DataFrame, scanner: Scanner) -> tuple[DataFrame, int]:
+    """doc_id, place, paragraph, family, score, similarity, confirmed of the paragraphs of probability FLOOR or more, as a written table; and the number of all paragraphs."""
+    seen = Observation()
+    scored = scanner.probabilities(paragraphs(docs.select("doc_id", "text"))).observe(seen, F.count(F.lit(1)).alias("n"))
+    found = confirmed(scored.where(F.col("score") >= FLOOR), docs.sparkSession).withColumn("confirmed", F.col("similarity") >= CONFIRM)
+    found = kit.written(found, "licence-paragraphs")
+    return found, seen.get["n"]
+
+
+def threshold(found: DataFrame, paragraphs: int) -> float:
+    """The least probability above which at most UNKNOWN_RATE of the paragraphs that no template confirms count (FLOOR: all of them may)."""
+    s = found.agg(F.count(F.when(F.col("confirmed"), 1)).alias("confirmed"), F.count(F.when(~F.col("confirmed"), 1)).alias("unknown")).first()
+    allowed = int(UNKNOWN_RATE * (paragraphs - s.confirmed))
+    if s.unknown <= allowed:
+        return FLOOR
+    return float(found.where("not confirmed").agg(F.percentile_approx("score", 1 - allowed / s.unknown, 100_000).alias("q")).first().q)
+
+
+def above(found: DataFrame, least: float) -> DataFrame:
+    return found.where((F.col("score") > least) if least > FLOOR else (F.col("score") >= least))
 
 
 def scanned(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """doc_id, place, paragraph, family, score, similarity, confirmed: the paragraphs that name a licence."""
-    spark = docs.sparkSession
-    scanner = scanner or trained(spark, docs.select("doc_id", "text"))
-    found = scanner.probabilities(paragraphs(docs.select("doc_id", "text"))).where(F.col("score") >= scanner.threshold)
-    return confirmed(found, spark).withColumn("confirmed", F.col("similarity") >= CONFIRM)
+    found, n = likely(docs, scanner or trained(docs.sparkSession, docs.select("doc_id", "text")))
+    return above(found, threshold(found, n))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

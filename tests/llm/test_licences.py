@@ -1,5 +1,8 @@
 import re
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm import licences
@@ -28,3 +31,69 @@ def test_unseen_phrasings_and_odd_rows(spark):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert licences.op2(spark, str(tmp_path)).collect() == []
+
+
+#: Phrasings that no training row has.
+HELD_OUT = ["This repository is covered by {}.", "You may use the code under the terms of {} only.", "{} applies to all files here.", "License: {}", "The package is made available under {} by its authors."]
+
+
+@pytest.fixture(scope="module")
+def scan(spark):
+    """Every family in unseen phrasings, among plain paragraphs and hard ones that share words with the templates."""
+    rows, k = [], 0
+    for family, names in licences.NAMES.items():
+        for name in names:
+            for p in HELD_OUT:
+                rows.append((k, p.format(name), family))
+                k += 1
+    hard = ["The software is distributed without a manual.", "A copy of the source code is free of charge.", "The public license office opened in version two.", "He was released under the terms of an agreement.", "You may not use this door except in case of fire.", "Permission is hereby requested to leave."]
+    plain = ["Plain text about nothing much, line {}.", "The weather in town {} is fair.", "On day {} nothing happened at all.", "Chapter {} ends here."]
+    rows += [(k + i, h, None) for i, h in enumerate(hard)]
+    rows += [(10_000 + i, plain[i % 4].format(i), None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    other = df.where("want is null")
+    scanner = licences.trained(spark, other)
+    least = licences.threshold(*licences.likely(other, scanner))
+    return df, scanner, licences.above(licences.likely(df, scanner)[0], least).collect(), licences.scanned(other, scanner).collect()
+
+
+def test_recall_by_family(scan):
+    df, _, got, _ = scan
+    best = {}
+    for r in got:
+        if r.score > best.get(r.doc_id, (0, ""))[0]:
+            best[r.doc_id] = (r.score, r.family)
+    want = {r.doc_id: r.want for r in df.collect()}
+    recall = {f: np.mean([best.get(d, (0, None))[1] == f for d, w in want.items() if w == f]) for f in licences.NAMES}
+    assert min(recall.values()) >= 0.6 and np.mean(list(recall.values())) >= 0.8, recall
+    assert np.mean([d in best for d, w in want.items() if w is None]) <= licences.UNKNOWN_RATE
+
+
+def test_rate_of_unknown(scan):
+    """The threshold covers all paragraphs: at most UNKNOWN_RATE of those that no template confirms count."""
+    df, _, _, got = scan
+    n = licences.paragraphs(df.where("want is null")).count()
+    assert sum(not r.confirmed for r in got) <= licences.UNKNOWN_RATE * n
+
+
+def test_scores_and_confirmation_against_brute_force(spark, scan):
+    """Probabilities from the model's coefficients, and containment from sets of trigrams, in Python."""
+    df, scanner, _, _ = scan
+    rows = scanner.probabilities(licences.paragraphs(df.where("doc_id % 37 = 0"))).collect()
+    w, b = scanner.model.coefficientMatrix.toArray(), np.array(scanner.model.interceptVector)
+    vectors = {r.paragraph: r.features for r in licences.featured(licences.paragraphs(df.where("doc_id % 37 = 0"))).collect()}
+    for r in rows:
+        z = w[:, vectors[r.paragraph].indices].sum(1) + b
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.score == pytest.approx(p[:-1].max(), abs=1e-9) and r.family == scanner.classes[int(p[:-1].argmax())]
+
+    def trigrams(t):
+        w = [x for x in re.split(r"[^\w]+|_", t.lower()) if x]
+        return {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+
+    of = {}
+    for r in licences.templates(spark).collect():
+        of.setdefault(r.family, []).append(trigrams(r.paragraph))
+    for r in licences.confirmed(df.where("want is not null").select(F.col("want").alias("family"), F.col("text").alias("paragraph")), spark).collect():
+        own = trigrams(r.paragraph)
+        assert r.similarity == pytest.approx(max(len(own & k) / min(len(own), len(k)) for k in of[r.family]))
