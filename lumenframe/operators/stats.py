@@ -29,26 +29,28 @@ def ac_symbols(q: DataFrame, order: list[int]) -> DataFrame:
 
 
 def code_sizes(counts: dict[int, int], limit: int = 16) -> dict[int, int]:
-    """Code lengths of at most `limit` bits, with one code point kept free (no code of ones only); flat counts if the limit would be passed."""
-    floor = 1
+    """Code lengths of at most `limit` bits for symbols 0 to 255.
+
+    A reserved symbol, 256, of count 1 keeps one code point free (no code of ones only). Of equal counts the higher
+    symbol is merged first, so it lies deeper; the merged node stays at the place of the less frequent one. While a code
+    is too long, the counts below the second least one (or one more than that, unless the two are neighbours) are
+    raised to it.
+    """
+    counts = {s: n for s, n in counts.items() if n > 0}
     while True:
-        heap = [(max(n, floor), s, (s,)) for s, n in counts.items()] + [(0, 1 << 30, (None,))]
+        heap = [(n, -s, (s,)) for s, n in counts.items()] + [(1, -256, (256,))]
         heapq.heapify(heap)
-        depth = dict.fromkeys([*counts, None], 0)
+        depth = dict.fromkeys([*counts, 256], 0)
         while len(heap) > 1:
             a, b = heapq.heappop(heap), heapq.heappop(heap)
             for s in a[2] + b[2]:
                 depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], max(a[1], b[1]), a[2] + b[2]))
-        if max(depth.values()) <= limit:
-            break
-        floor *= 2
-    # The reserved code point is the last of the longest codes: give it to a deepest symbol's place.
-    longest = max(depth.values())
-    if depth[None] < longest:
-        swap = max((s for s in counts if depth[s] == longest), default=None)
-        depth[swap], depth[None] = depth[None], longest
-    return {s: max(1, depth[s]) for s in counts}
+            heapq.heappush(heap, (a[0] + b[0], a[1], a[2] + b[2]))
+        if max([0, *(depth[s] for s in counts)]) <= limit:
+            return {s: depth[s] for s in counts}
+        low, second = sorted(set(counts.values()))[:2] if len(set(counts.values())) > 1 else (max(counts.values()), 1 << 31)
+        second += low + 1 != second
+        counts = {s: max(n, second) for s, n in counts.items()}
 
 
 def canonical(sizes: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from lumenframe.operators import raster as R
 from lumenframe.operators import segments as G
 from lumenframe.operators import stats as S
 from lumenframe.operators import tone as T
+from lumenframe.plans import codec
 from lumenframe.sources import fixtures as X
 from lumenframe.sources import pnm as N
 from lumenframe.streaming import incremental as I
@@ -270,3 +271,4 @@ _script5 = [(k, c) for k, cs in enumerate(G.sequential_script(10)) for c in cs]
 _add("o5_sequential_script", lambda s, d: s.createDataFrame(_script5, "scan bigint, comp bigint"), "select c // 4 as scan, c as comp from range(0, 10) t(c)")
 _add("d3_lifting_transform", lambda s, d: B.exploded(LI.transformed(X.blocks(s, d)), "c"))
 _blocks("d4_lifting_round_trip", lambda b: B.exploded(LI.restored(LI.transformed(b)), "v"), "select block, k, v from block64")
+codec.register(_add, _raster, _quant, _D, [X.BLOCK_SQL, _M, _u, _t, _d, _q])
