@@ -3,7 +3,8 @@
 A text's UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, are the samples of a grey image 64 pixels wide
 (wider above 1 MB, several images above 256 MB). Stored with subtract-green, so that one prefix code carries the
 samples, and with back-references; texts of at most 16 different bytes are stored by a palette with bundled pixels. A
-predictor transform (left or top neighbour, for the whole image) comes first where it lowers the samples' entropy.
+predictor transform (left or top neighbour, for the whole image) comes first where it lowers the samples' entropy. A
+text whose own prefix codes would save less than SLACK of its size is stored by prepared ones (webp.COMMON).
 The stored file is then decoded again and everything else is computed from what was read back. `stored` and `read`
 are general: `read` takes any lossless WebP file.
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm import kit, webp
 
 ROW, MOST_BYTES = 64, 1 << 28
+#: A text is stored by prepared prefix codes where codes of its own would save at most this share: they need not be built, written and read.
+SLACK = 0.3
 
 
 def padded(data: np.ndarray) -> np.ndarray:
@@ -42,7 +45,7 @@ def stored(payload: np.ndarray) -> bytes:
         few = len(np.flatnonzero(np.bincount(v, minlength=256))) <= 16
         mode = 0 if few else predictor(v, width)
         modes = (9, np.full((-(-len(v) // width >> 9) + 1, -(-width >> 9) + 1), mode)) if mode else None
-        out.append(webp.encode(grey, width, palette=few, grey=not few, lz=True, predictor=modes))
+        out.append(webp.encode(grey, width, palette=few, grey=not few, lz=True, predictor=modes, slack=0.0 if few else SLACK))
     return b"".join(out)
 
 

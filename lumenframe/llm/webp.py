@@ -115,6 +115,7 @@ class Code:
         used = np.flatnonzero(lengths)
         if len(used) == 1:
             self.bits, self.symbols, self.lengths, self.only = 0, used.astype(np.int64), np.zeros(1, np.int64), int(used[0])
+            self.both = (used << 4).astype(np.uint16)
             return
         self.only = None
         order = used[np.argsort(lengths[used], kind="stable")]
@@ -125,6 +126,13 @@ class Code:
             raise ValueError("not a complete prefix code")
         row = np.repeat(np.arange(len(order)), space)[flipped(self.bits)]
         self.symbols, self.lengths = order[row].astype(np.int32), n[row].astype(np.int32)
+        self.both = (self.symbols << 4 | self.lengths).astype(np.uint16)
+
+
+@lru_cache(maxsize=256)
+def lone_code(symbol: int) -> Code:
+    """The code of one symbol, which takes no bits."""
+    return Code(np.arange(symbol + 1) // max(symbol, 1) if symbol else np.ones(1, np.int64))
 
 
 # ---- bits
@@ -234,6 +242,49 @@ def put_code(w: Writer, lengths: np.ndarray) -> None:
         w.put(extra, bits)
 
 
+#: A prepared code for text: how many of a thousand bytes of European prose are each of these, roughly; every other byte counts OTHER.
+COMMON = {
+    " ": 160, "e": 120, "n": 75, "t": 70, "a": 68, "i": 65, "s": 62, "r": 60, "o": 52, "u": 38, "l": 42, "d": 38, "h": 34, "c": 30, "m": 24, "p": 20, "g": 19, "b": 14, "f": 15, "v": 11,
+    "w": 12, "k": 8, "y": 9, "z": 6, "q": 3, "x": 2, "j": 2, ".": 11, ",": 7, "\n": 3,
+}
+FIRST_OF_TWO, OTHER = 12, 0.35
+
+
+@lru_cache(maxsize=1)
+def prepared() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """Lengths and codes of green and of distances, and the bits (value, number) that write a prepared image's codes."""
+    weight = np.full(LITERALS + LENGTHS, OTHER)
+    for letter, n in COMMON.items():
+        weight[ord(letter)] = n
+    weight[0xC3], weight[LITERALS : LITERALS + 12] = FIRST_OF_TWO, 1
+    green = code_lengths((weight * 100).astype(np.int64), 12)
+    dist = code_lengths(np.concatenate([np.full(10, 2), np.full(DISTANCES - 10, 5)]), 12)
+    w = Writer()
+    w.put(0, 2)  # no colour cache, one prefix group
+    put_code(w, green)
+    for v in (0, 0, 255):
+        w.put(5, 3)
+        w.put(v, 8)
+    put_code(w, dist)
+    return green, codes(green), dist, codes(dist), w.value, w.n
+
+
+@lru_cache(maxsize=1)
+def prepared_group() -> list:
+    """The decoding tables of the prepared codes, read from the bits that write them."""
+    value, n = prepared()[4:]
+    r = Reader(value.to_bytes((n + 7) // 8 + 8, "little"))
+    r.get(2)
+    return [get_code(r, s) for s in (LITERALS + LENGTHS, 256, 256, 256, DISTANCES)]
+
+
+def is_prepared(r: Reader) -> bool:
+    """Do the codes that come next in the stream equal the prepared ones, bit for bit?"""
+    value, n = prepared()[4:]
+    first = r.at >> 3
+    return int.from_bytes(r.raw[first : first + n // 8 + 2], "little") >> (r.at & 7) & ((1 << n) - 1) == value and r.at + n <= r.end
+
+
 def get_code(r: Reader, size: int) -> Code:
     lengths = np.zeros(size, np.int64)
     if r.get(1):
@@ -242,7 +293,7 @@ def get_code(r: Reader, size: int) -> Code:
         if two:
             symbols.append(r.get(8))
         lengths[symbols] = 1
-        return Code(lengths)
+        return Code(lengths) if two else lone_code(symbols[0])
     own = np.zeros(19, np.int64)
     for s in LENGTH_ORDER[: 4 + r.get(4)]:
         own[s] = r.get(3)
@@ -317,8 +368,13 @@ def matches(px: np.ndarray, least: int = 16, reach: int = (1 << 20) - 120) -> li
     return out
 
 
-def put_pixels(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits: int = 0, lz: bool = False, groups: tuple[int, np.ndarray] | None = None) -> None:
-    """An entropy-coded image. groups: (block bits, the prefix group of each block), for the main image."""
+def put_pixels(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits: int = 0, lz: bool = False, groups: tuple[int, np.ndarray] | None = None, slack: float = 0.0) -> None:
+    """An entropy-coded image. groups: (block bits, the prefix group of each block), for the main image. slack: by how much of its size a main image may grow to do with the prepared codes."""
+    if main and slack and lz and groups is None and not cache_bits and len(px) and not (((px := px.astype(np.int64)) ^ 0xFF000000) & 0xFFFF00FF).any():
+        if _put_prepared(w, px, width, slack, found := matches(px)):
+            return
+    else:
+        found = matches(px.astype(np.int64)) if lz else []
     w.put(int(cache_bits > 0), 1)
     if cache_bits:
         w.put(cache_bits, 4)
@@ -331,7 +387,6 @@ def put_pixels(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits: in
             put_pixels(w, of.ravel().astype(np.int64) << 8, of.shape[1], False)
             n_groups = int(of.max()) + 1
     px = px.astype(np.int64)
-    found = matches(px) if lz else []
     covered = np.zeros(len(px) + 1, np.int64)
     for at, length, _ in found:
         covered[at] += 1
@@ -404,6 +459,47 @@ def put_pixels(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits: in
     w.put_all(v[some], b[some])
 
 
+def _tokens(px: np.ndarray, found: list[tuple[int, int, int]], width: int) -> tuple[np.ndarray, ...]:
+    """Of an image in which only green differs: the lone pixels' green, how many of them come before each copy, and the copies' lengths and distances as prefixes."""
+    covered = np.zeros(len(px) + 1, np.int64)
+    for at, length, _ in found:
+        covered[at] += 1
+        covered[at + length] -= 1
+    single = np.flatnonzero(np.cumsum(covered[:-1]) == 0) if found else np.arange(len(px))
+    near = near_codes(width)
+    lp = np.array([prefix_of(length) for _, length, _ in found], np.int64).reshape(-1, 3)
+    dp = np.array([prefix_of(near.get(back, back + len(NEAR))) for _, _, back in found], np.int64).reshape(-1, 3)
+    return px[single] >> 8 & 255, np.searchsorted(single, [at for at, _, _ in found]), lp, dp
+
+
+def _put_prepared(w: Writer, px: np.ndarray, width: int, slack: float, found: list[tuple[int, int, int]]) -> bool:
+    """Write the image with the prepared codes, unless codes of its own would make it smaller by more than `slack`."""
+    green_n, green_c, dist_n, dist_c, value, bits = prepared()
+    green, where, lp, dp = _tokens(px, found, width)
+    counts = np.bincount(green, minlength=LITERALS + LENGTHS) + np.bincount(LITERALS + lp[:, 0], minlength=LITERALS + LENGTHS)
+    some = counts[counts > 0]
+    own = float(-(some * np.log2(some / some.sum())).sum()) + 24 * len(lp) + 7 * len(some)  # its code lengths take about seven bits a symbol
+    if float(counts @ green_n) + 24 * len(lp) + bits > (1 + slack) * own:
+        return False
+    w.put(value, bits)
+    _put_tokens(w, green, where, lp, dp, green_n, green_c, dist_n, dist_c)
+    return True
+
+
+def _put_tokens(w: Writer, green: np.ndarray, where: np.ndarray, lp: np.ndarray, dp: np.ndarray, green_n: np.ndarray, green_c: np.ndarray, dist_n: np.ndarray, dist_c: np.ndarray) -> None:
+    if not len(lp):
+        w.put_all(green_c[green], green_n[green])
+        return
+    n = len(green)
+    value, bits = np.empty(n + 4 * len(lp), np.int64), np.empty(n + 4 * len(lp), np.int64)
+    slot = np.arange(n) + 4 * np.searchsorted(where, np.arange(n), "right")
+    value[slot], bits[slot] = green_c[green], green_n[green]
+    at = where + 4 * np.arange(len(lp))
+    for k, (v, m) in enumerate(((green_c[LITERALS + lp[:, 0]], green_n[LITERALS + lp[:, 0]]), (lp[:, 2], lp[:, 1]), (dist_c[dp[:, 0]], dist_n[dp[:, 0]]), (dp[:, 2], dp[:, 1]))):
+        value[at + k], bits[at + k] = v, m
+    w.put_all(value, bits)
+
+
 def _put_green_only(w: Writer, argb: np.ndarray, single: np.ndarray, found: list[tuple[int, int, int]], width: int) -> None:
     """The codes and tokens of an image in which only green differs between pixels."""
     near = near_codes(width)
@@ -423,23 +519,14 @@ def _put_green_only(w: Writer, argb: np.ndarray, single: np.ndarray, found: list
     for n in (green_n, dist_n):
         if (n > 0).sum() < 2:
             n[:] = 0
-    green_c = codes(green_n)
-    if not found:
-        w.put_all(green_c[green], green_n[green])
-        return
-    dist_c = codes(dist_n)
-    value, bits = np.empty(len(single) + 4 * len(found), np.int64), np.empty(len(single) + 4 * len(found), np.int64)
     where = np.searchsorted(single, [at for at, _, _ in found])  # literals before each copy
-    slot = np.arange(len(single)) + 4 * np.searchsorted(where, np.arange(len(single)), "right")
-    value[slot], bits[slot] = green_c[green], green_n[green]
-    at = where + 4 * np.arange(len(found))
-    lp, dp = np.array(lp), np.array(dp)
-    for k, (v, n) in enumerate(((green_c[LITERALS + lp[:, 0]], green_n[LITERALS + lp[:, 0]]), (lp[:, 2], lp[:, 1]), (dist_c[dp[:, 0]], dist_n[dp[:, 0]]), (dp[:, 2], dp[:, 1]))):
-        value[at + k], bits[at + k] = v, n
-    w.put_all(value, bits)
+    _put_tokens(w, green, where, np.array(lp, np.int64).reshape(-1, 3), np.array(dp, np.int64).reshape(-1, 3), green_n, codes(green_n), dist_n, codes(dist_n))
 
 
 def get_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
+    if main and is_prepared(r):
+        r.at += prepared()[5]
+        return _green_only(r, prepared_group(), width * height, width)
     cache_bits = r.get(4) if r.get(1) else 0
     n, group_bits, of = width * height, 0, None
     if main and r.get(1):
@@ -478,6 +565,7 @@ def get_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+_EIGHT = np.arange(8, dtype=np.uint32)
 _EXTRA = np.array([0] * 4 + [(p - 2) >> 1 for p in range(4, DISTANCES)], np.int64)
 _OFFSET = np.array([p + 1 for p in range(4)] + [((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in range(4, DISTANCES)], np.int64)
 
@@ -500,20 +588,22 @@ def _green_only(r: Reader, group: list[Code], n: int, width: int, window: int =
             v = sum(part[(p >> 3) + j].astype(np.int64) << 8 * j for j in range(4))
             return v >> (p & 7) & ((1 << k) - 1)
 
-        look = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel() & np.uint32((1 << green.bits) - 1)
-        sym, nxt = green.symbols[look], green.lengths[look] + np.arange(len(look), dtype=np.int32)
-        copies = np.flatnonzero(sym >= LITERALS)
+        look = (words[:, None] >> _EIGHT).ravel()
+        look &= np.uint32((1 << green.bits) - 1)
+        both = green.both[look]
+        stop = len(look)
+        nxt = np.arange(stop + 64, dtype=np.int32)  # places beyond stay
+        nxt[:stop] += both & np.uint16(15)
+        copies = np.flatnonzero(both >= LITERALS << 4)
         if len(copies):  # length, distance and what follows, at each place where a copy would begin
-            p, k = nxt[copies].astype(np.int64), sym[copies] - LITERALS
+            p, k = nxt[copies].astype(np.int64), (both[copies] >> 4).astype(np.int64) - LITERALS
             length = _OFFSET[k] + bits_at(p, _EXTRA[k])
             p = p + _EXTRA[k]
             v = bits_at(p, dist.bits)
             d = dist.symbols[v]
             p = p + dist.lengths[v]
             back = _OFFSET[d] + bits_at(p, _EXTRA[d])
-            nxt[copies] = p + _EXTRA[d]
-        stop = len(look)
-        nxt = np.append(np.minimum(nxt, stop + 63), np.arange(stop, stop + 64, dtype=np.int32))  # places beyond stay
+            nxt[copies] = np.minimum(p + _EXTRA[d], stop + 63)
         by8 = nxt[nxt]
         by8 = by8[by8]
         by8 = by8[by8]
@@ -528,7 +618,7 @@ def _green_only(r: Reader, group: list[Code], n: int, width: int, window: int =
             place[:, k] = nxt[place[:, k - 1]]
         place = place.ravel()
         place = place[: np.searchsorted(place, stop)][:want]
-        s = sym[place].astype(np.int64)
+        s = (both[place] >> 4).astype(np.int64)
         is_copy = s >= LITERALS
         size = np.ones(len(place), np.int64)
         if is_copy.any():
@@ -661,8 +751,8 @@ def bundle_bits(colours: int) -> int:
 
 
 def encode(px: np.ndarray, width: int, *, grey: bool = False, palette: bool = False, predictor: tuple[int, np.ndarray] | None = None, cross: tuple[int, np.ndarray] | None = None,
-           cache_bits: int = 0, lz: bool = False, groups: tuple[int, np.ndarray] | None = None) -> bytes:
-    """A WebP file of ARGB pixels (row by row). grey: subtract green; predictor, cross: (block bits, table)."""
+           cache_bits: int = 0, lz: bool = False, groups: tuple[int, np.ndarray] | None = None, slack: float = 0.0) -> bytes:
+    """A WebP file of ARGB pixels (row by row). grey: subtract green; predictor, cross: (block bits, table); slack: as in put_pixels."""
     px = np.asarray(px, np.int64)
     height = len(px) // width
     if not (0 < width <= MOST and 0 < height <= MOST and height * width == len(px)):
@@ -704,7 +794,7 @@ def encode(px: np.ndarray, width: int, *, grey: bool = False, palette: bool = Fa
         rows = (rows.reshape(height, -1, 1 << bits) << np.arange(1 << bits) * each).sum(2)
         width, px = rows.shape[1], 255 << 24 | rows.ravel() << 8
     w.put(0, 1)
-    put_pixels(w, px, width, True, cache_bits, lz, groups)
+    put_pixels(w, px, width, True, cache_bits, lz, groups, slack)
     data = w.bytes()
     pad = len(data) & 1
     return b"RIFF" + struct.pack("<I", 12 + len(data) + pad) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + b"\0" * pad
