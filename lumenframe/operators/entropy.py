@@ -1,8 +1,7 @@
 """Huffman coding of baseline scans, and whole files: serial work, one restart segment a group.
 
-Blocks (image, seg, mcu, q) are coded group by group, and the segments of an image are joined to a JPEG file. Reading
-goes from file to marker relation to segments to blocks: a file's segments are cut at restart markers without decoding,
-so decoding is parallel over segments of all files.
+Blocks (image, seg, mcu, q) are coded group by group with the standard's tables, and the segments of an image are joined
+to a JPEG file. Reading goes from file to marker relation; `scans.decode` goes on from there with the file's own tables.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,14 +21,14 @@ from lumenframe.operators.blocks import zigzag
 DC_BITS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
 DC_SYMBOLS = list(range(12))
 AC_BITS = [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]
-_FREQUENT = "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"
-
-
-def ac_symbols() -> list[int]:
-    """The frequent symbols, then all others in ascending order."""
-    first = [int(x, 16) for x in _FREQUENT.split()]
-    every = [0, 0xF0] + [run << 4 | size for run in range(16) for size in range(1, 11)]
-    return first + sorted(set(every) - set(first))
+AC_SYMBOLS = [
+    0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1,
+    0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82, 0x09, 0x0A, 0x16, 0x17, 0x18, 0x19, 0x1A, 0x25, 0x26, 0x27, 0x28, 0x29, 0x2A, 0x34, 0x35, 0x36, 0x37,
+    0x38, 0x39, 0x3A, 0x43, 0x44, 0x45, 0x46, 0x47, 0x48, 0x49, 0x4A, 0x53, 0x54, 0x55, 0x56, 0x57, 0x58, 0x59, 0x5A, 0x63, 0x64, 0x65, 0x66, 0x67, 0x68, 0x69, 0x6A,
+    0x73, 0x74, 0x75, 0x76, 0x77, 0x78, 0x79, 0x7A, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x92, 0x93, 0x94, 0x95, 0x96, 0x97, 0x98, 0x99, 0x9A, 0xA2, 0xA3,
+    0xA4, 0xA5, 0xA6, 0xA7, 0xA8, 0xA9, 0xAA, 0xB2, 0xB3, 0xB4, 0xB5, 0xB6, 0xB7, 0xB8, 0xB9, 0xBA, 0xC2, 0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xC9, 0xCA, 0xD2, 0xD3,
+    0xD4, 0xD5, 0xD6, 0xD7, 0xD8, 0xD9, 0xDA, 0xE1, 0xE2, 0xE3, 0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9, 0xEA, 0xF1, 0xF2, 0xF3, 0xF4, 0xF5, 0xF6, 0xF7, 0xF8, 0xF9, 0xFA,
+]
 
 
 def codes(bits: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]:
@@ -43,34 +43,28 @@ def codes(bits: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]:
 
 
 @lru_cache(maxsize=1)
-def tables() -> tuple[dict, dict, dict, dict]:
-    """Encoding and decoding tables of DC and AC: (code, length) by symbol and back."""
-    dc, ac = codes(DC_BITS, DC_SYMBOLS), codes(AC_BITS, ac_symbols())
-    return dc, ac, {v: k for k, v in dc.items()}, {v: k for k, v in ac.items()}
-
+def tables() -> tuple[dict, dict]:
+    """(code, length) by symbol of DC and AC."""
+    return codes(DC_BITS, DC_SYMBOLS), codes(AC_BITS, AC_SYMBOLS)
 
-class Bits:
-    def __init__(self):
-        self.value, self.n = 0, 0
 
-    def put(self, value: int, n: int) -> None:
-        self.value, self.n = self.value << n | value & ((1 << n) - 1), self.n + n
-
-    def bytes(self) -> bytes:
-        """The bits, filled up with ones, a 0 byte after each FF."""
-        fill = -self.n % 8
-        return ((self.value << fill | (1 << fill) - 1).to_bytes((self.n + fill) // 8, "big")).replace(b"\xff", b"\xff\x00")
+def packed(values: np.ndarray, bits: np.ndarray) -> bytes:
+    """The values' bits, one after another, filled up with ones, a 0 byte after each FF."""
+    bits = bits.astype(np.int64)
+    row = np.repeat(np.arange(len(bits)), bits)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(bits) - bits, bits)
+    b = values.astype(np.int64)[row] >> (bits[row] - 1 - at) & 1
+    return np.packbits(np.append(b, np.ones(-len(b) % 8, np.int64)).astype(np.uint8)).tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def encoded_segment(blocks: list[list[int]]) -> bytes:
     """Coefficient blocks (raster order) of one segment: DC differences and AC runs, Huffman coded."""
-    dc, ac, _, _ = tables()
-    order, out, before = zigzag(), Bits(), 0
+    dc, ac = tables()
+    order, out, before = zigzag(), [], 0
     for q in blocks:
         diff, before = q[0] - before, q[0]
         size = abs(diff).bit_length()
-        out.put(*dc[size])
-        out.put(diff if diff >= 0 else diff - 1, size)
+        out += [dc[size], ((diff if diff >= 0 else diff - 1) & (1 << size) - 1, size)]
         run = 0
         last = max((k for k in range(1, 64) if q[order[k]]), default=0)
         for k in range(1, last + 1):
@@ -79,59 +73,15 @@ def encoded_segment(blocks: list[list[int]]) -> bytes:
                 run += 1
                 continue
             while run > 15:
-                out.put(*ac[0xF0])
+                out.append(ac[0xF0])
                 run -= 16
             size = abs(v).bit_length()
-            out.put(*ac[run << 4 | size])
-            out.put(v if v >= 0 else v - 1, size)
+            out += [ac[run << 4 | size], ((v if v >= 0 else v - 1) & (1 << size) - 1, size)]
             run = 0
         if last < 63:
-            out.put(*ac[0])
-    return out.bytes()
-
-
-def decoded_segment(data: bytes, n: int) -> list[list[int]]:
-    """n blocks of a segment; blocks beyond broken data are zero."""
-    _, _, dc, ac = tables()
-    raw = data.replace(b"\xff\x00", b"\xff")
-    bits = "".join(f"{b:08b}" for b in raw)
-    at, before, order, out = 0, 0, zigzag(), []
-
-    def symbol(table: dict) -> int:
-        nonlocal at
-        for length in range(1, 17):
-            got = table.get((int(bits[at : at + length], 2), length))
-            if got is not None:
-                at += length
-                return got
-        raise ValueError("no such code")
-
-    def value(size: int) -> int:
-        nonlocal at
-        if not size:
-            return 0
-        v = int(bits[at : at + size], 2)
-        at += size
-        return v if v >> (size - 1) else v - (1 << size) + 1
-
-    try:
-        for _ in range(n):
-            q = [0] * 64
-            before += value(symbol(dc))
-            q[0] = before
-            k = 1
-            while k < 64:
-                s = symbol(ac)
-                if s == 0:
-                    break
-                k += s >> 4
-                if s & 15:
-                    q[order[k]] = value(s & 15)
-                k += 1
-            out.append(q)
-    except (ValueError, IndexError):
-        pass
-    return out + [[0] * 64] * (n - len(out))
+            out.append(ac[0])
+    v = np.array(out, np.int64).reshape(-1, 2)
+    return packed(v[:, 0], v[:, 1])
 
 
 def encode(blocks: DataFrame) -> DataFrame:
@@ -154,7 +104,7 @@ def header(width: int, height: int, deltas: list[int], interval: int) -> bytes:
     frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([1, 1, 0x11, 0])
     return (
         b"\xff\xd8" + marker(0xDB, b"\0" + scan) + marker(0xC0, frame) + marker(0xC4, b"\0" + bytes(DC_BITS) + bytes(DC_SYMBOLS))
-        + marker(0xC4, b"\x10" + bytes(AC_BITS) + bytes(ac_symbols())) + marker(0xDD, interval.to_bytes(2, "big")) + marker(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+        + marker(0xC4, b"\x10" + bytes(AC_BITS) + bytes(AC_SYMBOLS)) + marker(0xDD, interval.to_bytes(2, "big")) + marker(0xDA, bytes([1, 1, 0, 0, 63, 0]))
     )
 
 
@@ -224,23 +174,3 @@ def information(m: DataFrame) -> DataFrame:
     """image, width, height, precision, components from the frame markers."""
     number = lambda at, n: F.conv(F.hex(F.substring("payload", at, n)), 16, 10).cast("bigint")
     return m.where("marker = 192").select("image", number(4, 2).alias("width"), number(2, 2).alias("height"), number(1, 1).alias("precision"), number(6, 1).alias("components"))
-
-
-def decode(m: DataFrame) -> DataFrame:
-    """image, mcu, q: the coefficient blocks of all segments. One row of parameters for each image meets its segments by key."""
-    interval = m.where("marker = 221").select("image", F.conv(F.hex("payload"), 16, 10).cast("bigint").alias("interval"))
-    total = information(m).selectExpr("image", "(width + 7) div 8 * ((height + 7) div 8) as total")
-    segments = m.where("marker = 0 or marker between 208 and 215").selectExpr("image", "payload", "row_number() over (partition by image order by seq) - 1 as seg")
-    rows = segments.join(interval, "image").join(total, "image").selectExpr("image", "payload", "seg * interval as first", "least(interval, total - seg * interval) as n")
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            image, mcu, q = [], [], []
-            for i, data, first, n in zip(*(b.column(k).to_pylist() for k in ("image", "payload", "first", "n")), strict=True):
-                got = decoded_segment(data, n)
-                image += [i] * n
-                mcu += range(first, first + n)
-                q += got
-            yield pa.RecordBatch.from_arrays([pa.array(image, pa.int64()), pa.array(mcu, pa.int64()), pa.array(q, pa.list_(pa.int64()))], names=["image", "mcu", "q"])
-
-    return rows.mapInArrow(blocks, "image bigint, mcu bigint, q array<bigint>")

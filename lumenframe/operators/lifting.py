@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BITS = 12
+# The flow graph of the fast 8-point DCT-II by plane rotations (Chen, Smith and Fralick, 1977; as lifting steps:
+# Liang and Tran, "Fast multiplierless approximations of the DCT with the lifting scheme", 2001). A reversible transform must
+# take the same steps in the same order to agree to the bit.
 #: (first, second, k, is the second negated afterwards): butterflies, then the even and odd parts' rotations.
 STEPS = [(0, 4, 4, 1), (1, 5, 4, 1), (2, 6, 4, 1), (3, 7, 4, 1), (0, 3, 4, 1), (1, 2, 4, 1), (4, 7, 1, 0), (5, 6, 3, 0), (4, 5, 4, 1), (6, 7, 4, 1), (0, 1, 4, 0), (3, 2, 2, 0), (5, 6, 4, 0)]
 #: Which value and sign each frequency is.

@@ -84,7 +84,9 @@ def thresholds(bits: int, near: int = 0) -> tuple[int, int, int]:
 def contexts(px: DataFrame, bits: int = 8, near: int = 0) -> DataFrame:
     """y, x, p, ctx, negative, run: the median prediction, the context index after sign folding, and whether run mode applies."""
     t1, t2, t3 = thresholds(bits, near)
-    n = neighbours(px).selectExpr("y", "x", "coalesce(a, b, 0L) as a", "coalesce(b, 0L) as b", "coalesce(c, 0L) as c", "coalesce(d, b, 0L) as d")
+    # Left of column 0 lies the sample above; so its corner is what lay left of the line above: the first sample two lines up.
+    n = neighbours(px).withColumn("start", F.lag("v", 2).over(Window.partitionBy("x").orderBy("y")))
+    n = n.selectExpr("y", "x", "coalesce(a, b, 0L) as a", "coalesce(b, 0L) as b", "coalesce(c, if(x = 0, start, null), 0L) as c", "coalesce(d, b, 0L) as d")
     p = "case when c >= greatest(a, b) then least(a, b) when c <= least(a, b) then greatest(a, b) else a + b - c end"
 
     def quantized(g: str) -> str:

@@ -54,8 +54,10 @@ def mcu_order(px: DataFrame, mcus: int) -> DataFrame:
 
 
 def downsampled(px: DataFrame, sx: int, sy: int, column: str = "r") -> DataFrame:
-    """Box means, divided toward zero by the lines and columns that are there."""
-    return px.groupBy(F.expr(f"y div {sy}").alias("y"), F.expr(f"x div {sx}").alias("x")).agg(F.expr(f"sum({column}) div (count(distinct y) * {sx})").alias("v"))
+    """Box means, divided toward zero. A partial last group of columns repeats each line's last sample; a partial last group of lines is divided by the lines that are there."""
+    last = F.lead("x").over(Window.partitionBy("y").orderBy("x")).isNull()
+    w = px.select("y", "x", F.col(column).alias("c"), F.when(last, F.expr(f"{sx} - x % {sx}")).otherwise(1).alias("w"))
+    return w.groupBy(F.expr(f"y div {sy}").alias("y"), F.expr(f"x div {sx}").alias("x")).agg(F.expr(f"sum(c * w) div (count(distinct y) * {sx})").alias("v"))
 
 
 def upsampled_rows(px: DataFrame, factor: int, column: str = "r") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators import markers as M
 from lumenframe.operators import stats
 from lumenframe.operators.blocks import zigzag
-from lumenframe.operators.entropy import marker
+from lumenframe.operators.entropy import marker, packed
 
 TOKENS = "image bigint, scan bigint, seg bigint, i bigint, tc bigint, th bigint, symbol bigint, value bigint, bits bigint"
 SCRIPT = "scan bigint, comps array<bigint>, ss bigint, se bigint, ah bigint, al bigint"
@@ -197,15 +197,6 @@ def code_tables(counts: DataFrame) -> DataFrame:
     return s.selectExpr("*", f"shiftright({before}, cast(16 - size as int)) as code")
 
 
-def packed(values: np.ndarray, bits: np.ndarray) -> bytes:
-    """The values' bits, one after another, filled up with ones, a 0 byte after each FF."""
-    bits = bits.astype(np.int64)
-    row = np.repeat(np.arange(len(bits)), bits)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(bits) - bits, bits)
-    b = values.astype(np.int64)[row] >> (bits[row] - 1 - at) & 1
-    return np.packbits(np.append(b, np.ones(-len(b) % 8, np.int64)).astype(np.uint8)).tobytes().replace(b"\xff", b"\xff\x00")
-
-
 def segments(t: DataFrame, tables: DataFrame) -> DataFrame:
     """image, scan, seg, data."""
     c = t.join(tables, ["image", "scan", "tc", "th", "symbol"], "left")

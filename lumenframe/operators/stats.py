@@ -77,6 +77,16 @@ def masked(blocks: DataFrame, threshold: int) -> DataFrame:
     return d.selectExpr("block", f"cast(size(filter(var, x -> x > {threshold})) as bigint) as cells").selectExpr("block", "cells", "cells > 11 as all_masked")
 
 
+def cleared(blocks: DataFrame, threshold: int, middle: int = 128) -> DataFrame:
+    """block, res from block, v (the original), res: residual samples in 2x2 cells that vary more than the threshold become the middle; all of a block's, if over 11 cells do."""
+    # Arrays that a lambda looks into are bound first: an inlined one would be computed for each element.
+    cells = "get(transform(array(v), w -> transform(sequence(0, 15), c -> transform(array(0, 1, 8, 9), o -> get(w, c div 4 * 16 + c % 4 * 2 + o)))), 0)"
+    over = f"transform(transform({cells}, p -> struct(p as p, shiftright(aggregate(p, 2L, (s, x) -> s + x), 2) as m)), c -> shiftright(aggregate(c.p, 2L, (s, x) -> s + (x - c.m) * (x - c.m)), 2) > {threshold})"
+    gone = "struct(o as o, size(filter(o, x -> x)) > 11 as whole)"
+    kept = f"transform(res, (r, i) -> if(g.whole or get(g.o, i div 16 * 4 + i % 8 div 2), {middle}L, r))"
+    return blocks.selectExpr("block", f"get(transform(transform(array({over}), o -> {gone}), g -> {kept}), 0) as res")
+
+
 def extremes(blocks: DataFrame) -> DataFrame:
     """block, total, low, high: the sum of a block's samples, and how many are at its least and greatest value of the range."""
     count = lambda v: f"cast(size(filter(v, x -> x = {v})) as bigint)"

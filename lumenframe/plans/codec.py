@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from lumenframe.operators import arithmetic as A
 from lumenframe.operators import blocks as B
 from lumenframe.operators import boxes as BX
+from lumenframe.operators import deringing as DR
 from lumenframe.operators import entropy as E
 from lumenframe.operators import lossless as LL
 from lumenframe.operators import markers as M
 from lumenframe.operators import scans as S
 from lumenframe.operators import segments as G
-from lumenframe.operators.stats import checksum
+from lumenframe.operators import stats as ST
+from lumenframe.operators import tables as TB
+from lumenframe.operators import tone as T
 from lumenframe.sources import fixtures as X
 
 #: Images of 4 x 4 MCUs in 4:2:0, six blocks each; the last image is filled up with blocks of zeros.
@@ -131,12 +134,12 @@ def register(add, raster, quant, deltas: list[int], quantized_sql: list[str]) ->
         return BX.super_box(rows)
 
     add("io24_super_boxes", lambda s, d: BX.children(spec(s, d)).selectExpr("image", "place", "type", "cast(data as string) as data"), "select doc_id as image, k as place, 'TY' || k || 'Z' as type, repeat('x', (doc_id % 50 + k)::int) || k as data from documents, range(0, doc_id % 3 + 1) t(k)")
-    add("io25_file_types", lambda s, d: BX.file_type(X.table(s, d, "documents").selectExpr("doc_id as image", f"'ftyp' as type", f"concat(cast('jpxt' as binary), {b('doc_id', 4)}, cast(array_join(transform(sequence(1, cast(doc_id % 3 + 1 as int)), k -> if(k = 1, 'xrad', 'acfp')), '') as binary)) as data")).selectExpr("image", "brand", "version", "array_join(compatible, ' ') as compatible"),
+    add("io25_file_types", lambda s, d: BX.file_type(X.table(s, d, "documents").selectExpr("doc_id as image", "'ftyp' as type", f"concat(cast('jpxt' as binary), {b('doc_id', 4)}, cast(array_join(transform(sequence(1, cast(doc_id % 3 + 1 as int)), k -> if(k = 1, 'xrad', 'acfp')), '') as binary)) as data")).selectExpr("image", "brand", "version", "array_join(compatible, ' ') as compatible"),
         "select doc_id as image, 'jpxt' as brand, doc_id as version, 'xrad' || repeat(' acfp', (doc_id % 3)::int) as compatible from documents")
     add("c13_alpha_modes", lambda s, d: BX.alpha_mode(X.table(s, d, "documents").selectExpr("doc_id as image", "'AMUL' as type", f"{b('16 * (doc_id % 4)', 1)} as data")), "select doc_id as image, ['opaque', 'regular', 'premultiplied', 'matte'][doc_id % 4 + 1] as mode from documents")
 
     def verified(s: SparkSession, d: str) -> DataFrame:
-        own = checksum(X.text_bytes(s, d), "doc_id", "data")
+        own = ST.checksum(X.text_bytes(s, d), "doc_id", "data")
         said = BX.checksums(own.selectExpr("doc_id as image", "'LCHK' as type", f"{b('if(doc_id % 5 = 0, checksum + 1, checksum)', 4)} as data"))
         return own.join(said.withColumnRenamed("image", "doc_id").withColumnRenamed("checksum", "said"), "doc_id").selectExpr("doc_id", "checksum = said as ok")
 
@@ -154,3 +157,35 @@ def register(add, raster, quant, deltas: list[int], quantized_sql: list[str]) ->
         raster(f"w2_segment_residuals_{mode}", lambda px, k=mode: LL.residuals(px, k, 8), e_sql, nb)
     raster("e8_lossless_huffman_round_trip", lambda px: LL.round_trip(LL.residuals(px, 7, 8)), e_sql, nb)
     raster("e7_lossless_arithmetic_round_trip", lambda px: A.lossless_round_trip(LL.residuals(px, 7, 8), 8, 64).select("y", "x", "e"), e_sql.replace("y // 8 as seg, ", ""), nb)
+
+
+def register_tone(add, raster, blocks, deltas: list[int], quantized_sql: list[str], quantized) -> None:
+    """Tone tables, numbers by bits, deringing and masking. quantized: SQL text of quantized coefficients of a table of samples."""
+    hist = lambda px: px.selectExpr("0L as comp", "r as ldr", "cast(floor(luma) as bigint) as hdr").groupBy("comp", "ldr", "hdr").agg(F.count(F.lit(1)).alias("n"))
+    h = "h as (select r as ldr, cast(floor(luma) as bigint) as hdr, count(*) as n from raster group by 1, 2), c as (select *, sum(n) over (partition by ldr order by hdr) as upto, sum(n) over (partition by ldr) as total from h)"
+    for name, median in (("g9_mean_anchors", False), ("g9_median_anchors", True)):
+        mid = "when sum(n) > 1 then min(case when upto >= total // 2 then hdr end)::double" if median else ""
+        raster(name, lambda px, m=median: TB.anchors(hist(px), 1024, m).selectExpr("ldr", "round(w, 6) as w", "low", "high"),
+               f"select ldr, round(case when max(hdr) - min(hdr) > 512 then ((max(hdr) - min(hdr)) >> 1)::double {mid} else sum(hdr * n) / sum(n)::double end, 6) as w, min(hdr) as low, max(hdr) as high from c group by ldr", h)
+    add("g9_inverse_map", lambda s, d: TB.inverse_map(hist(X.raster(s, d)), 1024, smooth=2, bits=2))
+    add("t5_inverted_table", lambda s, d: TB.inverted(s.range(256).selectExpr("id as i", "id * id div 300 as w"), 8),
+        "with t as (select i, i * i // 300 as w from range(0, 256) r(i)), w as (select j as w from range(0, 256) q(j)), f as (select w, (min(i) + max(i)) >> 1 as i, min(i) as lo, max(i) as hi from t group by w), g as (select w.w, f.i, (select max(x.w) from f x where x.w < w.w) as b, (select min(x.w) from f x where x.w > w.w) as a from w left join f using (w)), r as (select g.w, coalesce(g.i, case when a is null then case when (select max(w) from f) < 192 then (select max(i) from t) else 0 end when g.w > ((b + a + 1) >> 1) - 1 then (select lo from f where f.w = a) else (select hi from f where f.w = b) end) as i from g), e as (select w, i, lead(i) over (order by w) as e1, lead(i, 2) over (order by w) as e2, lag(i) over (order by w) as a1, lag(i, 2) over (order by w) as a2 from r) select w, (case when w = 0 and abs(i - e1) > 2 * abs(e2 - e1) then 2 * e1 - e2 when w = 255 and abs(i - a1) > 2 * abs(a2 - a1) then 2 * a1 - a2 else i end)::bigint as i from e")
+    add("t7_inverted_curve", lambda s, d: TB.inverted(T.lut(s, *T.SRGB), 16).where("w % 257 = 0").selectExpr("w div 257 as k", "i"))
+    raster("t12_float_bits", lambda px: px.selectExpr("y", "x", f"{TB.float_bits('(luma - 300D)')} as single", f"{TB.float_bits('(luma - 300D)', 5, 10)} as half"),
+           "select y, x, " + ", ".join(f"(case when v < 0 then {1 << (e + m)}::bigint else 0 end + case when v = 0 then 0 else (fl + {(1 << (e - 1)) - 2}) * {1 << m}::bigint + cast(floor(abs(v) / power(2.0, fl) * {1 << m}) as bigint) end)::bigint as {n}" for e, m, n in ((8, 23, "single"), (5, 10, "half"))) + " from (select y, x, v, case when abs(v) >= power(2.0, f + 1) then f + 1 when abs(v) < power(2.0, f) then f - 1 else f end as fl from (select y, x, luma - 300 as v, case when luma = 300 then 0 else greatest(floor(log2(abs(luma - 300)))::bigint, -14) end as f from raster))")
+    raster("t12_bits_to_float", lambda px: px.selectExpr("y", "x", f"{TB.bits_float('(r * 121L)', 5, 10)} as v"), "select y, x, case when (r * 121) >> 10 = 0 then ((r * 121) & 1023) * power(2.0, -24) else (1024 + ((r * 121) & 1023)) * power(2.0, ((r * 121) >> 10) - 25) end as v from raster")
+    raster("t11_output_conversion", lambda px: TB.output_converted(px.selectExpr("y", "x", "r * 3 - 200 as s"), "s", 8), "select y, x, greatest(0, least(255, r * 3 - 200)) as v from raster")
+    raster("t11_output_table", lambda px: TB.output_converted(px, "r", 8, px.sparkSession.range(256).selectExpr("id as i", "id * 2 as w"), clip=False), "select y, x, (r * 2) & 255 as v from raster")
+    raster("t11_output_half", lambda px: TB.output_converted(px.selectExpr("y", "x", "r * 400 - 20000 as s"), "s", 16, half=True), "select y, x, case when greatest(-31744, least(31743, r * 400 - 20000)) < 0 then 32768 | (-greatest(-31744, r * 400 - 20000) - 1) else least(31743, r * 400 - 20000) end as v from raster")
+    cell = "cell as (select block, k // 16 as cy, k % 8 // 2 as cx, (sum(v)::bigint + 2) >> 2 as m from block64 group by all), va as (select block64.block, cy, cx, (sum((v - m) * (v - m))::bigint + 2) >> 2 > 400 as o from block64 join cell on cell.block = block64.block and cy = k // 16 and cx = k % 8 // 2 group by all), al as (select block, count(*) filter (where o) > 11 as a from va group by block)"
+    blocks("g12_cleared_residual", lambda b: B.exploded(ST.cleared(b.selectExpr("block", "v", "transform(v, (x, i) -> x - i) as res"), 400), "res"),
+           "select b.block, k, case when a or o then 128 else v - k end as v from block64 b join va on va.block = b.block and cy = k // 16 and cx = k % 8 // 2 join al on al.block = b.block", cell)
+    step = "(select s.block, s.k, s.mask, case when s.mask = 0 then s.v else case when s.v <= 0 then least(n, 0) when s.v >= 255 then greatest(n, 255) else n end end as v from (select c.block, c.k, c.mask, c.v, (((4 * c.v + coalesce(l.v, c.v) + coalesce(r.v, c.v) + coalesce(u.v, c.v) + coalesce(w.v, c.v)) | 1) + 3) >> 3 as n from {0} c left join {0} l on l.block = c.block and l.k = c.k - 1 and c.k % 8 > 0 left join {0} r on r.block = c.block and r.k = c.k + 1 and c.k % 8 < 7 left join {0} u on u.block = c.block and u.k = c.k - 8 left join {0} w on w.block = c.block and w.k = c.k + 8) s)"
+    over = max(2 * deltas[0], 31)
+    m0 = f"mk as (select block, k, v, case when v <= 0 then -1 when v >= 255 then 1 else 0 end as mask, sum(v) over (partition by block)::bigint as total from block64), m0 as (select block, k, mask, case mask when 1 then 255 + least((16320 - total) >> 6, {over}) when -1 then 0 - least(total >> 6, {over}) else v end as v from mk), sm as (select block, count(*) filter (where mask = 1) between 1 and 63 or count(*) filter (where mask = -1) between 1 and 63 as s from mk group by block)"
+    m1, m2, m3 = (f"m{k + 1} as {step.format(f'm{k}')}" for k in range(3))
+    mod = "md as (select m3.block, m3.k, case when s then m3.v else block64.v end as v from m3 join sm on sm.block = m3.block join block64 on block64.block = m3.block and block64.k = m3.k)"
+    blocks("d7_overshoot", lambda b: B.exploded(DR.smoothed(b, deltas[0]), "mod"), "select block, k, v from md", m0, m1, m2, m3, mod)
+    blocks("d7_deringing", lambda b: B.exploded(DR.deringed(b, deltas), "q"),
+           "select q.block, q.k, case when q.k = 0 then nq.v when q.v = 0 then 0 else greatest(-((1 << length(bin(abs(q.v)))) - 1), least((1 << length(bin(abs(q.v)))) - 1, nq.v)) end as v from q join nq on nq.block = q.block and nq.k = q.k",
+           *quantized_sql[1:], m0, m1, m2, m3, mod, *quantized("md", "n"))

@@ -15,6 +15,7 @@ from lumenframe.operators import lifting as LI
 from lumenframe.operators import nearlossless as NL
 from lumenframe.operators import predict as P
 from lumenframe.operators import raster as R
+from lumenframe.operators import scans as SC
 from lumenframe.operators import segments as G
 from lumenframe.operators import stats as S
 from lumenframe.operators import tone as T
@@ -147,7 +148,7 @@ _add("g14_mcu_size", lambda s, d: s.createDataFrame([(a, b, *R.mcu_size([(a, 1),
      "select a, b, lcm(a, b) as w, 6 as h from range(1, 5) t(a), range(1, 5) u(b)")
 
 # ---- prediction
-_NB = "nb as (select y, x, r as v, lag(r) over (partition by y order by x) as a, lag(r) over (partition by x order by y) as b, lag(r) over (partition by x - y order by y) as c, lag(r) over (partition by x + y order by y) as d from raster)"
+_NB = "nb as (select y, x, r as v, lag(r) over (partition by y order by x) as a, lag(r) over (partition by x order by y) as b, lag(r) over (partition by x - y order by y) as c, lag(r) over (partition by x + y order by y) as d, lag(r, 2) over (partition by x order by y) as e from raster)"
 _rule = {1: "a", 2: "b", 3: "c", 4: "a + b - c", 5: "a + ((b - c) >> 1)", 6: "b + ((a - c) >> 1)", 7: "(a + b) >> 1"}
 for _mode, _p in _rule.items():
     _raster(f"w2_predictor_{_mode}", lambda px, k=_mode: P.residuals(px, k), f"select y, x, v - (case when x = 0 and y = 0 then 128 when y = 0 then a when x = 0 then b else {_p} end) as e from nb", _NB)
@@ -159,7 +160,7 @@ _raster("w5_point_shift", lambda px: P.residuals(px, 2, shift=2), "select y, x,
 _raster("w4_wrap", lambda px: px.selectExpr("y", "x", f"{C.rounded_shift('0L', 0)} as z", f"{P.signed16('r * 700 - g * 500')} as w"), "select y, x, 0 as z, ((r * 700 - g * 500 + 32768) & 65535) - 32768 as w from raster")
 _t1, _t2, _t3 = P.thresholds(8)
 _qg = lambda g: f"case when {g} <= -{_t3} then -4 when {g} <= -{_t2} then -3 when {g} <= -{_t1} then -2 when {g} < 0 then -1 when {g} <= 0 then 0 when {g} < {_t1} then 1 when {g} < {_t2} then 2 when {g} < {_t3} then 3 else 4 end"
-_ls = f"ls as (select y, x, case when c >= greatest(a, b) then least(a, b) when c <= least(a, b) then greatest(a, b) else a + b - c end as p, {_qg('(d - b)')} as q1, {_qg('(b - c)')} as q2, {_qg('(c - a)')} as q3 from (select y, x, coalesce(a, b, 0) as a, coalesce(b, 0) as b, coalesce(c, 0) as c, coalesce(d, b, 0) as d from nb))"
+_ls = f"ls as (select y, x, case when c >= greatest(a, b) then least(a, b) when c <= least(a, b) then greatest(a, b) else a + b - c end as p, {_qg('(d - b)')} as q1, {_qg('(b - c)')} as q2, {_qg('(c - a)')} as q3 from (select y, x, coalesce(a, b, 0) as a, coalesce(b, 0) as b, coalesce(c, case when x = 0 then e end, 0) as c, coalesce(d, b, 0) as d from nb))"
 _neg = "(q1 < 0 or (q1 = 0 and q2 < 0) or (q1 = 0 and q2 = 0 and q3 < 0))"
 _raster("w6_w9_contexts", P.contexts, f"select y, x, p, case when {_neg} then -q1 * 81 + (-q2 + 4) * 9 - q3 + 4 + 2 else q1 * 81 + (q2 + 4) * 9 + q3 + 4 + 2 end as ctx, {_neg} as negative, q1 = 0 and q2 = 0 and q3 = 0 as run from ls", _NB, _ls)
 
@@ -168,7 +169,7 @@ _raster("f1_region", lambda px: R.region(px, 10, 5, 40, 30, "rb"), "select y, x,
 _raster("f2_block_inside", lambda px: R.block_inside(px, 8, 8, 50, 60), "select distinct y // 8 as by, x // 8 as bx, x // 8 * 8 >= 8 and x // 8 * 8 + 7 <= 50 and y // 8 * 8 >= 8 and y // 8 * 8 + 7 <= 60 as inside from raster")
 _sub = R.subsampled_region(11, 7, 40, 33, 2, 2)
 _raster("f3_subsampled_region", lambda px: R.downsampled(px, 2, 2).where(F.col("x").between(_sub[0], _sub[2]) & F.col("y").between(_sub[1], _sub[3])),
-        "select y // 2 as y, x // 2 as x, sum(r)::bigint // (count(distinct y) * 2) as v from raster where x // 2 between 5 and 20 and y // 2 between 3 and 16 group by 1, 2")
+        "select y // 2 as y, x // 2 as x, sum(r * w)::bigint // (count(distinct y) * 2) as v from (select *, case when x = max(x) over (partition by y) then 2 - x % 2 else 1 end as w from raster) where x // 2 between 5 and 20 and y // 2 between 3 and 16 group by 1, 2")
 _raster("f4_strided_view", lambda px: R.every(px, 4, 2, 1, 1), "select y // 2 as y, x // 4 as x, r, g, b from raster where x % 4 = 1 and y % 2 = 1")
 _raster("f7_clip_and_wrap", lambda px: R.clipped(px, 16, 235, 8), "select y, x, greatest(16, least(235, r * 3 - 200)) as clip, (r * 3 - 200) & 255 as wrap from raster")
 _b = "bl as (select distinct y // 8 as by, x // 8 as bx from raster)"
@@ -183,9 +184,8 @@ _add("o4_progressive_script", lambda s, d: s.createDataFrame(_script, "scan bigi
 
 # ---- resampling
 for _sx, _sy in ((2, 1), (2, 2), (3, 3), (4, 4), (1, 2)):
-    _whole = f" where x // {_sx} < {64 // _sx}"
-    _raster(f"r1_downsample_{_sx}x{_sy}", lambda px, a=_sx, b=_sy: R.downsampled(px.where(f"x div {a} < {64 // a}"), a, b),
-            f"select y // {_sy} as y, x // {_sx} as x, sum(r)::bigint // (count(distinct y) * {_sx}) as v from raster{_whole} group by 1, 2")
+    _raster(f"r1_downsample_{_sx}x{_sy}", lambda px, a=_sx, b=_sy: R.downsampled(px, a, b),
+            f"select y // {_sy} as y, x // {_sx} as x, sum(r * w)::bigint // (count(distinct y) * {_sx}) as v from (select *, case when x = max(x) over (partition by y) then {_sx} - x % {_sx} else 1 end as w from raster) group by 1, 2")
 _up = "up as (select x, y, r as c, coalesce(lag(r) over (partition by x order by y), r) as t, coalesce(lead(r) over (partition by x order by y), r) as b from raster)"
 _across = "up as (select x, y, r as c, coalesce(lag(r) over (partition by y order by x), r) as l, coalesce(lead(r) over (partition by y order by x), r) as r from raster)"
 _V = {2: ["(t + 3 * c + 2 - x % 2) >> 2", "(b + 3 * c + 1 + x % 2) >> 2"], 3: ["(t + 3 * c + 2 - x % 2) >> 2", "c", "(b + 3 * c + 1 + x % 2) >> 2"],
@@ -240,7 +240,7 @@ _add("io22_box_reassembly", lambda s, d: G.reassembled(G.split(X.text_bytes(s, d
 # ---- files and entropy coding (images of 64 blocks, 8 in a row, a restart segment for each row)
 _coded = lambda s, d: E.encode(_quant(X.blocks(s, d)).selectExpr("block div 64 as image", "block % 64 div 8 as seg", "block % 64 as mcu", "q"))
 _files = lambda s, d: E.files(_coded(s, d), _D, 8, 8)
-_found = lambda s, d: E.decode(E.markers(_files(s, d))).selectExpr("image * 64 + mcu as block", "q")
+_found = lambda s, d: SC.decode(E.markers(_files(s, d))).selectExpr("image * 64 + `by` * 8 + bx as block", "q")
 _add("e1_huffman_round_trip", lambda s, d: B.exploded(_found(s, d), "q").join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block"), f"with {', '.join(_SEG[:-1])} select block, k, v from q")
 _add("e2_file_to_samples", lambda s, d: B.exploded(B.idct(B.dequantized(_found(s, d), _D)), "v").join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block"), f"with {', '.join([X.BLOCK_SQL, _M, _u, _t, _d, _q, _deq, _i1, _i2])} select block, k, v from i2")
 _add("io13_marker_segments", lambda s, d: E.markers(_files(s, d)).groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "marker"))), lambda x: F.hex(x["marker"])), " ").alias("markers")),
@@ -272,3 +272,15 @@ _add("o5_sequential_script", lambda s, d: s.createDataFrame(_script5, "scan bigi
 _add("d3_lifting_transform", lambda s, d: B.exploded(LI.transformed(X.blocks(s, d)), "c"))
 _blocks("d4_lifting_round_trip", lambda b: B.exploded(LI.restored(LI.transformed(b)), "v"), "select block, k, v from block64")
 codec.register(_add, _raster, _quant, _D, [X.BLOCK_SQL, _M, _u, _t, _d, _q])
+
+
+def _quantized_sql(table: str, prefix: str) -> list[str]:
+    """Expressions that end in <prefix>q (block, k, v): quantized coefficients of a table (block, k, v) of samples."""
+    return [
+        f"{prefix}u as (select block, m.f as f, k % 8 as x, (sum(v * c)::bigint + 256) >> 9 as u from {table} join m on m.i = k // 8 group by all)",
+        f"{prefix}t as (select block, u.f * 8 + m.f as k, sum(u * c)::bigint - case when u.f * 8 + m.f = 0 then 4194304 else 0 end as c from {prefix}u u join m on m.i = x group by block, u.f, m.f)",
+        f"{prefix}q as (select block, k, (c * inv + case when c > 0 then 1 else 0 end + (1::bigint << 41)) >> 42 as v from {prefix}t join d using (k))",
+    ]
+
+
+codec.register_tone(_add, _raster, _blocks, _D, [X.BLOCK_SQL, _M, _u, _t, _d, _q], _quantized_sql)

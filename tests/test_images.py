@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lumenframe.operators import blocks, entropy, lifting, nearlossless, predict, raster, segments, stats, tone
+from lumenframe.operators import arithmetic, blocks, entropy, lifting, nearlossless, predict, raster, scans, segments, stats, tone
 from lumenframe.plans import registry
 from lumenframe.sources import fixtures, pnm
 
@@ -78,9 +78,12 @@ def test_entropy_coding():
     rng = np.random.default_rng(1)
     q = [[int(v) for v in np.where(rng.random(64) < p, rng.integers(-900, 900, 64), 0)] for p in (0, 0.02, 0.1, 0.5, 1)]
     data = entropy.encoded_segment(q)
-    assert entropy.decoded_segment(data, 5) == q and b"\xff" not in data.replace(b"\xff\x00", b"")
-    assert entropy.decoded_segment(data[:9], 5)[-1] == [0] * 64  # broken data: zero blocks
-    assert len(entropy.ac_symbols()) == 162 == sum(entropy.AC_BITS)
+    order = blocks.zigzag()
+    tables = {(tc, 0): scans.lookup(tuple(n for n, k in enumerate(bits, 1) for _ in range(k)), tuple(symbols)) for tc, bits, symbols in ((0, entropy.DC_BITS, entropy.DC_SYMBOLS), (1, entropy.AC_BITS, entropy.AC_SYMBOLS))}
+    rows = [(0, [0] * 64) for _ in q]
+    scans.read_first(scans.Bits(data), rows, tables, 0, 63, 0)
+    assert [z for _, z in rows] == [[b[k] for k in order] for b in q] and b"\xff" not in data.replace(b"\xff\x00", b"")
+    assert len(set(entropy.AC_SYMBOLS)) == 162 == sum(entropy.AC_BITS)
 
 
 def test_marker_parsing():
@@ -124,3 +127,43 @@ def test_lifting():
     v = r.integers(0, 256, (200, 8, 8))
     c = lifting.forward_block(v, level=0)
     assert np.abs(c - exact @ v @ exact.T).max() < 6  # near the real transform
+
+
+def test_code_sizes_against_pairwise_merging():
+    """Lengths equal those of merging the two least counts by comparing all pairs, ties to the higher symbol."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        counts = {int(s): int(n) for s, n in zip(rng.choice(256, 20, replace=False), rng.integers(1, 60, 20), strict=True)}
+        freq, group, depth = {**counts, 256: 1}, {s: [s] for s in [*counts, 256]}, dict.fromkeys([*counts, 256], 0)
+        while len(freq) > 1:
+            a = min(freq, key=lambda s: (freq[s], -s))
+            b = min((s for s in freq if s != a), key=lambda s: (freq[s], -s))
+            freq[a] += freq.pop(b)
+            group[a] += group.pop(b)
+            for s in group[a]:
+                depth[s] += 1
+        assert stats.code_sizes(counts) == {s: depth[s] for s in counts}
+
+
+def test_binary_coder_by_the_published_sequence():
+    """ITU-T T.81, K.4.1: 256 decisions in one context."""
+    bits = bytes.fromhex("00020051000000C03528 72AAAAAAAAAA82C02000FCD79EF674EAABF7697EE74C".replace(" ", ""))
+    c = arithmetic.Encoder()
+    for b in bits:
+        for k in range(7, -1, -1):
+            c.code(0, b >> k & 1)
+    assert c.bytes().hex().upper() == "655B5144F7969D517855BFFF00FC5184C7CEF93900287D46708ECBC0F6"
+    r = arithmetic.Decoder(c.bytes())
+    assert all(r.code(0) == b >> k & 1 for b in bits for k in range(7, -1, -1))
+
+
+def test_broken_scans_are_marked(spark):
+    """A file with a cut segment gives all its blocks, marked; a file without a scan gives none."""
+    from lumenframe.plans import codec
+
+    coded = codec.Coded(lambda b: blocks.quantized(blocks.fdct(b), blocks.LUMINANCE), codec.SEQUENTIAL, 4, 0xC1)
+    m = coded.markers(spark, SF, blocks.LUMINANCE).where("image < 2").cache()
+    cut = m.selectExpr("image", "seq", "marker", "if(image = 1 and marker = 209, substring(payload, 1, 9), payload) as payload")
+    got = {(r.image, r.valid): r.n for r in scans.decode(cut).groupBy("image", "valid").count().withColumnRenamed("count", "n").collect()}
+    assert got == {(0, True): 96, (1, False): 96}
+    assert scans.decode(m.where("marker not in (218, 0)")).count() == 0
