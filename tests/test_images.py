@@ -147,7 +147,7 @@ def test_code_sizes_against_pairwise_merging():
 
 def test_binary_coder_by_the_published_sequence():
     """ITU-T T.81, K.4.1: 256 decisions in one context."""
-    bits = bytes.fromhex("00020051000000C03528 72AAAAAAAAAA82C02000FCD79EF674EAABF7697EE74C".replace(" ", ""))
+    bits = bytes.fromhex("00020051000000C00352872AAAAAAAAA82C02000FCD79EF674EAABF7697EE74C")
     c = arithmetic.Encoder()
     for b in bits:
         for k in range(7, -1, -1):
