@@ -45,6 +45,13 @@ LUMINANCE = [
 ]
 
 
+# The chrominance table of ITU-T T.81, Annex K, row by row.
+CHROMINANCE = [
+    17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
+]
+
+
 def zigzag() -> list[int]:
     """The raster index of each place of the zig-zag scan: diagonals in turn, odd ones downwards."""
     return sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else -(k // 8)))

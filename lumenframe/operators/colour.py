@@ -83,3 +83,19 @@ def sign_magnitude(x: str) -> str:
 def four_components(px: DataFrame) -> DataFrame:
     """Three components through rgb_to_ycbcr, the fourth untransformed with COLOUR_BITS fractional bits."""
     return rgb_to_ycbcr(px, more=(f"k * {1 << COLOUR_BITS}L as k",))
+
+
+# CIE XYZ to linear RGB, and the luma weights of ITU-R BT.709.
+XYZ_TO_RGB = [[3.2404542, -1.5371385, -0.4985314], [-0.9692660, 1.8760108, 0.0415560], [0.0556434, -0.2040259, 1.0570000]]
+LUMA = [0.2126, 0.7152, 0.0722]
+
+
+def triple(px: DataFrame, names: tuple[str, str, str], xyz: bool = False, top: float = 1.0) -> DataFrame:
+    """py, px, r, g, b, luma, clipped: a triple of samples as read: scaled by the top value, negative ones clipped to 0, before and after the way from XYZ if they are XYZ. clipped: was any?"""
+    v = px.selectExpr("y as py", "x as px", *[f"{n} / {top}D as v{k}" for k, n in enumerate(names)])
+    v = v.selectExpr("py", "px", "least(v0, v1, v2) < 0 as below", *[f"greatest(v{k}, 0D) as v{k}" for k in range(3)])
+    if xyz:
+        v = v.selectExpr("py", "px", "below", *[" + ".join(f"v{j} * {c}D" for j, c in enumerate(row)) + f" as v{k}" for k, row in enumerate(XYZ_TO_RGB)])
+        v = v.selectExpr("py", "px", "below or least(v0, v1, v2) < 0 as below", *[f"greatest(v{k}, 0D) as v{k}" for k in range(3)])
+    luma = " + ".join(f"v{k} * {c}D" for k, c in enumerate(LUMA))
+    return v.selectExpr("py", "px", "v0 as r", "v1 as g", "v2 as b", f"{luma} as luma", "below as clipped")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators import arithmetic as A
 from lumenframe.operators import blocks as B
 from lumenframe.operators import boxes as BX
+from lumenframe.operators import colour as C
 from lumenframe.operators import deringing as DR
 from lumenframe.operators import entropy as E
 from lumenframe.operators import lossless as LL
@@ -189,3 +190,14 @@ def register_tone(add, raster, blocks, deltas: list[int], quantized_sql: list[st
     blocks("d7_deringing", lambda b: B.exploded(DR.deringed(b, deltas), "q"),
            "select q.block, q.k, case when q.k = 0 then nq.v when q.v = 0 then 0 else greatest(-((1 << length(bin(abs(q.v)))) - 1), least((1 << length(bin(abs(q.v)))) - 1, nq.v)) end as v from q join nq on nq.block = q.block and nq.k = q.k",
            *quantized_sql[1:], m0, m1, m2, m3, mod, *quantized("md", "n"))
+
+    shown = lambda t: t.selectExpr("py", "px", *[f"round({k}, 6) as {k}" for k in ("r", "g", "b", "luma")], "clipped")
+    luma = " + ".join(f"{n} * {c}" for n, c in zip("rgb", C.LUMA, strict=True))
+    v = "v as (select y as py, x as px, greatest((r - 20) / 255.0::double, 0) as a, greatest((g - 20) / 255.0::double, 0) as b, greatest((b - 20) / 255.0::double, 0) as c, least(r, g, b) < 20 as below from raster)"
+    rgb = ", ".join(f"a * {p}::double + b * {q}::double + c * {r}::double as {n}" for (p, q, r), n in zip(C.XYZ_TO_RGB, "rgb", strict=True))
+    for name, xyz, source in (("io2_read_rgb", False, "select py, px, a as r, b as g, c as b, below as low from v"), ("io2_read_xyz", True, f"select py, px, greatest(r, 0) as r, greatest(g, 0) as g, greatest(b, 0) as b, below or least(r, g, b) < 0 as low from (select py, px, below, {rgb} from v)")):
+        raster(name, lambda px, k=xyz: shown(C.triple(px.selectExpr("y", "x", "r - 20 as r", "g - 20 as g", "b - 20 as b"), ("r", "g", "b"), k, 255.0)),
+               f"select py, px, round(r, 6) as r, round(g, 6) as g, round(b, 6) as b, round({luma}, 6) as luma, low as clipped from ({source})", v)
+    table = ", ".join(f"({k}, {t})" for k, t in enumerate(B.CHROMINANCE))
+    add("q2_chrominance_table", lambda s, d: s.createDataFrame([(q, k, x) for q in (10, 50, 90) for k, x in enumerate(B.scaled(B.CHROMINANCE, q))], "quality bigint, k bigint, delta bigint"),
+        f"with l(k, t) as (values {table}) select q as quality, k, least(255, greatest(1, (t * (case when q < 50 then 5000 // q else 200 - 2 * q end) + 50) // 100)) as delta from l, (values (10), (50), (90)) u(q)")
