@@ -1,12 +1,16 @@
 """Removal of passages that repeat: level-wise doubling of windows of words.
 
-Level one looks at runs of half the window (10 of 20 words). Of each window only the run with the least hash stands
-for it (a minimizer), so equal windows have equal runs at equal places. The neighbouring windows that one run stands
-for are one stretch of at most 30 words, sent as one row: the run's hash, the hash of the whole stretch, where it
-starts. A stretch that occurs earlier is settled whole: all its windows occur earlier too. Of first stretches, only
-those whose run other stretches share are candidates, and these alone are extended to twice the run's length: a
-window's identity is the pair of its halves' hashes (128 bits), and windows are ranked by (doc_id, start). Each window
-but the first of its kind covers words to remove.
+Levels double up to the window: 5, 10 and 20 words. Each window of 20 is represented by the 5-word run of least hash in
+it (a minimizer), so equal windows have equal runs at equal places. Runs that occur once in the corpus drop out with
+all their windows; those that repeat are extended to twice their length, to 10 words inside the window, and again only
+those that repeat survive; the last level judges the whole windows of what is left.
+
+Neighbouring windows with one run on every level travel as one row (a stretch, at most 30 words): its runs' hashes, a
+hash of all its words, where it starts. On the last level stretches of the same words are settled first, all but the
+earliest by (doc_id, start); of the earliest, those whose 10-word run lies in other stretches too are extended to
+windows, told apart by the hashes of both halves (128 bits). Each window but the earliest of its kind covers words to
+remove. Earliest places and counts are aggregates that combine before the shuffle. A key with more than a 10,000th of
+all rows meets its rows by a broadcast of at most 10,000 such keys, so no task gets a hot key's rows together.
 
 Nothing is sampled: minimizers choose which run *represents* a window, and every window has one. What repeats inside a
 slice of text is settled there, so a passage that a third of all documents share costs a row for each slice, not one
@@ -35,44 +39,70 @@ WINDOW = 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Levels start at this many words, or at half the window where that is odd or less.
+LEAST_RUN = 5
+#: A key of more than one part in HOT of a table's rows is hot; there are at most HOT such keys.
+HOT = 10_000
+
+
 def level_lengths(window: int) -> list[int]:
+    """The lengths of the levels, each twice the one before."""
     if window < 2 or window % 2:
         raise ValueError("window: an even number of words")
-    return [window // 2, window]
+    lengths = [window // 2, window]
+    while lengths[0] % 2 == 0 and lengths[0] // 2 >= LEAST_RUN:
+        lengths.insert(0, lengths[0] // 2)
+    return lengths
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each `width` neighbouring values is (the leftmost of equal ones)."""
+    place, size = np.arange(len(values)), 1
+    while size < width:
+        step = min(size, width - size)
+        less = values[step:] < values[: len(values) - step]
+        values = np.where(less, values[step:], values[: len(values) - step])
+        place = np.where(less, place[step:], place[: len(place) - step])
+        size += step
+    return place
 
 
 class Words:
-    """Words of a slice of texts, and the hashes of runs of half a window (by the index of their first word)."""
+    """Words of a slice of texts, and the hashes of runs of each level under the window (by the index of their first word)."""
 
     def __init__(self, part: pa.RecordBatch, window: int):
         data, off = kit.utf8(part.column("text"))
-        self.half, self.window = window // 2, window
+        self.levels, self.half, self.window = level_lengths(window), window // 2, window
         starts, ends, self.first = kit.spans(~kit.SPACE[data], off)
         h = kit.range_hashes(data, starts, ends)
-        n = max(0, len(h) - self.half + 1)
-        self.run = np.zeros(n, np.uint64)
-        for k in range(self.half):
-            self.run *= _STEP
-            self.run += h[k : k + n]
-        self.run = kit.mixed(self.run)
-
-    def stretches(self) -> tuple[np.ndarray, ...]:
-        """Row, index of the first word, windows, minimizer's hash and identity of each stretch of windows with one minimizer."""
+        n = max(0, len(h) - self.levels[0] + 1)
+        run = np.zeros(n, np.uint64)
+        for k in range(self.levels[0]):
+            run *= _STEP
+            run += h[k : k + n]
+        self.runs = [kit.mixed(run)]
+        for length in self.levels[:-2]:
+            run = self.runs[-1]
+            n = max(0, len(run) - length)
+            self.runs.append(kit.mixed(run[:n] * _STEP + run[length : length + n]))
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Row, index of the first word, windows, hashes of the runs on each level and identity of each stretch of windows with the same runs."""
         row, at = kit.ragged(np.maximum(0, np.diff(self.first) - self.window + 1))
         at += self.first[row]
-        least, place = self.run[at], at.copy()
-        for k in range(1, self.half + 1):
-            other = self.run[at + k]
-            less = other < least
-            least[less], place[less] = other[less], at[less] + k
+        places = [_least(self.runs[0], self.window - self.levels[0] + 1)[at]]
+        for length in self.levels[:-2]:  # twice the run, to its right if that stays inside the window
+            places.append(places[-1] - np.where(places[-1] - at + 2 * length <= self.window, 0, length))
         head = np.ones(len(at), bool)
-        head[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+        head[1:] = row[1:] != row[:-1]
+        for place in places:
+            head[1:] |= place[1:] != place[:-1]
         i = np.flatnonzero(head)
-        n = np.diff(np.append(i, len(at)))
-        s, shape = at[i], kit.mixed(n.astype(np.uint64) << np.uint64(32) | (place[i] - at[i]).astype(np.uint64))
-        # Three runs cover all words of the stretch: it is at most half a window longer than a window.
-        whole = kit.mixed(kit.mixed(kit.mixed(self.run[s] + shape) ^ self.run[s + self.half]) + self.run[s + n - 1 + self.half])
-        return row[i], s, n, least[i], whole
+        n, half = np.diff(np.append(i, len(at))), self.runs[-1]
+        s, shape = at[i], kit.mixed(n.astype(np.uint64) << np.uint64(32) | (places[-1][i] - at[i]).astype(np.uint64))
+        # Three halves cover all words of the stretch: one run of half a window lies in all its windows.
+        whole = kit.mixed(kit.mixed(kit.mixed(half[s] + shape) ^ half[s + self.half]) + half[s + n - 1 + self.half])
+        return row[i], s, n, [run[place[i]] for run, place in zip(self.runs, places, strict=True)], whole
 
 
 def _first_in_slice(ids: pa.Array, keys: list[np.ndarray], rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,15 +117,15 @@ def _first_in_slice(ids: pa.Array, keys: list[np.ndarray], rows: np.ndarray, sta
     return order, (key != key[lead]) | (start != start[lead])
 
 
-def _rows(ids: pa.Array, a: np.ndarray, b: np.ndarray, rows: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
-    """Of stretches (or windows: n = 1) with identity (a, b): the first of its kind in the slice as a row each; the others settled, as ranges of words, a row for each text."""
-    if not len(a):
+def _rows(ids: pa.Array, keys: dict[str, np.ndarray], same: list[str], rows: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+    """Of stretches (or windows: n = 1) with these keys, of which `same` tell kinds apart: the first of its kind in the slice as a row each; the others settled, as ranges of words, a row for each text."""
+    if not len(rows):
         return
-    order, later = _first_in_slice(ids, [a, b], rows, start)
-    a, b, rows, start, n = (x[order] for x in (a, b, rows, start, n))
+    order, later = _first_in_slice(ids, [keys[k] for k in same], rows, start)
+    rows, start, n = (x[order] for x in (rows, start, n))
     keep = ~later
     yield kit.batch(
-        a=a[keep].view(np.int64), b=b[keep].view(np.int64), doc_id=ids.take(pa.array(rows[keep])), start=start[keep].astype(np.int32), n=n[keep].astype(np.int32),
+        **{k: x[order[keep]].view(np.int64) for k, x in keys.items()}, doc_id=ids.take(pa.array(rows[keep])), start=start[keep].astype(np.int32), n=n[keep].astype(np.int32),
         settled=pa.nulls(int(keep.sum()), pa.list_(pa.int32())),
     )
     if later.any():
@@ -109,18 +139,24 @@ def _rows(ids: pa.Array, a: np.ndarray, b: np.ndarray, rows: np.ndarray, start:
         r, s, e = r[at], s[at], reach[np.append(at[1:], len(reach)) - 1] & ((1 << 40) - 1)
         flat = np.stack([s, e], 1).ravel().astype(np.int32)
         head = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
-        own = kit.mixed(a[later][order][at][head] + r[head].astype(np.uint64))  # only spreads these rows
         settled = pa.ListArray.from_arrays(pa.array((np.append(head, len(r)) * 2).astype(np.int32)), pa.array(flat))
         k = len(head)
-        yield kit.batch(a=pa.nulls(k, pa.int64()), b=own.view(np.int64), doc_id=ids.take(pa.array(r[head])), start=s[head].astype(np.int32), n=np.zeros(k, np.int32), settled=settled)
+        yield kit.batch(**{x: pa.nulls(k, pa.int64()) for x in keys}, doc_id=ids.take(pa.array(r[head])), start=s[head].astype(np.int32), n=np.zeros(k, np.int32), settled=settled)
+
+
+def _run_names(window: int) -> list[str]:
+    return [f"run_{length}" for length in level_lengths(window)[:-1]]
 
 
 def _stretches(window: int):
+    names = _run_names(window)
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in kit.slices(batches):
             w = Words(part, window)
-            row, at, n, run, whole = w.stretches()
-            yield from _rows(part.column("doc_id"), run, whole, row, at - w.first[row], n, window)
+            row, at, n, runs, whole = w.stretches()
+            keys = dict(zip(names, runs, strict=True)) | {"whole": whole}
+            yield from _rows(part.column("doc_id"), keys, [names[-1], "whole"], row, at - w.first[row], n, window)
 
     return found
 
@@ -137,34 +173,58 @@ def _extended(window: int):
             row, start = row[again], flat.field("start").to_numpy(zero_copy_only=False)[again] + k
             inside = start + window <= np.diff(w.first)[row]  # rows that repeat a doc_id may be shorter
             row, start = row[inside], start[inside]
-            i = w.first[row] + start
-            yield from _rows(part.column("doc_id"), w.run[i], w.run[i + w.half], row, start, np.ones(len(row), np.int64), window)
+            i, half = w.first[row] + start, w.runs[-1]
+            yield from _rows(part.column("doc_id"), {"a": half[i], "b": half[i + w.half]}, ["a", "b"], row, start, np.ones(len(row), np.int64), window)
 
     return windows
 
 
+def _met(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows joined with table, which has each key once and in k how many of `rows` have it. Rows of hot keys stay where they are."""
+    hot = F.broadcast(table.where(F.col("k") * F.lit(HOT) > F.lit(rows.count())))
+    cold = rows.join(hot.select(keys), keys, "left_anti").join(table, keys, how)
+    return rows.join(hot, keys, "inner" if how == "left" else how).unionByName(cold)
+
+
+def _counted(rows: DataFrame, keys: list[str], *more) -> DataFrame:
+    return rows.groupBy(keys).agg(F.count(F.lit(1)).alias("k"), *more)
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, ranges: arrays of from, to, from, to ... of words that windows cover whose words also start earlier. Only documents that have some."""
-    level_lengths(window)
+    runs = _run_names(window)
     docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"a bigint, b bigint, doc_id {kind}, start int, n int, settled array<int>"
-    rank = F.expr("rank() over (partition by a, b order by doc_id nulls first, start)")
-    covers = F.coalesce("settled", F.array(F.col("start"), F.col("start") + F.col("n") + F.lit(window - 1)))
-
-    stretches = docs.mapInArrow(_stretches(window), schema).withColumn("later", (rank > 1) | F.col("settled").isNotNull())
-    once = kit.written(stretches.select(F.when(~F.col("later"), F.col("a")).alias("a"), "doc_id", "start", "n", "settled"), "stretches")
-    first = once.where("a is not null").select("a", "doc_id", "start", "n")
-    shared = first.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a")
-    candidates = kit.written(first.join(shared, "a", "left_semi").select("doc_id", "start", "n"), "candidates")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, n int, settled array<int>"
+    place = F.struct("doc_id", "start")
+    first = F.min(place).alias("first")
+    covers = F.array(F.col("start"), F.col("start") + F.col("n") + F.lit(window - 1)).alias("ranges")
+    settled = lambda t: t.where("settled is not null").select("doc_id", F.col("settled").alias("ranges"))
+    gone = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        gone.append(kit.written(df, name))
+        return gone[-1]
+
+    stretches = kept(docs.mapInArrow(_stretches(window), "".join(f"{r} bigint, " for r in runs) + "whole bigint, " + schema), "stretches")
+    live = stretches.where("settled is null").drop("settled")
+    for run in runs:
+        repeated = kept(_counted(live, [run]).where("k > 1"), "repeated-runs")
+        live = kept(_met(live, repeated, [run], "left_semi").drop(*(r for r in runs if r == run != runs[-1])), "survivors")
+
+    half = runs[-1]
+    kinds = kept(_counted(live, [half, "whole"], first), "kinds")
+    judged = kept(_met(live, kinds.where("k > 1"), [half, "whole"], "left").select(half, "doc_id", "start", "n", (F.col("k").isNotNull() & (place != F.col("first"))).alias("later")), "judged")
+    shared = kept(_counted(kinds, [half]).where("k > 1"), "shared-runs")
+    candidates = kept(_met(judged.where("not later"), shared, [half], "left_semi").select("doc_id", "start", "n"), "candidates")
     at = candidates.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
     extended = docs.join(at, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("doc_id", "text", "at")
-    windows = extended.mapInArrow(_extended(window), schema).withColumn("later", (rank > 1) | F.col("settled").isNotNull())
-    more = windows.where("later").select("doc_id", covers.alias("ranges"))
-    all_ranges = once.where("a is null").select("doc_id", covers.alias("ranges")).unionByName(more)
-    found = kit.written(all_ranges.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "repeated-ranges")
-    kit.removed(once)
-    kit.removed(candidates)
+    windows = kept(extended.mapInArrow(_extended(window), "a bigint, b bigint, " + schema), "windows")
+    each = windows.where("settled is null").drop("settled")
+    later = _met(each, kept(_counted(each, ["a", "b"], first).where("k > 1"), "window-kinds"), ["a", "b"], "inner").where(place != F.col("first"))
+    ranges = settled(stretches).unionByName(judged.where("later").select("doc_id", covers)).unionByName(settled(windows)).unionByName(later.select("doc_id", covers))
+    found = kit.written(ranges.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "repeated-ranges")
+    for table in gone:
+        kit.removed(table)
     return found
 
 
@@ -177,8 +237,8 @@ def covered(n: int, ranges: np.ndarray) -> np.ndarray:
 
 
 def _cut(part: pa.RecordBatch):
-    """Of each text: its words, and which of them go (None: none)."""
-    texts, ranges = part.column("text"), part.column("__ranges")
+    """Of each text: its words, and which of them go (None: none). The last column has the ranges."""
+    texts, ranges = part.column("text"), part.column(part.num_columns - 1)
     for i in range(part.num_rows):
         words = (texts[i].as_py() or "").encode().split()
         yield words, covered(len(words), ranges.slice(i, 1).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.int64)) if ranges[i].is_valid else None
@@ -211,8 +271,10 @@ def _digest():
 
 
 def _with_ranges(docs: DataFrame, window: int) -> DataFrame:
-    ranges = repeated_ranges(docs, window).select(F.col("doc_id").alias("__own_id"), F.col("ranges").alias("__ranges"))
-    return docs.join(ranges, F.col("doc_id").eqNullSafe(F.col("__own_id")), "left").drop("__own_id")
+    """docs and, as the last column, the ranges of words that go; no column of docs clashes with it."""
+    own, last = (max(docs.columns, key=len) + x for x in ("_id", "_ranges"))
+    ranges = repeated_ranges(docs, window).select(F.col("doc_id").alias(own), F.col("ranges").alias(last))
+    return docs.join(ranges, F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:

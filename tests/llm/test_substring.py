@@ -55,6 +55,34 @@ def test_small_slices_and_stage(spark, tmp_path, monkeypatch):
     assert 100 not in got and got[5].lang == "en"
 
 
+def test_levels():
+    assert substring.level_lengths(20) == [5, 10, 20] and substring.level_lengths(6) == [3, 6] and substring.level_lengths(40) == [5, 10, 20, 40]
+    with pytest.raises(ValueError):
+        substring.level_lengths(7)
+    rng = np.random.default_rng(1)
+    for n in (0, 3, 16, 50):
+        v = rng.integers(0, 9, n).astype(np.uint64)
+        assert substring._least(v, 16).tolist() == [i + int(np.argmin(v[i : i + 16])) for i in range(n - 15)]
+
+
+@pytest.mark.parametrize("hot", [2, 10**9])
+def test_hot_keys_and_levels(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)  # 2: no key but one of over half the rows is hot; 10**9: every key is
+    monkeypatch.setattr(substring.kit, "SLICE_BYTES", 200)
+    rng = np.random.default_rng(3)
+    common = " ".join(f"c{i}" for i in range(25))
+    rows = [(k, f"{' '.join(rng.choice(['x', 'y', 'z'], 8))} {common} {' '.join(rng.choice(['x', 'y', 'z'], rng.integers(0, 40)))}") for k in range(60)]
+    for window in (8, 20, 40):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert sorted((tuple(r) for r in substring.dedup(df, window).collect()), key=str) == brute(rows, window)
+
+
+def test_clashing_columns(spark):
+    text = " ".join(f"a{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, "p", "q", 0), (2, "new " + text, "p", "q", 0)], "doc_id long, text string, own_id string, ranges string, __ranges int")
+    assert sorted(map(tuple, substring.shortened(spark, df, "").collect())) == [(1, text, "p", "q", 0), (2, "new", "p", "q", 0)]
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert substring.op8(spark, str(tmp_path)).collect() == []
