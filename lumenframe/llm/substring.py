@@ -6,11 +6,14 @@ all their windows; those that repeat are extended to twice their length, to 10 w
 those that repeat survive; the last level judges the whole windows of what is left.
 
 Neighbouring windows with one run on every level travel as one row (a stretch, at most 30 words): its runs' hashes, a
-hash of all its words, where it starts. On the last level stretches of the same words are settled first, all but the
-earliest by (doc_id, start); of the earliest, those whose 10-word run lies in other stretches too are extended to
-windows, told apart by the hashes of both halves (128 bits). Each window but the earliest of its kind covers words to
-remove. Earliest places and counts are aggregates that combine before the shuffle. A key with more than a 10,000th of
-all rows meets its rows by a broadcast of at most 10,000 such keys, so no task gets a hot key's rows together.
+hash of all its words, where it starts. One shuffle by the 5-word run and one sort serve all levels, since a longer run
+lies with its shorter one. On the last level stretches of the same words are settled first, all but the earliest by
+(doc_id, start); of the earliest, those whose 10-word run lies in other stretches too are extended to windows, told
+apart by the hashes of both halves (128 bits). Each window but the earliest of its kind covers words to remove.
+
+A run with more than a 10,000th of all rows is hot (at most 10,000 are; they are broadcast): its rows go to the next
+level, where longer runs spread them. What is hot on every level is settled by aggregates that combine before the
+shuffle, and meets their results by broadcast.
 
 Nothing is sampled: minimizers choose which run *represents* a window, and every window has one. What repeats inside a
 slice of text is settled there, so a passage that a third of all documents share costs a row for each slice, not one
@@ -26,11 +29,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm import kit
@@ -179,53 +183,65 @@ def _extended(window: int):
     return windows
 
 
-def _met(rows: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+def _met(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """rows joined with table, which has each key once and in k how many of `rows` have it. Rows of hot keys stay where they are."""
     hot = F.broadcast(table.where(F.col("k") * F.lit(HOT) > F.lit(rows.count())))
-    cold = rows.join(hot.select(keys), keys, "left_anti").join(table, keys, how)
-    return rows.join(hot, keys, "inner" if how == "left" else how).unionByName(cold)
+    cold = rows.join(hot.select(keys), keys, "left_anti").join(table, keys)
+    return rows.join(hot, keys).unionByName(cold)
 
 
 def _counted(rows: DataFrame, keys: list[str], *more) -> DataFrame:
     return rows.groupBy(keys).agg(F.count(F.lit(1)).alias("k"), *more)
 
 
+def _levels(rows: DataFrame, runs: list[str]) -> DataFrame:
+    """Stretches whose runs repeat on every level, with later (the same stretch occurs earlier) and kinds (different stretches that have its longest run)."""
+    kind = [*runs, "whole"]
+    rows = rows.repartition(runs[0]).sortWithinPartitions(*kind, "doc_id", "start")
+    for k in range(len(runs)):
+        rows = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*runs[: k + 1]))).where("k > 1").drop("k")
+    rows = rows.withColumn("later", F.rank().over(Window.partitionBy(*kind).orderBy("doc_id", "start")) > 1)
+    return rows.withColumn("kinds", F.sum((~F.col("later")).cast("int")).over(Window.partitionBy(*runs))).select("doc_id", "start", "n", "later", "kinds")
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, ranges: arrays of from, to, from, to ... of words that windows cover whose words also start earlier. Only documents that have some."""
     runs = _run_names(window)
+    half = runs[-1]
     docs = docs.select("doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, n int, settled array<int>"
     place = F.struct("doc_id", "start")
     first = F.min(place).alias("first")
     covers = F.array(F.col("start"), F.col("start") + F.col("n") + F.lit(window - 1)).alias("ranges")
     settled = lambda t: t.where("settled is not null").select("doc_id", F.col("settled").alias("ranges"))
-    gone = []
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        gone.append(kit.written(df, name))
-        return gone[-1]
-
-    stretches = kept(docs.mapInArrow(_stretches(window), "".join(f"{r} bigint, " for r in runs) + "whole bigint, " + schema), "stretches")
+    stretches = kit.written(docs.mapInArrow(_stretches(window), "".join(f"{r} bigint, " for r in runs) + "whole bigint, " + schema), "stretches")
     live = stretches.where("settled is null").drop("settled")
-    for run in runs:
-        repeated = kept(_counted(live, [run]).where("k > 1"), "repeated-runs")
-        live = kept(_met(live, repeated, [run], "left_semi").drop(*(r for r in runs if r == run != runs[-1])), "survivors")
+    total, judged, small = live.count(), [], []
+    for k, run in enumerate(runs):
+        small.append(kit.written(_counted(live, [run]).where(F.col("k") * F.lit(HOT) > F.lit(total)).select(run), "hot-runs"))
+        judged.append(_levels(live.join(F.broadcast(small[-1]), run, "left_anti"), runs[k:]))
+        live = live.join(F.broadcast(small[-1]), run, "left_semi")
+    small.append(kit.written(_counted(live, [half, "whole"], first), "kinds"))
+    small.append(kit.written(_counted(small[-1], [half]).withColumnRenamed("k", "kinds"), "kinds-of-runs"))
+    hot = _met(live, small[-2], [half, "whole"]).withColumn("later", place != F.col("first"))
+    judged.append(hot.join(F.broadcast(small[-1]), half).select("doc_id", "start", "n", "later", "kinds"))  # at most HOT runs
+    found = kit.written(reduce(DataFrame.unionByName, judged).where("later or kinds > 1"), "judged")
+    apart = kit.written(settled(stretches), "settled")
+    for table in (stretches, *small):
+        kit.removed(table)
 
-    half = runs[-1]
-    kinds = kept(_counted(live, [half, "whole"], first), "kinds")
-    judged = kept(_met(live, kinds.where("k > 1"), [half, "whole"], "left").select(half, "doc_id", "start", "n", (F.col("k").isNotNull() & (place != F.col("first"))).alias("later")), "judged")
-    shared = kept(_counted(kinds, [half]).where("k > 1"), "shared-runs")
-    candidates = kept(_met(judged.where("not later"), shared, [half], "left_semi").select("doc_id", "start", "n"), "candidates")
-    at = candidates.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    at = found.where("not later").groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
     extended = docs.join(at, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("doc_id", "text", "at")
-    windows = kept(extended.mapInArrow(_extended(window), "a bigint, b bigint, " + schema), "windows")
+    windows = kit.written(extended.mapInArrow(_extended(window), "a bigint, b bigint, " + schema), "windows")
     each = windows.where("settled is null").drop("settled")
-    later = _met(each, kept(_counted(each, ["a", "b"], first).where("k > 1"), "window-kinds"), ["a", "b"], "inner").where(place != F.col("first"))
-    ranges = settled(stretches).unionByName(judged.where("later").select("doc_id", covers)).unionByName(settled(windows)).unionByName(later.select("doc_id", covers))
-    found = kit.written(ranges.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "repeated-ranges")
-    for table in gone:
+    firsts = kit.written(_counted(each, ["a", "b"], first).where("k > 1"), "window-kinds")
+    later = _met(each, firsts, ["a", "b"]).where(place != F.col("first"))
+    ranges = apart.unionByName(found.where("later").select("doc_id", covers)).unionByName(settled(windows)).unionByName(later.select("doc_id", covers))
+    out = kit.written(ranges.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "repeated-ranges")
+    for table in (found, apart, windows, firsts):
         kit.removed(table)
-    return found
+    return out
 
 
 def covered(n: int, ranges: np.ndarray) -> np.ndarray:
