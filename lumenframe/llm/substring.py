@@ -11,7 +11,7 @@ lies with its shorter one. On the last level stretches of the same words are set
 (doc_id, start); of the earliest, those whose 10-word run lies in other stretches too are extended to windows, told
 apart by the hashes of both halves (128 bits). Each window but the earliest of its kind covers words to remove.
 
-A run with more than a 10,000th of all rows is hot (at most 10,000 are; they are broadcast): its rows go to the next
+A run with more than a 10,000th of all rows is hot (at most 10,000 are; they are listed in a filter): its rows go to the next
 level, where longer runs spread them. What is hot on every level is settled by aggregates that combine before the
 shuffle, and meets their results by broadcast.
 
@@ -219,13 +219,19 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     live = stretches.where("settled is null").drop("settled")
     total, judged, small = live.count(), [], []
     for k, run in enumerate(runs):
-        small.append(kit.written(_counted(live, [run]).where(F.col("k") * F.lit(HOT) > F.lit(total)).select(run), "hot-runs"))
-        judged.append(_levels(live.join(F.broadcast(small[-1]), run, "left_anti"), runs[k:]))
-        live = live.join(F.broadcast(small[-1]), run, "left_semi")
-    small.append(kit.written(_counted(live, [half, "whole"], first), "kinds"))
-    small.append(kit.written(_counted(small[-1], [half]).withColumnRenamed("k", "kinds"), "kinds-of-runs"))
-    hot = _met(live, small[-2], [half, "whole"]).withColumn("later", place != F.col("first"))
-    judged.append(hot.join(F.broadcast(small[-1]), half).select("doc_id", "start", "n", "later", "kinds"))  # at most HOT runs
+        hot = _counted(live, [run]).where(F.col("k") * F.lit(HOT) > F.lit(total)).select(run)
+        listed = ", ".join(f"{r[0]}L" for r in hot.collect())  # at most HOT numbers
+        if not listed:
+            judged.append(_levels(live, runs[k:]))
+            break
+        judged.append(_levels(live.where(f"{run} not in ({listed})"), runs[k:]))
+        live = kit.written(live.where(f"{run} in ({listed})"), "hot-stretches")
+        small.append(live)
+    else:
+        small.append(kit.written(_counted(live, [half, "whole"], first), "kinds"))
+        small.append(kit.written(_counted(small[-1], [half]).withColumnRenamed("k", "kinds"), "kinds-of-runs"))
+        rows = _met(live, small[-2], [half, "whole"]).withColumn("later", place != F.col("first"))
+        judged.append(rows.join(F.broadcast(small[-1]), half).select("doc_id", "start", "n", "later", "kinds"))  # at most HOT runs
     found = kit.written(reduce(DataFrame.unionByName, judged).where("later or kinds > 1"), "judged")
     apart = kit.written(settled(stretches), "settled")
     for table in (stretches, *small):
