@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenframe.llm import fingerprint, language, lexicon, licences, media, packing, quality, simhash, substring, toxicity
+from lumenframe.llm import audit, collocations, fingerprint, language, lexicon, licences, media, packing, quality, sharding, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_document_fingerprints": fingerprint.op1,
@@ -17,5 +17,8 @@ QUERIES: dict[str, Callable] = {
     "op8_substring_dedup": substring.op8,
     "op9_packing": packing.op9,
     "op10_lossless_webp": media.op10,
+    "op11_lpt_sharding": sharding.op11,
+    "op12_filter_audit": audit.op12,
+    "op13_collocations": collocations.op13,
 }
-ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": substring.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_substring_dedup": substring.ORACLE_SQL, "op12_filter_audit": audit.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
