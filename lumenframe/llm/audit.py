@@ -98,30 +98,33 @@ class _Sorted:
         self.held = []
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    state = _Sorted()
-    for part in kit.slices(batches):
-        yield from state.take(part)
-    yield from state.drained(True)
+def _judged(slice_bytes: int):
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = _Sorted()
+        for part in kit.slices(batches, most=slice_bytes):
+            yield from state.take(part)
+        yield from state.drained(True)
 
+    return judged
 
-def masks(docs: DataFrame) -> DataFrame:
+
+def masks(docs: DataFrame, slice_bytes: int = kit.SLICE_BYTES) -> DataFrame:
     """doc_id, part, mask: bit k is set if filter k of FILTERS fails."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"))
     by_id = F.col("doc_id").asc_nulls_last()
     ordered = keyed.repartitionByRange("fp", by_id).sortWithinPartitions("fp", F.coalesce("text", F.lit("")), by_id)
-    rows = kit.written(ordered.mapInArrow(_judged, f"doc_id {kind}, lead {kind}, {_ROWS}"), "audit-rows")
+    rows = kit.written(ordered.mapInArrow(_judged(slice_bytes), f"doc_id {kind}, lead {kind}, {_ROWS}"), "audit-rows")
     edges = rows.where("edge is not null").groupBy("edge").agg(F.min("lead").alias("least"))
     told = rows.join(F.broadcast(edges), "edge", "left")  # two fingerprints for each partition
     copy = F.coalesce(F.coalesce("least", "lead") < F.col("doc_id"), F.lit(False))
     return told.select("doc_id", "part", (F.col("mask") + copy.cast("int") * 16).alias("mask"))
 
 
-def tallies(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def tallies(docs: DataFrame, labels: DataFrame, slice_bytes: int = kit.SLICE_BYTES) -> DataFrame:
     """part, mask, n, good, toxic: documents by what they fail."""
     said = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    known = masks(docs).join(said, "doc_id", "left")
+    known = masks(docs, slice_bytes).join(said, "doc_id", "left")
     return known.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in ("good", "toxic")])
 
 
@@ -159,10 +162,10 @@ def _by_mask(counts: pd.DataFrame, column: str, size: int) -> np.ndarray:
     return out
 
 
-def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, slice_bytes: int = kit.SLICE_BYTES) -> DataFrame:
     """part, filter_order, step and COUNTS: what each filter does at each place of each order."""
     schema = "part string, filter_order string, step int, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    return tallies(docs, labels).groupBy("part").applyInPandas(_orders, schema)  # at most 32 rows a part
+    return tallies(docs, labels, slice_bytes).groupBy("part").applyInPandas(_orders, schema)  # at most 32 rows a part
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm import kit
 
 LEAST, SHARE, TOP, SCALE = 10, 50, 2000, 1_000_000
+#: Bytes of a shard, and parts in which a language's phrases are ranked first, so that one task takes TOP of each part.
+SHARD_BYTES, PARTS = 4 << 20, 64
 #: 64-bit words of the filter (three bits of one word for each phrase), and positions of the branches extended at a time.
 FILTER_WORDS, BRANCH = 1 << 20, 1 << 18
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -63,15 +65,20 @@ class Bitmaps(NamedTuple):
         over = np.flatnonzero(self.bits >> np.uint64(63))
         phrase, block = np.concatenate([self.phrase, self.phrase[over]]), np.concatenate([self.block, self.block[over] + 1])
         bits = np.concatenate([self.bits << np.uint64(1), np.ones(len(over), np.uint64)])
-        order = np.lexsort((block, phrase)) if len(over) else slice(None)
+        order = np.argsort(phrase * (int(block.max()) + 1) + block) if len(over) else slice(None)
         moved = Bitmaps.of(phrase[order], block[order], bits[order])
         return Bitmaps(*(x[moved.bits != 0] for x in moved))
 
     def positions(self) -> tuple[np.ndarray, np.ndarray]:
-        """The entry and the position of each bit."""
-        bits = np.unpackbits(self.bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        entry, place = np.nonzero(bits)
-        return entry, self.block[entry] * 64 + place
+        """The entry and the position of each bit: the entries' lowest bits, then the next ones of those that have more."""
+        entry, bits, found = np.arange(len(self.bits)), self.bits, []
+        while len(entry):
+            low = bits & (~bits + np.uint64(1))
+            found.append((entry, self.block[entry] * 64 + np.bitwise_count(low - np.uint64(1))))
+            bits = bits ^ low
+            more = bits != 0
+            entry, bits = entry[more], bits[more]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (entry, entry)
 
 
 class Shard:
@@ -96,7 +103,7 @@ class Shard:
         gap = np.zeros(len(starts), np.int64)
         gap[1:] = (cuts[starts[1:]] > cuts[starts[:-1]]) | (row[1:] != row[:-1])
         position = np.arange(len(starts)) + np.cumsum(gap)
-        order = np.argsort(whole, kind="stable")
+        order = np.argsort(whole * len(whole) + np.arange(len(whole)))
         kinds = whole[order]
         head = np.concatenate([[True], kinds[1:] != kinds[:-1]])[: len(kinds)]
         number, position = np.cumsum(head) - 1, position[order]
@@ -136,7 +143,7 @@ class Filter:
         return h.bitwiseAND(F.lit(FILTER_WORDS - 1)), bit(places[0]).bitwiseOR(bit(places[1])).bitwiseOR(bit(places[2]))
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        word = self.words[(h & np.uint64(FILTER_WORDS - 1)).astype(np.int64)]
+        word = self.words[(h & np.uint64(len(self.words) - 1)).astype(np.int64)]
         found = np.ones(len(h), bool)
         for k in range(3):
             found &= (word >> ((h >> np.uint64(20 + 6 * k)) & np.uint64(63)) & np.uint64(1)).astype(bool)
@@ -152,15 +159,14 @@ def extended(prefix: Bitmaps, words: Bitmaps, owner: np.ndarray) -> tuple[Bitmap
     entry, place = moved.positions()
     partner = owner[place]
     entry, partner = entry[partner >= 0], partner[partner >= 0]
-    both, first = np.unique(entry * max(1, len(words.bits)) + partner, return_index=True)
-    entry, partner = entry[first], partner[first]
-    bits = moved.bits[entry] & words.bits[partner]
-    left, right, block = moved.phrase[entry], words.phrase[partner], moved.block[entry]
+    left, right = moved.phrase[entry], words.phrase[partner]
     whole = left * (int(words.phrase[-1]) + 1 if len(words.phrase) else 1) + right
-    order = np.argsort(whole, kind="stable")  # blocks stay ascending within a phrase
-    whole, left, right = whole[order], left[order], right[order]
+    order = np.argsort(whole * (len(owner) // 64 + 1) + moved.block[entry])
+    entry, partner, whole = entry[order], partner[order], whole[order]
     head = np.concatenate([[True], whole[1:] != whole[:-1]])[: len(whole)]
-    return Bitmaps.of(np.cumsum(head) - 1, block[order], bits[order]), left[head], right[head]
+    # Two bits of an entry may have one partner: equal entries, which are one block of the new bitmap.
+    bits = moved.bits[entry] & words.bits[partner]
+    return Bitmaps.of(np.cumsum(head) - 1, moved.block[entry], bits), moved.phrase[entry[head]], words.phrase[partner[head]]
 
 
 def _chosen(b: Bitmaps, keep: np.ndarray) -> Bitmaps:
@@ -169,12 +175,12 @@ def _chosen(b: Bitmaps, keep: np.ndarray) -> Bitmaps:
     return Bitmaps(*(x[inside] for x in b))
 
 
-def _branches(b: Bitmaps, counts: np.ndarray) -> Iterator[Bitmaps]:
-    """The phrases in runs of about BRANCH positions."""
+def _branches(b: Bitmaps, counts: np.ndarray, size: int) -> Iterator[Bitmaps]:
+    """The phrases in runs of about `size` positions."""
     ends = np.cumsum(counts)
     at = 0
     while at < len(counts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BRANCH, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         lo, hi = np.searchsorted(b.phrase, [at, to])
         yield Bitmaps(b.phrase[lo:hi], b.block[lo:hi], b.bits[lo:hi])
         at = to
@@ -187,22 +193,25 @@ def _owners(b: Bitmaps, size: int) -> np.ndarray:
     return owner
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and pairs of each shard: hash, count."""
-    for part in kit.slices(batches):
-        s = Shard(part)
-        counts = s.bitmaps.counts(len(s.word))
-        yield kit.batch(h=s.hash.view(np.int64), n=counts)
-        owner = _owners(s.bitmaps, s.size)
-        for branch in _branches(s.bitmaps, counts):
-            pairs, a, b = extended(branch, s.bitmaps, owner)
-            yield kit.batch(h=pair_hash(s.hash[a], s.hash[b]).view(np.int64), n=pairs.counts(len(a)))
+def _hashed(slice_bytes: int, size: int):
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words and pairs of each shard: hash, count."""
+        for part in kit.slices(batches, most=slice_bytes):
+            s = Shard(part)
+            counts = s.bitmaps.counts(len(s.word))
+            yield kit.batch(h=s.hash.view(np.int64), n=counts)
+            owner = _owners(s.bitmaps, s.size)
+            for branch in _branches(s.bitmaps, counts, size):
+                pairs, a, b = extended(branch, s.bitmaps, owner)
+                yield kit.batch(h=pair_hash(s.hash[a], s.hash[b]).view(np.int64), n=pairs.counts(len(a)))
+
+    return hashed
 
 
-def _counted(sieve):
+def _counted(sieve, slice_bytes: int, size: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words, pairs and triples that may be frequent in each shard: lang, words, phrase, count; and each language's number of words (0 words)."""
-        for part in kit.slices(batches):
+        for part in kit.slices(batches, most=slice_bytes):
             s, known = Shard(part), Filter(sieve.value)
 
             def sent(words: list[np.ndarray], n: np.ndarray, s=s) -> pa.RecordBatch:
@@ -217,7 +226,7 @@ def _counted(sieve):
             own = np.flatnonzero(keep)
             yield sent([own], counts[own])
             owner = _owners(words, s.size)
-            for branch in _branches(words, counts):
+            for branch in _branches(words, counts, size):
                 pairs, a, b = extended(branch, words, owner)
                 ok = known.has(pair_hash(s.hash[a], s.hash[b]))
                 yield sent([a[ok], b[ok]], pairs.counts(len(a))[ok])
@@ -228,23 +237,25 @@ def _counted(sieve):
     return counted
 
 
-def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def frequent(docs: DataFrame, least: int = LEAST, slice_bytes: int = SHARD_BYTES, branch: int = BRANCH) -> DataFrame:
     """lang, words (1 to 3), phrase, n: words and phrases that occur at least `least` times; words = 0: the language's number of words."""
     spark = docs.sparkSession
     docs = docs.select("text", F.col("lang").cast("string").alias("lang"))
-    hashes = docs.mapInArrow(_hashed, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    hashes = docs.mapInArrow(_hashed(slice_bytes, branch), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     word, bits = Filter.bits(F.col("h"))
-    packed = hashes.groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits")).toArrow()  # at most FILTER_WORDS rows
+    packed = kit.written(hashes.groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits")), "phrase-filter")
+    table = packed.toArrow()  # at most FILTER_WORDS rows
     sieve = np.zeros(FILTER_WORDS, np.uint64)
-    sieve[np.asarray(packed["word"])] = np.asarray(packed["bits"]).view(np.uint64)
-    rows = docs.mapInArrow(_counted(spark.sparkContext.broadcast(sieve)), "lang string, words int, phrase string, n bigint")
+    sieve[np.asarray(table["word"])] = np.asarray(table["bits"]).view(np.uint64)
+    kit.removed(packed)
+    rows = docs.mapInArrow(_counted(spark.sparkContext.broadcast(sieve), slice_bytes, branch), "lang string, words int, phrase string, n bigint")
     rows = rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     return kit.written(rows.where((F.col("n") >= least) | (F.col("words") == 0)), "frequent-phrases")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TOP, slice_bytes: int = SHARD_BYTES, branch: int = BRANCH) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best `top` phrases of each language."""
-    grams = frequent(docs, least)
+    grams = frequent(docs, least, slice_bytes, branch)
     total = grams.where("words = 0").select("lang", F.col("n").alias("total"))
     known = grams.where("words > 0").select("lang", "phrase", "n")
     pairs, triples = grams.where("words = 2"), grams.where("words = 3")
@@ -259,8 +270,10 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     cut = cut.withColumn("score", F.expr(f"({wide('a')} * {wide('a')} * {SCALE}) div ({wide('l')} * {wide('r')})"))
     least_cut = F.min(F.struct("score", "k", "a", "l", "r")).alias("cut")
     scored = cut.groupBy("lang", "phrase").agg(least_cut).select("lang", "phrase", "cut.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = F.desc("score"), F.desc("a"), F.asc("phrase")
+    ranked = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
