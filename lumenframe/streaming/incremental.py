@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions.tables import shared_dir
+
 
 def progress(units: DataFrame, interval: int) -> DataFrame:
     """seg, n, complete: units seen of each segment so far; units is a stream (or a table) with a column mcu."""
@@ -18,12 +16,7 @@ def progress(units: DataFrame, interval: int) -> DataFrame:
 
 def run_available(spark: SparkSession, source: str, interval: int) -> DataFrame:
     """Read what is in a folder as a stream, one file at a time, and return the state after the last. State and result lie in the shared folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir isn't set: executors and driver share no folder")
-        base = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = shared_dir(spark)
     schema = spark.read.parquet(source).schema
     units = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).select(F.col("vec_id").alias("mcu"))
     out = progress(units, interval)
