@@ -157,6 +157,41 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((sums[ends] - sums[starts]) * powers(_BASE_INVERSE, len(data) + 1)[starts])
 
 
+#: Two primes under 2**31; the bases and the values of bytes are drawn once.
+_PRIMES = (2_147_483_647, 2_147_483_629)
+_BASES = tuple(int(_rng.integers(1 << 29, p - 1)) for p in _PRIMES)
+_VALUES = tuple(_rng.permutation(1 << 16)[:256].astype(np.int64) + 1 for _ in _PRIMES)
+
+
+def residue_powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 to base**(n - 1) modulo prime."""
+    out = np.ones(max(n, 1), np.int64)
+    size, step = 1, base
+    while size < n:
+        more = min(size, n - size)
+        out[size : size + more] = out[:more] * step % prime
+        size, step = size + more, step * step % prime
+    return out[:n]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes from polynomials modulo two primes: 62 bits, mixed to 64.
+
+    Two different words of n bytes share it for at most n of 2**31 bases in each of both; no pair does for all bases, as
+    pairs do modulo a power of two.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    for prime, base, value in zip(_PRIMES, _BASES, _VALUES, strict=True):
+        sums = np.zeros(len(data) + 1, np.int64)  # each term is under 2**31: exact for 2**32 bytes
+        np.cumsum(value[data] * residue_powers(base, prime, len(data)) % prime, out=sums[1:])
+        back = residue_powers(pow(base, -1, prime), prime, len(data) + 1)[starts]
+        h = (sums[ends] - sums[starts]) % prime * back % prime
+        out = out << np.uint64(31) | h.astype(np.uint64)
+    return mixed(out)
+
+
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each item of rows of these lengths: its row, and its place there."""
     ends = np.cumsum(lengths)

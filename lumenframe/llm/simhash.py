@@ -25,6 +25,8 @@ similarity of 0.8 or more: two lanes, of whose 128 bits at most SIMILAR_BITS dif
 counts of shingles is that share of 180 degrees; a Jaccard index of 0.8 has a cosine of 2 * 0.8 / 1.8 and 15.2 % of the
 bits. No link within the budget is missed; how far fingerprints tell a text's similarity is measured in README.
 
+The stage decides by row: a row is known by its id and its text.
+
 Defined results: null and empty texts, and texts without a word, have fingerprint 0 and link to each other. A text of
 fewer words than a shingle is one shingle. Exact copies share a fingerprint and are expanded only when ids are joined
 back. Rows that repeat a doc_id keep a row each. A null doc_id is never the smallest of a component unless the
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import kit
 
-WORDS, SEED, BUDGET, GROUP_ROWS, SPLITS, SALTS = 4, 42, 4, 4096, 4, 16
+WORDS, SEED, BUDGET, GROUP_ROWS, SPLITS, SALTS, HOT = 4, 42, 4, 4096, 4, 16, 10_000
 #: The pipeline's stage: words of a shingle, lanes of a fingerprint, and how many of its bits may differ.
 SIMILAR_WORDS, SIMILAR_LANES, SIMILAR_BITS = 5, 2, 19
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -246,6 +248,12 @@ def met(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return salted.join(values.select("*", salts), [key, "salt"]).drop("salt")
 
 
+def named(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """rows (a written table) with the columns of values, which has each node once and in k how many of `rows` have it. Nodes of over a HOT-th of all rows (at most HOT are) meet them by broadcast."""
+    hot = F.broadcast(values.where(F.col("k") * F.lit(HOT) > F.lit(rows.count())).drop("k"))
+    return rows.join(hot, "node").unionByName(rows.join(hot.select("node"), "node", "left_anti").join(values.drop("k"), "node"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root): for each end of an edge, the least vertex it reaches. Large-star and small-star in turn until nothing changes.
 
@@ -276,18 +284,22 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select("u", F.col("v").alias("root"))
 
 
+def _roots(fps: DataFrame, names: list[str], budget: int, group_rows: int, lanes: int) -> DataFrame:
+    """node, first (the least doc_id that has it), k (rows that have it), root: the component of each distinct fingerprint of fps (node, doc_id and the lanes' names)."""
+    own = kit.written(fps.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")), "distinct-fingerprints")
+    roots = components(links(own, budget, group_rows, lanes))
+    known = own.join(roots, own.node == roots.u, "left").select("node", "first", "k", F.coalesce("root", "node").alias("root"))
+    return kit.written(known, "roots")
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS, words: int = WORDS, lanes: int = 1) -> DataFrame:
     """doc_id, fp and further lanes, component_id: the smallest doc_id that links reach."""
     names = lane_names(lanes)
     node = F.col("fp") if lanes == 1 else F.xxhash64(*names)
     fps = kit.written(fingerprints(docs, words, lanes).withColumn("node", node), "fingerprints")
-    own = kit.written(fps.groupBy("node", *names).agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(own, budget, group_rows, lanes))
-    known = own.join(roots, own.node == roots.u, "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    known = kit.written(known, "roots")
+    known = _roots(fps, names, budget, group_rows, lanes)
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = met(known, least, "root").select("node", "component_id")
-    return fps.join(named, "node", "left").select("doc_id", *names, "component_id")
+    return named(fps, met(known, least, "root").select("node", "k", "component_id")).select("doc_id", *names, "component_id")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,16 +308,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with its smallest doc_id stays, of rows that repeat this id the one whose text has the least hash (rows without an id stay)."""
-    ids = near_duplicates(docs, SIMILAR_BITS, words=SIMILAR_WORDS, lanes=SIMILAR_LANES)
-    ids = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    ids = kit.written(ids.where("doc_id <> least or rows > 1"), "near-duplicates")
-    gone, again = ids.where("doc_id <> least").select("doc_id"), ids.where("doc_id = least").select("doc_id")
-    names = docs.columns
-    rest = docs.join(gone, "doc_id", "left_anti").select(names)
+    """Pipeline stage: of each component one row stays, that with its smallest doc_id (of several, that whose text has the least hash); rows without an id stay.
+
+    Rows that repeat an id are judged each by its own text: what happens to one says nothing of the others.
+    """
+    names, key = docs.columns, max(docs.columns, key=len) + "_key"
+    lanes = lane_names(SIMILAR_LANES)
+    # A row is known by its id and text: an id that carries the text's hash, so that each text has its own fingerprint row.
+    row = F.struct("doc_id", F.xxhash64("text").alias("key"))
+    fps = fingerprints(docs.where("doc_id is not null").select(F.to_json(row).alias("doc_id"), "text"), SIMILAR_WORDS, SIMILAR_LANES)
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key bigint"
+    fps = fps.withColumn("node", F.xxhash64(*lanes)).withColumn("doc_id", F.from_json("doc_id", kind))
+    fps = kit.written(fps.groupBy("doc_id", "node", *lanes).agg(F.count(F.lit(1)).alias("rows")), "fingerprints")
+    known = _roots(fps, lanes, SIMILAR_BITS, GROUP_ROWS, SIMILAR_LANES)
+    stays = known.groupBy("root").agg(F.min("first").alias("stays"))
+    judged = named(fps, met(known, stays, "root").select("node", "k", "stays")).where("doc_id <> stays or rows > 1")
+    judged = kit.written(judged.select("doc_id.*", F.col("doc_id").alias("row"), "stays").selectExpr("doc_id as judged_id", "key as judged_key", "row = stays as again"), "near-duplicates")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col("judged_id")) & (F.col(key) == F.col("judged_key"))
+    again = judged.where("again")
+    rest = keyed.join(judged.where("not again"), same, "left_anti")
     if again.isEmpty():
-        return rest
-    # Of rows that repeat an id, one by one: the least hash of all columns, then any of the equal rows.
-    one = rest.join(again, "doc_id", "left_semi").select(names)
-    one = one.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.struct(F.xxhash64("text"), F.xxhash64(*names))).alias("row")).select("row.*")
-    return rest.join(again, "doc_id", "left_anti").select(names).unionByName(one)
+        return rest.select(names)
+    # Of equal rows, and of rows of one id and text, one by one: the least hash of all columns, then any of the equal ones.
+    one = rest.join(again, same, "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.xxhash64(*names)).alias("row")).select("row.*")
+    return rest.join(again, same, "left_anti").select(names).unionByName(one)

@@ -9,7 +9,7 @@ Neighbouring windows with one run on every level travel as one row (a stretch, a
 hash of all its words, where it starts. One shuffle by the 5-word run and one sort serve all levels, since a longer run
 lies with its shorter one. On the last level stretches of the same words are settled first, all but the earliest by
 (doc_id, start); of the earliest, those whose 10-word run lies in other stretches too are extended to windows, told
-apart by the hashes of both halves (128 bits). Each window but the earliest of its kind covers words to remove.
+apart by the hashes of both halves. Hashes of words are polynomials modulo two primes (`kit.word_hashes`). Each window but the earliest of its kind covers words to remove.
 
 A run with more than a 10,000th of all rows is hot (at most 10,000 are; they are listed in a filter): its rows go to the next
 level, where longer runs spread them. What is hot on every level is settled by aggregates that combine before the
@@ -20,8 +20,8 @@ slice of text is settled there, so a passage that a third of all documents share
 for each document or pair.
 
 Defined results: null text has no words. Texts shorter than a window lose nothing. Equal windows at overlapping places
-of one document count: the later start is removed. Rows that repeat a doc_id are one document: copies under one id
-and at one start are not earlier than each other. A null doc_id sorts before all others. Extra columns are ignored.
+of one document count: the later start is removed. Rows that repeat a doc_id are judged each by its own text: windows
+under one id and at one start are not earlier than each other. A null doc_id sorts before all others. Extra columns are ignored.
 An empty table gives an empty result; a text that loses every word gives the empty string.
 """
 
@@ -34,7 +34,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm import kit
@@ -78,7 +78,7 @@ class Words:
         data, off = kit.utf8(part.column("text"))
         self.levels, self.half, self.window = level_lengths(window), window // 2, window
         starts, ends, self.first = kit.spans(~kit.SPACE[data], off)
-        h = kit.range_hashes(data, starts, ends)
+        h = kit.word_hashes(data, starts, ends)
         n = max(0, len(h) - self.levels[0] + 1)
         run = np.zeros(n, np.uint64)
         for k in range(self.levels[0]):
@@ -121,7 +121,7 @@ def _first_in_slice(ids: pa.Array, keys: list[np.ndarray], rows: np.ndarray, sta
     return order, (key != key[lead]) | (start != start[lead])
 
 
-def _rows(ids: pa.Array, keys: dict[str, np.ndarray], same: list[str], rows: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+def _rows(ids: pa.Array, own: pa.Array, keys: dict[str, np.ndarray], same: list[str], rows: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
     """Of stretches (or windows: n = 1) with these keys, of which `same` tell kinds apart: the first of its kind in the slice as a row each; the others settled, as ranges of words, a row for each text."""
     if not len(rows):
         return
@@ -129,7 +129,7 @@ def _rows(ids: pa.Array, keys: dict[str, np.ndarray], same: list[str], rows: np.
     rows, start, n = (x[order] for x in (rows, start, n))
     keep = ~later
     yield kit.batch(
-        **{k: x[order[keep]].view(np.int64) for k, x in keys.items()}, doc_id=ids.take(pa.array(rows[keep])), start=start[keep].astype(np.int32), n=n[keep].astype(np.int32),
+        **{k: x[order[keep]].view(np.int64) for k, x in keys.items()}, doc_id=ids.take(pa.array(rows[keep])), own=own.take(pa.array(rows[keep])), start=start[keep].astype(np.int32), n=n[keep].astype(np.int32),
         settled=pa.nulls(int(keep.sum()), pa.list_(pa.int32())),
     )
     if later.any():
@@ -145,7 +145,7 @@ def _rows(ids: pa.Array, keys: dict[str, np.ndarray], same: list[str], rows: np.
         head = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
         settled = pa.ListArray.from_arrays(pa.array((np.append(head, len(r)) * 2).astype(np.int32)), pa.array(flat))
         k = len(head)
-        yield kit.batch(**{x: pa.nulls(k, pa.int64()) for x in keys}, doc_id=ids.take(pa.array(r[head])), start=s[head].astype(np.int32), n=np.zeros(k, np.int32), settled=settled)
+        yield kit.batch(**{x: pa.nulls(k, pa.int64()) for x in keys}, doc_id=ids.take(pa.array(r[head])), own=own.take(pa.array(r[head])), start=s[head].astype(np.int32), n=np.zeros(k, np.int32), settled=settled)
 
 
 def _run_names(window: int) -> list[str]:
@@ -160,7 +160,7 @@ def _stretches(window: int):
             w = Words(part, window)
             row, at, n, runs, whole = w.stretches()
             keys = dict(zip(names, runs, strict=True)) | {"whole": whole}
-            yield from _rows(part.column("doc_id"), keys, [names[-1], "whole"], row, at - w.first[row], n, window)
+            yield from _rows(part.column("doc_id"), part.column("own"), keys, [names[-1], "whole"], row, at - w.first[row], n, window)
 
     return found
 
@@ -175,10 +175,8 @@ def _extended(window: int):
             flat = at.flatten()
             again, k = kit.ragged(flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64))
             row, start = row[again], flat.field("start").to_numpy(zero_copy_only=False)[again] + k
-            inside = start + window <= np.diff(w.first)[row]  # rows that repeat a doc_id may be shorter
-            row, start = row[inside], start[inside]
             i, half = w.first[row] + start, w.runs[-1]
-            yield from _rows(part.column("doc_id"), {"a": half[i], "b": half[i + w.half]}, ["a", "b"], row, start, np.ones(len(row), np.int64), window)
+            yield from _rows(part.column("doc_id"), part.column("own"), {"a": half[i], "b": half[i + w.half]}, ["a", "b"], row, start, np.ones(len(row), np.int64), window)
 
     return windows
 
@@ -201,19 +199,19 @@ def _levels(rows: DataFrame, runs: list[str]) -> DataFrame:
     for k in range(len(runs)):
         rows = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*runs[: k + 1]))).where("k > 1").drop("k")
     rows = rows.withColumn("later", F.rank().over(Window.partitionBy(*kind).orderBy("doc_id", "start")) > 1)
-    return rows.withColumn("kinds", F.sum((~F.col("later")).cast("int")).over(Window.partitionBy(*runs))).select("doc_id", "start", "n", "later", "kinds")
+    return rows.withColumn("kinds", F.sum((~F.col("later")).cast("int")).over(Window.partitionBy(*runs))).select("doc_id", "own", "start", "n", "later", "kinds")
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, ranges: arrays of from, to, from, to ... of words that windows cover whose words also start earlier. Only documents that have some."""
+    """doc_id, own, ranges: arrays of from, to, from, to ... of words that windows cover whose words also start earlier. Only rows that have some; own tells rows of one doc_id apart (`row_key`)."""
     runs = _run_names(window)
     half = runs[-1]
-    docs = docs.select("doc_id", "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, n int, settled array<int>"
+    docs = docs.select("doc_id", row_key().alias("own"), "text")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, own bigint, start int, n int, settled array<int>"
     place = F.struct("doc_id", "start")
     first = F.min(place).alias("first")
     covers = F.array(F.col("start"), F.col("start") + F.col("n") + F.lit(window - 1)).alias("ranges")
-    settled = lambda t: t.where("settled is not null").select("doc_id", F.col("settled").alias("ranges"))
+    settled = lambda t: t.where("settled is not null").select("doc_id", "own", F.col("settled").alias("ranges"))
 
     stretches = kit.written(docs.mapInArrow(_stretches(window), "".join(f"{r} bigint, " for r in runs) + "whole bigint, " + schema), "stretches")
     live = stretches.where("settled is null").drop("settled")
@@ -231,20 +229,20 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         small.append(kit.written(_counted(live, [half, "whole"], first), "kinds"))
         small.append(kit.written(_counted(small[-1], [half]).withColumnRenamed("k", "kinds"), "kinds-of-runs"))
         rows = _met(live, small[-2], [half, "whole"]).withColumn("later", place != F.col("first"))
-        judged.append(rows.join(F.broadcast(small[-1]), half).select("doc_id", "start", "n", "later", "kinds"))  # at most HOT runs
+        judged.append(rows.join(F.broadcast(small[-1]), half).select("doc_id", "own", "start", "n", "later", "kinds"))  # at most HOT runs
     found = kit.written(reduce(DataFrame.unionByName, judged).where("later or kinds > 1"), "judged")
     apart = kit.written(settled(stretches), "settled")
     for table in (stretches, *small):
         kit.removed(table)
 
-    at = found.where("not later").groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("start", "n")).alias("at"))
-    extended = docs.join(at, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("doc_id", "text", "at")
+    at = found.where("not later").groupBy(F.col("doc_id").alias("at_id"), F.col("own").alias("at_own")).agg(F.collect_set(F.struct("start", "n")).alias("at"))
+    extended = docs.join(at, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("own") == F.col("at_own"))).select("doc_id", "own", "text", "at")
     windows = kit.written(extended.mapInArrow(_extended(window), "a bigint, b bigint, " + schema), "windows")
     each = windows.where("settled is null").drop("settled")
     firsts = kit.written(_counted(each, ["a", "b"], first).where("k > 1"), "window-kinds")
     later = _met(each, firsts, ["a", "b"]).where(place != F.col("first"))
-    ranges = apart.unionByName(found.where("later").select("doc_id", covers)).unionByName(settled(windows)).unionByName(later.select("doc_id", covers))
-    out = kit.written(ranges.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "repeated-ranges")
+    ranges = apart.unionByName(found.where("later").select("doc_id", "own", covers)).unionByName(settled(windows)).unionByName(later.select("doc_id", "own", covers))
+    out = kit.written(ranges.groupBy("doc_id", "own").agg(F.collect_set("ranges").alias("ranges")), "repeated-ranges")
     for table in (found, apart, windows, firsts):
         kit.removed(table)
     return out
@@ -292,11 +290,16 @@ def _digest():
     return digest
 
 
+def row_key() -> Column:
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64("text")
+
+
 def _with_ranges(docs: DataFrame, window: int) -> DataFrame:
     """docs and, as the last column, the ranges of words that go; no column of docs clashes with it."""
-    own, last = (max(docs.columns, key=len) + x for x in ("_id", "_ranges"))
-    ranges = repeated_ranges(docs, window).select(F.col("doc_id").alias(own), F.col("ranges").alias(last))
-    return docs.join(ranges, F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
+    own_id, own, key, last = (max(docs.columns, key=len) + x for x in ("_id", "_own", "_key", "_ranges"))
+    ranges = repeated_ranges(docs, window).select(F.col("doc_id").alias(own_id), F.col("own").alias(own), F.col("ranges").alias(last))
+    return docs.withColumn(key, row_key()).join(ranges, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own)), "left").drop(own_id, own, key)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:

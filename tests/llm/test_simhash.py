@@ -135,5 +135,15 @@ def test_stage(spark):
     df = spark.createDataFrame([(d, t, "en", "a", "b", "c") for d, t in rows], schema)
     got = simhash.kept(spark, df, "")
     assert got.columns == df.columns
-    assert sorted([(r.doc_id or 0) for r in got.collect()]) == [0, 1, 2, 7, 8, 9, 10]
+    assert sorted([(r.doc_id or 0) for r in got.collect()]) == [0, 1, 2, 7, 8, 8, 9, 10]  # both texts of id 8 stay
     assert simhash.kept(spark, df.limit(0), "").collect() == []
+
+
+def test_stage_decides_by_row(spark):
+    """Rows of one id with different texts: no text is lost for another row of its id."""
+    a, b = (" ".join(f"{x}{k}" for k in range(300)) for x in "ab")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (9, b, "x"), (9, b, "y"), (None, a, "x"), (5, None, "x"), (6, "", "x")]
+    got = simhash.kept(spark, spark.createDataFrame(rows, "doc_id long, text string, key string"), "")
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == [(0, a), (1, a), (5, ""), (5, b)]
+    got = simhash.kept(spark, spark.createDataFrame([(3, b, "x")] * 4 + [(2, a, "x")] * 3, "doc_id long, text string, key string"), "")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(2, a), (3, b)]

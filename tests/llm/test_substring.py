@@ -96,3 +96,20 @@ def test_sql(spark):
     c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     want = c.execute(substring.ORACLE_SQL).fetchall()
     assert sorted(want) == sorted(tuple(r) for r in substring.op8(spark, sf).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+
+
+def test_rows_of_one_id(spark):
+    """A row is judged by its own text: no words go because of another row of its id."""
+    p = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, p), (7, "x y z " + p), (7, " ".join(f"d{i}" for i in range(80))), (7, "x y z " + p), (None, "n " + p), (None, " ".join(f"e{i}" for i in range(60)))]
+    got = sorted((tuple(r) for r in substring.dedup(spark.createDataFrame([(d, t, "s", "n") for d, t in rows], SCHEMA)).collect()), key=str)
+    assert got == brute(rows, 20) and sum(r[2] for r in got) == 90
+
+
+def test_words_of_one_polynomial_modulo_a_power_of_two(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    w = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([*w[:9], a, *w[9:]])), (2, " ".join([*w[:9], b, *w[9:]]))]
+    assert [r.n_removed for r in substring.dedup(spark.createDataFrame([(d, t, "s", "n") for d, t in rows], SCHEMA)).collect()] == [0, 0]
