@@ -111,11 +111,19 @@ def listed(stripe: str) -> str:
     return _let("o", stripe, _let("q", alone, f"if(size(q) = {number}, q, {_let('f', peeled('o'), 'f.found')})"))
 
 
+_STEPS = "array(" + ", ".join(str(1 << k) for k in range(30, -1, -1)) + ")"
+
+
 def laid(members: str, stripes: str) -> str:
     """The row of `stripes` (a power of two) stripes of digests; each has the least size at which it lists its own digests."""
     tried = lambda width: _let("at", placed("own", width), f"if(size(at) < 2 or {lists('at')}, struct(true as done, {sketch('at', width)} as cells), struct(false as done, {NONE} as cells))")
     stripe = f"get(transform(array({_larger(tried(str(WIDTH)), tried(f'shiftleft({WIDTH}, 2 * level)'))}), y -> y.cells), 0)"
-    return f"transform(sequence(0, {stripes} - 1), t -> {_let('own', f'filter({members}, x -> (x.k & ({stripes} - 1)) = t)', stripe)})"
+    # Digests in order of their stripe; each stripe's first place by halving steps.
+    ordered = f"array_sort(transform({members}, x -> struct(x.k & ({stripes} - 1) as t, x.k as k, x.h as h)))"
+    first = lambda t: f"aggregate({_STEPS}, 0, (lo, step) -> if(lo + step <= size(by_stripe) and get(by_stripe, lo + step - 1).t < {t}, lo + step, lo))"
+    cut = _let("start", f"transform(sequence(0L, cast({stripes} as bigint)), t -> {first('t')})", "transform(sequence(0, size(start) - 2), i -> slice(by_stripe, start[i] + 1, start[i + 1] - start[i]))")
+    parts = f"if({stripes} = 1, array(transform({members}, x -> struct(0L as t, x.k as k, x.h as h))), {_let('by_stripe', ordered, cut)})"
+    return f"transform({parts}, own -> {stripe})"
 
 
 def fingerprint(digests: str) -> str:
@@ -148,7 +156,8 @@ def differing(rows: DataFrame, a: str, b: str, to: str) -> DataFrame:
 def likeness(rows: DataFrame, a: str, b: str, to: str) -> DataFrame:
     """The rows with column `to`: the Jaccard index of the sets of digests of the fingerprints a and b."""
     total, e = f"({a}.n + {b}.n)", f"size({to}.found)"
-    return differing(rows, a, b, to).withColumn(to, F.expr(f"if({total} = 0, 1D, ({total} - {e}) / cast({total} + {e} as double))"))
+    index = f"if({total} = 0, 1D, ({total} - {e}) / cast({total} + {e} as double))"
+    return differing(rows, a, b, to).withColumn(to, F.expr(f"if({to}.done, {index}, cast(raise_error('fingerprints that the largest sketch does not peel') as double))"))
 
 
 def as_text(fp: str) -> str:

@@ -143,3 +143,16 @@ def test_ranges_are_even(spark, monkeypatch):
     assert at == "far" and len(set(seen)) == len(rows)
     order = [ids[t] for t in seen]
     assert order == sorted(order, key=lambda d: (d is None, -(d or 0)))
+
+
+def test_many_paragraphs(spark):
+    """A text of 60,000 paragraphs: cost grows with their number; one changed line is found."""
+    import time
+
+    lines = [f"paragraph {k} of a long text" for k in range(60_000)]
+    other = [*lines[:30_000], "another line", *lines[30_001:]]
+    rows = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
+    rows = rows.selectExpr(*[f"{fingerprint.fingerprint(fingerprint.digests(c))} as f{c}" for c in "ab"])
+    began = time.time()
+    r = fingerprint.likeness(rows, "fa", "fb", "near").select("fa.n", "near").first()
+    assert r.n == 60_000 and r.near == 59_999 / 60_001 and time.time() - began < 60
