@@ -1,58 +1,102 @@
 """The reversible 8x8 transform by lifting: integer rotations that undo themselves exactly.
 
-The flow graph is data: each step rotates two of eight values by k * pi / 16 in three rounded shears, and the inverse
-runs the same list backwards. Blocks are handled as Arrow batches of dense arrays.
+The flow graph follows from the recursive factorisation of the orthogonal DCT-II and DCT-IV (G. Plonka and M. Tasche, "Fast
+and numerically stable algorithms for discrete cosine transforms", 2005): a DCT-II of n values is butterflies, a DCT-II of
+the sums and a DCT-IV of the differences; a DCT-IV is rotations by odd multiples of pi / 4n, two DCT-II of half the size
+and butterflies. `plan` unrolls it to a list of plane rotations and negations. A rotation is three rounded shears ("Invertible
+integer DCT algorithms", 2003, by the same authors), and the inverse runs the list backwards. Blocks are handled as Arrow
+batches of dense arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BITS = 12
-# The flow graph of the fast 8-point DCT-II by plane rotations (Chen, Smith and Fralick, 1977; as lifting steps:
-# Liang and Tran, "Fast multiplierless approximations of the DCT with the lifting scheme", 2001). A reversible transform must
-# take the same steps in the same order to agree to the bit.
-#: (first, second, k, is the second negated afterwards): butterflies, then the even and odd parts' rotations.
-STEPS = [(0, 4, 4, 1), (1, 5, 4, 1), (2, 6, 4, 1), (3, 7, 4, 1), (0, 3, 4, 1), (1, 2, 4, 1), (4, 7, 1, 0), (5, 6, 3, 0), (4, 5, 4, 1), (6, 7, 4, 1), (0, 1, 4, 0), (3, 2, 2, 0), (5, 6, 4, 0)]
-#: Which value and sign each frequency is.
-PLACES, SIGNS = [0, 4, 3, 6, 1, 5, 2, 7], [1, 1, 1, -1, -1, 1, -1, 1]
 
 
 def _times(v: np.ndarray, c: float) -> np.ndarray:
     return (v * round(c * (1 << BITS)) + (1 << BITS >> 1)) >> BITS
 
 
-def _shears(k: int) -> tuple[float, float]:
-    return float(np.tan(k * np.pi / 32)), float(np.sin(k * np.pi / 16))
+class Plan:
+    """Steps (first, second, angle) of rotations, (place,) of negations; and where each frequency ends up."""
+
+    def __init__(self, n: int):
+        self.steps: list[tuple] = []
+        self.order = self.dct2(list(range(n)))
+
+    def butterfly(self, a: int, b: int) -> None:
+        """Sum and difference, both over the root of two."""
+        self.steps += [(a, b, np.pi / 4), (b,)]
+
+    def dct2(self, at: list[int]) -> list[int]:
+        """The places of the frequencies of the DCT-II of the values at these places."""
+        n, half = len(at), len(at) // 2
+        if n == 1:
+            return at
+        for i in range(half):
+            self.butterfly(at[i], at[n - 1 - i])
+        even, odd = self.dct2(at[:half]), self.dct4(at[: half - 1 : -1])
+        return [x for pair in zip(even, odd, strict=True) for x in pair]
+
+    def dct4(self, at: list[int]) -> list[int]:
+        n, half = len(at), len(at) // 2
+        if n == 1:
+            return at
+        for i in range(half):
+            self.steps.append((at[i], at[n - 1 - i], (2 * i + 1) * np.pi / (4 * n)))
+            if i % 2:
+                self.steps.append((at[n - 1 - i],))
+        u, v = self.dct2(at[:half]), self.dct2(at[: half - 1 : -1])
+        self.steps.append((v[0],))
+        out = [u[0]] * n
+        out[n - 1] = v[0]
+        for m in range(1, half):
+            self.butterfly(u[m], v[half - m])
+            out[2 * m], out[2 * m - 1] = u[m], v[half - m]
+        return out
+
+
+@lru_cache(maxsize=1)
+def plan() -> Plan:
+    return Plan(8)
 
 
 def forward(v: np.ndarray) -> np.ndarray:
     """Along the last axis: eight samples to eight frequencies."""
-    x = [v[..., k] for k in (0, 1, 2, 3, 7, 6, 5, 4)]
-    for a, b, k, negated in STEPS:
-        t, s = _shears(k)
+    x = [v[..., k] for k in range(8)]
+    for a, *turn in plan().steps:
+        if not turn:
+            x[a] = -x[a]
+            continue
+        b, angle = turn
+        t, s = np.tan(angle / 2), np.sin(angle)
         x[a] = x[a] + _times(x[b], t)
         x[b] = x[b] - _times(x[a], s)
         x[a] = x[a] + _times(x[b], t)
-        x[b] = -x[b] if negated else x[b]
-    return np.stack([s * x[p] for p, s in zip(PLACES, SIGNS, strict=True)], axis=-1)
+    return np.stack([x[k] for k in plan().order], axis=-1)
 
 
 def inverse(c: np.ndarray) -> np.ndarray:
     x: list[np.ndarray] = [None] * 8
-    for f, (p, s) in enumerate(zip(PLACES, SIGNS, strict=True)):
-        x[p] = s * c[..., f]
-    for a, b, k, negated in reversed(STEPS):
-        t, s = _shears(k)
-        x[b] = -x[b] if negated else x[b]
+    for f, k in enumerate(plan().order):
+        x[k] = c[..., f]
+    for a, *turn in reversed(plan().steps):
+        if not turn:
+            x[a] = -x[a]
+            continue
+        b, angle = turn
+        t, s = np.tan(angle / 2), np.sin(angle)
         x[a] = x[a] - _times(x[b], t)
         x[b] = x[b] + _times(x[a], s)
         x[a] = x[a] - _times(x[b], t)
-    return np.stack([x[k] for k in (0, 1, 2, 3, 7, 6, 5, 4)], axis=-1)
+    return np.stack(x, axis=-1)
 
 
 def forward_block(v: np.ndarray, level: int = 128) -> np.ndarray:
