@@ -3,11 +3,11 @@
 A coded image is one flow of relations: blocks (image, comp, by, bx, q) are placed in each scan that holds their
 component; each restart segment of a scan becomes symbols in one group (the serial step: DC prediction, runs of zeros,
 runs of ended bands); symbols are counted, each table's code lengths and codes follow from its counts, codes are joined
-back, and each segment's bits are packed. Reading goes the other way: markers give tables, frame and scans as
-relations (`markers`), and an image's scans are decoded in order in one group, since refinement needs what came before.
+back, and each segment's bits are packed. Reading goes the other way (`decoding`): markers give tables, frame and scans
+as relations (`markers`), and each segment is decoded by itself.
 
 A component's blocks beyond the image (in the last column and row of MCUs) are coded in scans of several components
-only. Broken or missing data are zero blocks and `valid` is false for their image.
+only.
 """
 
 from __future__ import annotations
@@ -342,59 +342,9 @@ def read_refinement(bits: Bits, rows: list, tables: dict, ss: int, se: int, al:
 
 
 def decode(m: DataFrame, coder=None) -> DataFrame:
-    """image, comp, by, bx, q, valid: the coefficient blocks of all files, from their own tables. coder: reads a segment of an arithmetic coded scan."""
-    rows = [
-        M.frames(m).selectExpr("image", "seq", "'frame' as what", "array(width, height, marker) as v"), M.components(m).selectExpr("image", "seq", "'comp' as what", "array(comp, id, h, v) as v"),
-        M.scans(m).selectExpr("image", "seq", "'scan' as what", "array(place, id, td, ta, ss, se, ah, al) as v"), M.huffman(m).selectExpr("image", "seq", "'code' as what", "array(tc, th, place, size, symbol) as v"),
-        M.conditioning(m).selectExpr("image", "seq", "'cond' as what", "array(tc, tb, low, high) as v"), M.intervals(m).selectExpr("image", "seq", "'rst' as what", "array(interval) as v"),
-    ]
-    all_rows = rows[0]
-    for r in rows[1:]:
-        all_rows = all_rows.unionByName(r)
-    none = F.lit(None)
-    data = m.where("marker = 0 or marker between 208 and 215").select("image", "seq", F.lit("data").alias("what"), none.cast("array<bigint>").alias("v"), "payload")
-    order = np.argsort(zigzag())
-
-    def decoded(p: pd.DataFrame) -> pd.DataFrame:
-        parts = {k: sorted(((r.seq, *map(int, r.v)) for r in x.itertuples()), key=lambda r: r[:2]) for k, x in p[p.what != "data"].groupby("what")}
-        own = [(r.seq, r.payload) for r in p[p.what == "data"].sort_values("seq").itertuples()]
-        if "frame" not in parts or "scan" not in parts:
-            return pd.DataFrame(columns=["image", "comp", "by", "bx", "q", "valid"])
-        _, width, height, kind = parts["frame"][0]
-        ids = [c[2] for c in parts["comp"]]
-        g = Geometry(width, height, [(c[3], c[4]) for c in parts["comp"]])
-        blocks = {(c, y, x): [0] * 64 for c, (h, v) in enumerate(g.factors) for y in range(g.down * v) for x in range(g.across * h)}
-        valid = True
-        for seq in sorted({s[0] for s in parts["scan"]}):
-            of = [s for s in parts["scan"] if s[0] == seq]
-            ss, se, ah, al = of[0][5:9]
-            codes, tables = defaultdict(dict), {}
-            for at, tc, th, place, size, symbol in parts.get("code", []):
-                if at < seq:
-                    codes[tc, th, at][place] = (size, symbol)
-            latest = {(tc, th): at for tc, th, at in sorted(codes)}  # a later table replaces an earlier one
-            for s in of:
-                for tc, th in ((0, s[3]), (1, s[4])):
-                    if (tc, th) in latest:
-                        x = [v for _, v in sorted(codes[tc, th, latest[tc, th]].items())]
-                        tables[tc, ids.index(s[2])] = lookup(tuple(n for n, _ in x), tuple(v for _, v in x))
-            cond = {(tc, ids.index(s[2])): next((r[3:] for r in reversed(parts.get("cond", [])) if r[0] < seq and r[1:3] == (tc, s[3 + tc])), (0, 1) if tc == 0 else (5, 0)) for s in of for tc in (0, 1)}
-            ends = [s[0] for s in parts["scan"] if s[0] > seq]
-            mine = [d for at, d in own if seq < at < min(ends, default=1 << 60)]
-            mcus = g.order([ids.index(s[2]) for s in of])
-            step = next((r[1] for r in reversed(parts.get("rst", [])) if r[0] < seq and r[1]), len(mcus)) or 1
-            for j in range(-(-len(mcus) // step)):
-                rows = [(k[0], blocks[k]) for u in mcus[j * step : (j + 1) * step] for k in u]
-                try:
-                    if coder is not None and kind in (0xC9, 0xCA):
-                        coder(mine[j], rows, cond, ss, se, ah, al)
-                    else:
-                        (read_refinement if ah else read_first)(Bits(mine[j]), rows, tables, ss, se, al)
-                except (ValueError, IndexError, KeyError):
-                    valid = False
-        keys = [(c, y, x) for c, y, x in blocks]
-        q = [np.array(blocks[k])[order].tolist() for k in keys]
-        return pd.DataFrame({"image": p.image.iloc[0], "comp": [k[0] for k in keys], "by": [k[1] for k in keys], "bx": [k[2] for k in keys], "q": q, "valid": valid})
-
-    both = all_rows.withColumn("payload", none.cast("binary")).unionByName(data)
-    return both.groupBy("image").applyInPandas(decoded, "image bigint, comp bigint, `by` bigint, bx bigint, q array<bigint>, valid boolean")
+    """As decoding.decode, but valid is false for every block of an image that has a broken one."""
+    from lumenframe.operators import decoding  # which builds on this module
+
+    found = decoding.decode(m, coder)
+    broken = found.where("not valid").select(F.col("image").alias("broken")).distinct()
+    return found.drop("valid").join(broken, F.col("image") == F.col("broken"), "left").selectExpr("image", "comp", "`by`", "bx", "q", "broken is null as valid")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions.tables import written
 from lumenframe.operators import arithmetic as A
 from lumenframe.operators import blocks as B
 from lumenframe.operators import boxes as BX
 from lumenframe.operators import colour as C
+from lumenframe.operators import decoding as DE
 from lumenframe.operators import deringing as DR
 from lumenframe.operators import entropy as E
 from lumenframe.operators import lossless as LL
@@ -56,14 +58,14 @@ class Coded:
             segs = A.segments(image_blocks(self.quant(X.blocks(s, d))), script, GEOMETRY, self.interval)
             tables = s.createDataFrame([], "image bigint, scan bigint, tc bigint, th bigint, symbol bigint, size bigint, code bigint")
         else:
-            t = self.tokens(s, d)
-            tables = S.code_tables(S.histogram(t))
+            t = written(self.tokens(s, d))
+            tables = written(S.code_tables(S.histogram(t)))
             segs = S.segments(t, tables)
-        return E.markers(S.files(segs, tables, script, GEOMETRY, [deltas, deltas], self.interval, self.kind, self.late))
+        return written(E.markers(S.files(segs, tables, script, GEOMETRY, [deltas, deltas], self.interval, self.kind, self.late)))
 
     def round_trip(self, deltas: list[int]):
         coder = A.read if self.kind in (0xC9, 0xCA) else None
-        return lambda s, d: block_rows(S.decode(self.markers(s, d, deltas), coder), X.table(s, d, "embeddings").selectExpr("vec_id as block"))
+        return lambda s, d: block_rows(DE.decode(self.markers(s, d, deltas), coder), X.table(s, d, "embeddings").selectExpr("vec_id as block"))
 
 
 def _payloads(s: SparkSession, d: str, marker: int, payload: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.tables import written
 from lumenframe.operators import blocks as B
+from lumenframe.operators import decoding as DE
 from lumenframe.operators import entropy as E
 from lumenframe.operators import ratedistortion as R
 from lumenframe.operators import scans as S
@@ -92,7 +93,7 @@ def register(add, quant, deltas: list[int], quantized_sql: list[str]) -> None:
 
     def sizes(s: SparkSession, d: str) -> DataFrame:
         plain, small, chosen = optimised_files(s, d, quant, deltas)
-        found = S.decode(E.markers(small)).withColumnRenamed("q", "found").join(chosen, KEYS)
+        found = DE.decode(written(E.markers(small))).withColumnRenamed("q", "found").join(chosen, KEYS)
         same = found.groupBy("image").agg(F.bool_and(F.col("valid") & (F.col("found") == F.col("q"))).alias("same"))
         return plain.selectExpr("image", "cast(octet_length(file) as bigint) as plain_bytes").join(small.selectExpr("image", "cast(octet_length(file) as bigint) as bytes"), "image").join(same, "image")
 

@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions.tables import written
 from lumenframe.operators import blocks as B
 from lumenframe.operators import colour as C
+from lumenframe.operators import decoding as DE
 from lumenframe.operators import entropy as E
 from lumenframe.operators import layers as L
 from lumenframe.operators import lifting as LI
 from lumenframe.operators import nearlossless as NL
 from lumenframe.operators import predict as P
 from lumenframe.operators import raster as R
-from lumenframe.operators import scans as SC
 from lumenframe.operators import segments as G
 from lumenframe.operators import stats as S
 from lumenframe.operators import tone as T
@@ -240,7 +241,7 @@ _add("io22_box_reassembly", lambda s, d: G.reassembled(G.split(X.text_bytes(s, d
 # ---- files and entropy coding (images of 64 blocks, 8 in a row, a restart segment for each row)
 _coded = lambda s, d: E.encode(_quant(X.blocks(s, d)).selectExpr("block div 64 as image", "block % 64 div 8 as seg", "block % 64 as mcu", "q"))
 _files = lambda s, d: E.files(_coded(s, d), _D, 8, 8)
-_found = lambda s, d: SC.decode(E.markers(_files(s, d))).selectExpr("image * 64 + `by` * 8 + bx as block", "q")
+_found = lambda s, d: DE.decode(written(E.markers(_files(s, d)))).selectExpr("image * 64 + `by` * 8 + bx as block", "q")
 _add("e1_huffman_round_trip", lambda s, d: B.exploded(_found(s, d), "q").join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block"), f"with {', '.join(_SEG[:-1])} select block, k, v from q")
 _add("e2_file_to_samples", lambda s, d: B.exploded(B.idct(B.dequantized(_found(s, d), _D)), "v").join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block"), f"with {', '.join([X.BLOCK_SQL, _M, _u, _t, _d, _q, _deq, _i1, _i2])} select block, k, v from i2")
 _add("io13_marker_segments", lambda s, d: E.markers(_files(s, d)).groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "marker"))), lambda x: F.hex(x["marker"])), " ").alias("markers")),
