@@ -24,11 +24,11 @@ def rgb_to_ycbcr(px: DataFrame, bits: int = 8, more: tuple[str, ...] = ()) -> Da
     return px.selectExpr("y as py", "x as px", *[f"{e} as {n}" for e, n in zip(out, ("y", "cb", "cr"), strict=True)], *more)
 
 
-def ycbcr_to_rgb(px: DataFrame, bits: int = 8) -> DataFrame:
+def ycbcr_to_rgb(px: DataFrame, bits: int = 8, more: tuple[str, ...] = ()) -> DataFrame:
     """The inverse of rgb_to_ycbcr up to rounding, clipped to the range of samples."""
     high, shift, middle = (1 << bits) - 1, FIX_BITS + COLOUR_BITS, 1 << (bits - 1) << COLOUR_BITS
     centred = ["y", f"(cb - {middle}L)", f"(cr - {middle}L)"]
-    return px.selectExpr("py", "px", *[f"{clamp(rounded_shift(dot(centred, row), shift), high)} as {n}" for row, n in zip(INVERSE, "rgb", strict=True)])
+    return px.selectExpr("py", "px", *[f"{clamp(rounded_shift(dot(centred, row), shift), high)} as {n}" for row, n in zip(INVERSE, "rgb", strict=True)], *more)
 
 
 def identity(px: DataFrame) -> DataFrame:

@@ -60,27 +60,43 @@ def downsampled(px: DataFrame, sx: int, sy: int, column: str = "r") -> DataFrame
     return w.groupBy(F.expr(f"y div {sy}").alias("y"), F.expr(f"x div {sx}").alias("x")).agg(F.expr(f"sum(c * w) div (count(distinct y) * {sx})").alias("v"))
 
 
+#: Centred interpolation between a sample c and its neighbours (t and b above and below, l and r at the sides), by factor. Vertical rounding alternates with the column's parity.
+_ODD = "(x % 2)"
+_UP, _DOWN = f"shiftright(t + 3 * c + 2 - {_ODD}, 2)", f"shiftright(b + 3 * c + 1 + {_ODD}, 2)"
+ROW_RULES = {
+    2: [_UP, _DOWN],
+    3: [_UP, "c", _DOWN],
+    4: [f"shiftright(3 * t + 5 * c + 4 - {_ODD}, 3)", f"shiftright(t + 7 * c + 3 + {_ODD}, 3)", f"shiftright(b + 7 * c + 4 - {_ODD}, 3)", f"shiftright(3 * b + 5 * c + 3 + {_ODD}, 3)"],
+}
+_LEFT, _RIGHT = "shiftright(l + 3 * c + 2, 2)", "shiftright(r + 3 * c + 1, 2)"
+COLUMN_RULES = {2: [_LEFT, _RIGHT], 3: [_LEFT, "c", _RIGHT], 4: ["shiftright(3 * l + 5 * c + 2, 3)", "shiftright(l + 7 * c + 1, 3)", "shiftright(r + 7 * c + 2, 3)", "shiftright(3 * r + 5 * c + 1, 3)"]}
+
+
 def upsampled_rows(px: DataFrame, factor: int, column: str = "r") -> DataFrame:
     """Centred vertical interpolation by 2, 3 or 4; rounding alternates with the column's parity, edges are replicated."""
     w = Window.partitionBy("x").orderBy("y")
     near = px.select("x", "y", F.col(column).alias("c"), F.coalesce(F.lag(column).over(w), column).alias("t"), F.coalesce(F.lead(column).over(w), column).alias("b"))
-    odd = "(x % 2)"
-    up, down = f"shiftright(t + 3 * c + 2 - {odd}, 2)", f"shiftright(b + 3 * c + 1 + {odd}, 2)"
-    rules = {
-        2: [up, down],
-        3: [up, "c", down],
-        4: [f"shiftright(3 * t + 5 * c + 4 - {odd}, 3)", f"shiftright(t + 7 * c + 3 + {odd}, 3)", f"shiftright(b + 7 * c + 4 - {odd}, 3)", f"shiftright(3 * b + 5 * c + 3 + {odd}, 3)"],
-    }[factor]
-    return near.selectExpr("x", "y", f"posexplode(array({', '.join(rules)})) as (k, v)").selectExpr(f"y * {factor} + k as y", "x", "v")
+    return near.selectExpr("x", "y", f"posexplode(array({', '.join(ROW_RULES[factor])})) as (k, v)").selectExpr(f"y * {factor} + k as y", "x", "v")
 
 
 def upsampled_columns(px: DataFrame, factor: int, column: str = "r") -> DataFrame:
     """Centred horizontal interpolation by 2, 3 or 4."""
     w = Window.partitionBy("y").orderBy("x")
     near = px.select("x", "y", F.col(column).alias("c"), F.coalesce(F.lag(column).over(w), column).alias("l"), F.coalesce(F.lead(column).over(w), column).alias("r"))
-    left, right = "shiftright(l + 3 * c + 2, 2)", "shiftright(r + 3 * c + 1, 2)"
-    rules = {2: [left, right], 3: [left, "c", right], 4: ["shiftright(3 * l + 5 * c + 2, 3)", "shiftright(l + 7 * c + 1, 3)", "shiftright(r + 7 * c + 2, 3)", "shiftright(3 * r + 5 * c + 1, 3)"]}[factor]
-    return near.selectExpr("x", "y", f"posexplode(array({', '.join(rules)})) as (k, v)").selectExpr("y", f"x * {factor} + k as x", "v")
+    return near.selectExpr("x", "y", f"posexplode(array({', '.join(COLUMN_RULES[factor])})) as (k, v)").selectExpr("y", f"x * {factor} + k as x", "v")
+
+
+def upsampled(samples: DataFrame) -> DataFrame:
+    """image, comp, y, x, v from samples (image, comp, y, x, v, fx, fy): each component of each image by its own factors (1 to 4), columns after rows.
+
+    A window is one column or one line of one component, so no image is one task.
+    """
+    pick = lambda f, rules: f"case {f} " + " ".join(f"when {n} then array({', '.join(r)})" for n, r in rules.items()) + " else array(c) end"
+    sides = lambda w, one, two: [F.col("v").alias("c"), F.coalesce(F.lag("v").over(w), "v").alias(one), F.coalesce(F.lead("v").over(w), "v").alias(two)]
+    down = samples.select("image", "comp", "x", "y", "fx", "fy", *sides(Window.partitionBy("image", "comp", "x").orderBy("y"), "t", "b"))
+    down = down.selectExpr("image", "comp", "x", "y", "fx", "fy", f"posexplode({pick('fy', ROW_RULES)}) as (k, v)").selectExpr("image", "comp", "y * fy + k as y", "x", "fx", "v")
+    across = down.select("image", "comp", "x", "y", "fx", *sides(Window.partitionBy("image", "comp", "y").orderBy("x"), "l", "r"))
+    return across.selectExpr("image", "comp", "x", "y", "fx", f"posexplode({pick('fx', COLUMN_RULES)}) as (k, v)").selectExpr("image", "comp", "y", "x * fx + k as x", "v")
 
 
 def smoothed_half(px: DataFrame, column: str = "r") -> DataFrame:

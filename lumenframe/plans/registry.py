@@ -20,7 +20,7 @@ from lumenframe.operators import raster as R
 from lumenframe.operators import segments as G
 from lumenframe.operators import stats as S
 from lumenframe.operators import tone as T
-from lumenframe.plans import codec, optimising
+from lumenframe.plans import codec, files, optimising
 from lumenframe.sources import fixtures as X
 from lumenframe.sources import pnm as N
 from lumenframe.streaming import incremental as I
@@ -274,6 +274,7 @@ _add("d3_lifting_transform", lambda s, d: B.exploded(LI.transformed(X.blocks(s,
 _blocks("d4_lifting_round_trip", lambda b: B.exploded(LI.restored(LI.transformed(b)), "v"), "select block, k, v from block64")
 codec.register(_add, _raster, _quant, _D, [X.BLOCK_SQL, _M, _u, _t, _d, _q])
 optimising.register(_add, _quant, _D, [X.BLOCK_SQL, _M, _u, _t, _d, _q])
+files.register(_add, _quant, _D, [X.BLOCK_SQL, _M, _u, _t, _d, _q], [X.BLOCK_SQL, _M, _u, _t, _d, _q, _deq, _i1, _i2], _rgb)
 
 
 def _quantized_sql(table: str, prefix: str) -> list[str]:
