@@ -42,11 +42,16 @@ def within(v: DataFrame, comps: DataFrame) -> DataFrame:
     return v.join(size, ["image", "comp"]).where("x < w and y < h").drop("w", "h")
 
 
-def pixels(blocks: DataFrame, m: DataFrame) -> DataFrame:
-    """image, y, x, r, g, b of three-component images (YCbCr), cut to their size."""
+def planes(blocks: DataFrame, m: DataFrame) -> DataFrame:
+    """image, y, x, c0, c1, c2 (COLOUR_BITS fractional bits) of three-component images, cut to their size."""
     comps = components(m)
     full = R.upsampled(within(samples(blocks, comps), comps))
-    planes = full.groupBy("image", "y", "x").agg(*[F.max(F.when(F.col("comp") == k, F.col("v") * (1 << COLOUR_BITS))).alias(n) for k, n in enumerate(("c0", "c1", "c2"))])
+    c = full.groupBy("image", "y", "x").agg(*[F.max(F.when(F.col("comp") == k, F.col("v") * (1 << COLOUR_BITS))).alias(f"c{k}") for k in range(3)])
     size = comps.where("comp = 0").select("image", "width", "height")
-    planes = planes.join(size, "image").where("x < width and y < height").selectExpr("image", "y as py", "x as px", "c0 as y", "c1 as cb", "c2 as cr")
-    return C.ycbcr_to_rgb(planes, more=("image",)).selectExpr("image", "py as y", "px as x", "r", "g", "b")
+    return c.join(size, "image").where("x < width and y < height").drop("width", "height")
+
+
+def pixels(blocks: DataFrame, m: DataFrame) -> DataFrame:
+    """image, y, x, r, g, b of three-component images (YCbCr), cut to their size."""
+    c = planes(blocks, m).selectExpr("image", "y as py", "x as px", "c0 as y", "c1 as cb", "c2 as cr")
+    return C.ycbcr_to_rgb(c, more=("image",)).selectExpr("image", "py as y", "px as x", "r", "g", "b")

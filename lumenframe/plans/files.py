@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.functions.tables import written
+from lumenframe.operators import blocks as B
+from lumenframe.operators import boxes as BX
+from lumenframe.operators import colour as C
 from lumenframe.operators import decoding as DE
+from lumenframe.operators import entropy as E
+from lumenframe.operators import layered as LY
+from lumenframe.operators import merging as MG
 from lumenframe.operators import reconstruction as RE
-from lumenframe.plans.codec import GEOMETRY, SEQUENTIAL, Coded
+from lumenframe.operators import scans as S
+from lumenframe.plans.codec import GEOMETRY, SEQUENTIAL, Coded, image_blocks
 from lumenframe.sources import fixtures as X
 
 #: Segments of three MCUs; an image has sixteen MCUs, hence six segments.
@@ -21,6 +29,23 @@ def damaged(m: DataFrame) -> DataFrame:
     return kept.unionByName(again)
 
 
+#: Matrices of the specifications below (13 fractional bits), and a table of 256 entries for ten bits.
+LEFT, TURN, TABLE = [8192, 0, 4096, 8192, -2048, -1024, 8192, 6144, 0], [0, 8192, 0, 0, 0, 8192, 4096, 4096, 0], "transform(sequence(0, 255), i -> (i * i) div 64)"
+
+
+def specifications(images: DataFrame) -> DataFrame:
+    """Boxes (image, en, type, data) of each image, by its number modulo 4: none at all (0); a matrix and a table of its own for ten bits (1); no base matrix, a colour matrix, wrapped (2); the reversible residual (3)."""
+    array = lambda m: "array(" + ", ".join(f"{x}L" for x in m) + ")"
+    child = lambda when, place, kind, data: f"if(image % 4 = {when}, struct({place}L as place, '{kind}' as type, {data} as data), null)"
+    inner = [
+        child(1, 0, "LTRF", "X'50'"), child(1, 1, "MTRX", MG.matrix_box("5", array(LEFT))), child(1, 2, "LPTS", "X'3330'"), child(1, 3, "TONE", MG.table_box("3", TABLE, 2)), child(1, 4, "OCON", "X'220000'"),
+        child(2, 0, "LTRF", "X'10'"), child(2, 1, "CTRF", "X'60'"), child(2, 2, "MTRX", MG.matrix_box("6", array(TURN))), child(2, 3, "OCON", "X'000000'"),
+        child(3, 0, "RTRF", "X'40'"), child(3, 1, "OCON", "X'020000'"),
+    ]
+    rows = images.selectExpr("image", f"explode(filter(array({', '.join(inner)}), x -> x is not null)) as c").selectExpr("image", "1L as en", "c.place as place", "c.type as type", "c.data as data")
+    return BX.super_box(rows)
+
+
 #: (image modulo 5, segment) that is lost.
 LOST = [(1, 2), (3, 2), (4, 2), (4, 3), (4, 4)]
 
@@ -51,3 +76,54 @@ def register(add, quant, deltas: list[int], quantized_sql: list[str], samples_sq
     cols = "nc as (select *, coalesce(lag(v) over w, v) as l, coalesce(lead(v) over w, v) as r from ur window w as (partition by image, comp, y order by x)), uc as (select image, comp, y, 2 * x + k as x, case when k = 0 then (l + 3 * v + 2) >> 2 else (r + 3 * v + 1) >> 2 end as v from nc, range(0, 2) kk(k))"
     ycc = f"ycc as (select p.image, p.y as py, p.x as px, p.v * 16 as y, u.v * 16 as cb, w.v * 16 as cr from pl p join uc u on u.image = p.image and u.y = p.y and u.x = p.x and u.comp = 1 join uc w on w.image = p.image and w.y = p.y and w.x = p.x and w.comp = 2 where p.comp = 0 and p.x < {w})"
     add("rec_file_to_pixels", pixels, f"with {', '.join([*samples_sql, images, plane, rows, cols, ycc])} select image, py as y, px as x, {rgb_sql} from ycc")
+
+    def planes(s: SparkSession, d: str) -> DataFrame:
+        m = way.markers(s, d, deltas)
+        return RE.planes(DE.decode(m), m)
+
+    def by_specification(s: SparkSession, d: str) -> DataFrame:
+        base = written(planes(s, d))
+        boxes = BX.reassembled(BX.split(specifications(base.select("image").distinct()), 100).selectExpr("image", "z as seq", "235L as marker", "payload"))
+        residual = base.selectExpr("image", "y", "x", "100L + (y * 3 + x) % 56 as r0", "if(image % 4 = 3, 256L, 100L) + (y + 5 * x) % 50 as r1", "if(image % 4 = 3, 240L, 110L) + (y * x) % 40 as r2")
+        return MG.merged(base, MG.specification(boxes), residual)
+
+    matrix = lambda m, v: [f"({' + '.join(f'{x} * {m[3 * i + k]}' for k, x in enumerate(v))})" for i in range(3)]
+    clip = lambda x: f"greatest(0, least(255, {x}))"
+    flat = [x for row in C.INVERSE for x in row]
+    kinds = {0: (flat, True), 1: (LEFT, False), 2: ([8192, 0, 0, 0, 8192, 0, 0, 0, 8192], False), 3: (flat, True)}
+    base = "case image % 4 " + "{}" + " end"
+    rgb = [base.format(" ".join(f"when {k} then {clip(f'({matrix(m, ["y", "(cb - 2048)" if ycc_ else "cb", "(cr - 2048)" if ycc_ else "cr"])[i]} + 65536) >> 17')}" for k, (m, ycc_) in kinds.items())) for i in range(3)]
+    mg = [f"mg as (select image, py as y, px as x, {', '.join(f'{e} as {n}' for e, n in zip(rgb, ('p', 'q', 'o'), strict=True))}, 100 + (py * 3 + px) % 56 as r0, case when image % 4 = 3 then 256 else 100 end + (py + 5 * px) % 50 as r1, case when image % 4 = 3 then 240 else 110 end + (py * px) % 40 as r2 from ycc)"]
+    turned = matrix(TURN, ["p", "q", "o"])
+    green = "((r0 - (((r1 - 256) + (r2 - 256)) >> 2)) & 255)"
+    gap = {"r": ("p", "r0", f"(r2 - 256 + (r0 - (((r1 - 256) + (r2 - 256)) >> 2))) & 255"), "g": ("q", "r1", green), "b": ("o", "r2", f"(r1 - 256 + (r0 - (((r1 - 256) + (r2 - 256)) >> 2))) & 255")}
+    out = ", ".join(
+        f"case image % 4 when 0 then {clip(f'{p} + {r} - 128')} when 1 then greatest(0, least(1023, ({p} * {p}) // 64 + {r} - 512)) when 2 then (((({turned[i]} + 4096) >> 13) + {r} - 128) & 255) else {clip(f'{p} + ({rev}) - 128')} end as {n}"
+        for i, (n, (p, r, rev)) in enumerate(gap.items())
+    )
+    add("merge_by_specification", by_specification, f"with {', '.join([*samples_sql, images, plane, rows, cols, ycc, *mg])} select image, y, x, {out} from mg")
+
+    def layers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+        """Files with a residual codestream, and the original samples (image, comp, by, bx, v)."""
+        m = way.markers(s, d, deltas)
+        original = image_blocks(X.blocks(s, d).withColumnRenamed("v", "q")).withColumnRenamed("q", "v")
+        residual = written(LY.residuals(original, base_samples(m)))
+        script = S.script(s, SEQUENTIAL)
+        t = written(S.tokens(residual, script, GEOMETRY, 0, False))
+        tables = written(S.code_tables(S.histogram(t)))
+        second = S.files(S.segments(t, tables), tables, script, GEOMETRY, [[1] * 64] * 2, 0, 0xC1)
+        return LY.files(LY.embedded(m, second.selectExpr("image", "1L as en", "'RESI' as type", "file as data"), 1000)), original
+
+    def base_samples(m: DataFrame) -> DataFrame:
+        found = DE.decode(m).selectExpr("struct(image, comp, `by`, bx) as block", "q")
+        return B.idct(B.dequantized(found, deltas)).selectExpr("block.*", "v")
+
+    def residual_codestream(s: SparkSession, d: str) -> DataFrame:
+        m = written(E.markers(layers(s, d)[0]))
+        second = written(E.markers(LY.embedded_files(m)))
+        whole = LY.sums(base_samples(m), DE.decode(second))
+        mcu = "if(comp = 0, `by` div 2 * 4 + bx div 2, `by` * 4 + bx)"
+        back = whole.selectExpr(f"image * 96 + {mcu} * 6 + if(comp = 0, `by` % 2 * 2 + bx % 2, comp + 3) as block", "v")
+        return back.join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block").selectExpr("block", "posexplode(v) as (k, v)")
+
+    add("j6_residual_codestream", residual_codestream, f"with {X.BLOCK_SQL} select block, k, v from block64")
