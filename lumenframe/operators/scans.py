@@ -279,16 +279,23 @@ class Bits:
         return v if not n or v >> (n - 1) else v - (1 << n) + 1
 
 
-def read_first(bits: Bits, rows: list, tables: dict, ss: int, se: int, al: int) -> None:
-    """Fills the blocks (component, zig-zag coefficients) of a segment."""
-    before, ended = defaultdict(int), 0
+class Running:
+    """What one block of a segment's first pass leaves to the next: DC values by component, and how many blocks are known to have ended."""
+
+    def __init__(self, before: dict | None = None, ended: int = 0):
+        self.before, self.ended = defaultdict(int, before or {}), ended
+
+
+def read_first(bits: Bits, rows: list, tables: dict, ss: int, se: int, al: int, state: Running | None = None) -> None:
+    """Fills the blocks (component, zig-zag coefficients) of a segment, or goes on with it from a state."""
+    state = state or Running()
     for comp, q in rows:
         if ss == 0:
-            before[comp] += bits.value(bits.symbol(tables[0, comp]))
-            q[0] = before[comp] << al
+            state.before[comp] += bits.value(bits.symbol(tables[0, comp]))
+            q[0] = state.before[comp] << al
         k = max(ss, 1)
-        if ended:
-            ended -= 1
+        if state.ended:
+            state.ended -= 1
             continue
         while k <= se:
             s = bits.symbol(tables[1, comp])
@@ -300,7 +307,7 @@ def read_first(bits: Bits, rows: list, tables: dict, ss: int, se: int, al: int)
             elif run == 15:
                 k += 16
             else:
-                ended = (1 << run) + bits.get(run) - 1
+                state.ended = (1 << run) + bits.get(run) - 1
                 break
 
 

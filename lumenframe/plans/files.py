@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.functions.tables import written
+from lumenframe.functions.tables import shared_dir, written
 from lumenframe.operators import blocks as B
 from lumenframe.operators import boxes as BX
 from lumenframe.operators import colour as C
@@ -16,6 +16,7 @@ from lumenframe.operators import reconstruction as RE
 from lumenframe.operators import scans as S
 from lumenframe.plans.codec import GEOMETRY, SEQUENTIAL, Coded, image_blocks
 from lumenframe.sources import fixtures as X
+from lumenframe.streaming import decoding as SD
 
 #: Segments of three MCUs; an image has sixteen MCUs, hence six segments.
 INTERVAL = 3
@@ -127,3 +128,18 @@ def register(add, quant, deltas: list[int], quantized_sql: list[str], samples_sq
         return back.join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block").selectExpr("block", "posexplode(v) as (k, v)")
 
     add("j6_residual_codestream", residual_codestream, f"with {X.BLOCK_SQL} select block, k, v from block64")
+
+    def chunked(s: SparkSession, d: str) -> DataFrame:
+        """The files in four batches of chunks, cut at places that depend on the image."""
+        files = written(LY.files(way.markers(s, d, deltas))).selectExpr("image", "file", "octet_length(file) div 4 + 7 * (image % 3) as size")
+        at = shared_dir(s)
+        for n in range(4):
+            end = "octet_length(file)" if n == 3 else "size"
+            part = files.selectExpr("image", f"{n}L as n", f"substring(file, cast({n} * size + 1 as int), cast({end} as int)) as data")
+            part.coalesce(1).write.mode("append").parquet(f"{at}/chunks")
+        found = SD.run_available(s, f"{at}/chunks")
+        mcu = "if(comp = 0, `by` div 2 * 4 + bx div 2, `by` * 4 + bx)"
+        back = found.where("valid").selectExpr(f"image * 96 + {mcu} * 6 + if(comp = 0, `by` % 2 * 2 + bx % 2, comp + 3) as block", "q")
+        return B.exploded(back.join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block"), "q")
+
+    add("st1_chunks_to_blocks", chunked, f"with {', '.join(quantized_sql)} select block, k, v from q")
