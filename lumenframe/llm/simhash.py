@@ -21,9 +21,11 @@ The links of all groups meet in a large-star/small-star connected-components loo
 tables. A join on a star's centre is salted, so that a centre's neighbours are several tasks' work.
 
 `op7` has one lane, four-word shingles and a budget of 4. The pipeline's stage `kept` takes five-word shingles and a
-similarity of 0.8 or more: two lanes, of whose 128 bits at most SIMILAR_BITS differ. The angle between two texts'
+similarity of 0.8 or more: four lanes, of whose 256 bits at most SIMILAR_BITS differ. The angle between two texts'
 counts of shingles is that share of 180 degrees; a Jaccard index of 0.8 has a cosine of 2 * 0.8 / 1.8 and 15.2 % of the
-bits. No link within the budget is missed; how far fingerprints tell a text's similarity is measured in README.
+bits (38.8, give or take 5.7). So wide a budget leaves bit blocks of few bits, whose groups would grow with the corpus;
+the stage's groups are bands of minimum hashes instead (`banded_links`), of which texts of an index of 0.8 share one
+with a probability of 0.98, and the trie join runs inside them. How far that tells texts' similarity is measured in README.
 
 The stage decides by row: a row is known by its id and its text.
 
@@ -48,7 +50,10 @@ from lumenframe.llm import kit
 
 WORDS, SEED, BUDGET, GROUP_ROWS, SPLITS, SALTS, HOT = 4, 42, 4, 4096, 4, 16, 10_000
 #: The pipeline's stage: words of a shingle, lanes of a fingerprint, and how many of its bits may differ.
-SIMILAR_WORDS, SIMILAR_LANES, SIMILAR_BITS = 5, 2, 19
+SIMILAR_WORDS, SIMILAR_LANES, SIMILAR_BITS = 5, 4, 43
+#: Its groups: keys of this many bands of so many minima of the shingles' hashes.
+BANDS, BAND_ROWS = 8, 4
+_ODD = np.random.default_rng(11).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FULL = 2**64 - 1
 
@@ -72,29 +77,44 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: two sets of shingles with a Jaccard index of J share one with probability J ** BAND_ROWS."""
+    least = np.full(len(_ODD), FULL, np.uint64)
+    for at in range(0, len(hashes), 1 << 14):
+        np.minimum(least, np.multiply.outer(hashes[at : at + (1 << 14)], _ODD).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BAND_ROWS, BANDS):
+        keys = kit.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + row)
+    return keys.view(np.int64)
+
+
 def lane_names(lanes: int) -> list[str]:
     return ["fp", *(f"fp{k}" for k in range(1, lanes))]
 
 
-def _fingerprints(words: int, lanes: int):
+def _fingerprints(words: int, lanes: int, banded: bool = False):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in kit.slices(batches):
             data, off = kit.utf8(part.column("text"))
             raw, off = data.tobytes(), off.tolist()
-            fp = np.zeros((len(off) - 1, lanes), np.uint64)
+            fp, keys = np.zeros((len(off) - 1, lanes), np.uint64), []
             for i, (a, b) in enumerate(zip(off, off[1:], strict=False)):
                 h = shingle_hashes(raw[a:b], words)
                 for k in range(lanes):
                     fp[i, k] = simhash(h if k == 0 else kit.mixed(h + np.uint64(k)))
-            yield kit.batch(doc_id=part.column("doc_id"), **{n: fp[:, k].copy().view(np.int64) for k, n in enumerate(lane_names(lanes))})
+                if banded:
+                    keys.append(band_keys(h))
+            more = {"bands": pa.array(keys, pa.list_(pa.int64()))} if banded else {}
+            yield kit.batch(doc_id=part.column("doc_id"), **{n: fp[:, k].copy().view(np.int64) for k, n in enumerate(lane_names(lanes))}, **more)
 
     return made
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit integer) and further lanes fp1, fp2 ..."""
+def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1, banded: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed 64-bit integer) and further lanes fp1, fp2 ...; banded: and the keys of its bands."""
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(_fingerprints(words, lanes), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in lane_names(lanes)))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in lane_names(lanes))
+    return docs.mapInArrow(_fingerprints(words, lanes, banded), schema + (", bands array<bigint>" if banded else ""))
 
 
 def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -241,6 +261,22 @@ def links(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS, la
         grouped = grouped.join(hot, key, "left_semi")
 
 
+def banded_links(fps: DataFrame, budget: int, group_rows: int = GROUP_ROWS, lanes: int = 1) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between fingerprints (node, the lanes' names, bands) that share a band and differ in at most `budget` bits; and the tables they are read from.
+
+    A fingerprint is in BANDS groups, whatever the corpus; only fingerprints of groups over group_rows (clouds of texts
+    that are alike) go through the bit blocks of `links`, each once.
+    """
+    names = lane_names(lanes)
+    groups = kit.written(fps.select(F.explode("bands").alias("value"), "node", *names).distinct(), "simhash-bands")
+    hot = kit.written(groups.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).select("value"), "simhash-hot-bands")
+    ready = groups.join(hot, "value", "left_anti").select(F.lit(0).alias("lane"), F.lit(0).cast("bigint").alias("mask"), "value", "node", *names)
+    found = ready.repartition("value").sortWithinPartitions("value").mapInArrow(_grouped(min(budget, 64), budget, lanes), "u bigint, v bigint")
+    if not hot.isEmpty():
+        found = found.unionByName(links(groups.join(hot, "value", "left_semi").select("node", *names).distinct(), budget, group_rows, lanes))
+    return found, [groups, hot]
+
+
 def met(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """rows with the columns of values (one row a key). The rows of a key are dealt to SALTS tasks: a hot key is several tasks' work."""
     salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
@@ -284,12 +320,10 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select("u", F.col("v").alias("root"))
 
 
-def _roots(fps: DataFrame, names: list[str], budget: int, group_rows: int, lanes: int) -> DataFrame:
-    """node, first (the least doc_id that has it), k (rows that have it), root: the component of each distinct fingerprint of fps (node, doc_id and the lanes' names)."""
-    own = kit.written(fps.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")), "distinct-fingerprints")
-    roots = components(links(own, budget, group_rows, lanes))
-    known = own.join(roots, own.node == roots.u, "left").select("node", "first", "k", F.coalesce("root", "node").alias("root"))
-    return kit.written(known, "roots")
+def _known(own: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of own (node, first, k) with root: the component of each distinct fingerprint under the links found."""
+    roots = components(found)
+    return kit.written(own.join(roots, own.node == roots.u, "left").select("node", "first", "k", F.coalesce("root", "node").alias("root")), "roots")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS, words: int = WORDS, lanes: int = 1) -> DataFrame:
@@ -297,7 +331,8 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, group_rows: int = GRO
     names = lane_names(lanes)
     node = F.col("fp") if lanes == 1 else F.xxhash64(*names)
     fps = kit.written(fingerprints(docs, words, lanes).withColumn("node", node), "fingerprints")
-    known = _roots(fps, names, budget, group_rows, lanes)
+    own = kit.written(fps.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")), "distinct-fingerprints")
+    known = _known(own, links(own, budget, group_rows, lanes))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     return named(fps, met(known, least, "root").select("node", "k", "component_id")).select("doc_id", *names, "component_id")
 
@@ -316,14 +351,18 @@ def kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lanes = lane_names(SIMILAR_LANES)
     # A row is known by its id and text: an id that carries the text's hash, so that each text has its own fingerprint row.
     row = F.struct("doc_id", F.xxhash64("text").alias("key"))
-    fps = fingerprints(docs.where("doc_id is not null").select(F.to_json(row).alias("doc_id"), "text"), SIMILAR_WORDS, SIMILAR_LANES)
+    fps = fingerprints(docs.where("doc_id is not null").select(F.to_json(row).alias("doc_id"), "text"), SIMILAR_WORDS, SIMILAR_LANES, banded=True)
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key bigint"
     fps = fps.withColumn("node", F.xxhash64(*lanes)).withColumn("doc_id", F.from_json("doc_id", kind))
-    fps = kit.written(fps.groupBy("doc_id", "node", *lanes).agg(F.count(F.lit(1)).alias("rows")), "fingerprints")
-    known = _roots(fps, lanes, SIMILAR_BITS, GROUP_ROWS, SIMILAR_LANES)
+    fps = kit.written(fps.groupBy("doc_id", "node", *lanes).agg(F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands")), "fingerprints")
+    own = kit.written(fps.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")), "distinct-fingerprints")
+    found, tables = banded_links(fps, SIMILAR_BITS, lanes=SIMILAR_LANES)
+    known = _known(own, found)
     stays = known.groupBy("root").agg(F.min("first").alias("stays"))
     judged = named(fps, met(known, stays, "root").select("node", "k", "stays")).where("doc_id <> stays or rows > 1")
     judged = kit.written(judged.select("doc_id.*", F.col("doc_id").alias("row"), "stays").selectExpr("doc_id as judged_id", "key as judged_key", "row = stays as again"), "near-duplicates")
+    for table in (fps, own, known, *tables):
+        kit.removed(table)
     keyed = docs.withColumn(key, F.xxhash64("text"))
     same = (F.col("doc_id") == F.col("judged_id")) & (F.col(key) == F.col("judged_key"))
     again = judged.where("again")
