@@ -66,9 +66,16 @@ def scaled(table: list[int], quality: int, bits: int = 8, residual_double: bool
     return [2 * d for d in out] if residual_double else out
 
 
+def scaled_rows(rows: DataFrame, table: list[int], high: int = 255, residual_double: bool = False) -> DataFrame:
+    """key, k, delta from rows (key, quality): `scaled` for qualities that are data."""
+    scale = "if(q < 50, 5000 div q, 200 - 2 * q)"
+    r = rows.selectExpr("key", "greatest(1L, least(100L, quality)) as q", f"posexplode({_array(table)}) as (k, t)")
+    return r.selectExpr("key", "k", f"{2 if residual_double else 1}L * least({high}L, greatest(1L, (t * {scale} + 50) div 100)) as delta")
+
+
 def reciprocals(deltas: list[int]) -> list[int]:
-    """2**30 / delta in single precision, rounded half up."""
-    return [int(np.float32(np.float32(1 << QUANTIZER_BITS) / np.float32(d)) + 0.5) for d in deltas]
+    """2**30 / delta in single precision, rounded half up (the half is added in double precision)."""
+    return [int(float(np.float32(1 << QUANTIZER_BITS) / np.float32(d)) + 0.5) for d in deltas]
 
 
 def _array(values) -> str:

@@ -44,6 +44,12 @@ def mcu_size(factors: list[tuple[int, int]]) -> tuple[int, int]:
     return w, h
 
 
+def mcu_sizes(rows: DataFrame, factors: list[tuple[str, str]], key: str) -> DataFrame:
+    """key, w, h from rows: mcu_size for factors (1 to 4) that are columns."""
+    least = lambda f: f"element_at(filter(sequence(1L, 12L), m -> {' and '.join(f'm % {x} = 0' for x in f)}), 1)"
+    return rows.selectExpr(key, *[f"{least(f)} as {n}" for f, n in zip(zip(*factors, strict=True), "wh", strict=True)])
+
+
 def mcu_order(px: DataFrame, mcus: int) -> DataFrame:
     """comp, by, bx, mcu, place: where each block of a 4:2:0 image with `mcus` MCUs in a row comes in the interleaved scan."""
     b = px.selectExpr("y div 8 as by", "x div 8 as bx").distinct()

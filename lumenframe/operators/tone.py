@@ -44,6 +44,11 @@ def inverse_curve(kind: str, v: str, p: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0)
 SRGB = ("gamma", (0.04045, 2.4, 0.055))
 
 
+def curve_table(levels: DataFrame, kind: str, p: tuple[float, ...], size: int = 256, high: int = 65535) -> DataFrame:
+    """i, w: the curve as an integer table, for the levels (i) that are there."""
+    return levels.selectExpr("i", f"cast(floor({curve(kind, f'(i / {size - 1}D)', p)} * {high}D + 0.5D) as bigint) as w")
+
+
 def lut(spark, kind: str, p: tuple[float, ...], size: int = 256, high: int = 65535) -> DataFrame:
     """i, w: the curve as an integer table."""
     return spark.range(size).selectExpr("id as i", f"cast(floor({curve(kind, f'(id / {size - 1}D)', p)} * {high}D + 0.5D) as bigint) as w")

@@ -171,9 +171,11 @@ def register_tone(add, raster, blocks, deltas: list[int], quantized_sql: list[st
         raster(name, lambda px, m=median: TB.anchors(hist(px), 1024, m).selectExpr("ldr", "round(w, 6) as w", "low", "high"),
                f"select ldr, round(case when max(hdr) - min(hdr) > 512 then ((max(hdr) - min(hdr)) >> 1)::double {mid} else sum(hdr * n) / sum(n)::double end, 6) as w, min(hdr) as low, max(hdr) as high from c group by ldr", h)
     add("g9_inverse_map", lambda s, d: TB.inverse_map(hist(X.raster(s, d)), 1024, smooth=2, bits=2))
-    add("t5_inverted_table", lambda s, d: TB.inverted(s.range(256).selectExpr("id as i", "id * id div 300 as w"), 8),
-        "with t as (select i, i * i // 300 as w from range(0, 256) r(i)), w as (select j as w from range(0, 256) q(j)), f as (select w, (min(i) + max(i)) >> 1 as i, min(i) as lo, max(i) as hi from t group by w), g as (select w.w, f.i, (select max(x.w) from f x where x.w < w.w) as b, (select min(x.w) from f x where x.w > w.w) as a from w left join f using (w)), r as (select g.w, coalesce(g.i, case when a is null then case when (select max(w) from f) < 192 then (select max(i) from t) else 0 end when g.w > ((b + a + 1) >> 1) - 1 then (select lo from f where f.w = a) else (select hi from f where f.w = b) end) as i from g), e as (select w, i, lead(i) over (order by w) as e1, lead(i, 2) over (order by w) as e2, lag(i) over (order by w) as a1, lag(i, 2) over (order by w) as a2 from r) select w, (case when w = 0 and abs(i - e1) > 2 * abs(e2 - e1) then 2 * e1 - e2 when w = 255 and abs(i - a1) > 2 * abs(a2 - a1) then 2 * a1 - a2 else i end)::bigint as i from e")
-    add("t7_inverted_curve", lambda s, d: TB.inverted(T.lut(s, *T.SRGB), 16).where("w % 257 = 0").selectExpr("w div 257 as k", "i"))
+    # A table from the data: the raster's levels equalized by their cumulative counts.
+    levels = lambda s, d: s.range(256).selectExpr("id as i").join(X.raster(s, d).groupBy(F.col("r").alias("i")).agg(F.count(F.lit(1)).alias("n")), "i", "left").selectExpr("i", "255 * sum(coalesce(n, 0L)) over (order by i) div greatest(sum(n) over (), 1L) as w")
+    add("t5_inverted_table", lambda s, d: TB.inverted(levels(s, d), 8),
+        f"with {X.RASTER_SQL}, t as (select i, (255 * sum(coalesce(n, 0)) over (order by i) // sum(n) over ())::bigint as w from range(0, 256) r(i) left join (select r as i, count(*) as n from raster group by 1) h using (i)), w as (select j as w from range(0, 256) q(j)), f as (select w, (min(i) + max(i)) >> 1 as i, min(i) as lo, max(i) as hi from t group by w), g as (select w.w, f.i, (select max(x.w) from f x where x.w < w.w) as b, (select min(x.w) from f x where x.w > w.w) as a from w left join f using (w)), r as (select g.w, coalesce(g.i, case when b is null then 0 when a is null then case when (select max(w) from f) < 192 then (select max(i) from t) else 0 end when g.w > ((b + a + 1) >> 1) - 1 then (select lo from f where f.w = a) else (select hi from f where f.w = b) end) as i from g), e as (select w, i, lead(i) over (order by w) as e1, lead(i, 2) over (order by w) as e2, lag(i) over (order by w) as a1, lag(i, 2) over (order by w) as a2 from r) select w, (case when w = 0 and abs(i - e1) > 2 * abs(e2 - e1) then 2 * e1 - e2 when w = 255 and abs(i - a1) > 2 * abs(a2 - a1) then 2 * a1 - a2 else i end)::bigint as i from e")
+    add("t7_inverted_curve", lambda s, d: TB.inverted(T.lut(s, *T.SRGB), 16).where("w % 257 = 0").selectExpr("w div 257 as k", "i").join(X.raster(s, d).select(F.col("r").alias("k")), "k").groupBy("k", "i").agg(F.count(F.lit(1)).alias("n")))
     raster("t12_float_bits", lambda px: px.selectExpr("y", "x", f"{TB.float_bits('(luma - 300D)')} as single", f"{TB.float_bits('(luma - 300D)', 5, 10)} as half"),
            "select y, x, " + ", ".join(f"(case when v < 0 then {1 << (e + m)}::bigint else 0 end + case when v = 0 then 0 else (fl + {(1 << (e - 1)) - 2}) * {1 << m}::bigint + cast(floor(abs(v) / power(2.0, fl) * {1 << m}) as bigint) end)::bigint as {n}" for e, m, n in ((8, 23, "single"), (5, 10, "half"))) + " from (select y, x, v, case when abs(v) >= power(2.0, f + 1) then f + 1 when abs(v) < power(2.0, f) then f - 1 else f end as fl from (select y, x, luma - 300 as v, case when luma = 300 then 0 else greatest(floor(log2(abs(luma - 300)))::bigint, -14) end as f from raster))")
     raster("t12_bits_to_float", lambda px: px.selectExpr("y", "x", f"{TB.bits_float('(r * 121L)', 5, 10)} as v"), "select y, x, case when (r * 121) >> 10 = 0 then ((r * 121) & 1023) * power(2.0, -24) else (1024 + ((r * 121) & 1023)) * power(2.0, ((r * 121) >> 10) - 25) end as v from raster")
@@ -201,5 +203,5 @@ def register_tone(add, raster, blocks, deltas: list[int], quantized_sql: list[st
         raster(name, lambda px, k=xyz: shown(C.triple(px.selectExpr("y", "x", "r - 20 as r", "g - 20 as g", "b - 20 as b"), ("r", "g", "b"), k, 255.0)),
                f"select py, px, round(r, 6) as r, round(g, 6) as g, round(b, 6) as b, round({luma}, 6) as luma, low as clipped from ({source})", v)
     table = ", ".join(f"({k}, {t})" for k, t in enumerate(B.CHROMINANCE))
-    add("q2_chrominance_table", lambda s, d: s.createDataFrame([(q, k, x) for q in (10, 50, 90) for k, x in enumerate(B.scaled(B.CHROMINANCE, q))], "quality bigint, k bigint, delta bigint"),
-        f"with l(k, t) as (values {table}) select q as quality, k, least(255, greatest(1, (t * (case when q < 50 then 5000 // q else 200 - 2 * q end) + 50) // 100)) as delta from l, (values (10), (50), (90)) u(q)")
+    add("q2_chrominance_table", lambda s, d: B.scaled_rows(X.table(s, d, "customer").selectExpr("c_custkey as key", "c_custkey % 100 + 1 as quality"), B.CHROMINANCE),
+        f"with l(k, t) as (values {table}) select c_custkey as key, k, least(255, greatest(1, (t * (case when q < 50 then 5000 // q else 200 - 2 * q end) + 50) // 100)) as delta from l, (select c_custkey, c_custkey % 100 + 1 as q from customer)")

@@ -99,11 +99,13 @@ _blocks("d6_dct_bypass", lambda b: b.selectExpr("block", "posexplode(transform(v
 _zz = B.zigzag()
 _Z = _values("z", "place, k", enumerate(_zz))
 _blocks("o1_zigzag", lambda b: b.selectExpr("block", f"posexplode(transform({B._array(_zz)}, k -> get(v, cast(k as int)))) as (place, v)"), "select block, place, v from block64 join z using (k)", _Z)
-_add("q1_quality_scaling", lambda s, d: s.range(1, 101).selectExpr("id as quality", f"explode({B._array(B.LUMINANCE)}) as t").distinct()
-     .selectExpr("quality", "t", "least(255L, greatest(1L, (t * if(quality < 50, 5000 div quality, 200 - 2 * quality) + 50) div 100)) as delta"),
-     f"with {_values('l', 't', [(t,) for t in sorted(set(B.LUMINANCE))])} select q as quality, t, least(255, greatest(1, (t * (case when q < 50 then 5000 // q else 200 - 2 * q end) + 50) // 100)) as delta from l, range(1, 101) r(q)")
-_add("q4_reciprocals", lambda s, d: s.createDataFrame([(k, int(x)) for k, x in enumerate(B.reciprocals(list(range(1, 65))), 1)], "delta bigint, inv bigint"),
-     "select d as delta, cast(floor(cast(cast(1073741824 as float) / cast(d as float) as float) + 0.5) as bigint) as inv from range(1, 65) t(d)")
+# Tables for qualities that are data: one for each part (or supplier), whose key gives the quality.
+_quality = lambda s, d, t, k: X.table(s, d, t).selectExpr(f"{k} as key", f"{k} % 100 + 1 as quality")
+_scale = "(t * (case when q < 50 then 5000 // q else 200 - 2 * q end) + 50) // 100"
+_add("q1_quality_scaling", lambda s, d: B.scaled_rows(_quality(s, d, "part", "p_partkey"), B.LUMINANCE),
+     f"with {_values('l', 'k, t', enumerate(B.LUMINANCE))} select p_partkey as key, k, least(255, greatest(1, {_scale})) as delta from l, (select p_partkey, p_partkey % 100 + 1 as q from part)")
+_add("q4_reciprocals", lambda s, d: X.table(s, d, "part").selectExpr("p_partkey % 255 + 1 as delta").distinct().selectExpr("delta", "cast(floor(cast(cast(1073741824D / delta as float) as double) + 0.5D) as bigint) as inv"),
+     "select distinct d as delta, cast(floor(cast(cast(1073741824 as float) / cast(d as float) as double) + 0.5) as bigint) as inv from (select p_partkey % 255 + 1 as d from part)")
 _blocks("q7_hidden_bits", lambda b: b.selectExpr("block", "posexplode(v) as (k, v)").selectExpr("block", "k", "shiftright(v, 2) as high", "v & 3L as low"), "select block, k, v >> 2 as high, v & 3 as low from block64")
 _blocks("q8_point_transform", lambda b: B.exploded(_quant(b), "q").selectExpr("block", "k", "if(k = 0, shiftright(v, 1), v div 2) as v"),
         "select block, k, case when k = 0 then v >> 1 when v < 0 then -((-v) // 2) else v // 2 end as v from q", _M, _u, _t, _d, _q)
@@ -130,14 +132,19 @@ _raster("g3_predictive_histogram", lambda px: P.residuals(px, 4).groupBy(F.expr(
         "e4 as (select case when x = 0 and y = 0 then v - 128 when y = 0 then v - a when x = 0 then v - b else v - (a + b - c) end as e from nb)")
 
 
+def _sized(p):
+    """Code sizes of a table of at most 17 symbols."""
+    sizes = S.code_sizes(dict(zip(p["symbol"].tolist(), p["n"].tolist(), strict=True)))
+    return p[["symbol"]].assign(size=[sizes[x] for x in p["symbol"].tolist()])
+
+
 def _code_table(s: SparkSession, d: str) -> DataFrame:
-    counts = {r.symbol: r.n for r in S.dc_histogram(P.dpcm(_segs(s, d))).collect()}  # at most 17 symbols
-    return s.createDataFrame(sorted(S.code_sizes(counts).items()), "symbol bigint, size bigint")
+    return S.dc_histogram(P.dpcm(_segs(s, d))).withColumn("tc", F.lit(0)).groupBy("tc").applyInPandas(_sized, "symbol bigint, size bigint")
 
 
 _add("g4_code_sizes", _code_table)
-_add("g5_canonical_codes", lambda s, d: S.canonical(s.range(12).selectExpr("id as symbol", "case when id < 1 then 2L when id < 6 then 3L else id - 2 end as size")),
-     "with s as (select i as symbol, case when i < 1 then 2 when i < 6 then 3 else i - 2 end as size from range(0, 12) t(i)) select symbol, size, coalesce(sum(1::bigint << (16 - size)) over (order by size, symbol rows between unbounded preceding and 1 preceding), 0)::bigint >> (16 - size) as code from s")
+_add("g5_canonical_codes", lambda s, d: S.canonical(X.table(s, d, "nation").selectExpr("cast(n_nationkey as bigint) as symbol", "case when n_nationkey < 3 then 3L when n_nationkey < 20 then 5L else 7L end as size")),
+     "with s as (select n_nationkey::bigint as symbol, case when n_nationkey < 3 then 3 when n_nationkey < 20 then 5 else 7 end as size from nation) select symbol, size, coalesce(sum(1::bigint << (16 - size)) over (order by size, symbol rows between unbounded preceding and 1 preceding), 0)::bigint >> (16 - size) as code from s")
 _add("g10_checksum", lambda s, d: S.checksum(X.text_bytes(s, d), "doc_id", "data"),
      "with b as (select doc_id, octet_length(encode(coalesce(text, ''))) as n, unnest(regexp_extract_all(hex(encode(coalesce(text, ''))), '..')) as h, generate_subscripts(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), 1) as i from documents), w as (select doc_id, sum(('0x' || h)::bigint) as s1, sum(('0x' || h)::bigint * (n - i + 1)) as s2 from b group by doc_id) select doc_id, (coalesce(s1, 0) % 255 + coalesce(s2, 0) % 255 * 256)::bigint as checksum from documents left join w using (doc_id)")
 _add("g11_checksum_verified", lambda s, d: S.checksum(X.text_bytes(s, d), "doc_id", "data").join(S.checksum(G.reassembled(G.split(X.text_bytes(s, d), "doc_id", 1000), "doc_id"), "doc_id", "data").withColumnRenamed("checksum", "found"), "doc_id").select("doc_id", (F.col("checksum") == F.col("found")).alias("ok")),
@@ -145,8 +152,8 @@ _add("g11_checksum_verified", lambda s, d: S.checksum(X.text_bytes(s, d), "doc_i
 _var = "cell as (select block, k // 16 as cy, k % 8 // 2 as cx, (sum(v)::bigint + 2) >> 2 as m from block64 group by all), vv as (select block, cy, cx, (sum((v - m) * (v - m))::bigint + 2) >> 2 as var from block64 join cell on cell.block = block64.block and cy = k // 16 and cx = k % 8 // 2 group by all)"
 _blocks("g12_variance_masking", lambda b: S.masked(b, 400), "select block, count(*) filter (where var > 400) as cells, count(*) filter (where var > 400) > 11 as all_masked from vv group by block", _var.replace("select block, cy, cx, (sum((v", "select cell.block as block, cy, cx, (sum((v"))
 _blocks("g13_extremes", S.extremes, "select block, sum(v)::bigint as total, count(*) filter (where v = 0) as low, count(*) filter (where v = 255) as high from block64 group by block")
-_add("g14_mcu_size", lambda s, d: s.createDataFrame([(a, b, *R.mcu_size([(a, 1), (b, 2), (1, 3)])) for a in range(1, 5) for b in range(1, 5)], "a bigint, b bigint, w bigint, h bigint"),
-     "select a, b, lcm(a, b) as w, 6 as h from range(1, 5) t(a), range(1, 5) u(b)")
+_add("g14_mcu_size", lambda s, d: R.mcu_sizes(X.table(s, d, "part").selectExpr("p_partkey", "p_size % 4 + 1L as a", "p_partkey % 4 + 1 as b", "p_partkey % 3 + 1 as c"), [("a", "b"), ("b", "c"), ("1", "2")], "p_partkey"),
+     "select p_partkey, lcm(p_size % 4 + 1, p_partkey % 4 + 1)::bigint as w, lcm(lcm(p_partkey % 4 + 1, p_partkey % 3 + 1), 2)::bigint as h from part")
 
 # ---- prediction
 _NB = "nb as (select y, x, r as v, lag(r) over (partition by y order by x) as a, lag(r) over (partition by x order by y) as b, lag(r) over (partition by x - y order by y) as c, lag(r) over (partition by x + y order by y) as d, lag(r, 2) over (partition by x order by y) as e from raster)"
@@ -181,7 +188,8 @@ _raster("o2_early_stop", lambda px: G.decoded_until(px.selectExpr("y * 64 + x as
 _raster("o3_priority_order", lambda px: px.selectExpr("y div 8 as by", "x div 8 as bx").distinct().selectExpr("by", "bx", "row_number() over (partition by by order by (bx * 5) % 8, bx) as turn"),
         'select "by", bx, row_number() over (partition by "by" order by (bx * 5) % 8, bx) as turn from bl', _b)
 _script = [(k, c, a, b, ah, al) for k, (cs, a, b, ah, al) in enumerate(G.default_script()) for c in cs]
-_add("o4_progressive_script", lambda s, d: s.createDataFrame(_script, "scan bigint, comp bigint, ss bigint, se bigint, ah bigint, al bigint"), f"with {_values('t', 'scan, comp, ss, se, ah, al', _script)} select * from t")
+_add("o4_progressive_script", lambda s, d: X.table(s, d, "embeddings").selectExpr("vec_id div 64 as image", "vec_id % 3 as comp").distinct().join(F.broadcast(s.createDataFrame(_script, "scan bigint, comp bigint, ss bigint, se bigint, ah bigint, al bigint")), "comp").select("image", "scan", "comp", "ss", "se", "ah", "al"),
+     f"with {_values('t', 'scan, comp, ss, se, ah, al', _script)}, c as (select distinct vec_id // 64 as image, vec_id % 3 as comp from embeddings) select image, scan, comp, ss, se, ah, al from c join t using (comp)")
 
 # ---- resampling
 for _sx, _sy in ((2, 1), (2, 2), (3, 3), (4, 4), (1, 2)):
@@ -216,11 +224,11 @@ _raster("g9_inverse_table", T.inverse_table, "select r as ldr, cast(floor(avg(fl
 _CURVES = [("identity", ()), ("gamma", T.SRGB[1]), ("linear", (0.25, 0.75)), ("exponential", (0.5, 1.5, 2.0, -1.0)), ("logarithmic", (2.0, 1.0, 1.0, 0.0)), ("gamma_offset", (0.1, 0.9, 0.5))]
 _sqlish = lambda e: __import__("re").sub(r"(?<=[\d.])D\b", "::double", e)
 _v = "(id / 255.0D)"
-_add("t1_curves", lambda s, d: s.range(1, 256).selectExpr("id", *[f"round({T.curve(k, _v, p)}, 9) as c{i}" for i, (k, p) in enumerate(_CURVES)]),
-     f"select id, {', '.join(f'round({_sqlish(T.curve(k, _v, p))}, 9) as c{i}' for i, (k, p) in enumerate(_CURVES))} from range(1, 256) t(id)")
-_add("t2_inverse_curves", lambda s, d: s.range(1, 256).selectExpr("id", *[f"round({T.inverse_curve(k, f'({T.curve(k, _v, p)})', p)}, 9) as c{i}" for i, (k, p) in enumerate(_CURVES)]),
-     f"select id, {', '.join(f'round(id / 255.0::double, 9) as c{i}' for i in range(len(_CURVES)))} from range(1, 256) t(id)")
-_add("t3_curve_table", lambda s, d: T.lut(s, *T.SRGB), f"select id as i, cast(floor(({_sqlish(T.curve(*T.SRGB[:1], _v, T.SRGB[1]))}) * 65535 + 0.5) as bigint) as w from range(0, 256) t(id)")
+_raster("t1_curves", lambda px: px.where("r > 0").selectExpr("y", "x", "r as id").selectExpr("y", "x", *[f"round({T.curve(k, _v, p)}, 9) as c{i}" for i, (k, p) in enumerate(_CURVES)]),
+        f"select y, x, {', '.join(f'round({_sqlish(T.curve(k, _v, p))}, 9) as c{i}' for i, (k, p) in enumerate(_CURVES))} from (select y, x, r as id from raster where r > 0)")
+_raster("t2_inverse_curves", lambda px: px.where("r > 0").selectExpr("y", "x", "r as id").selectExpr("y", "x", *[f"round({T.inverse_curve(k, f'({T.curve(k, _v, p)})', p)}, 9) as c{i}" for i, (k, p) in enumerate(_CURVES)]),
+        f"select y, x, {', '.join(f'round(r / 255.0::double, 9) as c{i}' for i in range(len(_CURVES)))} from raster where r > 0")
+_raster("t3_curve_table", lambda px: T.curve_table(px.selectExpr("r as i").distinct(), *T.SRGB), f"select id as i, cast(floor(({_sqlish(T.curve(*T.SRGB[:1], _v, T.SRGB[1]))}) * 65535 + 0.5) as bigint) as w from (select distinct r as id from raster)")
 _raster("t4_apply_curve", lambda px: px.join(F.broadcast(T.lut(px.sparkSession, *T.SRGB)), px.r == F.col("i")).selectExpr("y", "x", "w as v"),
         f"select y, x, cast(floor(({_sqlish(T.curve('gamma', '(r / 255.0D)', T.SRGB[1]))}) * 65535 + 0.5) as bigint) as v from raster")
 _raster("t9_reinhard", T.reinhard, "select y, x, cast(floor(255 * (0.18 * luma / k) / (1 + 0.18 * luma / k) + 0.5) as bigint) as v from raster, (select exp(avg(ln(luma))) as k from raster where luma > 0)")
@@ -228,8 +236,8 @@ _raster("t9_reinhard", T.reinhard, "select y, x, cast(floor(255 * (0.18 * luma /
 # ---- segments and container
 _add("st5_restart_segments", _segs, f"with {', '.join(_SEG)} select mcu, dc, seg, seg % 8 as rst from seg")
 _add("st4_missing_segment", lambda s, d: (lambda g: G.resynchronised(g.where("seg <> 3").select("seg", "mcu", "dc"), g.select("seg", "mcu")))(_segs(s, d)), f"with {', '.join(_SEG)} select seg, mcu, case when seg = 3 then 0 else dc end as dc, seg <> 3 as valid from seg")
-_add("st3_marker_distance", lambda s, d: s.range(64).selectExpr("id div 8 as found", "id % 8 as wanted", f"{G.marker_distance('id div 8', 'id % 8')} as distance"),
-     "select i // 8 as found, i % 8 as wanted, case when (i // 8 - i % 8 + 8) % 8 <= 3 then (i // 8 - i % 8 + 8) % 8 else (i // 8 - i % 8 + 8) % 8 - 8 end as distance from range(0, 64) t(i)")
+_raster("st3_marker_distance", lambda px: px.selectExpr("y", "x", f"{G.marker_distance('r % 8', 'g % 8')} as distance"),
+        "select y, x, case when (r % 8 - g % 8 + 8) % 8 <= 3 then (r % 8 - g % 8 + 8) % 8 else (r % 8 - g % 8 + 8) % 8 - 8 end as distance from raster")
 _st = "placed as (select doc_id, i + coalesce(sum(case when byte = 255 then 1 else 0 end) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as place, byte from stuff)"
 _add("e16_byte_stuffing", lambda s, d: G.stuffed(X.stuffing_bytes(s, d), "doc_id"), f"with {X.STUFF_SQL}, {_st} select doc_id, place, byte from placed union all select doc_id, place + 1, 0 from placed where byte = 255")
 _add("e16_byte_unstuffing", lambda s, d: G.unstuffed(G.stuffed(X.stuffing_bytes(s, d), "doc_id"), "doc_id"), f"with {X.STUFF_SQL} select doc_id, i, byte from stuff")
@@ -256,8 +264,9 @@ _FULL_SQL = f"with {X.RASTER_SQL}, fl as (select * from raster where y in (selec
 _add("e11_ls_lossless_round_trip", lambda s, d: NL.round_trip(_full(s, d)).select("y", "x", "v"), f"{_FULL_SQL} select y, x, r as v from fl")
 _add("e11_ls_near_lossless_error", lambda s, d: NL.round_trip(_full(s, d), near=3).join(X.raster(s, d), ["y", "x"]).agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("v") - F.col("r"))) <= 3).alias("bounded")),
      f"{_FULL_SQL} select count(*) as n, true as bounded from fl")
-_add("w13_default_thresholds", lambda s, d: s.createDataFrame([(b, n, *P.thresholds(b, n)) for b in range(8, 13) for n in (0, 2)], "bits bigint, near bigint, t1 bigint, t2 bigint, t3 bigint"),
-     "with f as (select b as bits, n as near, (least((1 << b) - 1, 4095) + 128) >> 8 as f from range(8, 13) t(b), (values (0), (2)) u(n)) select bits, near, f + 2 + 3 * near as t1, 4 * f + 3 + 5 * near as t2, 17 * f + 4 + 7 * near as t3 from f")
+_defaults = [(b, n, *P.thresholds(b, n)) for b in range(8, 13) for n in (0, 2)]
+_raster("w13_default_thresholds", lambda px: px.selectExpr("y", "x", "8 + r % 5 as bits", "2 * (g % 2) as near").join(F.broadcast(px.sparkSession.createDataFrame(_defaults, "bits bigint, near bigint, t1 bigint, t2 bigint, t3 bigint")), ["bits", "near"]),
+        "select y, x, bits, near, f + 2 + 3 * near as t1, 4 * f + 3 + 5 * near as t2, 17 * f + 4 + 7 * near as t3 from (select y, x, 8 + r % 5 as bits, 2 * (g % 2) as near, (least((1 << (8 + r % 5)::int) - 1, 4095) + 128) >> 8 as f from raster)")
 _hh = "hh as (select y, x // 2 as x, (coalesce(l, c0) + 3 * c0 + 3 * coalesce(c1, c0) + coalesce(r2, c1, c0) + 2) >> 2 as h from (select y, x, r as c0, lead(r) over w as c1, lag(r) over w as l, lead(r, 2) over w as r2 from raster window w as (partition by y order by x)) where x % 2 = 0)"
 _vv = "vv as (select y, x, h, lag(h) over w as a, lead(h) over w as n, lead(h, 2) over w as b from hh window w as (partition by x order by y))"
 _raster("r2_smoothed_half", R.smoothed_half, "select y // 2 as y, x, (2 * (h + coalesce(n, h)) + (coalesce(a, h) + h) + (coalesce(n, h) + coalesce(b, n, h))) // 16 as v from vv where y % 2 = 0", _hh, _vv)
@@ -266,10 +275,10 @@ _raster("c8_inverse_matrix", lambda px: C.freeform(px, [[round(c, 4) for c in ro
         "select y as py, x as px, (r * 4096 + 4096) >> 13 as c0, (g * 2048 + 4096) >> 13 as c1, (r * -4096 + b * 8192 + 4096) >> 13 as c2 from raster")
 _add("io25_brands", lambda s, d: G.brands(X.table(s, d, "documents").selectExpr("doc_id", "cast(concat('jpx ', lang, '  ', 'abcd') as binary) as data"), "en  "),
      "select doc_id, 'jpx ' as brand, coalesce(lang = 'en', false) as compatible from documents")
-_add("q3_residual_scale", lambda s, d: s.createDataFrame([(q, k, x) for q in (1, 50, 75, 100) for k, x in enumerate(B.scaled(B.LUMINANCE, q, residual_double=True))], "quality bigint, k bigint, delta bigint"),
-     f"with {_values('l', 'k, t', enumerate(B.LUMINANCE))} select q as quality, k, 2 * least(255, greatest(1, (t * (case when q < 50 then 5000 // q else 200 - 2 * q end) + 50) // 100)) as delta from l, (values (1), (50), (75), (100)) u(q)")
-_script5 = [(k, c) for k, cs in enumerate(G.sequential_script(10)) for c in cs]
-_add("o5_sequential_script", lambda s, d: s.createDataFrame(_script5, "scan bigint, comp bigint"), "select c // 4 as scan, c as comp from range(0, 10) t(c)")
+_add("q3_residual_scale", lambda s, d: B.scaled_rows(_quality(s, d, "supplier", "s_suppkey"), B.LUMINANCE, residual_double=True),
+     f"with {_values('l', 'k, t', enumerate(B.LUMINANCE))} select s_suppkey as key, k, 2 * least(255, greatest(1, {_scale})) as delta from l, (select s_suppkey, s_suppkey % 100 + 1 as q from supplier)")
+_add("o5_sequential_script", lambda s, d: X.table(s, d, "part").selectExpr("p_partkey as image", "explode(sequence(0L, cast(p_size as bigint) % 12)) as comp").selectExpr("image", "comp div 4 as scan", "comp"),
+     "select p_partkey as image, c // 4 as scan, c as comp from part, range(0, 12) t(c) where c <= p_size % 12")
 _add("d3_lifting_transform", lambda s, d: B.exploded(LI.transformed(X.blocks(s, d)), "c"))
 _blocks("d4_lifting_round_trip", lambda b: B.exploded(LI.restored(LI.transformed(b)), "v"), "select block, k, v from block64")
 codec.register(_add, _raster, _quant, _D, [X.BLOCK_SQL, _M, _u, _t, _d, _q])
