@@ -170,3 +170,68 @@ def test_upsampling_by_own_factors(spark):
     one = spark.createDataFrame([r[2:5] for r in rows if r[0] == 3], "y long, x long, r long")
     want = raster.upsampled_columns(raster.upsampled_rows(one, 4).withColumnRenamed("v", "r"), 3)
     assert sorted(map(tuple, got.where("image = 3").select("y", "x", "v").collect())) == sorted(map(tuple, want.select("y", "x", "v").collect()))
+
+
+# ---- chunks
+
+
+def streamed(data, cuts, order=None):
+    """What a file gives that comes cut at these places, and in how many steps blocks came out."""
+    from lumenframe.streaming.decoding import OpenFile
+
+    parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)]
+    file, out, steps = OpenFile(), {}, 0
+    for n in order or range(len(parts)):
+        rows = list(file.add(n, parts[n]))
+        steps += bool(rows)
+        for scan, c, y, x, q, valid in rows:
+            assert (scan, c, y, x) not in out
+            out[scan, c, y, x] = (q, valid)
+    return out, steps
+
+
+@pytest.mark.parametrize("way", [(codec.SEQUENTIAL, 3, 0xC1), (codec.SEQUENTIAL, 0, 0xC1), (codec.G.default_script()[:5], 5, 0xC2)])
+def test_any_cut_gives_the_same_blocks(spark, way):
+    m = written(codec.Coded(quant, *way).markers(spark, SF, DELTAS).where("image = 1"))
+    data = bytes(layered.files(m).first().file)
+    want, _ = streamed(data, [])
+    zz = blocks.zigzag()
+    whole = {(r.comp, r.by, r.bx): [r.q[k] for k in zz] for r in decoding.decode(m).collect()}
+    summed = {}
+    for (_, *key), (q, valid) in want.items():
+        assert valid
+        summed[tuple(key)] = [a + b for a, b in zip(summed.get(tuple(key), [0] * 64), q, strict=True)]
+    assert {k: v for k, v in summed.items() if k in whole} == {k: whole[k] for k in summed}
+    rng = np.random.default_rng(len(data))
+    for n in (1, 5, 40):
+        cuts = sorted(rng.choice(np.arange(1, len(data)), n, replace=False).tolist())
+        got, steps = streamed(data, cuts)
+        assert got == want and (n < 40 or steps > 10)
+        assert streamed(data, cuts, rng.permutation(n + 1).tolist())[0] == want
+    assert streamed(data, list(range(1, len(data))))[0] == want  # byte by byte
+
+
+def test_chunks_of_a_damaged_file(spark, coded):
+    """A lost segment gives zeros that are not valid, wherever the bytes are cut; a file that ends early gives what was whole."""
+    m = coded["sequential"].where("image = 0 and marker <> 209")
+    data = bytes(layered.files(m).first().file)
+    want, _ = streamed(data, [])
+    assert sum(not v for _, v in want.values()) == 18 and len(want) == 96
+    for cut in range(50, len(data), 333):
+        assert streamed(data, [cut])[0] == want
+    early = streamed(data[: len(data) // 2], [100])[0]
+    assert 0 < len(early) < 96 and all(want[k] == v for k, v in early.items())
+
+
+def test_stream_of_chunks(spark, coded, tmp_path):
+    """As a query: two images, three batches, chunks of one image out of order."""
+    from lumenframe.streaming import decoding as stream
+
+    files_ = {r.image: bytes(r.file) for r in layered.files(coded["sequential"]).collect()}
+    third = {k: len(f) // 3 for k, f in files_.items()}
+    chunks = {(k, n): f[n * third[k] : (n + 1) * third[k] if n < 2 else len(f)] for k, f in files_.items() for n in range(3)}
+    for batch in ([(0, 0), (1, 1)], [(0, 1), (1, 0)], [(1, 2), (0, 2)]):
+        spark.createDataFrame([(k, n, chunks[k, n]) for k, n in batch], "image long, n long, data binary").coalesce(1).write.mode("append").parquet(f"{tmp_path}/chunks")
+    got = stream.run_available(spark, f"{tmp_path}/chunks")
+    both = got.join(decoding.decode(coded["sequential"]).withColumnRenamed("q", "want").drop("valid"), ["image", "comp", "by", "bx"])
+    assert both.count() == 192 and both.where("not valid or q <> want").isEmpty()
