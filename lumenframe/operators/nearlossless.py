@@ -1,4 +1,5 @@
-"""Near-lossless coding of whole scans by adaptive Golomb codes (ITU-T T.87), one scan a group.
+"""Near-lossless coding of whole scans by adaptive Golomb codes (ITU-T T.87), one scan a group: single components, or
+several of one size interleaved by lines or by samples.
 
 A scan is serial: each sample's context statistics depend on all before. Scans of different images are independent.
 The coder and the decoder share one class that walks the samples; they differ only in where an error comes from.
@@ -131,8 +132,9 @@ class Scan:
         self.a[q], self.b[q], self.n[q] = a, b, n
         return self.restored(p, sign * e)
 
-    def interrupted(self, left: int, above: int, sample: int | None, io) -> int:
-        alike = int(abs(left - above) <= self.near)
+    def interrupted(self, left: int, above: int, sample: int | None, io, among: bool = False) -> int:
+        """The sample that ends a run. among: it is one of several components, which share the run and are never taken for alike."""
+        alike = int(not among and abs(left - above) <= self.near)
         q, p, sign = 365 + alike, left if alike else above, -1 if not alike and left > above else 1
         a, n, below = self.a[q], self.n[q], self.negative[q]
         k = self.order(a + (n >> 1) if alike else a, n)
@@ -155,7 +157,8 @@ class Scan:
         if n == RESET:
             self.a[q], n, self.negative[q] = self.a[q] >> 1, n >> 1, self.negative[q] >> 1
         self.n[q] = n + 1
-        self.run_index = max(0, self.run_index - 1)
+        if not among:
+            self.run_index = max(0, self.run_index - 1)
         return self.restored(p, sign * e)
 
     def run(self, left: int, rest: list[int] | None, room: int, io) -> tuple[int, bool]:
@@ -188,33 +191,85 @@ class Scan:
                 return length, True
         return length + io.get(ORDERS[self.run_index]), False
 
+    def near_by(self, row: list[int], x: int, above: list[int], corner_above: int) -> tuple[int, int, int, int]:
+        """The samples to the left, above, above left and above right of a place."""
+        b = above[x]
+        return row[x - 1] if x else above[0], b, above[x - 1] if x else corner_above, above[x + 1] if x + 1 < self.width else b
+
+    def levels(self, a: int, b: int, c: int, d: int) -> tuple[int, int, int]:
+        return self.level(d - b), self.level(b - c), self.level(c - a)
+
+    def predicted(self, a: int, b: int, c: int, g: tuple[int, int, int], sample: int | None, io) -> int:
+        """A sample outside a run."""
+        sign = -1 if g < (0, 0, 0) else 1
+        p = min(a, b) if c >= max(a, b) else max(a, b) if c <= min(a, b) else a + b - c
+        return self.regular(sign * (81 * g[0] + 9 * g[1] + g[2]), sign, p, sample, io)
+
+    def line(self, above: list[int], corner_above: int, given: list[int] | None, io) -> list[int]:
+        """One line of one component."""
+        row, x = [0] * self.width, 0
+        while x < self.width:
+            a, b, c, d = self.near_by(row, x, above, corner_above)
+            g = self.levels(a, b, c, d)
+            if g == (0, 0, 0):
+                n, ends = self.run(a, given[x:] if given is not None else None, self.width - x, io)
+                row[x : x + n] = [a] * n
+                x += n
+                if ends:
+                    break
+                row[x] = self.interrupted(a, above[x], given[x] if given is not None else None, io)
+            else:
+                row[x] = self.predicted(a, b, c, g, given[x] if given is not None else None, io)
+            x += 1
+        return row
+
     def walk(self, height: int, io, samples: list[list[int]] | None = None) -> list[list[int]]:
         """Code the samples, or decode them if there are none; returns what a decoder has."""
-        out, above, corner_above = [], [0] * self.width, 0
+        return self.by_lines(height, io, 1, [samples] if samples is not None else None)[0]
+
+    def by_lines(self, height: int, io, components: int, samples: list[list[list[int]]] | None = None) -> list[list[list[int]]]:
+        """Components line by line in turn: they share the contexts, each has its own run state."""
+        out: list[list[list[int]]] = [[] for _ in range(components)]
+        runs, above, corner = [0] * components, [[0] * self.width for _ in range(components)], [0] * components
         for y in range(height):
-            row, x, given = [0] * self.width, 0, samples[y] if samples is not None else None
+            for k in range(components):
+                self.run_index = runs[k]
+                row = self.line(above[k], corner[k], samples[k][y] if samples is not None else None, io)
+                runs[k], corner[k], above[k] = self.run_index, above[k][0], row
+                out[k].append(row)
+        return out
+
+    def by_samples(self, height: int, io, components: int, samples: list[list[list[int]]] | None = None) -> list[list[list[int]]]:
+        """Components sample by sample in turn: a run is one of all components and starts where none has a gradient."""
+        out: list[list[list[int]]] = [[] for _ in range(components)]
+        every = range(components)
+        above, corner = [[0] * self.width for _ in every], [0] * components
+        for y in range(height):
+            rows, x, given = [[0] * self.width for _ in every], 0, [samples[k][y] for k in every] if samples is not None else None
             while x < self.width:
-                b = above[x]
-                a = row[x - 1] if x else above[0]
-                c = above[x - 1] if x else corner_above
-                d = above[x + 1] if x + 1 < self.width else b
-                g = self.level(d - b), self.level(b - c), self.level(c - a)
-                if g == (0, 0, 0):
-                    n, ends = self.run(a, given[x:] if given is not None else None, self.width - x, io)
-                    row[x : x + n] = [a] * n
+                near = [self.near_by(rows[k], x, above[k], corner[k]) for k in every]
+                g = [self.levels(*n) for n in near]
+                if all(v == (0, 0, 0) for v in g):
+                    left, room = [n[0] for n in near], self.width - x
+                    # A place belongs to the run if every component is near its own left sample: 0 for such a place, else far away.
+                    rest = [0 if all(abs(given[k][x + i] - left[k]) <= self.near for k in every) else self.near + 1 for i in range(room)] if given is not None else None
+                    n, ends = self.run(0, rest, room, io)
+                    for k in every:
+                        rows[k][x : x + n] = [left[k]] * n
                     x += n
                     if ends:
                         break
-                    row[x] = self.interrupted(a, above[x], given[x] if given is not None else None, io)
+                    for k in every:
+                        rows[k][x] = self.interrupted(left[k], above[k][x], given[k][x] if given is not None else None, io, among=True)
+                    self.run_index = max(0, self.run_index - 1)
                 else:
-                    sign = -1 if g < (0, 0, 0) else 1
-                    q = sign * (81 * g[0] + 9 * g[1] + g[2])
-                    p = min(a, b) if c >= max(a, b) else max(a, b) if c <= min(a, b) else a + b - c
-                    row[x] = self.regular(q, sign, p, given[x] if given is not None else None, io)
+                    for k in every:
+                        a, b, c, _ = near[k]
+                        rows[k][x] = self.predicted(a, b, c, g[k], given[k][x] if given is not None else None, io)
                 x += 1
-            corner_above = above[0]
-            out.append(row)
-            above = row
+            for k in every:
+                corner[k], above[k] = above[k][0], rows[k]
+                out[k].append(rows[k])
         return out
 
 
@@ -228,6 +283,32 @@ def decoded(data: bytes, width: int, height: int, bits: int = 8, near: int = 0)
     return Scan(width, bits, near).walk(height, _Reader(data))
 
 
+def encoded_together(samples: list[list[list[int]]], by_samples: bool, bits: int = 8, near: int = 0) -> bytes:
+    """Components of one size in one scan, line by line or sample by sample."""
+    w, scan = _Writer(), Scan(len(samples[0][0]), bits, near)
+    (scan.by_samples if by_samples else scan.by_lines)(len(samples[0]), w, len(samples), samples)
+    return w.bytes()
+
+
+def decoded_together(data: bytes, width: int, height: int, components: int, by_samples: bool, bits: int = 8, near: int = 0) -> list[list[list[int]]]:
+    scan = Scan(width, bits, near)
+    return (scan.by_samples if by_samples else scan.by_lines)(height, _Reader(data), components)
+
+
+def round_trip_together(px: DataFrame, by_samples: bool, columns: tuple[str, ...] = ("r", "g", "b"), stripe: int = 16, near: int = 0) -> DataFrame:
+    """y, x and the columns: a raster's components coded together, stripe by stripe of lines, and decoded again (full lines only)."""
+
+    def coded(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["y", "x"])
+        width = int(p.x.max()) + 1
+        v = [p[c].to_numpy().reshape(-1, width).tolist() for c in columns]
+        got = decoded_together(encoded_together(v, by_samples, near=near), width, len(v[0]), len(columns), by_samples, near=near)
+        return p[["y", "x"]].assign(**{c: np.array(g).ravel() for c, g in zip(columns, got, strict=True)})
+
+    lines = px.selectExpr(f"y div {stripe} as image", "y", "x", *columns)
+    return lines.groupBy("image").applyInPandas(coded, "y bigint, x bigint, " + ", ".join(f"{c} bigint" for c in columns))
+
+
 def round_trip(px: DataFrame, column: str = "r", stripe: int = 16, near: int = 0) -> DataFrame:
     """y, x, v, bytes: a raster's stripes of lines coded and decoded again (full lines only)."""
 

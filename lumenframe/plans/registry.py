@@ -264,6 +264,10 @@ _FULL_SQL = f"with {X.RASTER_SQL}, fl as (select * from raster where y in (selec
 _add("e11_ls_lossless_round_trip", lambda s, d: NL.round_trip(_full(s, d)).select("y", "x", "v"), f"{_FULL_SQL} select y, x, r as v from fl")
 _add("e11_ls_near_lossless_error", lambda s, d: NL.round_trip(_full(s, d), near=3).join(X.raster(s, d), ["y", "x"]).agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("v") - F.col("r"))) <= 3).alias("bounded")),
      f"{_FULL_SQL} select count(*) as n, true as bounded from fl")
+for _name, _by in (("line", False), ("sample", True)):
+    _add(f"e13_{_name}_interleaved", lambda s, d, k=_by: NL.round_trip_together(_full(s, d), k), f"{_FULL_SQL} select y, x, r, g, b from fl")
+    _add(f"e13_{_name}_interleaved_error", lambda s, d, k=_by: NL.round_trip_together(_full(s, d), k, near=2).join(X.raster(s, d).selectExpr("y", "x", "r as r0", "g as g0", "b as b0"), ["y", "x"]).selectExpr("y", "greatest(abs(r - r0), abs(g - g0), abs(b - b0)) as e").groupBy("y").agg((F.max("e") <= 2).alias("bounded")),
+         f"{_FULL_SQL} select y, true as bounded from fl group by y")
 _defaults = [(b, n, *P.thresholds(b, n)) for b in range(8, 13) for n in (0, 2)]
 _raster("w13_default_thresholds", lambda px: px.selectExpr("y", "x", "8 + r % 5 as bits", "2 * (g % 2) as near").join(F.broadcast(px.sparkSession.createDataFrame(_defaults, "bits bigint, near bigint, t1 bigint, t2 bigint, t3 bigint")), ["bits", "near"]),
         "select y, x, bits, near, f + 2 + 3 * near as t1, 4 * f + 3 + 5 * near as t2, 17 * f + 4 + 7 * near as t3 from (select y, x, 8 + r % 5 as bits, 2 * (g % 2) as near, (least((1 << (8 + r % 5)::int) - 1, 4095) + 128) >> 8 as f from raster)")

@@ -167,3 +167,20 @@ def test_broken_scans_are_marked(spark):
     got = {(r.image, r.valid): r.n for r in scans.decode(cut).groupBy("image", "valid").count().withColumnRenamed("count", "n").collect()}
     assert got == {(0, True): 96, (1, False): 96}
     assert scans.decode(m.where("marker not in (218, 0)")).count() == 0
+
+
+def test_interleaved_near_lossless_scans():
+    """Components in one scan, by lines and by samples: exact or within near; one component alone is a plain scan."""
+    rng = np.random.default_rng(0)
+    for t in range(24):
+        w, h, c = (int(x) for x in rng.integers(1, (40, 12, 4)))
+        v = np.clip(np.repeat(rng.integers(0, 256, (c, h, w // 5 + 1)), 5, axis=2)[:, :, :w] + rng.integers(0, 2 + t % 3, (c, h, w)), 0, 255)
+        if t % 4 == 0:
+            v[:] = rng.integers(0, 256)
+        for near in (0, 2, 5):
+            for by_samples in (False, True):
+                data = nearlossless.encoded_together(v.tolist(), by_samples, near=near)
+                got = np.array(nearlossless.decoded_together(data, w, h, c, by_samples, near=near))
+                assert np.abs(got - v).max() <= near
+            if c == 1:
+                assert nearlossless.encoded_together(v.tolist(), False, near=near) == nearlossless.encoded(v[0].tolist(), near=near)
