@@ -1,4 +1,4 @@
-"""A second codestream inside a file: residuals in boxes, read back and joined with the base.
+"""What a file hides in boxes: a second codestream of residuals, and refinement scans that only some decoders see.
 
 The encoder is a closed loop of two chained jobs: the base file is written and decoded, and the residual is the original
 minus what a decoder will see, so base plus residual is the original, whatever the base lost. Residual samples are coded as
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import boxes as BX
 from lumenframe.operators import markers as M
+from lumenframe.operators.entropy import markers
 
 KEYS = ["image", "comp", "by", "bx"]
 
@@ -50,3 +51,26 @@ def embedded(m: DataFrame, boxes: DataFrame, size: int = 65_000) -> DataFrame:
 def embedded_files(m: DataFrame, kind: str = "RESI") -> DataFrame:
     """image, file: the codestreams in whole boxes of this type."""
     return BX.reassembled(m).where(f"type = '{kind}' and valid").selectExpr("image", "data as file")
+
+
+def hidden(m: DataFrame, size: int = 65_000) -> DataFrame:
+    """The marker relation m whose refinement scans (with their tables) lie in a box of type FINE instead: what is left is a file of fewer bits.
+
+    A script's refinements follow its first passes, so what is hidden is one stretch before the end of the image.
+    """
+    first = M.scans(m).where("ah > 0").groupBy("image").agg(F.min("seq").alias("sos"))
+    data = "(marker = 0 or marker between 208 and 215)"
+    start = m.join(first, "image").where(f"{data} and seq < sos").groupBy("image").agg(F.max("seq").alias("last"))
+    known = m.join(start, "image", "left")
+    inside = known.where("seq > last and marker <> 217").select("image", "seq", "marker", "payload")
+    rest = known.where("last is null or seq <= last or marker = 217").select("image", "seq", "marker", "payload")
+    return embedded(rest, files(inside).selectExpr("image", "1L as en", "'FINE' as type", "file as data"), size)
+
+
+def with_hidden(m: DataFrame) -> DataFrame:
+    """The marker relation m with the scans of its FINE boxes before the end of the image: the inverse of hidden."""
+    inner = markers(embedded_files(m, "FINE").selectExpr("image", "concat(X'FFD8', file, X'FFD9') as file")).where("marker not in (216, 217)")
+    end = m.where("marker = 217").groupBy("image").agg(F.min("seq").alias("end"))
+    more = inner.join(end, "image").selectExpr("image", "end as a", "0 as b", "seq as c", "marker", "payload")
+    both = m.where(f"marker <> {M.APP11}").selectExpr("image", "seq as a", "1 as b", "0L as c", "marker", "payload").unionByName(more)
+    return both.selectExpr("image", "row_number() over (partition by image order by a, b, c) - 1L as seq", "marker", "payload")

@@ -143,3 +143,21 @@ def register(add, quant, deltas: list[int], quantized_sql: list[str], samples_sq
         return B.exploded(back.join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block"), "q")
 
     add("st1_chunks_to_blocks", chunked, f"with {', '.join(quantized_sql)} select block, k, v from q")
+
+    # ---- twelve-bit coefficients whose two low bits are refinement scans in boxes
+    wide = lambda b: quant(b).selectExpr("block", "transform(q, (v, k) -> v * 16 + k % 16) as q")
+    refining = [(c, a, b, al + 1, al) for al in (1, 0) for c, a, b in [((0, 1, 2), 0, 0), *[((k,), 1, 63) for k in range(3)]]]
+    fine = Coded(wide, [((0, 1, 2), 0, 0, 0, 2), *[((k,), 1, 63, 0, 2) for k in range(3)], *refining], 0, 0xC2)
+
+    def coefficients(s: SparkSession, d: str, found: DataFrame) -> DataFrame:
+        mcu = "if(comp = 0, `by` div 2 * 4 + bx div 2, `by` * 4 + bx)"
+        back = found.selectExpr(f"image * 96 + {mcu} * 6 + if(comp = 0, `by` % 2 * 2 + bx % 2, comp + 3) as block", "q")
+        return B.exploded(back.join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block"), "q")
+
+    def hidden_files(s: SparkSession, d: str) -> DataFrame:
+        return written(E.markers(LY.files(LY.hidden(fine.markers(s, d, deltas), 1000))))
+
+    value = "(v * 16 + k % 16)"
+    add("q7_hidden_scans", lambda s, d: coefficients(s, d, DE.decode(written(LY.with_hidden(hidden_files(s, d))))), f"with {', '.join(quantized_sql)} select block, k, {value} as v from q")
+    add("q7_visible_scans", lambda s, d: coefficients(s, d, DE.decode(hidden_files(s, d))),
+        f"with {', '.join(quantized_sql)} select block, k, case when k = 0 then ({value} >> 2) * 4 else sign({value})::bigint * (abs({value}) >> 2) * 4 end as v from q")

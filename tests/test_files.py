@@ -235,3 +235,17 @@ def test_stream_of_chunks(spark, coded, tmp_path):
     got = stream.run_available(spark, f"{tmp_path}/chunks")
     both = got.join(decoding.decode(coded["sequential"]).withColumnRenamed("q", "want").drop("valid"), ["image", "comp", "by", "bx"])
     assert both.count() == 192 and both.where("not valid or q <> want").isEmpty()
+
+
+def test_hidden_scans(spark, coded):
+    """Refinements in a box: the file is readable without them, whole with them, and nothing is hidden where there are none."""
+    m = coded["progressive"]
+    visible = written(entropy.markers(layered.files(layered.hidden(m, 700))))
+    for r in layered.files(visible).collect():
+        assert jvm_pixels(spark, r.file).shape == (64, 64, 3)
+    back = layered.with_hidden(visible)
+    assert back.exceptAll(m.select(back.columns)).isEmpty() and back.count() == m.count()
+    fewer, all_ = decoding.decode(visible), decoding.decode(m)
+    assert fewer.count() == 192 and not fewer.select(*optimising.KEYS, "q").exceptAll(all_.select(*optimising.KEYS, "q")).isEmpty()
+    plain = coded["sequential"]
+    assert layered.hidden(plain).exceptAll(plain.select("image", "seq", "marker", "payload")).isEmpty()
