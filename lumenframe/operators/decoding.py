@@ -153,7 +153,11 @@ def _read(r, rows: list, coder) -> bool:
         if coder is not None and r.kind in (0xC9, 0xCA):
             coder(r.data, rows, {(int(c[0]), int(c[1])): tuple(map(int, c[2:])) for c in r.cond}, int(r.ss), int(r.se), int(r.ah), int(r.al))
         else:
-            (S.read_refinement if r.ah else S.read_first)(S.Bits(r.data), rows, _tables(r), int(r.ss), int(r.se), int(r.al))
+            bits, tables, band = S.Bits(r.data), _tables(r), (int(r.ss), int(r.se), int(r.al))
+            if r.ah:
+                S.read_refinement(bits, rows, tables, *band)
+            else:
+                S.read_first(bits, rows, tables, *band, progressive=r.kind == 0xC2)
     except (ValueError, IndexError, KeyError):
         return False
     return True

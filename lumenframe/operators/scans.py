@@ -25,6 +25,8 @@ from lumenframe.operators import stats
 from lumenframe.operators.blocks import zigzag
 from lumenframe.operators.entropy import marker, packed
 
+#: Bits of the largest coefficient of a sequential scan; those of over 15 are coded as large range.
+MOST_BITS = 21
 TOKENS = "image bigint, scan bigint, seg bigint, i bigint, tc bigint, th bigint, symbol bigint, value bigint, bits bigint"
 SCRIPT = "scan bigint, comps array<bigint>, ss bigint, se bigint, ah bigint, al bigint"
 
@@ -112,7 +114,12 @@ def first_pass(rows: list[tuple[int, list[int]]], ss: int, se: int, al: int, pro
                 yield 1, comp, 0xF0, 0, 0
                 run -= 16
             n, bits = _magnitude(v)
-            yield 1, comp, run << 4 | n, bits, n
+            if n > 15:  # large range: the size alone in a symbol that sequential scans don't use, then the run
+                if progressive or n > MOST_BITS:
+                    raise ValueError("a coefficient is too large for the scan")
+                yield 1, comp, (n - 15) << 4, run << n | bits, n + 4
+            else:
+                yield 1, comp, run << 4 | n, bits, n
             run = 0
         if last + 1 < len(band):
             ended += 1
@@ -286,8 +293,8 @@ class Running:
         self.before, self.ended = defaultdict(int, before or {}), ended
 
 
-def read_first(bits: Bits, rows: list, tables: dict, ss: int, se: int, al: int, state: Running | None = None) -> None:
-    """Fills the blocks (component, zig-zag coefficients) of a segment, or goes on with it from a state."""
+def read_first(bits: Bits, rows: list, tables: dict, ss: int, se: int, al: int, state: Running | None = None, progressive: bool = True) -> None:
+    """Fills the blocks (component, zig-zag coefficients) of a segment, or goes on with it from a state. progressive: symbols without a size are runs of ended blocks, else of large range."""
     state = state or Running()
     for comp, q in rows:
         if ss == 0:
@@ -306,6 +313,10 @@ def read_first(bits: Bits, rows: list, tables: dict, ss: int, se: int, al: int,
                 k += 1
             elif run == 15:
                 k += 16
+            elif run and not progressive:
+                k += bits.get(4)
+                q[k] = bits.value(15 + run) * (1 << al)
+                k += 1
             else:
                 state.ended = (1 << run) + bits.get(run) - 1
                 break

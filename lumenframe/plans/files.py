@@ -161,3 +161,7 @@ def register(add, quant, deltas: list[int], quantized_sql: list[str], samples_sq
     add("q7_hidden_scans", lambda s, d: coefficients(s, d, DE.decode(written(LY.with_hidden(hidden_files(s, d))))), f"with {', '.join(quantized_sql)} select block, k, {value} as v from q")
     add("q7_visible_scans", lambda s, d: coefficients(s, d, DE.decode(hidden_files(s, d))),
         f"with {', '.join(quantized_sql)} select block, k, case when k = 0 then ({value} >> 2) * 4 else sign({value})::bigint * (abs({value}) >> 2) * 4 end as v from q")
+
+    # ---- coefficients of up to 17 bits
+    large = Coded(lambda b: b.selectExpr("block", "transform(v, (x, k) -> if((x + k) % 5 < 2, 0L, x * 513 - 65536)) as q"), SEQUENTIAL, INTERVAL, 0xC1)
+    add("e2_large_range", lambda s, d: coefficients(s, d, DE.decode(large.markers(s, d, deltas))), f"with {X.BLOCK_SQL} select block, k, case when (v + k) % 5 < 2 then 0 else v * 513 - 65536 end as v from block64")

@@ -57,7 +57,7 @@ class OpenFile:
         self.frame: S.Geometry | None = None
         self.ids: list[int] = []
         self.codes: dict[tuple[int, int], tuple] = {}
-        self.interval, self.scan, self.scans = 0, None, 0
+        self.interval, self.scan, self.scans, self.progressive = 0, None, 0, False
 
     def add(self, n: int, data: bytes) -> Iterator[tuple]:
         """Rows (scan, comp, by, bx, q in zig-zag order, valid) that a chunk makes possible."""
@@ -89,7 +89,7 @@ class OpenFile:
         self.raw = raw[2 + n :]
         if code in (0xC0, 0xC1, 0xC2):
             parts = [p[6 + 3 * k : 9 + 3 * k] for k in range(p[5])]
-            self.ids = [x[0] for x in parts]
+            self.ids, self.progressive = [x[0] for x in parts], code == 0xC2
             self.frame = S.Geometry(int.from_bytes(p[3:5], "big"), int.from_bytes(p[1:3], "big"), [(x[1] >> 4, x[1] & 15) for x in parts])
         elif code == 0xC4:
             while p:
@@ -137,7 +137,7 @@ class OpenFile:
             keys = DE.segment_blocks(self.frame, s["comps"], s["seg"] * s["step"] + s["mcu"], 1)
             rows, state = [(k[0], [0] * 64) for k in keys], S.Running(s["before"], s["ended"])
             try:
-                S.read_first(bits, rows, tables, s["ss"], s["se"], s["al"], state)
+                S.read_first(bits, rows, tables, s["ss"], s["se"], s["al"], state, self.progressive)
                 bits.check()
             except (Short, ValueError, IndexError, KeyError):
                 if not whole:  # a wrong code may be a right one that isn't all there
