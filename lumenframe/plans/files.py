@@ -10,6 +10,7 @@ from lumenframe.operators import boxes as BX
 from lumenframe.operators import colour as C
 from lumenframe.operators import decoding as DE
 from lumenframe.operators import entropy as E
+from lumenframe.operators import hierarchical as HI
 from lumenframe.operators import layered as LY
 from lumenframe.operators import merging as MG
 from lumenframe.operators import reconstruction as RE
@@ -165,3 +166,17 @@ def register(add, quant, deltas: list[int], quantized_sql: list[str], samples_sq
     # ---- coefficients of up to 17 bits
     large = Coded(lambda b: b.selectExpr("block", "transform(v, (x, k) -> if((x + k) % 5 < 2, 0L, x * 513 - 65536)) as q"), SEQUENTIAL, INTERVAL, 0xC1)
     add("e2_large_range", lambda s, d: coefficients(s, d, DE.decode(large.markers(s, d, deltas))), f"with {X.BLOCK_SQL} select block, k, case when (v + k) % 5 < 2 then 0 else v * 513 - 65536 end as v from block64")
+
+    # ---- three levels of grey images of 64 x 64; the last one is filled up with grey
+    def grey(s: SparkSession, d: str) -> DataFrame:
+        b = X.blocks(s, d)
+        grid = b.selectExpr("block div 64 as image").distinct().selectExpr("image", "explode(sequence(image * 64, image * 64 + 63)) as block")
+        full = grid.join(b, "block", "left").selectExpr("image", "block % 64 as at", "posexplode(coalesce(v, array_repeat(128L, 64))) as (k, v)")
+        return written(full.selectExpr("image", "at div 8 * 8 + k div 8 as y", "at % 8 * 8 + k % 8 as x", "v"))
+
+    def hierarchical(s: SparkSession, d: str) -> DataFrame:
+        m = written(E.markers(LY.files(HI.files(grey(s, d), 64, 64, deltas))))
+        return HI.decoded(m, deltas)[-1]
+
+    add("j7_hierarchical_files", hierarchical,
+        f"with {X.BLOCK_SQL}, g as (select image, image * 64 + a as block, a, k from (select distinct vec_id // 64 as image from embeddings), range(0, 64) t(a), range(0, 64) u(k)) select image, a // 8 * 8 + g.k // 8 as y, a % 8 * 8 + g.k % 8 as x, coalesce(v, 128) as v from g left join block64 on block64.block = g.block and block64.k = g.k")

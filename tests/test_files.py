@@ -249,3 +249,18 @@ def test_hidden_scans(spark, coded):
     assert fewer.count() == 192 and not fewer.select(*optimising.KEYS, "q").exceptAll(all_.select(*optimising.KEYS, "q")).isEmpty()
     plain = coded["sequential"]
     assert layered.hidden(plain).exceptAll(plain.select("image", "seq", "marker", "payload")).isEmpty()
+
+
+def test_hierarchical_levels(spark):
+    """Three frames: the smaller levels are near the reduced images, the last one is exact; frames are as the standard orders them."""
+    from lumenframe.operators import hierarchical
+
+    px = spark.range(2 * 32 * 32).selectExpr("id div 1024 as image", "id div 32 % 32 as y", "id % 32 as x").selectExpr("image", "y", "x", "(y * 5 + x * 3 * (image + 1) + y * x div 7) % 256 as v")
+    m = written(entropy.markers(layered.files(hierarchical.files(px, 32, 32, DELTAS))))
+    codes = [r.marker for r in m.where("image = 1 and marker in (216, 222, 193, 197, 223, 217)").orderBy("seq").collect()]
+    assert codes == [216, 222, 193, 223, 197, 223, 197, 217]
+    small, middle, large = hierarchical.decoded(m, DELTAS)
+    assert (small.count(), middle.count(), large.count()) == (128, 512, 2048)
+    assert large.exceptAll(px.select("image", "y", "x", "v")).isEmpty()
+    low = hierarchical.reduced(hierarchical.reduced(px)).withColumnRenamed("v", "w")
+    assert small.join(low, ["image", "y", "x"]).selectExpr("max(abs(v - w)) as e").first().e < 60
