@@ -53,6 +53,8 @@ WORDS, SEED, BUDGET, GROUP_ROWS, SPLITS, SALTS, HOT = 4, 42, 4, 4096, 4, 16, 10_
 SIMILAR_WORDS, SIMILAR_LANES, SIMILAR_BITS = 5, 4, 43
 #: Its groups: keys of this many bands of so many minima of the shingles' hashes.
 BANDS, BAND_ROWS = 8, 4
+#: A band's group of more fingerprints is split by bit blocks; one of fewer (64 MB of rows) is solved as it is, since a cloud of texts that are alike stays together in most blocks.
+CLOUD_ROWS = 1 << 20
 _ODD = np.random.default_rng(11).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FULL = 2**64 - 1
@@ -261,7 +263,7 @@ def links(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS, la
         grouped = grouped.join(hot, key, "left_semi")
 
 
-def banded_links(fps: DataFrame, budget: int, group_rows: int = GROUP_ROWS, lanes: int = 1) -> tuple[DataFrame, list[DataFrame]]:
+def banded_links(fps: DataFrame, budget: int, group_rows: int = CLOUD_ROWS, lanes: int = 1) -> tuple[DataFrame, list[DataFrame]]:
     """Links between fingerprints (node, the lanes' names, bands) that share a band and differ in at most `budget` bits; and the tables they are read from.
 
     A fingerprint is in BANDS groups, whatever the corpus; only fingerprints of groups over group_rows (clouds of texts
