@@ -9,18 +9,19 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute_near(rows):
-    """The stage's rule on all pairs: at most SIMILAR_BITS of the lanes' bits of five-word shingles differ."""
-    fps = []
+    """The stage's rule on all pairs: a band is shared and at most SIMILAR_BITS of the lanes' bits of five-word shingles differ."""
+    fps, bands = [], []
     for r in rows:
         h = simhash.shingle_hashes((r.text or "").encode(), 5)
-        fps.append(simhash.simhash(h) << 64 | simhash.simhash(kit.mixed(h + np.uint64(1))))
+        fps.append(sum(simhash.simhash(kit.mixed(h + np.uint64(k)) if k else h) << 64 * k for k in range(simhash.SIMILAR_LANES)))
+        bands.append(set(simhash.band_keys(h).tolist()))
     comp = list(range(len(rows)))
     changed = True
     while changed:
         changed = False
         for i in range(len(rows)):
             for j in range(i):
-                if comp[i] != comp[j] and (fps[i] ^ fps[j]).bit_count() <= simhash.SIMILAR_BITS:
+                if comp[i] != comp[j] and bands[i] & bands[j] and (fps[i] ^ fps[j]).bit_count() <= simhash.SIMILAR_BITS:
                     comp[i] = comp[j] = min(comp[i], comp[j])
                     changed = True
     return [r for i, r in enumerate(rows) if comp[i] == i]
