@@ -38,13 +38,15 @@ def unstuffed(rows: DataFrame, key: str) -> DataFrame:
 
 def split(data: DataFrame, key: str, size: int) -> DataFrame:
     """key, seq, payload: a box's bytes in segments of at most `size`."""
-    return data.select(key, F.expr(f"posexplode(transform(sequence(0, greatest(octet_length(data) - 1, 0) div {size}), k -> substring(data, k * {size} + 1, {size})))").alias("seq", "payload"))
+    # The bytes are bound first: an inlined expression would be computed for each segment.
+    parts = f"get(transform(array(data), w -> transform(sequence(0, greatest(octet_length(w) - 1, 0) div {size}), k -> substring(w, k * {size} + 1, {size}))), 0)"
+    return data.select(key, F.expr(f"posexplode({parts})").alias("seq", "payload"))
 
 
 def reassembled(parts: DataFrame, key: str) -> DataFrame:
     """key, n, data: segments put back in order of their sequence number."""
     p = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("p"))
-    return p.select(key, F.size("p").cast("bigint").alias("n"), F.expr("aggregate(p, cast('' as binary), (s, x) -> concat(s, x.payload))").alias("data"))
+    return p.select(key, F.size("p").cast("bigint").alias("n"), F.expr("unhex(array_join(transform(p, x -> hex(x.payload)), ''))").alias("data"))
 
 
 def decoded_until(units: DataFrame, last: int) -> DataFrame:

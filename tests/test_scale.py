@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lumenframe.operators import stats
+from lumenframe.operators import segments, stats
 
 LONG = np.random.default_rng(3).integers(0, 256, 2_500_000, dtype=np.uint8)
 
@@ -13,3 +13,10 @@ def test_checksum_of_long_rows(spark):
     found = dict(map(tuple, stats.checksum(spark.createDataFrame(list(rows.items()), "id bigint, data binary"), "id", "data").collect()))
     closed = lambda b: int(b.sum()) % 255 + int((b * np.arange(len(b), 0, -1)).sum()) % 255 * 256
     assert found == {1: closed(LONG.astype(np.int64)), 2: 0, 3: 0, 4: None}
+
+
+def test_segments_of_a_long_row(spark):
+    """Splitting and joining again take time in proportion to a row's bytes."""
+    rows = spark.createDataFrame([(1, bytearray(LONG.tobytes())), (2, bytearray())], "id bigint, data binary")
+    found = {r.id: (r.n, bytes(r.data)) for r in segments.reassembled(segments.split(rows, "id", 100).repartition("id", "seq"), "id").collect()}
+    assert found == {1: (25_000, LONG.tobytes()), 2: (1, b"")}
