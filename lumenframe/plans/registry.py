@@ -243,7 +243,7 @@ _add("e16_byte_stuffing", lambda s, d: G.stuffed(X.stuffing_bytes(s, d), "doc_id
 _add("e16_byte_unstuffing", lambda s, d: G.unstuffed(G.stuffed(X.stuffing_bytes(s, d), "doc_id"), "doc_id"), f"with {X.STUFF_SQL} select doc_id, i, byte from stuff")
 _add("io23_box_split", lambda s, d: G.split(X.text_bytes(s, d), "doc_id", 1000).select("doc_id", F.col("seq").cast("bigint").alias("seq"), F.octet_length("payload").cast("bigint").alias("n"), F.md5("payload").alias("md5")),
      "select doc_id, seq, least(1000, octet_length(encode(coalesce(text, ''))) - seq * 1000) as n, md5(encode(coalesce(text, ''))[seq * 1000 + 1 : seq * 1000 + 1000]) as md5 from documents, range(0, greatest(octet_length(encode(coalesce(text, ''))) - 1, 0) // 1000 + 1) t(seq)")
-_add("io22_box_reassembly", lambda s, d: G.reassembled(G.split(X.text_bytes(s, d), "doc_id", 1000).repartition("seq"), "doc_id").select("doc_id", "n", F.md5("data").alias("md5")),
+_add("io22_box_reassembly", lambda s, d: G.reassembled(G.split(X.text_bytes(s, d), "doc_id", 1000).repartition("doc_id", "seq"), "doc_id").select("doc_id", "n", F.md5("data").alias("md5")),
      "select doc_id, greatest(octet_length(encode(coalesce(text, ''))) - 1, 0) // 1000 + 1 as n, md5(coalesce(text, '')) as md5 from documents")
 
 # ---- files and entropy coding (images of 64 blocks, 8 in a row, a restart segment for each row)
