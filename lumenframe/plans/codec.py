@@ -125,7 +125,7 @@ def register(add, raster, quant, deltas: list[int], quantized_sql: list[str]) ->
     n = "octet_length(encode(coalesce(text, '')))"
     count = f"(greatest({n} - 1, 0) // 1000 + 1)"
     for name, wide in (("io22_boxes", False), ("io22_wide_boxes", True)):
-        add(name, lambda s, d, w=wide: BX.layered(BX.reassembled(boxed(s, d, wide=w).repartition("seq"))).select("image", "en", "type", "layer", "valid", F.md5("data").alias("md5")),
+        add(name, lambda s, d, w=wide: BX.layered(BX.reassembled(boxed(s, d, wide=w).repartition("image", "seq"))).select("image", "en", "type", "layer", "valid", F.md5("data").alias("md5")),
             f"select doc_id as image, 1 + doc_id % 3 as en, {types} as type, case doc_id % 4 when 0 then 'residual' when 1 then 'base_refinement' when 2 then 'alpha' end as layer, true as valid, md5(coalesce(text, '')) as md5 from documents")
     add("io22_incomplete_boxes", lambda s, d: BX.reassembled(boxed(s, d).where("seq <> 2")).select("image", "valid"), f"select doc_id as image, {count} < 2 as valid from documents")
     add("io23_box_segments", lambda s, d: BX.parts(boxed(s, d)).select("image", "en", "z", "length", "type", F.octet_length("data").cast("bigint").alias("n")),

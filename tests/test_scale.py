@@ -3,6 +3,9 @@
 import numpy as np
 
 from lumenframe.operators import segments, stats
+from lumenframe.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 LONG = np.random.default_rng(3).integers(0, 256, 2_500_000, dtype=np.uint8)
 
@@ -20,3 +23,10 @@ def test_segments_of_a_long_row(spark):
     rows = spark.createDataFrame([(1, bytearray(LONG.tobytes())), (2, bytearray())], "id bigint, data binary")
     found = {r.id: (r.n, bytes(r.data)) for r in segments.reassembled(segments.split(rows, "id", 100).repartition("id", "seq"), "id").collect()}
     assert found == {1: (25_000, LONG.tobytes()), 2: (1, b"")}
+
+
+def test_boxes_are_dealt_out_by_image_and_number(spark):
+    """By its number alone, the first segments of all boxes meet in one task."""
+    for name in ("io22_boxes", "io22_wide_boxes", "io22_box_reassembly"):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        assert "hashpartitioning(seq" not in plan and "REPARTITION_BY_COL" in plan
