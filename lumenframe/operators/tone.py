@@ -44,9 +44,10 @@ def inverse_curve(kind: str, v: str, p: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0)
 SRGB = ("gamma", (0.04045, 2.4, 0.055))
 
 
-def curve_table(levels: DataFrame, kind: str, p: tuple[float, ...], size: int = 256, high: int = 65535) -> DataFrame:
-    """i, w: the curve as an integer table, for the levels (i) that are there."""
-    return levels.selectExpr("i", f"cast(floor({curve(kind, f'(i / {size - 1}D)', p)} * {high}D + 0.5D) as bigint) as w")
+def curve_table(px: DataFrame, column: str, kind: str, p: tuple[float, ...], size: int = 256, high: int = 65535) -> DataFrame:
+    """i, w, n: the whole curve as an integer table, and how many of the samples in a column are at each level."""
+    counts = px.groupBy(F.col(column).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    return lut(px.sparkSession, kind, p, size, high).join(counts, "i", "left").select("i", "w", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def lut(spark, kind: str, p: tuple[float, ...], size: int = 256, high: int = 65535) -> DataFrame:

@@ -228,7 +228,8 @@ _raster("t1_curves", lambda px: px.where("r > 0").selectExpr("y", "x", "r as id"
         f"select y, x, {', '.join(f'round({_sqlish(T.curve(k, _v, p))}, 9) as c{i}' for i, (k, p) in enumerate(_CURVES))} from (select y, x, r as id from raster where r > 0)")
 _raster("t2_inverse_curves", lambda px: px.where("r > 0").selectExpr("y", "x", "r as id").selectExpr("y", "x", *[f"round({T.inverse_curve(k, f'({T.curve(k, _v, p)})', p)}, 9) as c{i}" for i, (k, p) in enumerate(_CURVES)]),
         f"select y, x, {', '.join(f'round(r / 255.0::double, 9) as c{i}' for i in range(len(_CURVES)))} from raster where r > 0")
-_raster("t3_curve_table", lambda px: T.curve_table(px.selectExpr("r as i").distinct(), *T.SRGB), f"select id as i, cast(floor(({_sqlish(T.curve(*T.SRGB[:1], _v, T.SRGB[1]))}) * 65535 + 0.5) as bigint) as w from (select distinct r as id from raster)")
+_raster("t3_curve_table", lambda px: T.curve_table(px, "r", *T.SRGB),
+        f"select id as i, cast(floor(({_sqlish(T.curve(*T.SRGB[:1], _v, T.SRGB[1]))}) * 65535 + 0.5) as bigint) as w, coalesce(n, 0) as n from range(0, 256) t(id) left join (select r, count(*) as n from raster group by r) h on h.r = t.id")
 _raster("t4_apply_curve", lambda px: px.join(F.broadcast(T.lut(px.sparkSession, *T.SRGB)), px.r == F.col("i")).selectExpr("y", "x", "w as v"),
         f"select y, x, cast(floor(({_sqlish(T.curve('gamma', '(r / 255.0D)', T.SRGB[1]))}) * 65535 + 0.5) as bigint) as v from raster")
 _raster("t9_reinhard", T.reinhard, "select y, x, cast(floor(255 * (0.18 * luma / k) / (1 + 0.18 * luma / k) + 0.5) as bigint) as v from raster, (select exp(avg(ln(luma))) as k from raster where luma > 0)")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lumenframe.operators import segments, stats
+from lumenframe.operators import segments, stats, tone
 from lumenframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +30,11 @@ def test_boxes_are_dealt_out_by_image_and_number(spark):
     for name in ("io22_boxes", "io22_wide_boxes", "io22_box_reassembly"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert "hashpartitioning(seq" not in plan and "REPARTITION_BY_COL" in plan
+
+
+def test_curve_table_is_whole(spark):
+    """All 256 levels have a row, whether the raster has samples there or not."""
+    px = spark.createDataFrame([(0,), (7,), (7,)], "r bigint")
+    found = {r.i: (r.w, r.n) for r in tone.curve_table(px, "r", *tone.SRGB).collect()}
+    assert sorted(found) == list(range(256)) and found[0] == (0, 1) and found[7][1] == 2 and found[255] == (65535, 0)
+    assert registry.QUERIES["t3_curve_table"](spark, SF).count() == 256
