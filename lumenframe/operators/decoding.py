@@ -15,9 +15,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,13 +127,17 @@ def aligned(m: DataFrame, heads: DataFrame) -> DataFrame:
     rows = m.where("marker = 0 or marker between 208 and 215").selectExpr("image", "seq", "if(marker = 0, -1L, marker - 208) as number")
     rows = rows.join(scans, "image").selectExpr("image", "seq", "number", "element_at(filter(scans, x -> x.scan < seq), -1) as s").selectExpr("image", "seq", "number", "s.scan as scan", "s.segments as segments")
 
-    def numbered(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("seq")
-        seg = placed(p.number.tolist(), int(p.segments.iloc[0]))
-        keep = [s is not None for s in seg]
-        return p[keep][["image", "scan", "seq"]].assign(seg=[s for s in seg if s is not None])
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                pieces = sorted((x["seq"], x["number"]) for x in r["p"])
+                seg = placed([n for _, n in pieces], r["segments"])
+                out += [(r["image"], r["scan"], seq, s) for (seq, _), s in zip(pieces, seg, strict=True) if s is not None]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["image", "scan", "seq", "seg"])
 
-    return rows.groupBy("image", "scan").applyInPandas(numbered, "image bigint, scan bigint, seq bigint, seg bigint")
+    rows = rows.groupBy("image", "scan").agg(F.first("segments").alias("segments"), F.collect_list(F.struct("seq", "number")).alias("p"))
+    return rows.where("scan is not null").mapInArrow(numbered, "image bigint, scan bigint, seq bigint, seg bigint")
 
 
 def segments(m: DataFrame, heads: DataFrame) -> DataFrame:
@@ -167,21 +173,40 @@ def _geometry(r) -> S.Geometry:
     return S.Geometry(int(r.width), int(r.height), [tuple(map(int, f)) for f in r.factors])
 
 
+#: Segments whose headers are Python objects at a time, and blocks of a batch that Python hands back.
+ROWS, BATCH_BLOCKS = 64, 4096
+
+
 def first_passes(segs: DataFrame, coder=None) -> DataFrame:
     """image, scan, comp, by, bx, q, valid: the blocks of each segment of the scans that aren't refinements. A row is decoded by itself: no shuffle."""
     back = np.argsort(zigzag())
-
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            for r in p.itertuples():
-                keys = segment_blocks(_geometry(r), [int(c) for c in r.comps], int(r.seg) * int(r.step), int(r.step))
-                rows = [(k[0], [0] * 64) for k in keys]
-                valid = _read(r, rows, coder)
-                q = np.array([x for _, x in rows], np.int64).reshape(-1, 64)[:, back]
-                c, y, x = np.array(keys, np.int64).reshape(-1, 3).T
-                yield pd.DataFrame({"image": r.image, "scan": r.scan, "comp": c, "by": y, "bx": x, "q": list(q), "valid": valid})
-
-    return segs.where("ah = 0").mapInPandas(decoded, BLOCKS.replace("comp", "scan bigint, comp", 1))
+    names = ["image", "scan", "comp", "by", "bx", "q", "valid"]
+
+    def sent(found: list[tuple]) -> pa.RecordBatch:
+        n = [len(f[2]) for f in found]
+        keys = np.array([k for f in found for k in f[2]], np.int64).reshape(-1, 3)
+        q = np.array([x for f in found for _, x in f[3]], np.int64).reshape(-1, 64)[:, back]
+        image, scan, valid = (np.repeat(np.array([f[k] for f in found]), n) for k in (0, 1, 4))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * len(q) + 1, 64), pa.int32()), pa.array(q.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(image), pa.array(scan), *(pa.array(np.ascontiguousarray(keys[:, k])) for k in range(3)), flat, pa.array(valid)], names=names)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                for x in b.slice(at, ROWS).to_pylist():
+                    r = SimpleNamespace(**x)
+                    keys = segment_blocks(_geometry(r), r.comps, r.seg * r.step, r.step)
+                    rows = [(k[0], [0] * 64) for k in keys]
+                    found.append((r.image, r.scan, keys, rows, _read(r, rows, coder)))
+                    n += len(keys)
+                    if n >= BATCH_BLOCKS:
+                        yield sent(found)
+                        found, n = [], 0
+        if found:
+            yield sent(found)
+
+    return segs.where("ah = 0").mapInArrow(decoded, BLOCKS.replace("comp", "scan bigint, comp", 1))
 
 
 def refined(blocks: DataFrame, segs: DataFrame, coder=None) -> DataFrame:

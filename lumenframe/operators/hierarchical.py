@@ -89,10 +89,9 @@ def files(px: DataFrame, width: int, height: int, deltas: list[int], levels: int
         have = written(values if have is None else _summed(have, values))
         g = S.Geometry(width >> (last - level), height >> (last - level), [(1, 1)])
         blocks = q.selectExpr(f"block.image * {MOST} + {level} as image", "0L as comp", "block.`by` as `by`", "block.bx as bx", "q")
-        t = written(S.tokens(blocks, S.script(spark, SCRIPT), g, 0, False))
-        tables = written(S.code_tables(S.histogram(t)))
+        segs, tables = S.two_pass(blocks, S.script(spark, SCRIPT), g, 0, False)
         steps = deltas if level < last else [1] * 64
-        coded = S.files(S.segments(t, tables), tables, S.script(spark, SCRIPT), g, [steps], 0, DIFFERENTIAL if level else FIRST)
+        coded = S.files(segs, tables, S.script(spark, SCRIPT), g, [steps], 0, DIFFERENTIAL if level else FIRST)
         rows = markers(coded).where("marker not in (216, 217)").selectExpr(f"image div {MOST} as image", f"{level}L as level", "seq", "marker", "payload")
         parts.append(rows)
         if level:

@@ -13,13 +13,16 @@ only.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions import tables
 from lumenframe.operators import markers as M
 from lumenframe.operators import stats
 from lumenframe.operators.blocks import zigzag
@@ -171,20 +174,64 @@ def refinement(rows: list[tuple[int, list[int]]], ss: int, se: int, al: int):
     yield from end()
 
 
-def tokens(blocks: DataFrame, scans: DataFrame, g: Geometry, interval: int = 0, progressive: bool = True) -> DataFrame:
-    """TOKENS of every scan: symbols with the table class (tc) and table (th: 0 for the first component, else 1) they are coded by, and plain bits (symbol null)."""
-    order = zigzag()
+def grouped(blocks: DataFrame, scans: DataFrame, g: Geometry, interval: int) -> DataFrame:
+    """image, scan, seg, ss, se, ah, al, b: the blocks (at, comp, q) of each restart segment of each scan, a segment a row."""
+    return placed(blocks, scans, g, interval).groupBy("image", "scan", "seg").agg(*[F.first(c).alias(c) for c in ("ss", "se", "ah", "al")], F.collect_list(F.struct("at", "comp", "q")).alias("b"))
+
+
+def ordered(b: pa.RecordBatch) -> Iterator[tuple[dict, list[tuple[int, list[int]]]]]:
+    """The numbers of each row of `grouped`, and its blocks (component, coefficients in zig-zag order) in order."""
+    numbers, col, order = b.select([n for n in b.schema.names if n != "b"]).to_pylist(), b.column("b"), np.array(zigzag())
+    for i, r in enumerate(numbers):
+        rows = col[i].values
+        at = np.argsort(rows.field("at").to_numpy(), kind="stable")
+        q = rows.field("q").flatten().to_numpy(zero_copy_only=False).reshape(-1, 64)[at][:, order]
+        yield r, list(zip(rows.field("comp").to_numpy()[at].tolist(), q.tolist(), strict=True))
+
+
+#: Tokens of a batch that Python hands back.
+BATCH_TOKENS = 1 << 16
+_PARTS = ["tc", "th", "symbol", "value", "bits"]
+SEGMENT_TOKENS = "image bigint, scan bigint, seg bigint, " + ", ".join(f"{k} array<int>" for k in _PARTS)
+
+
+def segment_tokens(blocks: DataFrame, scans: DataFrame, g: Geometry, interval: int = 0, progressive: bool = True) -> DataFrame:
+    """SEGMENT_TOKENS: the tokens of each segment of each scan, in order; plain bits have symbol -1."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(keys: list, found: list[np.ndarray]) -> pa.RecordBatch:
+            off = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.int32())
+            flat = np.concatenate(found).astype(np.int32)
+            cols = [pa.array(c, pa.int64()) for c in zip(*keys, strict=True)] + [pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(flat[:, k]))) for k in range(5)]
+            return pa.RecordBatch.from_arrays(cols, names=["image", "scan", "seg", *_PARTS])
 
-    def coded(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("at")
-        r = p.iloc[0]
-        rows = [(int(c), [int(q[k]) for k in order]) for c, q in zip(p.comp, p.q, strict=True)]
-        found = refinement(rows, int(r.ss), int(r.se), int(r.al)) if r.ah else first_pass(rows, int(r.ss), int(r.se), int(r.al), progressive)
-        t = pd.DataFrame([(tc, min(c, 1), s, v, n) for tc, c, s, v, n in found], columns=["tc", "th", "symbol", "value", "bits"])
-        t["symbol"] = t.symbol.where(t.symbol >= 0).astype("Int64")
-        return t.assign(image=r.image, scan=r.scan, seg=r.seg, i=range(len(t)))[["image", "scan", "seg", "i", "tc", "th", "symbol", "value", "bits"]]
+        keys, found, n = [], [], 0
+        for b in batches:
+            for r, rows in ordered(b):
+                own = refinement(rows, r["ss"], r["se"], r["al"]) if r["ah"] else first_pass(rows, r["ss"], r["se"], r["al"], progressive)
+                x = np.array(list(own), np.int64).reshape(-1, 5)
+                x = np.stack([x[:, 0], np.minimum(x[:, 1], 1), x[:, 2], x[:, 3], x[:, 4]], 1)
+                keys.append((r["image"], r["scan"], r["seg"]))
+                found.append(x)
+                n += len(x)
+                if n >= BATCH_TOKENS:
+                    yield sent(keys, found)
+                    keys, found, n = [], [], 0
+        if keys:
+            yield sent(keys, found)
 
-    return placed(blocks, scans, g, interval).groupBy("image", "scan", "seg").applyInPandas(coded, TOKENS)
+    return grouped(blocks, scans, g, interval).mapInArrow(coded, SEGMENT_TOKENS)
+
+
+def exploded(t: DataFrame) -> DataFrame:
+    """TOKENS, a token a row, from SEGMENT_TOKENS."""
+    rows = t.select("image", "scan", "seg", F.posexplode(F.arrays_zip(*_PARTS)).alias("i", "x"))
+    return rows.selectExpr("image", "scan", "seg", "cast(i as bigint) as i", "cast(x.tc as bigint) as tc", "cast(x.th as bigint) as th", "cast(if(x.symbol < 0, null, x.symbol) as bigint) as symbol", "cast(x.value as bigint) as value", "cast(x.bits as bigint) as bits")
+
+
+def tokens(blocks: DataFrame, scans: DataFrame, g: Geometry, interval: int = 0, progressive: bool = True) -> DataFrame:
+    """TOKENS of every scan: symbols with the table class (tc) and table (th: 0 for the first component, else 1) they are coded by, and plain bits (symbol null)."""
+    return exploded(segment_tokens(blocks, scans, g, interval, progressive))
 
 
 def histogram(t: DataFrame) -> DataFrame:
@@ -195,26 +242,51 @@ def histogram(t: DataFrame) -> DataFrame:
 def code_tables(counts: DataFrame) -> DataFrame:
     """image, scan, tc, th, symbol, size, code: codes of least total length for each table (two-pass coding). A table has at most 256 symbols."""
 
-    def sized(p: pd.DataFrame) -> pd.DataFrame:
-        sizes = stats.code_sizes({int(s): int(n) for s, n in zip(p.symbol, p.n, strict=True)})
-        return p.assign(size=[sizes[int(s)] for s in p.symbol])[["image", "scan", "tc", "th", "symbol", "size"]]
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                sizes = stats.code_sizes({x["symbol"]: x["n"] for x in sorted(r["s"], key=lambda x: x["symbol"])})
+                out += [(r["image"], r["scan"], r["tc"], r["th"], s, n) for s, n in sizes.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], names=["image", "scan", "tc", "th", "symbol", "size"])
 
-    s = counts.groupBy("image", "scan", "tc", "th").applyInPandas(sized, "image bigint, scan bigint, tc bigint, th bigint, symbol bigint, size bigint")
+    s = counts.groupBy("image", "scan", "tc", "th").agg(F.collect_list(F.struct("symbol", "n")).alias("s")).mapInArrow(sized, "image bigint, scan bigint, tc bigint, th bigint, symbol bigint, size bigint")
     before = "coalesce(sum(shiftleft(1L, cast(16 - size as int))) over (partition by image, scan, tc, th order by size, symbol rows between unbounded preceding and 1 preceding), 0L)"
     return s.selectExpr("*", f"shiftright({before}, cast(16 - size as int)) as code")
 
 
 def segments(t: DataFrame, tables: DataFrame) -> DataFrame:
-    """image, scan, seg, data."""
-    c = t.join(tables, ["image", "scan", "tc", "th", "symbol"], "left")
+    """image, scan, seg, data: from TOKENS."""
+    rows = t.groupBy("image", "scan", "seg").agg(F.array_sort(F.collect_list(F.struct("i", "tc", "th", F.coalesce("symbol", F.lit(-1)).alias("symbol"), "value", "bits"))).alias("x"))
+    return packed_segments(rows.selectExpr("image", "scan", "seg", *[f"transform(x, e -> cast(e.{k} as int)) as {k}" for k in _PARTS]), tables)
+
+
+def packed_segments(t: DataFrame, tables: DataFrame) -> DataFrame:
+    """image, scan, seg, data: from SEGMENT_TOKENS. A segment meets its scan's tables in a row."""
+    codes = tables.groupBy("image", "scan").agg(F.collect_list(F.struct("tc", "th", "symbol", "size", "code")).alias("t"))
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                tc, th, symbol, value, bits = (b.column(k)[i].values.to_numpy().astype(np.int64) for k in _PARTS)
+                size, code = np.zeros((2, 2, 257), np.int64), np.zeros((2, 2, 257), np.int64)  # the last one is for plain bits
+                x = b.column("t")[i].values
+                if x is not None:
+                    at = tuple(x.field(k).to_numpy() for k in ("tc", "th", "symbol"))
+                    size[at], code[at] = x.field("size").to_numpy(), x.field("code").to_numpy()
+                v, n = np.stack([code[tc, th, symbol], value], 1), np.stack([size[tc, th, symbol], bits], 1)
+                out.append(packed(v.ravel(), n.ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("image", "scan", "seg")), pa.array(out, pa.binary())], names=["image", "scan", "seg", "data"])
+
+    return t.join(codes, ["image", "scan"], "left").mapInArrow(written, "image bigint, scan bigint, seg bigint, data binary")
 
-    def written(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("i")
-        v = np.stack([p.code.fillna(0), p.value], 1).astype(np.int64)
-        n = np.stack([p["size"].fillna(0), p.bits], 1).astype(np.int64)
-        return pd.DataFrame({"image": p.image.iloc[:1], "scan": p.scan.iloc[:1], "seg": p.seg.iloc[:1], "data": [packed(v.ravel(), n.ravel())]})
 
-    return c.groupBy("image", "scan", "seg").applyInPandas(written, "image bigint, scan bigint, seg bigint, data binary")
+def two_pass(blocks: DataFrame, scans: DataFrame, g: Geometry, interval: int = 0, progressive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Segments (image, scan, seg, data) and the tables made for them. Tokens are written once, a segment a row."""
+    t = tables.written(segment_tokens(blocks, scans, g, interval, progressive))
+    codes = tables.written(code_tables(histogram(exploded(t))))
+    return packed_segments(t, codes), codes
 
 
 def files(segs: DataFrame, tables: DataFrame, scans: DataFrame, g: Geometry, deltas: list[list[int]], interval: int = 0, kind: int = 0xC2, late_height: bool = False) -> DataFrame:
@@ -248,15 +320,15 @@ def files(segs: DataFrame, tables: DataFrame, scans: DataFrame, g: Geometry, del
 # ---- reading
 
 
-@lru_cache(maxsize=256)
-def lookup(sizes: tuple[int, ...], symbols: tuple[int, ...]) -> tuple[list[int], list[int]]:
-    """Symbol and length (0: no code) for each value of the next 16 bits."""
-    sym, n, at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+@lru_cache(maxsize=64)
+def lookup(sizes: tuple[int, ...], symbols: tuple[int, ...]) -> tuple[bytes, bytes]:
+    """Symbol and length (0: no code) for each value of the next 16 bits: 128 KB a table."""
+    sym, n, at = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8), 0
     for size, s in zip(sizes, symbols, strict=True):
         end = at + (1 << (16 - size))
         sym[at:end], n[at:end] = s, size
         at = end
-    return sym.tolist(), n.tolist()
+    return sym.tobytes(), n.tobytes()
 
 
 class Bits:
@@ -273,7 +345,7 @@ class Bits:
             raise ValueError("the segment is too short")
         return v
 
-    def symbol(self, table: tuple[list[int], list[int]]) -> int:
+    def symbol(self, table: tuple[bytes, bytes]) -> int:
         v = self.get(16)
         n = table[1][v]
         if not n:

@@ -58,9 +58,7 @@ class Coded:
             segs = A.segments(image_blocks(self.quant(X.blocks(s, d))), script, GEOMETRY, self.interval)
             tables = s.createDataFrame([], "image bigint, scan bigint, tc bigint, th bigint, symbol bigint, size bigint, code bigint")
         else:
-            t = written(self.tokens(s, d))
-            tables = written(S.code_tables(S.histogram(t)))
-            segs = S.segments(t, tables)
+            segs, tables = S.two_pass(image_blocks(self.quant(X.blocks(s, d))), script, GEOMETRY, self.interval, self.kind == 0xC2)
         return written(E.markers(S.files(segs, tables, script, GEOMETRY, [deltas, deltas], self.interval, self.kind, self.late)))
 
     def round_trip(self, deltas: list[int]):

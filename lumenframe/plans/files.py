@@ -111,9 +111,8 @@ def register(add, quant, deltas: list[int], quantized_sql: list[str], samples_sq
         original = image_blocks(X.blocks(s, d).withColumnRenamed("v", "q")).withColumnRenamed("q", "v")
         residual = written(LY.residuals(original, base_samples(m)))
         script = S.script(s, SEQUENTIAL)
-        t = written(S.tokens(residual, script, GEOMETRY, 0, False))
-        tables = written(S.code_tables(S.histogram(t)))
-        second = S.files(S.segments(t, tables), tables, script, GEOMETRY, [[1] * 64] * 2, 0, 0xC1)
+        segs, tables = S.two_pass(residual, script, GEOMETRY, 0, False)
+        second = S.files(segs, tables, script, GEOMETRY, [[1] * 64] * 2, 0, 0xC1)
         return LY.files(LY.embedded(m, second.selectExpr("image", "1L as en", "'RESI' as type", "file as data"), 1000)), original
 
     def base_samples(m: DataFrame) -> DataFrame:

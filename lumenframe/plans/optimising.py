@@ -33,9 +33,8 @@ def standard_rates(blocks: DataFrame) -> DataFrame:
 def coded(blocks: DataFrame, interval: int, deltas: list[int]) -> tuple[DataFrame, DataFrame]:
     """Files of blocks (image, comp, by, bx, q) with tables made for them, and those tables."""
     script = S.script(blocks.sparkSession, SEQUENTIAL)
-    t = written(S.tokens(blocks, script, GEOMETRY, interval, False))
-    tables = written(S.code_tables(S.histogram(t)))
-    return S.files(S.segments(t, tables), tables, script, GEOMETRY, [deltas, deltas], interval, 0xC1), tables
+    segs, tables = S.two_pass(blocks, script, GEOMETRY, interval, False)
+    return S.files(segs, tables, script, GEOMETRY, [deltas, deltas], interval, 0xC1), tables
 
 
 def optimised_files(s: SparkSession, d: str, quant, deltas: list[int], interval: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lumenframe.operators import segments, stats, tone
+from lumenframe.operators import decoding, entropy, scans, segments, stats, tone
 from lumenframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,16 @@ def test_curve_table_is_whole(spark):
     found = {r.i: (r.w, r.n) for r in tone.curve_table(px, "r", *tone.SRGB).collect()}
     assert sorted(found) == list(range(256)) and found[0] == (0, 1) and found[7][1] == 2 and found[255] == (65535, 0)
     assert registry.QUERIES["t3_curve_table"](spark, SF).count() == 256
+
+
+def test_coding_takes_segments_in_rows(spark):
+    """Segments are coded and decoded in Arrow batches, not a group of pandas each; a lookup table is 128 KB."""
+    blocks = spark.createDataFrame([(0, 0, y, x, [y * 8 + x] + [k % 3 - 1 for k in range(63)]) for y in range(2) for x in range(2)], "image bigint, comp bigint, by bigint, bx bigint, q array<bigint>")
+    g, script = scans.Geometry(16, 16, [(1, 1)]), scans.script(spark, [((0,), 0, 63, 0, 0)])
+    segs, tables = scans.two_pass(blocks, script, g, 2, False)
+    m = entropy.markers(scans.files(segs, tables, script, g, [[1] * 64], 2, 0xC1))
+    found = decoding.decode(m)
+    assert sorted(map(tuple, found.select("by", "bx", "q", "valid").collect())) == sorted((r.by, r.bx, r.q, True) for r in blocks.collect())
+    for df in (scans.segment_tokens(blocks, script, g, 2), segs, tables):
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+    assert [len(t) for t in scans.lookup((1, 2), (5, 6))] == [1 << 16] * 2 and isinstance(scans.lookup((1, 2), (5, 6))[0], bytes)
