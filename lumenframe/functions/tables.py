@@ -23,6 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lumenframe-{app}/{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys in as many tasks as the session shuffles to, one a core at least.
+
+    For steps that take long over few bytes: adaptive execution, which goes by bytes, leaves this number as it is.
+    """
+    spark = df.sparkSession
+    return df.repartition(tasks(spark), *keys)
+
+
+def tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a written table: computed once, and its lineage ends here."""
     path = shared_dir(df.sparkSession)

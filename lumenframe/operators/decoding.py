@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.tables import written
+from lumenframe.functions.tables import spread, written
 from lumenframe.operators import markers as M
 from lumenframe.operators import scans as S
 from lumenframe.operators.blocks import zigzag
@@ -78,7 +78,7 @@ def headers(m: DataFrame) -> DataFrame:
             out.append([p.image.iloc[0], seq, width, height, kind, [list(f) for f in g.factors], comps, *of[0][5:9], step, -(-mcus // step), tables, cond])
         return pd.DataFrame(out, columns=NAMES)
 
-    return rows.groupBy("image").applyInPandas(gathered, HEADERS)
+    return spread(rows, "image").groupBy("image").applyInPandas(gathered, HEADERS)
 
 
 def len_order(g: S.Geometry, comps: list[int]) -> int:
@@ -143,8 +143,9 @@ def aligned(m: DataFrame, heads: DataFrame) -> DataFrame:
 def segments(m: DataFrame, heads: DataFrame) -> DataFrame:
     """The headers once for each segment that a scan should have (seg), with its data (null: lost)."""
     found = aligned(m, heads).join(m.select("image", "seq", F.col("payload").alias("data")), ["image", "seq"]).drop("seq")
+    key = ["image", "scan", "seg"]
     each = heads.select("*", F.explode(F.expr("sequence(0L, segments - 1)")).alias("seg"))
-    return each.join(found, ["image", "scan", "seg"], "left")
+    return spread(each, *key).join(found, key, "left")
 
 
 def _tables(r) -> dict:
@@ -230,18 +231,23 @@ def refined(blocks: DataFrame, segs: DataFrame, coder=None) -> DataFrame:
                     valid[at[k]] = False
         return p[["image", "comp", "by", "bx"]].assign(q=[np.array(x)[back] for x in q], valid=valid)
 
-    return blocks.groupBy("image").cogroup(more.groupBy("own_image")).applyInPandas(lambda p, s: done(p, s) if len(p) else p, BLOCKS)
+    return spread(blocks, "image").groupBy("image").cogroup(spread(more, "own_image").groupBy("own_image")).applyInPandas(lambda p, s: done(p, s) if len(p) else p, BLOCKS)
+
+
+def summed(first: DataFrame) -> DataFrame:
+    """image, comp, by, bx, q, valid: the blocks of an image's first passes, each the sum of its bands."""
+    total = "aggregate(q, array_repeat(0L, 64), (s, x) -> zip_with(s, x, (a, b) -> a + b))"
+    rows = first.groupBy("image", "comp", "by", "bx").agg(F.collect_list("q").alias("q"), F.bool_and("valid").alias("valid"))  # at most a block's scans
+    return rows.selectExpr("image", "comp", "`by`", "bx", f"if(size(q) = 1, q[0], {total}) as q", "valid")
 
 
 def decode(m: DataFrame, coder=None) -> DataFrame:
     """image, comp, by, bx, q, valid: the coefficient blocks of all files (marker relation m), from their own tables. coder: reads a segment of an arithmetic coded scan."""
     heads = written(headers(m))  # a few numbers and tables for each scan
-    segs = segments(m, heads)
-    first = first_passes(segs, coder)
-    total = "aggregate(q, array_repeat(0L, 64), (s, x) -> zip_with(s, x, (a, b) -> a + b))"
-    summed = first.groupBy("image", "comp", "by", "bx").agg(F.collect_list("q").alias("q"), F.bool_and("valid").alias("valid"))  # at most a block's scans
-    summed = summed.selectExpr("image", "comp", "`by`", "bx", f"if(size(q) = 1, q[0], {total}) as q", "valid")
     refining = heads.where("ah > 0").select(F.col("image").alias("refined_image")).distinct()
     same = F.col("image") == F.col("refined_image")
-    plain = summed.join(refining, same, "left_anti")
-    return plain.unionByName(refined(summed.join(refining, same, "left_semi"), segs, coder))
+    plain = summed(first_passes(segments(m, heads.join(refining, same, "left_anti")), coder))
+    if refining.isEmpty():
+        return plain
+    segs = segments(m, heads.join(refining, same, "left_semi"))
+    return plain.unionByName(refined(summed(first_passes(segs, coder)), segs, coder))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import tables
+from lumenframe.functions.tables import spread
 from lumenframe.operators import markers as M
 from lumenframe.operators import stats
 from lumenframe.operators.blocks import zigzag
@@ -30,6 +31,8 @@ from lumenframe.operators.entropy import marker, packed
 
 #: Bits of the largest coefficient of a sequential scan; those of over 15 are coded as large range.
 MOST_BITS = 21
+#: More MCUs than an image can have: the segment of a scan without restarts.
+WHOLE = 1 << 40
 TOKENS = "image bigint, scan bigint, seg bigint, i bigint, tc bigint, th bigint, symbol bigint, value bigint, bits bigint"
 SCRIPT = "scan bigint, comps array<bigint>, ss bigint, se bigint, ah bigint, al bigint"
 
@@ -76,7 +79,7 @@ def placed(blocks: DataFrame, scans: DataFrame, g: Geometry, interval: int) -> D
     b = blocks.join(size, "comp").join(F.broadcast(scans), F.expr("array_contains(comps, comp)")).selectExpr("*", areas)
     b = b.where(f"{several} or (by < n and bx < w)")
     b = b.selectExpr("*", f"if({several}, by div v * {g.across} + bx div h, by * w + bx) as mcu", f"if({several}, {before} + by % v * h + bx % h, 0L) as place")
-    seg = f"mcu div {interval}" if interval else "0L"
+    seg = f"mcu div {interval or WHOLE}L"  # a literal would be no key: a shuffle by it would be followed by another
     return b.selectExpr("image", "scan", f"{seg} as seg", "mcu * 64 + place as at", "comp", "q", "ss", "se", "ah", "al")
 
 
@@ -176,7 +179,7 @@ def refinement(rows: list[tuple[int, list[int]]], ss: int, se: int, al: int):
 
 def grouped(blocks: DataFrame, scans: DataFrame, g: Geometry, interval: int) -> DataFrame:
     """image, scan, seg, ss, se, ah, al, b: the blocks (at, comp, q) of each restart segment of each scan, a segment a row."""
-    return placed(blocks, scans, g, interval).groupBy("image", "scan", "seg").agg(*[F.first(c).alias(c) for c in ("ss", "se", "ah", "al")], F.collect_list(F.struct("at", "comp", "q")).alias("b"))
+    return spread(placed(blocks, scans, g, interval), "image", "scan", "seg").groupBy("image", "scan", "seg").agg(*[F.first(c).alias(c) for c in ("ss", "se", "ah", "al")], F.collect_list(F.struct("at", "comp", "q")).alias("b"))
 
 
 def ordered(b: pa.RecordBatch) -> Iterator[tuple[dict, list[tuple[int, list[int]]]]]:
@@ -250,7 +253,8 @@ def code_tables(counts: DataFrame) -> DataFrame:
                 out += [(r["image"], r["scan"], r["tc"], r["th"], s, n) for s, n in sizes.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], names=["image", "scan", "tc", "th", "symbol", "size"])
 
-    s = counts.groupBy("image", "scan", "tc", "th").agg(F.collect_list(F.struct("symbol", "n")).alias("s")).mapInArrow(sized, "image bigint, scan bigint, tc bigint, th bigint, symbol bigint, size bigint")
+    key = ["image", "scan", "tc", "th"]
+    s = spread(counts, *key).groupBy(*key).agg(F.collect_list(F.struct("symbol", "n")).alias("s")).mapInArrow(sized, "image bigint, scan bigint, tc bigint, th bigint, symbol bigint, size bigint")
     before = "coalesce(sum(shiftleft(1L, cast(16 - size as int))) over (partition by image, scan, tc, th order by size, symbol rows between unbounded preceding and 1 preceding), 0L)"
     return s.selectExpr("*", f"shiftright({before}, cast(16 - size as int)) as code")
 
@@ -279,7 +283,7 @@ def packed_segments(t: DataFrame, tables: DataFrame) -> DataFrame:
                 out.append(packed(v.ravel(), n.ravel()))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("image", "scan", "seg")), pa.array(out, pa.binary())], names=["image", "scan", "seg", "data"])
 
-    return t.join(codes, ["image", "scan"], "left").mapInArrow(written, "image bigint, scan bigint, seg bigint, data binary")
+    return spread(t, "image", "scan").join(codes, ["image", "scan"], "left").mapInArrow(written, "image bigint, scan bigint, seg bigint, data binary")
 
 
 def two_pass(blocks: DataFrame, scans: DataFrame, g: Geometry, interval: int = 0, progressive: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -314,7 +318,7 @@ def files(segs: DataFrame, tables: DataFrame, scans: DataFrame, g: Geometry, del
             out += marker(M.DNL, g.height.to_bytes(2, "big")) if late_height and k == 0 else b""
         return pd.DataFrame({"image": p.image.iloc[:1], "file": [out + b"\xff\xd9"]})
 
-    return rows.groupBy("image").applyInPandas(joined, "image bigint, file binary")
+    return spread(rows, "image").groupBy("image").applyInPandas(joined, "image bigint, file binary")
 
 
 # ---- reading

@@ -40,6 +40,22 @@ def test_curve_table_is_whole(spark):
     assert registry.QUERIES["t3_curve_table"](spark, SF).count() == 256
 
 
+def test_serial_steps_are_spread(spark):
+    """Coding and decoding take long over few bytes: they run in all tasks of a shuffle, once, whatever the size of its files."""
+    blocks = spark.createDataFrame([(i, 0, y, x, [y * 8 + x] + [k % 3 - 1 for k in range(63)]) for i in range(40) for y in range(2) for x in range(2)], "image bigint, comp bigint, by bigint, bx bigint, q array<bigint>")
+    g, script = scans.Geometry(16, 16, [(1, 1)]), scans.script(spark, [((0,), 0, 0, 0, 0), ((0,), 1, 63, 0, 1), ((0,), 1, 63, 1, 0)])
+    counts = lambda df: df.rdd.getNumPartitions()
+    assert counts(scans.segment_tokens(blocks, script, g)) == 4
+    segs, tables = scans.two_pass(blocks, script, g)
+    files = scans.files(segs, tables, script, g, [[1] * 64])
+    assert counts(segs) == counts(files) == 4
+    m = entropy.markers(files)
+    heads = decoding.headers(m)
+    assert counts(heads) == counts(decoding.first_passes(decoding.segments(m, heads))) == 4
+    found = decoding.decode(m)
+    assert sorted(map(tuple, found.select("image", "by", "bx", "q", "valid").collect())) == sorted((r.image, r.by, r.bx, r.q, True) for r in blocks.collect())
+
+
 def test_coding_takes_segments_in_rows(spark):
     """Segments are coded and decoded in Arrow batches, not a group of pandas each; a lookup table is 128 KB."""
     blocks = spark.createDataFrame([(0, 0, y, x, [y * 8 + x] + [k % 3 - 1 for k in range(63)]) for y in range(2) for x in range(2)], "image bigint, comp bigint, by bigint, bx bigint, q array<bigint>")
