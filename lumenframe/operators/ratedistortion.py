@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions.tables import spread
 from lumenframe.operators.blocks import zigzag
 from lumenframe.operators.scans import Geometry
 
@@ -67,7 +68,7 @@ def _met(rows: DataFrame, per_tile: DataFrame, of, schema: str) -> DataFrame:
     keys, own = ["image", "comp", "tile"], ["own_image", "own_comp", "own_tile"]
     other = per_tile.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], *[F.col(c).alias(c) for c in per_tile.columns if c not in keys])
     none = pd.DataFrame()
-    return rows.groupBy(keys).cogroup(other.groupBy(own)).applyInPandas(lambda p, r: of(p, r.iloc[0]) if len(p) and len(r) else none, schema)
+    return spread(rows, *keys).groupBy(keys).cogroup(spread(other, *own).groupBy(own)).applyInPandas(lambda p, r: of(p, r.iloc[0]) if len(p) and len(r) else none, schema)
 
 
 def _per_tile(rows: DataFrame, rate: DataFrame, of, schema: str) -> DataFrame:
@@ -227,7 +228,7 @@ def with_dc(blocks: DataFrame, rate: DataFrame, g: Geometry, deltas: list[list[i
         return p[["image", "comp", "tile"]].assign(start=start, end=end, total=cost)
 
     products = _per_tile(rows, rate, multiplied, f"{_TILES}, m array<bigint>")
-    known = products.groupBy("image", "comp").applyInPandas(ends, f"{_TILES}, start bigint, end bigint, total bigint")
+    known = spread(products, "image", "comp").groupBy("image", "comp").applyInPandas(ends, f"{_TILES}, start bigint, end bigint, total bigint")
 
     def chosen(p: pd.DataFrame, r) -> pd.DataFrame:
         own, m = matrices(p, r["dc"])
