@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.functions.tables import shared_dir, written
+from lumenframe.functions.tables import shared_dir, spread, tasks, written
 from lumenframe.operators import blocks as B
 from lumenframe.operators import boxes as BX
 from lumenframe.operators import colour as C
@@ -136,8 +136,8 @@ def register(add, quant, deltas: list[int], quantized_sql: list[str], samples_sq
         for n in range(4):
             end = "octet_length(file)" if n == 3 else "size"
             part = files.selectExpr("image", f"{n}L as n", f"substring(file, cast({n} * size + 1 as int), cast({end} as int)) as data")
-            part.coalesce(1).write.mode("append").parquet(f"{at}/chunks")
-        found = SD.run_available(s, f"{at}/chunks")
+            spread(part, "image").write.mode("append").parquet(f"{at}/chunks")
+        found = SD.run_available(s, f"{at}/chunks", tasks(s))
         mcu = "if(comp = 0, `by` div 2 * 4 + bx div 2, `by` * 4 + bx)"
         back = found.where("valid").selectExpr(f"image * 96 + {mcu} * 6 + if(comp = 0, `by` % 2 * 2 + bx % 2, comp + 3) as block", "q")
         return B.exploded(back.join(X.table(s, d, "embeddings").selectExpr("vec_id as block"), "block"), "q")

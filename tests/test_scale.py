@@ -2,8 +2,9 @@
 
 import numpy as np
 
-from lumenframe.operators import decoding, entropy, scans, segments, stats, tone
+from lumenframe.operators import decoding, entropy, ratedistortion, scans, segments, stats, tone
 from lumenframe.plans import registry
+from lumenframe.streaming import decoding as streaming
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +68,21 @@ def test_coding_takes_segments_in_rows(spark):
     for df in (scans.segment_tokens(blocks, script, g, 2), segs, tables):
         assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
     assert [len(t) for t in scans.lookup((1, 2), (5, 6))] == [1 << 16] * 2 and isinstance(scans.lookup((1, 2), (5, 6))[0], bytes)
+
+
+def test_tiles_of_cost_searches_are_spread(spark):
+    """Tiles and their chains are few bytes and long work: they run in all tasks of a shuffle."""
+    blocks = spark.createDataFrame([(i, 0, 0, x, [x - i] + [0] * 63, [0] * 64) for i in range(40) for x in range(2)], "image bigint, comp bigint, by bigint, bx bigint, q array<bigint>, t array<bigint>")
+    rate = spark.createDataFrame([(i, 0, [1] * 256, [1] * 256) for i in range(40)], "image bigint, th bigint, dc array<bigint>, ac array<bigint>")
+    found = ratedistortion.with_dc(blocks, rate, scans.Geometry(16, 8, [(1, 1)]), [[1] * 64] * 2)
+    assert found.rdd.getNumPartitions() == 4 and found.count() == 80
+
+
+def test_chunks_are_not_written_by_one_task(spark, monkeypatch):
+    """Each batch of chunks is several tasks' files, and the stream takes a batch's files together."""
+    seen = {}
+    run = streaming.run_available
+    monkeypatch.setattr(streaming, "run_available", lambda s, source, *more: seen.update(source=source, more=more) or run(s, source, *more))
+    found = registry.QUERIES["st1_chunks_to_blocks"](spark, SF)
+    assert found.select("block").distinct().count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert len(spark.read.parquet(seen["source"]).inputFiles()) > 4 and seen["more"] == (4,)
