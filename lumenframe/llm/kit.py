@@ -89,6 +89,12 @@ def column_slices(column: pa.Array, most: int = 1 << 20) -> list[pa.Array]:
     return [b.column("text") for b in slices(iter([batch(text=column)]), most=most)]
 
 
+def text_slices(texts: list[str], rows: int = 64, most: int = 1 << 18) -> Iterator[pa.Array]:
+    """Texts of the driver as columns of at most `rows` rows and `most` bytes, or one row: one at a time, no copy of them all."""
+    for at in range(0, len(texts), rows):
+        yield from column_slices(pa.array(texts[at : at + rows]), most)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, and the offsets of its rows in them. Null is empty."""
     if column.null_count:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm import kit, toxicity, training
 
 THRESHOLD, BINS, FEATURES = 0.7, 8, 20
+#: Lines whose weights are in memory, one by one, at a time.
+FIT_LINES = 1 << 12
 _b = np.arange(256)
 _LOWER, _UPPER, _DIGIT = (_b >= 97) & (_b <= 122), (_b >= 65) & (_b <= 90), (_b >= 48) & (_b <= 57)
 _HIGH = _b >= 128
@@ -94,6 +96,12 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return x, length, first
 
 
+def weight_rows(cells: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Parts of the lines, and the places of their cells in a row of FEATURES * BINS weights."""
+    for at in range(0, len(cells), FIT_LINES):
+        yield slice(at, at + FIT_LINES), cells[at : at + FIT_LINES] + np.arange(FEATURES) * BINS
+
+
 class Field:
     """Potentials: self.w[neighbour, feature, bin] (before, own, after), bias, ends (no line before / after), and trans."""
 
@@ -101,12 +109,15 @@ class Field:
         self.edges, self.w, self.bias, self.trans, self.scale, self.share = edges, w, bias, trans, scale, share
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        """The bin of each feature, as an index into a row of FEATURES * BINS weights."""
-        return np.stack([np.searchsorted(self.edges[k], x[:, k], "right") for k in range(FEATURES)], 1) + np.arange(FEATURES) * BINS
+        """The bin of each feature."""
+        return np.stack([np.searchsorted(self.edges[k], x[:, k], "right").astype(np.uint8) for k in range(FEATURES)], 1)
 
     def potentials(self, cells: np.ndarray, first: np.ndarray) -> np.ndarray:
         w = self.w.reshape(3, -1)
-        before, own, after = (w[k][cells].sum(1) for k in range(3))
+        before, own, after = np.empty((3, len(cells)))
+        for at, index in weight_rows(cells):
+            for k, out in enumerate((before, own, after)):
+                out[at] = w[k][index].sum(1)
         u = own + self.bias[0]
         head = np.zeros(len(u), bool)
         head[first[:-1]] = True
@@ -161,13 +172,15 @@ def fitted(rows: list[tuple[str, int]], steps: int = 120) -> Field:
     y = np.array([float(c) for _, c in rows])
     if not len(y) or y.min() == y.max():
         return Field(np.zeros((FEATURES, BINS - 1)), np.zeros((3, FEATURES, BINS)), np.zeros(3), np.zeros((2, 2)), (1.0, 0.0), float(y.mean()) if len(y) else 0.0)
-    parts = kit.column_slices(pa.array([t or "" for t, _ in rows]))
-    found = [line_features(c) for c in parts]
-    x, n = np.concatenate([f[0] for f in found]), np.concatenate([np.diff(f[2]) for f in found])
+    texts = [t or "" for t, _ in rows]
+    found = [(x, np.diff(first)) for x, _, first in map(line_features, kit.text_slices(texts))]
+    x, n = np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+    del found
     first = np.concatenate([[0], np.cumsum(n)])
-    edges = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
+    edges = np.stack([np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1]) for k in range(FEATURES)])
     f = Field(edges, np.zeros((3, FEATURES, BINS)), np.zeros(3), np.zeros((2, 2)), (1.0, 0.0))
     cells = f.cells(x)
+    del x
     label = np.repeat(y, n)
     head, tail = np.zeros(len(label), bool), np.zeros(len(label), bool)
     head[first[:-1]], tail[first[1:] - 1] = True, True
@@ -181,9 +194,12 @@ def fitted(rows: list[tuple[str, int]], steps: int = 120) -> Field:
         g = (good - label) / len(label)
         nxt, prev = np.where(tail, 0, np.append(g[1:], 0)), np.where(head, 0, np.append(0, g[:-1]))
         # The line before line i is cell row i - 1: its weight's gradient is that of line i.
-        dw = np.stack([np.bincount(cells.ravel(), np.repeat(k, FEATURES), size) for k in (nxt, g, prev)]).reshape(f.w.shape)
-        adam.step([dw + 1e-5 * f.w, np.array([g.sum(), g[head].sum(), g[tail].sum()]), (expected - inner) / len(label) + 1e-3 * f.trans])
-    f.scale = training.logistic(np.concatenate([f.raw(c) for c in parts]), y)
+        dw = np.zeros((3, size))
+        for at, index in weight_rows(cells):
+            for k, own in enumerate((nxt, g, prev)):
+                dw[k] += np.bincount(index.ravel(), np.repeat(own[at], FEATURES), size)
+        adam.step([dw.reshape(f.w.shape) + 1e-5 * f.w, np.array([g.sum(), g[head].sum(), g[tail].sum()]), (expected - inner) / len(label) + 1e-3 * f.trans])
+    f.scale = training.logistic(np.concatenate([f.raw(c) for c in kit.text_slices(texts)]), y)
     return f
 
 

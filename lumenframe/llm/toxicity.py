@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm import kit, training
 
 THRESHOLD, BITS, RANK, TERMS, PREFIX = 0.7, 18, 6, 6000, 6
+#: Terms of the training texts that a fitting step has in memory with their factors at a time; a text is taken whole.
+FIT_TERMS = 1 << 14
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 256)]] = True
 
@@ -70,9 +72,10 @@ def fitted(rows: list[tuple[str, int]], steps: int = 150, seed: int = 5) -> Mach
         share = y.mean() if len(y) else 0.0
         none.w0 = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         return none
-    found = [terms(c) for c in kit.column_slices(pa.array([t or "" for t, _ in rows]))]
-    ids, off = np.concatenate([i for i, _ in found]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in found]))])
-    of = np.repeat(np.arange(len(y)), np.diff(off))
+    found = [(i.astype(np.int32), np.diff(o)) for i, o in map(terms, kit.text_slices([t or "" for t, _ in rows]))]
+    ids, off = np.concatenate([i for i, _ in found]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in found]))])
+    del found
+    of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(off))
     # Terms whose presence tells the classes apart: a signed, smoothed likelihood-ratio statistic.
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     a, b = np.bincount(ids, y[of], 1 << BITS), np.bincount(ids, 1 - y[of], 1 << BITS)
@@ -86,21 +89,26 @@ def fitted(rows: list[tuple[str, int]], steps: int = 150, seed: int = 5) -> Mach
     rng = np.random.default_rng(seed)
     m = Machine(slot, 0.0, np.zeros(len(best)), rng.normal(0, 0.05, (len(best), RANK)))
     s, off = m.known(ids, off)
-    of = np.repeat(np.arange(len(y)), np.diff(off))
+    del ids, of
     w0 = np.zeros(1)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)  # both classes count the same
     adam = training.Adam([w0, m.w, m.v], 0.05)
     for _ in range(steps):
         m.w0 = w0[0]
-        v = m.v[s]
-        total = kit.row_sums(v, off)
-        g = weight * (training.sigmoid(m.logits(s, off)) - y) / len(y)
-        gi = g[of]
-        dv = np.zeros_like(m.v)
-        step = gi[:, None] * (total[of] - v)
-        for k in range(RANK):
-            dv[:, k] = np.bincount(s, step[:, k], len(best))
-        adam.step([np.array([g.sum()]), np.bincount(s, gi, len(best)) + 2e-5 * m.w, dv + 2e-4 * m.v])
+        dw0, dw, dv = 0.0, 2e-5 * m.w, 2e-4 * m.v
+        for at, to in training.parts(off, FIT_TERMS):
+            own, ends = s[off[at] : off[to]], off[at : to + 1] - off[at]
+            of = np.repeat(np.arange(to - at), np.diff(ends))
+            v = m.v[own]
+            total = kit.row_sums(v, ends)
+            g = weight[at:to] * (training.sigmoid(m.logits(own, ends)) - y[at:to]) / len(y)
+            gi = g[of]
+            step = gi[:, None] * (total[of] - v)
+            for k in range(RANK):
+                dv[:, k] += np.bincount(own, step[:, k], len(best))
+            dw += np.bincount(own, gi, len(best))
+            dw0 += g.sum()
+        adam.step([np.array([dw0]), dw, dv])
     m.w0 = float(w0[0])
     return m
 

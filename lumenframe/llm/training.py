@@ -30,6 +30,16 @@ def sample(docs: DataFrame, classes: DataFrame, seen: Column, per_class: int = R
     return [(r.text, r["class"]) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 
+def parts(off: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows (first, end) of a ragged array of at most `most` items each, or of one row."""
+    out, at = [], 0
+    while at + 1 < len(off):
+        to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        out.append((at, to))
+        at = to
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
