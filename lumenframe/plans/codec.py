@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions.tables import written
+from lumenframe.functions.tables import spread, written
 from lumenframe.operators import arithmetic as A
 from lumenframe.operators import blocks as B
 from lumenframe.operators import boxes as BX
@@ -30,7 +30,8 @@ _MCU = "block % 96 div 6"
 
 def image_blocks(q: DataFrame) -> DataFrame:
     """image, comp, by, bx, q from blocks (block, q)."""
-    grid = q.selectExpr("block div 96 as image").distinct().selectExpr("image", "explode(sequence(image * 96, image * 96 + 95)) as block")
+    # The images' numbers are few bytes: merged into one task, they would be unfolded there to all blocks.
+    grid = spread(q.selectExpr("block div 96 as image"), "image").distinct().selectExpr("image", "explode(sequence(image * 96, image * 96 + 95)) as block")
     full = grid.join(q, "block", "left").selectExpr("image", "block", "coalesce(q, array_repeat(0L, 64)) as q")
     luma = "block % 6 < 4"
     return full.selectExpr("image", f"if({luma}, 0L, block % 6 - 3) as comp", f"{_MCU} div 4 * if({luma}, 2, 1) + if({luma}, block % 6 div 2, 0) as `by`", f"{_MCU} % 4 * if({luma}, 2, 1) + if({luma}, block % 6 % 2, 0) as bx", "q")

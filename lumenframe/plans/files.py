@@ -169,7 +169,7 @@ def register(add, quant, deltas: list[int], quantized_sql: list[str], samples_sq
     # ---- three levels of grey images of 64 x 64; the last one is filled up with grey
     def grey(s: SparkSession, d: str) -> DataFrame:
         b = X.blocks(s, d)
-        grid = b.selectExpr("block div 64 as image").distinct().selectExpr("image", "explode(sequence(image * 64, image * 64 + 63)) as block")
+        grid = spread(b.selectExpr("block div 64 as image"), "image").distinct().selectExpr("image", "explode(sequence(image * 64, image * 64 + 63)) as block")
         full = grid.join(b, "block", "left").selectExpr("image", "block % 64 as at", "posexplode(coalesce(v, array_repeat(128L, 64))) as (k, v)")
         return written(full.selectExpr("image", "at div 8 * 8 + k div 8 as y", "at % 8 * 8 + k % 8 as x", "v"))
 

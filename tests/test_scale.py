@@ -3,7 +3,7 @@
 import numpy as np
 
 from lumenframe.operators import decoding, entropy, ratedistortion, scans, segments, stats, tone
-from lumenframe.plans import registry
+from lumenframe.plans import codec, registry
 from lumenframe.streaming import decoding as streaming
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,11 @@ def test_chunks_are_not_written_by_one_task(spark, monkeypatch):
     found = registry.QUERIES["st1_chunks_to_blocks"](spark, SF)
     assert found.select("block").distinct().count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert len(spark.read.parquet(seen["source"]).inputFiles()) > 4 and seen["more"] == (4,)
+
+
+def test_blocks_of_images_are_spread(spark):
+    """The images' grid is unfolded in all tasks of a shuffle, not in one that adaptive execution merged for its few bytes."""
+    q = spark.createDataFrame([(k, [k] * 64) for k in range(0, 960, 7)], "block bigint, q array<bigint>")
+    found = codec.image_blocks(q)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    assert found.count() == 960 and found.where("q[0] > 0").count() == 137
