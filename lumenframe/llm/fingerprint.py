@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import kit
 
-WIDTH, LOAD, LEVELS, ROUNDS = 8, 8, 7, 16
+WIDTH, LOAD, LEVELS, ROUNDS, EARLY = 8, 8, 7, 16, 3
 #: Rows of a range, as aimed at, and ranges of each of the two levels at most: a million ranges in all.
 RANGE_ROWS, FANOUT = 2000, 1000
 # Mark, closing quotes, spaces, then a capital, an uncased letter, a digit or an opening mark; or a full-width or danda mark.
@@ -56,8 +56,14 @@ def digests(text: str) -> str:
 
 
 def _let(name: str, value: str, then: str) -> str:
-    """then, in which `name` stands for value, evaluated once."""
-    return f"get(transform(array({value}), {name} -> {then}), 0)"
+    """then, in which `name` stands for value, evaluated once: the start of an empty aggregation, which copies nothing (transform copies each result, cells and all)."""
+    return f"aggregate(cast(array() as array<int>), {value}, (v, i) -> v, {name} -> {then})"
+
+
+def _rounds(first: str, ends: str, then: str) -> str:
+    """p after at most ROUNDS rounds of `then` (of p), or where `ends` holds. The later rounds are a loop of their own: a loop copies p, arrays and all, after each round, also an idle one."""
+    early, late = (f"array({', '.join(map(str, r))})" for r in (range(EARLY), range(EARLY, ROUNDS)))
+    return f"aggregate(array({early}, {late}), {first}, (p, rounds) -> if({ends}, p, aggregate(rounds, p, (p, r) -> if({ends}, p, {then}))))"
 
 
 def _place(h: str, table: int, width: str) -> str:
@@ -73,42 +79,59 @@ def sketch(placed: str, width: str) -> str:
     """The cells of one sketch, table by table: n, k, h: count, XOR of digests, XOR of hashes. placed: a name."""
     empty = "struct(0 as n, 0L as k, 0L as h)"
     cell = "if(size(m) = 1, struct(1 as n, m[0].k as k, m[0].h as h), struct(size(m) as n, aggregate(m, 0L, (s, x) -> s ^ x.k) as k, aggregate(m, 0L, (s, x) -> s ^ x.h) as h))"
-    table = lambda j: f"transform(sequence(0, {width} - 1), c -> if(array_position({placed}.p{j}, c) = 0, {empty}, {_let('m', f'filter({placed}, x -> x.p{j} = c)', cell)}))"
-    return f"concat({table(0)}, {table(1)}, {table(2)})"
+    own = lambda j: _let("m", f"filter({placed}, x -> x.p{j} = c)", cell)
+    table = lambda j: _let("used", f"{placed}.p{j}", f"transform(sequence(0, {width} - 1), c -> if(array_position(used, c) = 0, {empty}, {own(j)}))")
+    return f"flatten(array({table(0)}, {table(1)}, {table(2)}))"
 
 
-def lists(placed: str) -> str:
+def lists(placed: str, width: str) -> str:
     """Will a sketch of these digests peel? In each round those go that are alone in one of their cells."""
-    shared = " and ".join(f"exists(r, y -> y.p{j} = x.p{j} and y.k <> x.k)" for j in range(3))
-    return f"size(aggregate(sequence(1, {ROUNDS}), {placed}, (r, i) -> if(size(r) = 0, r, filter(r, x -> {shared})))) = 0"
+    rounds = lambda first, kept: f"size({_rounds(first, 'size(p) = 0', kept)}) = 0"
+    if width.isdecimal() and 3 * int(width) <= 31:  # a digest's cells as bits; in the sum, the cells used and, above them, those used twice
+        bits = " | ".join(f"shiftleft(1L, x.p{j} + {j * int(width)})" for j in range(3))
+        twice = f"shiftright(aggregate(p, 0L, (s, x) -> s | x | shiftleft(s & x, {3 * int(width)})), {3 * int(width)})"
+        return rounds(f"transform({placed}, x -> {bits})", _let("full", twice, "filter(p, x -> x & full = x)"))
+    shared = " and ".join(f"exists(p, y -> y.p{j} = x.p{j} and y.k <> x.k)" for j in range(3))
+    return rounds(placed, f"filter(p, x -> {shared})")
 
 
 def subtracted(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> struct(x.n - y.n as n, x.k ^ y.k as k, x.h ^ y.h as h))"
+    """The cells of a less those of b, a sketch of the same size, with their places i: those that differ. a, b: names."""
+    return f"transform(filter(sequence(0, size({a}) - 1), i -> {a}[i] <> {b}[i]), i -> struct(i as i, {a}[i].n - {b}[i].n as n, {a}[i].k ^ {b}[i].k as k, {a}[i].h ^ {b}[i].h as h))"
+
+
+def filled(a: str) -> str:
+    """The cells of a that are not empty, with their places i. a: a name."""
+    return f"filter(transform({a}, (c, i) -> if(c.n = 0, null, struct(i as i, c.n as n, c.k as k, c.h as h))), c -> c is not null)"
 
 
-def peeled(cells: str) -> str:
-    """done, found: do the cells end up empty, and the recovered digests (n is +1 or -1: their side)."""
-    full = "filter(transform(o, (c, i) -> struct(i as i, c.n as n, c.k as k, c.h as h)), c -> not (c.n = 0 and c.k = 0 and c.h = 0))"
-    pure = "array_distinct(transform(filter(p.cells, c -> (c.n = 1 or c.n = -1) and xxhash64(c.k) = c.h), c -> struct(c.n as n, c.k as k, c.h as h)))"
+def peeled(cells: str, width: str) -> str:
+    """done, found: do the cells (of subtracted or filled, in tables of `width`) end up empty, and the recovered digests (n is +1 or -1: their side)."""
+    pure = "filter(p.cells, c -> abs(c.n) = 1 and xxhash64(c.k) = c.h)"
+    # Digests are told apart by hashing their numbers, on each side; structs would be compared one with another.
     at = ", ".join(f"{_place('x.h', j, 'w')} + {j} * w as i{j}" for j in range(3))
-    less = "aggregate(a, c, (s, x) -> if(x.i0 = s.i or x.i1 = s.i or x.i2 = s.i, struct(s.i as i, s.n - x.n as n, s.k ^ x.k as k, s.h ^ x.h as h), s))"
-    left = _let("a", f"transform(q, x -> struct(x.n as n, x.k as k, x.h as h, {at}))", f"filter(transform(p.cells, c -> {less}), c -> not (c.n = 0 and c.k = 0 and c.h = 0))")
+    side = lambda n: f"transform(array_distinct(filter(pure, c -> c.n = {n}).k), k -> {_let('h', 'xxhash64(k)', f'struct({n} as n, k as k, h as h, {at.replace("x.h", "h")})')})"
+    one = "struct(c.i as i, c.n - m[0].n as n, c.k ^ m[0].k as k, c.h ^ m[0].h as h)"
+    more = "aggregate(m, c, (s, x) -> struct(s.i as i, s.n - x.n as n, s.k ^ x.k as k, s.h ^ x.h as h))"
+    less = _let("m", "filter(q, x -> x.i0 = c.i or x.i1 = c.i or x.i2 = c.i)", f"if(size(m) = 0, c, if(size(m) = 1, {one}, {more}))")
+    left = f"filter(transform(p.cells, c -> {less}), c -> c.n <> 0 or c.k <> 0 or c.h <> 0)"
     step = f"if(size(q) = 0, struct(p.cells as cells, p.found as found, false as more), struct({left} as cells, concat(p.found, q) as found, true as more))"
-    rounds = f"aggregate(sequence(1, {ROUNDS}), struct({full} as cells, {NONE} as found, true as more), (p, r) -> if(p.more and size(p.cells) > 0, {_let('q', pure, step)}, p))"
-    return _let("o", cells, _let("w", "size(o) div 3", _let("v", rounds, "struct(size(v.cells) = 0 as done, v.found as found)")))
+    found = _let("pure", pure, f"flatten(array({side(1)}, {side(-1)}))")
+    none = "cast(array() as array<struct<n: int, k: bigint, h: bigint, i0: int, i1: int, i2: int>>)"
+    rounds = _rounds(f"struct({cells} as cells, {none} as found, true as more)", "not p.more or size(p.cells) = 0", _let("q", found, step))
+    return _let("w", f"cast({width} as int)", _let("v", rounds, "struct(size(v.cells) = 0 as done, transform(v.found, x -> struct(x.n as n, x.k as k, x.h as h)) as found)"))
 
 
 def _larger(first: str, then: str) -> str:
     """`then` (done, ...) of z and level, tried for level after level from `first` on until it is done."""
-    return f"aggregate(sequence(1, {LEVELS - 1}), {first}, (z, level) -> if(z.done, z, {then}))"
+    return _let("least", first, f"if(least.done, least, aggregate(sequence(1, {LEVELS - 1}), least, (z, level) -> if(z.done, z, {then})))")
 
 
 def listed(stripe: str) -> str:
     """The digests of a stripe: those alone in a cell, if these are all, or else what peels."""
-    alone = "array_distinct(transform(filter(o, c -> c.n = 1), c -> struct(c.n as n, c.k as k, c.h as h)))"
+    alone = "transform(array_distinct(transform(filter(o, c -> c.n = 1), c -> c.k)), k -> struct(1 as n, k as k, xxhash64(k) as h))"
     number = "aggregate(slice(o, 1, size(o) div 3), 0, (s, c) -> s + c.n)"
-    return _let("o", stripe, _let("q", alone, f"if(size(q) = {number}, q, {_let('f', peeled('o'), 'f.found')})"))
+    return _let("o", stripe, _let("q", alone, f"if(size(q) = {number}, q, {peeled(filled('o'), 'size(o) div 3')}.found)"))
 
 
 _STEPS = "array(" + ", ".join(str(1 << k) for k in range(30, -1, -1)) + ")"
@@ -116,12 +139,13 @@ _STEPS = "array(" + ", ".join(str(1 << k) for k in range(30, -1, -1)) + ")"
 
 def laid(members: str, stripes: str) -> str:
     """The row of `stripes` (a power of two) stripes of digests; each has the least size at which it lists its own digests."""
-    tried = lambda width: _let("at", placed("own", width), f"if(size(at) < 2 or {lists('at')}, struct(true as done, {sketch('at', width)} as cells), struct(false as done, {NONE} as cells))")
+    tried = lambda width: _let("at", placed("own", width), f"if(size(at) < 2 or {lists('at', width)}, struct(true as done, {sketch('at', width)} as cells), struct(false as done, {NONE} as cells))")
     stripe = f"get(transform(array({_larger(tried(str(WIDTH)), tried(f'shiftleft({WIDTH}, 2 * level)'))}), y -> y.cells), 0)"
     # Digests in order of their stripe; each stripe's first place by halving steps.
-    ordered = f"array_sort(transform({members}, x -> struct(x.k & ({stripes} - 1) as t, x.k as k, x.h as h)))"
-    first = lambda t: f"aggregate({_STEPS}, 0, (lo, step) -> if(lo + step <= size(by_stripe) and get(by_stripe, lo + step - 1).t < {t}, lo + step, lo))"
-    cut = _let("start", f"transform(sequence(0L, cast({stripes} as bigint)), t -> {first('t')})", "transform(sequence(0, size(start) - 2), i -> slice(by_stripe, start[i] + 1, start[i + 1] - start[i]))")
+    ordered = f"sort_array(transform({members}, x -> struct(x.k & ({stripes} - 1) as t, x.k as k, x.h as h)))"
+    first = lambda t: f"aggregate(steps, 0, (lo, step) -> if(lo + step <= size(by_stripe) and get(by_stripe, lo + step - 1).t < {t}, lo + step, lo))"
+    starts = _let("steps", f"filter({_STEPS}, step -> step <= size(by_stripe))", f"transform(sequence(0L, cast({stripes} as bigint)), t -> {first('t')})")
+    cut = _let("start", starts, "transform(sequence(0, size(start) - 2), i -> slice(by_stripe, start[i] + 1, start[i + 1] - start[i]))")
     parts = f"if({stripes} = 1, array(transform({members}, x -> struct(0L as t, x.k as k, x.h as h))), {_let('by_stripe', ordered, cut)})"
     return f"transform({parts}, own -> {stripe})"
 
@@ -142,12 +166,13 @@ def differing(rows: DataFrame, a: str, b: str, to: str) -> DataFrame:
     more = [f"if(size({x}.stripes) = {many}, null, flatten(transform({x}.stripes, s -> {listed('s')}))) as {to}_{k}" for k, x in (("la", a), ("lb", b))]
     rows = rows.selectExpr("*", f"{many} as {to}_many", *more)
     as_many = [f"if({to}_l{k} is null, {x}.stripes, {laid(f'{to}_l{k}', f'{to}_many')})" for k, x in (("a", a), ("b", b))]
-    first = f"if(size(a) = size(b), {peeled(subtracted('a', 'b'))}, struct(false as done, {NONE} as found))"
+    first = f"if(a = b, struct(true as done, {NONE} as found), if(size(a) = size(b), {peeled(subtracted('a', 'b'), 'size(a) div 3')}, struct(false as done, {NONE} as found)))"
     rows = rows.selectExpr(*names, *[f"{x} as {to}_x{k}" for k, x in zip("ab", as_many, strict=True)])
     rows = rows.selectExpr(*names, f"zip_with({to}_xa, {to}_xb, (a, b) -> struct(a as a, b as b, {first} as first)) as {to}_s")
     rows = rows.selectExpr(*names, f"transform({to}_s, s -> struct(s.first as first, if(s.first.done, null, {listed('s.a')}) as a, if(s.first.done, null, {listed('s.b')}) as b)) as {to}_s")
     wider = f"shiftleft({WIDTH}, 2 * level)"
-    again = _let("pa", placed("s.a", wider), _let("pb", placed("s.b", wider), peeled(subtracted(sketch("pa", wider), sketch("pb", wider)))))
+    sketches = lambda then: _let("pa", placed("s.a", wider), _let("pb", placed("s.b", wider), _let("ca", sketch("pa", wider), _let("cb", sketch("pb", wider), then))))
+    again = sketches(peeled(subtracted("ca", "cb"), wider))
     stripe = f"if(s.first.done, s.first, {_larger('s.first', again)})"
     rows = rows.selectExpr(*names, f"transform({to}_s, s -> {stripe}) as {to}_s")
     return rows.selectExpr(*names, f"struct(forall({to}_s, s -> s.done) as done, flatten({to}_s.found) as found) as {to}")
