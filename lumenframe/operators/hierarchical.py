@@ -5,6 +5,10 @@ size, and the difference from the next level is coded in a differential frame (n
 frame's differences are coded as they are (the transform bypassed, steps of one), so the largest image is exact. A file
 has a frame size for all (DHP), and before each differential frame the sign that the last image is expanded (EXP).
 
+Levels meet by sort-merge joins of all their samples, whatever Spark takes their size for: tables of samples are a byte or
+two a row on disk, and neither the rows that interpolation makes nor those of unfolded blocks are in its estimate, so a
+level of millions of rows would be broadcast through the driver.
+
 Reading is one pass over all frames: a frame is found by the EXP segments before it, every level of every image is decoded
 as an image of its own, and levels meet by position, smallest first. Their number is in the plan, nothing else.
 """
@@ -70,8 +74,13 @@ def _values(q: DataFrame, deltas: list[int], level: int, last: int) -> DataFrame
     return unblocked(B.idct(c, level=1 << 15, high=1 << 16)).selectExpr("image", "y", "x", f"v - {1 << 15}L as v")
 
 
+def _met(low: DataFrame, own: DataFrame) -> DataFrame:
+    """image, y, x, e, v: the samples of a level with those of the one before it, expanded (e)."""
+    return expanded(low).withColumnRenamed("v", "e").join(own.hint("merge"), ["image", "y", "x"])
+
+
 def _summed(low: DataFrame, diff: DataFrame) -> DataFrame:
-    both = expanded(low).withColumnRenamed("v", "e").join(diff, ["image", "y", "x"])
+    both = _met(low, diff)
     return both.selectExpr("image", "y", "x", "greatest(0L, least(255L, e + v)) as v")
 
 
@@ -83,7 +92,7 @@ def files(px: DataFrame, width: int, height: int, deltas: list[int], levels: int
     sizes, last, spark, parts, have = sizes[::-1], levels - 1, px.sparkSession, [], None
     for level, own in enumerate(sizes):
         if have is not None:
-            own = expanded(have).withColumnRenamed("v", "e").join(own, ["image", "y", "x"]).selectExpr("image", "y", "x", "v - e as v")
+            own = _met(have, own).selectExpr("image", "y", "x", "v - e as v")
         q = written(_coefficients(own, deltas, level, last))
         values = _values(q, deltas, level, last)
         have = written(values if have is None else _summed(have, values))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lumenframe.operators import decoding, entropy, ratedistortion, scans, segments, stats, tone
+from lumenframe.operators import decoding, entropy, hierarchical, layered, ratedistortion, scans, segments, stats, tone
 from lumenframe.plans import codec, registry
 from lumenframe.streaming import decoding as streaming
 
@@ -94,3 +94,16 @@ def test_blocks_of_images_are_spread(spark):
     found = codec.image_blocks(q)
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
     assert found.count() == 960 and found.where("q[0] > 0").count() == 137
+
+
+def test_levels_meet_without_a_broadcast(spark, monkeypatch):
+    """Samples of two levels meet by shuffles however small their files are: a level is as large as the images."""
+    plans, write = [], hierarchical.written
+    monkeypatch.setattr(hierarchical, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    px = spark.range(2 * 32 * 32).selectExpr("id div 1024 as image", "id div 32 % 32 as y", "id % 32 as x", "id * 7 % 256 as v")
+    steps = [16] * 64
+    m = hierarchical.written(entropy.markers(layered.files(hierarchical.files(px, 32, 32, steps))))
+    assert hierarchical.decoded(m, steps)[-1].exceptAll(px).isEmpty()
+    # Differences of levels 1 and 2, what a decoder has of them, and the same in reading: by image, line and column.
+    joins = [[line for line in p.splitlines() if "Join" in line and line.count("y#") > 1] for p in plans]
+    assert len([p for p in joins if p]) == 6 and all("SortMergeJoin" in line for p in joins for line in p)
